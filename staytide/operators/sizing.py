@@ -1,0 +1,33 @@
+"""Size checks that decide between a plain and a split plan."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# One task sorts this many rows of a group without trouble; above it the
+# operators cut the group into time slots.
+MAX_GROUP_ROWS = 1_000_000
+# Largest number of point/interval comparisons accepted for one key.
+MAX_KEY_PAIRS = 50_000_000
+
+
+def hottest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group. One column-pruned, map-side combined pass;
+    only the resulting number reaches the driver."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def hottest_groups(tables: dict[str, tuple[DataFrame, list[str]]]) -> dict[str, int]:
+    """``hottest_group`` of several tables in one job."""
+    maxima = [df.groupBy(*keys).count().agg(F.max("count").alias("n")).select(
+        F.lit(name).alias("name"), "n") for name, (df, keys) in tables.items()]
+    return {r["name"]: r["n"] or 0 for r in reduce(DataFrame.unionByName, maxima).collect()}
+
+
+def needs_split(df: DataFrame, keys: list[str], split: bool | None,
+                limit: int = MAX_GROUP_ROWS) -> bool:
+    """``split`` as given, or measured when it is None."""
+    return hottest_group(df, keys) > limit if split is None else split
