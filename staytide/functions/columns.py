@@ -1,13 +1,14 @@
-"""Column expressions shared by every operator. All stay inside codegen."""
+"""SQL expressions shared by every operator.
+
+Each function returns the text of one built-in expression over column names,
+for ``selectExpr``, ``where`` or ``F.expr``. Text composes freely, is parsed
+once per query and stays inside code generation.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from datetime import timedelta
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 MICROSECOND = timedelta(microseconds=1)
 
@@ -16,113 +17,122 @@ def as_micros(span: timedelta) -> int:
     return span // MICROSECOND
 
 
-def micros(ts: Column) -> Column:
+def interval(span: timedelta) -> str:
+    return f"interval '{as_micros(span)}' microsecond"
+
+
+def literal(value: object) -> str:
+    if value is None:
+        return "null"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
+def one_of(x: str, values: Iterable[object]) -> str:
+    return f"{x} in ({', '.join(map(literal, values))})"
+
+
+def micros(ts: str) -> str:
     """Microseconds since 1970 of a zone-free timestamp.
 
     Built from calendar fields: unlike ``timestampdiff`` it never passes
     through the session time zone, so no hour is lost at a clock change.
     """
-    seconds = (F.unix_date(ts.cast("date")).cast("long") * 86400
-               + F.hour(ts) * 3600 + F.minute(ts) * 60)
-    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    return (f"((unix_date(cast({ts} as date)) * 86400L + hour({ts}) * 3600 + minute({ts}) * 60)"
+            f" * 1000000 + cast(extract(second from {ts}) * 1000000 as bigint))")
 
 
-def slot(ts: Column, width: timedelta) -> Column:
+def slot(ts: str, width: timedelta) -> str:
     """Start, in microseconds, of the fixed-width time slot that holds ``ts``."""
     return slot_start(micros(ts), as_micros(width))
 
 
-def slot_start(t: Column, width: int) -> Column:
-    return t - F.pmod(t, F.lit(width))
+def slot_start(t: str, width: int) -> str:
+    return f"({t} - pmod({t}, {width}L))"
 
 
-def hours_between(later: Column, earlier: Column) -> Column:
-    return (micros(later) - micros(earlier)) / F.lit(3.6e9)
+def hours_between(later: str, earlier: str) -> str:
+    return f"(({micros(later)} - {micros(earlier)}) / 3.6e9D)"
 
 
-def round_half_up(x: Column, digits: int = 4) -> Column:
+def round_half_up(x: str, digits: int = 4) -> str:
     """Decimal rounding of a double; values too large for the decimal have no
     fraction and are returned unchanged."""
-    exact = F.round(x.try_cast("decimal(38,10)"), digits).cast("double")
-    return F.coalesce(exact, x)
+    return f"coalesce(cast(round(try_cast({x} as decimal(38,10)), {digits}) as double), {x})"
 
 
-def in_window(ts: Column, anchor: Column, before: timedelta, after: timedelta,
-              closed: str = "both") -> Column:
+def in_window(ts: str, anchor: str, before: timedelta, after: timedelta,
+              closed: str = "both") -> str:
     """``[anchor - before, anchor + after]``; ``closed="right"`` opens the low end."""
-    low, high = anchor - F.lit(before), anchor + F.lit(after)
-    above = ts > low if closed == "right" else ts >= low
-    return above & (ts <= high)
+    above = ">" if closed == "right" else ">="
+    return (f"({ts} {above} {anchor} - {interval(before)} and {ts} <= {anchor} + {interval(after)})")
 
 
-def not_flagged(flag: Column, value: int = 1) -> Column:
+def not_flagged(flag: str, value: int = 1) -> str:
     """True unless ``flag`` equals ``value``; a NULL flag counts as not flagged."""
-    return ~flag.eqNullSafe(F.lit(value))
+    return f"not ({flag} <=> {value})"
 
 
-def plausible(value: Column, above: float | None = None, below: float | None = None,
-              at_most: float | None = None) -> Column:
+def plausible(value: str, above: float | None = None, below: float | None = None,
+              at_most: float | None = None) -> str:
     """Strict lower and upper bounds, or an inclusive upper bound; NULL fails."""
-    tests = [value.isNotNull()]
-    if above is not None:
-        tests.append(value > F.lit(above))
-    if below is not None:
-        tests.append(value < F.lit(below))
-    if at_most is not None:
-        tests.append(value <= F.lit(at_most))
-    return reduce(lambda a, b: a & b, tests)
+    bounds = ((">", above), ("<", below), ("<=", at_most))
+    tests = [f"{value} {sign} {bound}" for sign, bound in bounds if bound is not None]
+    return f"({' and '.join([f'{value} is not null', *tests])})"
 
 
-def ladder(rules: Iterable[tuple[Column, object]], otherwise: object = None) -> Column:
+def ladder(rules: Iterable[tuple[str, str]], otherwise: str = "null") -> str:
     """First matching rule wins."""
-    chain = F
-    for test, result in rules:
-        chain = chain.when(test, F.lit(result) if not isinstance(result, Column) else result)
-    return chain.otherwise(otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
+    return f"case {' '.join(f'when {test} then {result}' for test, result in rules)} else {otherwise} end"
+
+
+def _grouped(mapping: Mapping[int, object]) -> dict[object, list[int]]:
+    groups: dict[object, list[int]] = {}
+    for item, value in mapping.items():
+        groups.setdefault(value, []).append(item)
+    return groups
 
 
-def code_label(code: Column, labels: Mapping[int, str]) -> Column:
+def code_label(code: str, labels: Mapping[int, str]) -> str:
     """Label of an item code, NULL when the code is not listed."""
-    by_label: dict[str, list[int]] = {}
-    for item, label in labels.items():
-        by_label.setdefault(label, []).append(item)
-    return ladder((code.isin(items), label) for label, items in by_label.items())
+    return ladder((one_of(code, items), literal(label)) for label, items in _grouped(labels).items())
 
 
-def null_outliers(code: Column, value: Column, limits: Mapping[int, float]) -> Column:
+def null_outliers(code: str, value: str, limits: Mapping[int, float]) -> str:
     """NULL where the value exceeds the limit of its item code."""
-    by_limit: dict[float, list[int]] = {}
-    for item, limit in limits.items():
-        by_limit.setdefault(limit, []).append(item)
-    over = [code.isin(items) & (value > F.lit(limit)) for limit, items in by_limit.items()]
-    return ladder(((test, F.lit(None).cast("double")) for test in over), value)
+    over = ((f"{value} > {limit} and {one_of(code, items)}", "null")
+            for limit, items in _grouped(limits).items())
+    return ladder(over, value)
 
 
-def guarded_label(code: Column, value: Column, rules: Mapping[str, list[tuple]]) -> Column:
+def guarded_label(code: str, value: str, rules: Mapping[str, list[tuple]]) -> str:
     """Label of an item whose value lies in the label's range, else NULL."""
     tests = []
     for label, ranges in rules.items():
         for codes, low, high, inclusive in ranges:
             bound = {"at_most": high} if inclusive else {"below": high}
-            tests.append((code.isin(codes) & plausible(value, above=low, **bound), label))
+            tests.append((f"{one_of(code, codes)} and {plausible(value, above=low, **bound)}",
+                          literal(label)))
     return ladder(tests)
 
 
-def to_celsius(code: Column, value: Column, fahrenheit_items: list[int]) -> Column:
-    return F.when(code.isin(fahrenheit_items), (value - 32) / 1.8).otherwise(value)
+def to_celsius(code: str, value: str, fahrenheit_items: list[int]) -> str:
+    return ladder([(one_of(code, fahrenheit_items), f"({value} - 32) / 1.8D")], value)
 
 
-def prefix_flag(code: Column, whole: list[str], four: list[str], three: list[str]) -> Column:
+def prefix_flag(code: str, whole: list[str], four: list[str], three: list[str]) -> str:
     """1 when the code, its first four or its first three characters are listed."""
-    tests = [F.substring(code, 1, n).isin(values) if n else code.isin(values)
+    tests = [one_of(f"substring({code}, 1, {n})" if n else code, values)
              for n, values in ((0, whole), (4, four), (3, three)) if values]
-    return F.when(reduce(lambda a, b: a | b, tests), 1).otherwise(0)
+    return ladder([(" or ".join(tests), "1")], "0")
 
 
-def literal_map(value: Column, groups: Mapping[int, list[str]], unlisted: int) -> Column:
-    return ladder(((value.isin(names), code) for code, names in groups.items()), unlisted)
+def literal_map(value: str, groups: Mapping[int, list[str]], unlisted: int | None) -> str:
+    return ladder(((one_of(value, names), str(code)) for code, names in groups.items()),
+                  literal(unlisted))
 
 
-def finite(x: Column) -> Column:
-    """NULL for NaN and both infinities."""
-    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+def is_finite(x: str) -> str:
+    """False for NaN (the largest double) and both infinities, NULL for NULL."""
+    return f"abs({x}) < double('infinity')"

@@ -4,44 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from .columns import literal
 
-def capture(text: Column, pattern: str) -> Column:
-    """First group of the first match, NULL without a match.
 
-    ``(?s)`` lets ``.`` cross a carriage return. An empty capture is kept
-    apart from "no match" by testing the pattern only when the capture is
-    empty, so ordinary rows scan the text once.
+def capture(text: str, pattern: str) -> str:
+    """First group of the first match; NULL without a match.
+
+    ``(?s)`` lets ``.`` cross a carriage return. ``regexp_extract`` gives ''
+    for no match and for an empty capture, so only then the pattern is tested
+    again to tell the two apart.
     """
-    dotall = "(?s)" + pattern
-    found = F.regexp_extract(text, dotall, 1)
-    return F.when(found != "", found).when(text.rlike(dotall), found)
+    dotall = literal("(?s)" + pattern)
+    found = f"regexp_extract({text}, {dotall}, 1)"
+    return f"case when {found} <> '' then {found} when {text} rlike {dotall} then '' end"
 
 
-def number(text: Column) -> Column:
+def number(text: str) -> str:
     """Numeric text as double; NULL if masked with ``*`` or not numeric."""
-    return F.when(~text.contains("*"), text.try_cast("double"))
+    return f"if(contains({text}, '*'), null, try_cast({text} as double))"
 
 
-def time_on_day(day: Column, clock: Column) -> Column:
+def time_on_day(day: str, clock: str) -> str:
     """``day`` at ``H:mm`` of the clock text, anything after the minutes ignored.
     NULL when the text is no time of day."""
-    shape = r"^(\d{1,2}):(\d{1,2})"
-    hour = F.regexp_extract(clock, shape, 1).try_cast("int")
-    minute = F.regexp_extract(clock, shape, 2).try_cast("int")
-    valid = (hour < 24) & (minute < 60)
-    midnight = day.cast("timestamp_ntz").cast("date").cast("timestamp_ntz")
-    return F.when(valid, midnight + F.make_dt_interval(F.lit(0), hour, minute))
+    part = lambda n: f"try_cast(regexp_extract({clock}, '^([0-9]{{1,2}}):([0-9]{{1,2}})', {n}) as int)"
+    midnight = f"cast(cast(cast({day} as timestamp_ntz) as date) as timestamp_ntz)"
+    return (f"if({part(1)} < 24 and {part(2)} < 60,"
+            f" {midnight} + make_dt_interval(0, {part(1)}, {part(2)}), null)")
 
 
 def extract_fields(notes: DataFrame, keep: list[str], text: str, text_fields: Mapping[str, str],
                    number_fields: Mapping[str, str]) -> DataFrame:
     """One row per note: ``keep`` columns plus every labelled field."""
-    body = F.col(text)
-    return notes.select(
-        *keep,
-        *[capture(body, p).alias(name) for name, p in text_fields.items()],
-        *[number(capture(body, p)).alias(name) for name, p in number_fields.items()],
-    )
+    fields = {**text_fields, **number_fields}
+    captured = notes.selectExpr(*keep, *[f"{capture(text, p)} as {n}" for n, p in fields.items()])
+    return captured.selectExpr(*keep, *text_fields, *[f"{number(n)} as {n}" for n in number_fields])

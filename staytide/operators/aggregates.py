@@ -2,36 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_STATS = {"min": F.min, "max": F.max, "mean": F.avg}
+from ..functions.columns import literal
 
+_STATS = {"min": "min", "max": "max", "mean": "avg"}
 
-def pivot_agg(df: DataFrame, keys: list[str], label: Column, value: Column,
-              columns: Mapping[str, object], stats: list[str], prefix: str = "") -> DataFrame:
+
+def pivot_agg(df: DataFrame, keys: list[str], label: str, value: str, labels: Iterable[str],
+              stats: list[str], prefix: str = "") -> DataFrame:
     """One ``<label>_<stat>`` column per label and statistic.
 
     Conditional aggregates over an explicit label list: one shuffle with
     map-side partial aggregation and no extra job to discover labels.
     """
-    rows = df.select(*keys, label.alias("_label"), value.alias("_value"))
+    rows = df.selectExpr(*keys, f"{label} as _label", f"{value} as _value")
     return rows.groupBy(*keys).agg(*[
-        _STATS[s](F.when(F.col("_label") == match, F.col("_value"))).alias(f"{prefix}{name}_{s}")
-        for name, match in columns.items() for s in stats])
+        F.expr(f"{_STATS[s]}(if(_label = {literal(name)}, _value, null)) as {prefix}{name}_{s}")
+        for name in labels for s in stats])
 
 
 def rollup_flags(df: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.max(f).alias(f) for f in flags])
+    return df.groupBy(*keys).agg(*[F.expr(f"max({f}) as {f}") for f in flags])
 
 
 def stage_summary(df: DataFrame, stage: str, key: str = "icustay_id") -> DataFrame:
     """Rows per stage 0..3, rows without a stage, distinct keys, in one pass."""
-    counts = [F.count(F.when(F.col(stage) == s, F.col(key))).alias(f"stage_{s}") for s in range(4)]
+    counts = [F.expr(f"count_if({stage} = {s} and {key} is not null) as stage_{s}") for s in range(4)]
     return df.agg(F.countDistinct(key).alias("episodes"), *counts,
-                  F.count(F.when(F.col(stage).isNull(), 1)).alias("missing"))
+                  F.expr(f"count_if({stage} is null) as missing"))
 
 
 def count_distinct(df: DataFrame, key: str, by: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import slot
@@ -12,6 +12,17 @@ from .joins import without
 from .sizing import needs_split
 
 DAY = timedelta(days=1)
+# Undated rows sort last, hence the largest slot.
+_LAST_SLOT = (1 << 63) - 1
+
+
+def _slotted(df: DataFrame, ts: str, width: timedelta) -> DataFrame:
+    return df.selectExpr("*", f"coalesce({slot(ts, width)}, {_LAST_SLOT}L) as _slot")
+
+
+def _over(keys: list[str], ts: str, ties: list[str]) -> str:
+    order = ", ".join(f"{c} asc nulls last" for c in [ts, *ties])
+    return f"over (partition by {', '.join(keys)} order by {order})"
 
 
 def mark_first(df: DataFrame, keys: list[str], ts: str, ties: list[str], out: str,
@@ -22,20 +33,16 @@ def mark_first(df: DataFrame, keys: list[str], ts: str, ties: list[str], out: st
     key's first row exactly when the slot is the key's earliest, which an
     aggregate of slot numbers tells.
     """
-    order = [F.col(c).asc_nulls_last() for c in [ts, *ties]]
     if not split:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return df.withColumn(out, rank == 1)
-    # Undated rows sort last, hence the largest slot.
-    slotted = df.withColumn("_slot", F.coalesce(slot(F.col(ts), width), F.lit((1 << 63) - 1)))
+        return df.selectExpr("*", f"row_number() {_over(keys, ts, ties)} = 1 as {out}")
+    slotted = _slotted(df, ts, width)
     earliest = slotted.groupBy(*keys).agg(F.min("_slot").alias("_earliest"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy(*order))
-    return (slotted.join(earliest, keys)
-            .withColumn(out, (rank == 1) & (F.col("_slot") == F.col("_earliest")))
-            .drop("_slot", "_earliest"))
+    ranked = slotted.selectExpr("*", f"row_number() {_over([*keys, '_slot'], ts, ties)} as _rn")
+    return ranked.join(earliest, keys).selectExpr(
+        *df.columns, f"_rn = 1 and _slot = _earliest as {out}")
 
 
-def to_intervals(df: DataFrame, keys: list[str], start: str, fallback_end: Column,
+def to_intervals(df: DataFrame, keys: list[str], start: str, fallback_end: str,
                  ties: list[str], split: bool | None = None, out: str = "endtime",
                  width: timedelta = DAY) -> DataFrame:
     """Add the end of each row's validity: the key's next start, else the fallback.
@@ -44,34 +51,28 @@ def to_intervals(df: DataFrame, keys: list[str], start: str, fallback_end: Colum
     slot's last row it is the first start of the key's next slot, taken from
     one row per slot.
     """
-    order = [F.col(c).asc_nulls_last() for c in [start, *ties]]
     if not needs_split(df, keys, split):
-        following = F.lead(start).over(Window.partitionBy(*keys).orderBy(*order))
-        return df.withColumn(out, F.coalesce(following, fallback_end))
-    slotted = df.withColumn("_slot", F.coalesce(slot(F.col(start), width), F.lit((1 << 63) - 1)))
-    heads = slotted.groupBy(*keys, "_slot").agg(F.min(start).alias("_head"))
-    heads = heads.select(*keys, "_slot", F.lead("_head").over(
-        Window.partitionBy(*keys).orderBy("_slot")).alias("_next_head"))
-    within = Window.partitionBy(*keys, "_slot").orderBy(*order)
-    return (slotted.withColumn("_next", F.lead(start).over(within))
-            .join(heads, [*keys, "_slot"])
-            .withColumn(out, F.coalesce("_next", "_next_head", fallback_end))
-            .drop("_slot", "_next", "_next_head"))
-
-
-def backfill_first(df: DataFrame, first: Column, due: Column, start: str, end: str,
-                   from_time: Column) -> DataFrame:
+        following = f"lead({start}) {_over(keys, start, ties)}"
+        return df.selectExpr("*", f"coalesce({following}, {fallback_end}) as {out}")
+    slotted = _slotted(df, start, width)
+    heads = slotted.groupBy(*keys, "_slot").agg(F.min(start).alias("_head")).selectExpr(
+        *keys, "_slot", f"lead(_head) over (partition by {', '.join(keys)} order by _slot) as _next_head")
+    ahead = slotted.selectExpr("*", f"lead({start}) {_over([*keys, '_slot'], start, ties)} as _next")
+    return ahead.join(heads, [*keys, "_slot"]).selectExpr(
+        *df.columns, f"coalesce(_next, _next_head, {fallback_end}) as {out}")
+
+
+def backfill_first(df: DataFrame, first: str, due: str, start: str, end: str,
+                   from_time: str) -> DataFrame:
     """Repeat a key's first interval from an earlier time up to its start.
 
     ``first`` marks the row and ``due`` says whether the gap exists. Both rows
     come from one pass over the input.
     """
-    keep = F.struct(F.col(start).alias("s"), F.col(end).alias("e"))
-    gap = F.struct(from_time.alias("s"), F.col(start).alias("e"))
-    spans = F.explode(F.when(first & due, F.array(keep, gap)).otherwise(F.array(keep)))
-    return (df.withColumn("_span", spans)
-            .withColumn(start, F.col("_span.s")).withColumn(end, F.col("_span.e"))
-            .drop("_span"))
+    keep = f"struct({start} as s, {end} as e)"
+    spans = f"if({first} and {due}, array({keep}, struct({from_time} as s, {start} as e)), array({keep}))"
+    others = [c for c in df.columns if c not in (start, end)]
+    return df.selectExpr(*others, f"inline({spans}) as ({start}, {end})")
 
 
 def fallback_intervals(primary: DataFrame, secondary: DataFrame, key: str,
@@ -84,9 +85,7 @@ def fallback_intervals(primary: DataFrame, secondary: DataFrame, key: str,
     """
     if split:
         return primary.unionByName(without(secondary, primary, key)).distinct()
-    both = (primary.withColumn("_primary", F.lit(True))
-            .unionByName(secondary.withColumn("_primary", F.lit(False))))
-    has_primary = F.max("_primary").over(Window.partitionBy(key))
-    return (both.withColumn("_has_primary", has_primary)
-            .where(F.col("_primary") | ~F.col("_has_primary"))
-            .select(*primary.columns).distinct())
+    both = primary.selectExpr("*", "true as _primary").unionByName(
+        secondary.selectExpr("*", "false as _primary"))
+    marked = both.selectExpr("*", f"max(_primary) over (partition by {key}) as _has_primary")
+    return marked.where("_primary or not _has_primary").select(*primary.columns).distinct()

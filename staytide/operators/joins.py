@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_micros, in_window, slot
+from ..functions.columns import MICROSECOND, as_micros, in_window, interval, one_of, slot
 from .sizing import MAX_KEY_PAIRS, hottest_group
 
 
-def _null_columns(df: DataFrame, names: list[str]) -> list[Column]:
-    return [F.lit(None).cast(df.schema[n].dataType).alias(n) for n in names]
-
-
 def attach_window(episodes: DataFrame, events: DataFrame, on: list[str], ts: str, anchor: str,
                   before: timedelta, after: timedelta, closed: str = "both",
                   how: str = "inner", episode_key: str = "icustay_id") -> DataFrame:
@@ -30,18 +26,16 @@ def attach_window(episodes: DataFrame, events: DataFrame, on: list[str], ts: str
     without an event, found by an anti join on the matched keys.
     """
     width = (before + after) / 2
-    first = slot(F.col(anchor) - F.lit(before), width)
-    last = slot(F.col(anchor) + F.lit(after), width)
-    windows = episodes.withColumn("_slot", F.explode(F.sequence(first, last, F.lit(as_micros(width)))))
-    slotted = events.withColumn("_slot", slot(F.col(ts), width))
+    first, last = slot(f"({anchor} - {interval(before)})", width), slot(f"({anchor} + {interval(after)})", width)
+    windows = episodes.selectExpr(
+        "*", f"explode(sequence({first}, {last}, {as_micros(width)}L)) as _slot")
+    slotted = events.selectExpr("*", f"{slot(ts, width)} as _slot")
     matched = (windows.join(slotted, [*on, "_slot"])
-               .where(in_window(F.col(ts), F.col(anchor), before, after, closed))
-               .drop("_slot"))
+               .where(in_window(ts, anchor, before, after, closed)).drop("_slot"))
     if how == "inner":
         return matched
     missing = without(episodes, matched, episode_key)
-    extra = [c for c in matched.columns if c not in episodes.columns]
-    return matched.unionByName(missing.select("*", *_null_columns(matched, extra)))
+    return matched.unionByName(missing, allowMissingColumns=True)
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], ts: str, start: str,
@@ -57,19 +51,17 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], ts:
     """
     if slotted is None:
         slotted = (hottest_group(points, keys) * hottest_group(intervals, keys)) > MAX_KEY_PAIRS
-    inside = (F.col(ts) >= F.col(f"i.{start}")) & (F.col(ts) < F.col(f"i.{end}"))
     payload = [c for c in intervals.columns if c not in keys]
-    right = intervals.where(F.col(start) < F.col(end))
-    left = points
+    left, right = points, intervals.where(f"{start} < {end}")
     if slotted:
-        last = slot(F.col(end) - F.lit(timedelta(microseconds=1)), width)
-        right = right.withColumn("_slot", F.explode(
-            F.sequence(slot(F.col(start), width), last, F.lit(as_micros(width)))))
-        left = points.withColumn("_slot", slot(F.col(ts), width))
-    on = [F.col(f"p.{k}") == F.col(f"i.{k}") for k in (keys + (["_slot"] if slotted else []))]
-    joined = left.alias("p").join(right.alias("i"), [*on, inside], "left")
-    return joined.select(*[F.col(f"p.{c}") for c in points.columns],
-                         *[F.col(f"i.{c}") for c in payload])
+        last = slot(f"({end} - {interval(MICROSECOND)})", width)
+        right = right.selectExpr(
+            "*", f"explode(sequence({slot(start, width)}, {last}, {as_micros(width)}L)) as _slot")
+        left = left.selectExpr("*", f"{slot(ts, width)} as _slot")
+    tests = [f"p.{k} = i.{k}" for k in (keys + (["_slot"] if slotted else []))]
+    tests += [f"p.{ts} >= i.{start}", f"p.{ts} < i.{end}"]
+    joined = left.alias("p").join(right.alias("i"), F.expr(" and ".join(tests)), "left")
+    return joined.selectExpr(*[f"p.{c}" for c in points.columns], *[f"i.{c}" for c in payload])
 
 
 def without(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -95,8 +87,8 @@ def time_spine(*series: DataFrame, keys: list[str], ts: str, distinct: bool = Tr
     return spine.distinct() if distinct else spine
 
 
-def has_code(rows: DataFrame, coded: DataFrame, key: str, code: str, codes: list[str],
+def has_code(rows: DataFrame, coded: DataFrame, key: str, code: str, codes: list[object],
              out: str) -> DataFrame:
     """Flag rows whose key has any of the codes."""
-    hits = coded.where(F.col(code).isin(codes)).select(key).distinct().withColumn(out, F.lit(True))
-    return rows.join(hits, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    hits = coded.where(one_of(code, codes)).select(key).distinct().selectExpr(key, f"true as {out}")
+    return rows.join(hits, key, "left").withColumn(out, F.expr(f"coalesce({out}, false)"))

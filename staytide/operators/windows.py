@@ -5,24 +5,17 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import timedelta
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_micros, micros, slot_start
 from .sizing import needs_split
 
-_MERGE = {
-    "min": (F.min, F.least),
-    "max": (F.max, F.greatest),
-    "sum": (F.sum, None),
-}
-
 
 @dataclass(frozen=True)
 class Trailing:
-    """``fn`` of ``value`` over the rows of the last ``span`` of the same key.
+    """``fn`` (min, max or sum) of ``value`` over the last ``span`` of the same key.
 
     The window starts at ``t - span`` (included). ``closed="both"`` includes
     ``t`` itself, ``closed="left"`` stops just before it.
@@ -34,17 +27,6 @@ class Trailing:
     closed: str = "both"
 
 
-def _combine(fn: str, parts: list[Column]) -> Column:
-    if len(parts) == 1:
-        return parts[0]
-    pick = _MERGE[fn][1]
-    if pick is not None:
-        return pick(*parts)
-    present = reduce(lambda a, b: a | b, [p.isNotNull() for p in parts])
-    total = reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in parts])
-    return F.when(present, total)
-
-
 def trailing_agg(df: DataFrame, keys: list[str], ts: str, outputs: Mapping[str, Trailing],
                  split: bool | None = None, slot: timedelta = timedelta(hours=1)) -> DataFrame:
     """Add one trailing aggregate per output column; rows are kept as they are.
@@ -61,12 +43,20 @@ def trailing_agg(df: DataFrame, keys: list[str], ts: str, outputs: Mapping[str,
     """
     if needs_split(df, keys, split):
         return _split_trailing(df, keys, ts, outputs, slot)
-    timed = df.withColumn("_t", micros(F.col(ts)))
-    base = Window.partitionBy(*keys).orderBy("_t")
-    return timed.select(*df.columns, *[
-        F.when(F.col("_t").isNotNull(), _MERGE[o.fn][0](F.col(o.value)).over(
-            base.rangeBetween(-as_micros(o.span), -1 if o.closed == "left" else 0))).alias(name)
-        for name, o in outputs.items()])
+    by = ", ".join(keys)
+    windows = [
+        f"if(_t is null, null, {o.fn}({o.value}) over (partition by {by} order by _t range between "
+        f"{as_micros(o.span)}L preceding and {'1L preceding' if o.closed == 'left' else 'current row'}))"
+        f" as {name}" for name, o in outputs.items()]
+    return df.selectExpr("*", f"{micros(ts)} as _t").selectExpr(*df.columns, *windows)
+
+
+def _merged(fn: str, parts: list[str]) -> str:
+    """One aggregate from aggregates of disjoint parts, NULL when all are."""
+    if fn in ("min", "max"):
+        return f"{'least' if fn == 'min' else 'greatest'}({', '.join(parts)})"
+    total = " + ".join(f"coalesce({p}, 0)" for p in parts)
+    return f"if(coalesce({', '.join(parts)}) is null, null, {total})"
 
 
 def _split_trailing(df: DataFrame, keys: list[str], ts: str, outputs: Mapping[str, Trailing],
@@ -75,66 +65,58 @@ def _split_trailing(df: DataFrame, keys: list[str], ts: str, outputs: Mapping[st
     spans = sorted({as_micros(o.span) for o in outputs.values()})
     if any(span % width or span < width for span in spans):
         raise ValueError("every span must be a multiple of the slot width")
-    value_of = {v: f"_v{i}" for i, v in enumerate(sorted({o.value for o in outputs.values()}))}
+    alias = {v: f"_v{i}" for i, v in enumerate(sorted({o.value for o in outputs.values()}))}
+    by = ", ".join(keys)
 
-    timed = (df.where(F.col(ts).isNotNull())
-             .withColumn("_t", micros(F.col(ts)))
-             .withColumn("_slot", slot_start(F.col("_t"), width)))
+    timed = (df.where(f"{ts} is not null").selectExpr("*", f"{micros(ts)} as _t")
+             .selectExpr("*", f"{slot_start('_t', width)} as _slot"))
     # Each row in place, plus one copy per span that lands where it leaves a
     # window; only the copy in place carries the row itself.
-    moves = F.explode(F.array(*[F.lit(m).cast("long") for m in [0, *spans]]))
-    mixed = timed.select(
-        *keys, "_slot", "_t", F.struct(*df.columns).alias("_row"),
-        *[F.col(v).alias(alias) for v, alias in value_of.items()], moves.alias("_moved"))
-    mixed = mixed.select(
-        *keys, (F.col("_slot") + F.col("_moved")).alias("_slot"),
-        (F.col("_t") + F.col("_moved")).alias("_t"), "_moved", *value_of.values(),
-        F.when(F.col("_moved") == 0, F.col("_row")).alias("_row"))
-
-    base = Window.partitionBy(*keys, "_slot").orderBy("_t")
-    parts = []
+    moves = ", ".join(f"{m}L" for m in [0, *spans])
+    mixed = timed.selectExpr(
+        *keys, "_slot", "_t", f"struct({', '.join(df.columns)}) as _row",
+        *[f"{v} as {a}" for v, a in alias.items()], f"explode(array({moves})) as _moved")
+    mixed = mixed.selectExpr(*keys, "_slot + _moved as _slot", "_t + _moved as _t", "_moved",
+                             *alias.values(), "if(_moved = 0, _row, null) as _row")
+    edges = []
     for name, o in outputs.items():
-        agg, alias, span = _MERGE[o.fn][0], F.col(value_of[o.value]), as_micros(o.span)
-        last = -1 if o.closed == "left" else 0
-        parts.append(agg(F.when(F.col("_moved") == 0, alias))
-                     .over(base.rangeBetween(Window.unboundedPreceding, last)).alias(f"_a_{name}"))
-        parts.append(agg(F.when(F.col("_moved") == span, alias))
-                     .over(base.rangeBetween(0, Window.unboundedFollowing)).alias(f"_b_{name}"))
-    edges = (mixed.select(*keys, "_slot", "_moved", "_row", *parts)
-             .where(F.col("_moved") == 0).drop("_moved"))
+        over = f"over (partition by {by}, _slot order by _t range between"
+        value, last = alias[o.value], "1L preceding" if o.closed == "left" else "current row"
+        edges.append(f"{o.fn}(if(_moved = 0, {value}, null)) {over} unbounded preceding and {last})"
+                     f" as _a_{name}")
+        edges.append(f"{o.fn}(if(_moved = {as_micros(o.span)}L, {value}, null)) {over} current row"
+                     f" and unbounded following) as _b_{name}")
+    placed = mixed.selectExpr(*keys, "_slot", "_moved", "_row", *edges).where("_moved = 0")
 
     # One row per key and slot: its number is bounded by elapsed time.
+    wide = {n: o for n, o in outputs.items() if as_micros(o.span) > width}
     whole = timed.groupBy(*keys, "_slot").agg(
-        *[_MERGE[o.fn][0](o.value).alias(f"_w_{name}") for name, o in outputs.items()])
-    across = Window.partitionBy(*keys).orderBy("_slot")
-    middle = whole.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slot").alias("_k_slot"),
-        *[_MERGE[o.fn][0](f"_w_{name}").over(
-            across.rangeBetween(width - as_micros(o.span), -1)).alias(f"_m_{name}")
-          for name, o in outputs.items() if as_micros(o.span) > width])
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_slot") == F.col("_k_slot")]
-    joined = edges.join(middle, reduce(lambda a, b: a & b, on), "left")
-    result = joined.select(
+        *[F.expr(f"{o.fn}({o.value}) as _w_{n}") for n, o in outputs.items()])
+    between = whole.selectExpr(
+        *[f"{k} as _k_{k}" for k in keys], "_slot as _k_slot",
+        *[f"{o.fn}(_w_{n}) over (partition by {by} order by _slot range between "
+          f"{as_micros(o.span) - width}L preceding and 1L preceding) as _m_{n}" for n, o in wide.items()])
+    on = " and ".join([f"{k} <=> _k_{k}" for k in keys] + ["_slot = _k_slot"])
+    result = placed.join(between, F.expr(on), "left").selectExpr(
         "_row.*",
-        *[_combine(o.fn, [F.col(f"_a_{name}"), F.col(f"_b_{name}")]
-                   + ([F.col(f"_m_{name}")] if as_micros(o.span) > width else [])).alias(name)
-          for name, o in outputs.items()])
-    undated = df.where(F.col(ts).isNull())
-    return result.unionByName(undated.select(
-        "*", *[F.lit(None).cast(result.schema[name].dataType).alias(name) for name in outputs]))
+        *[_merged(o.fn, [f"_a_{n}", f"_b_{n}"] + ([f"_m_{n}"] if n in wide else [])) + f" as {n}"
+          for n, o in outputs.items()])
+    undated = df.where(f"{ts} is null").selectExpr("*", *[
+        f"cast(null as {result.schema[n].dataType.simpleString()}) as {n}" for n in outputs])
+    return result.unionByName(undated)
 
 
-def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row per key in ``order``.
 
     The rank filter is applied before the shuffle as well (partial group
     limit), so a hot key sends one row per input task, not all its rows.
     """
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where(F.col("_rn") == 1).drop("_rn")
+    rank = f"row_number() over (partition by {', '.join(keys)} order by {', '.join(order)}) as _rn"
+    return df.selectExpr("*", rank).where("_rn = 1").drop("_rn")
 
 
 def worst_row(df: DataFrame, keys: list[str], worst: list[str], ties: list[str]) -> DataFrame:
     """Row with the largest ``worst`` values (NULL largest), then earliest ``ties``."""
-    order = [F.col(c).desc_nulls_first() for c in worst] + [F.col(c).asc_nulls_last() for c in ties]
-    return first_per(df, keys, order)
+    return first_per(df, keys, [f"{c} desc nulls first" for c in worst]
+                     + [f"{c} asc nulls last" for c in ties])

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..functions.columns import hours_between, ladder, prefix_flag
+from ..functions.columns import hours_between, ladder, one_of, prefix_flag
 from ..operators.aggregates import rollup_flags
 from ..operators.joins import has_code
 from ..operators.windows import first_per
@@ -21,20 +21,19 @@ def admission_info(admissions: DataFrame, patients: DataFrame, icustays: DataFra
         "subject_id")
     stay_columns = ["subject_id", "hadm_id", "icustay_id", "intime", "outtime"]
     stays = icustays.select(*stay_columns, *[c for c in ["los"] if c in icustays.columns])
-    returns = (stays.where(F.col("hadm_id").isNotNull()).groupBy("hadm_id")
-               .agg(F.count("icustay_id").alias("count_times_go_icu")))
-    years = F.year("admittime") - F.year("dob")
-    hours = lambda end, begin: hours_between(F.col(end), F.col(begin))
-    return (stays.join(adm, "hadm_id", "left").join(returns, "hadm_id", "left")
-            .withColumn("age", F.when((years > 89) | (years < 0), 90).otherwise(years))
-            .withColumn("staytime", hours("dischtime", "admittime"))
-            .withColumn("time_go_icu", hours("intime", "admittime"))
-            .withColumn("time_in_icu", hours("outtime", "intime"))
-            .withColumn("time_after_go_icu", hours("dischtime", "intime")))
+    returns = stays.where("hadm_id is not null").groupBy("hadm_id").agg(
+        F.count("icustay_id").alias("count_times_go_icu"))
+    years = "year(admittime) - year(dob)"
+    return stays.join(adm, "hadm_id", "left").join(returns, "hadm_id", "left").selectExpr(
+        "*", f"if({years} > 89 or {years} < 0, 90, {years}) as age",
+        f"{hours_between('dischtime', 'admittime')} as staytime",
+        f"{hours_between('intime', 'admittime')} as time_go_icu",
+        f"{hours_between('outtime', 'intime')} as time_in_icu",
+        f"{hours_between('dischtime', 'intime')} as time_after_go_icu")
 
 
 def first_stay_row(info: DataFrame) -> DataFrame:
-    return first_per(info, ["icustay_id"], [F.col(c).asc_nulls_last() for c in
+    return first_per(info, ["icustay_id"], [f"{c} asc nulls last" for c in
                                             ("subject_id", "hadm_id", "icustay_id")])
 
 
@@ -42,10 +41,9 @@ def first_stay_row(info: DataFrame) -> DataFrame:
 
 def icd_flags(diagnoses: DataFrame) -> DataFrame:
     """17 comorbidity flags per secondary diagnosis."""
-    secondary = diagnoses.where(F.col("seq_num") != 1)
-    return secondary.select("hadm_id", "seq_num", "icd9_code", *[
-        prefix_flag(F.col("icd9_code"), *lists).alias(flag)
-        for flag, lists in C.COMORBIDITY_CODES.items()])
+    flags = [f"{prefix_flag('icd9_code', *lists)} as {flag}"
+             for flag, lists in C.COMORBIDITY_CODES.items()]
+    return diagnoses.where("seq_num <> 1").selectExpr("hadm_id", "seq_num", "icd9_code", *flags)
 
 
 def comorbidity_flags(diagnoses: DataFrame) -> DataFrame:
@@ -56,12 +54,10 @@ def comorbidities(admissions: DataFrame, diagnoses: DataFrame) -> DataFrame:
     """13 conditions per admission. Without secondary diagnoses the two derived
     conditions are 0 and the other 11 NULL."""
     flags = admissions.select("hadm_id").join(comorbidity_flags(diagnoses), "hadm_id", "left")
-    hypertension = F.when((F.col("htn") == 1) | (F.col("htncx") == 1), 1).otherwise(0)
-    plain_diabetes = ladder([(F.col("dmcx") == 1, 0), (F.col("dm") == 1, 1)], 0)
-    return flags.select("hadm_id",
-                        *[F.col(flag).alias(name) for name, flag in C.COMORBIDITY_OUTPUTS.items()],
-                        hypertension.alias("hypertension"),
-                        plain_diabetes.alias("diabetes_uncomplicated"))
+    return flags.selectExpr(
+        "hadm_id", *[f"{flag} as {name}" for name, flag in C.COMORBIDITY_OUTPUTS.items()],
+        "if(htn = 1 or htncx = 1, 1, 0) as hypertension",
+        f"{ladder([('dmcx = 1', '0'), ('dm = 1', '1')], '0')} as diabetes_uncomplicated")
 
 
 def has_prior_aki(rows: DataFrame, diagnoses: DataFrame) -> DataFrame:
@@ -78,23 +74,18 @@ def has_renal_failure(rows: DataFrame, conditions: DataFrame) -> DataFrame:
 
 # --- rules on the wide row --------------------------------------------------------------
 
-def egfr(creat: Column, gender: Column, ethnicity: Column, age: Column) -> Column:
-    base = (C.EGFR_FACTOR * F.pow(creat, F.lit(C.EGFR_CREAT_POWER))
-            * F.pow(age.cast("double"), F.lit(C.EGFR_AGE_POWER)))
-    by_gender = F.when(gender == "F", base * C.EGFR_FEMALE).otherwise(base)
-    return F.when(ethnicity == C.EGFR_BLACK_GROUP, by_gender * C.EGFR_BLACK).otherwise(by_gender)
-
-
-def cohort_label(flag: Column) -> Column:
-    """Stage flag, replaced by 4 for renal failure, else 3 for an earlier
-    kidney injury, else 2 for chronic kidney disease."""
-    return ladder([(F.col("has_renal_failure"), 4), (F.col("has_prior_aki"), 3),
-                   (F.col("has_ckd"), 2)], flag)
+# Estimated filtration rate from creatinine, age, gender and ethnicity.
+EGFR = (f"{C.EGFR_FACTOR}D * pow(creat, {C.EGFR_CREAT_POWER}D) * pow(age, {C.EGFR_AGE_POWER}D)"
+        f" * if(gender = 'F', {C.EGFR_FEMALE}D, 1D)"
+        f" * if(ethnicity = '{C.EGFR_BLACK_GROUP}', {C.EGFR_BLACK}D, 1D)")
+# Stage flag, replaced by 4 for renal failure, else 3 for an earlier kidney
+# injury, else 2 for chronic kidney disease.
+COHORT_LABEL = ladder([("has_renal_failure", "4"), ("has_prior_aki", "3"), ("has_ckd", "2")], "aki_7day")
 
 
 def cohort_base(info: DataFrame, stage: DataFrame) -> DataFrame:
     """Admission facts of the stays that have a stage."""
-    staged = stage.where(F.col("aki_stage_7day").isNotNull())
+    staged = stage.where("aki_stage_7day is not null")
     return first_stay_row(info).join(staged, "icustay_id")
 
 
@@ -103,15 +94,15 @@ def labelled(base: DataFrame, diagnoses: DataFrame, conditions: DataFrame) -> Da
 
     The three histories are joined as one row per admission.
     """
-    any_of = lambda codes: F.max(F.col("icd9_code").isin(codes))
     history = diagnoses.groupBy("hadm_id").agg(
-        any_of(C.PRIOR_AKI_CODES).alias("has_prior_aki"), any_of(C.CKD_CODES).alias("has_ckd"))
-    rows = (base.join(history, "hadm_id", "left").join(conditions, "hadm_id", "left")
-            .withColumn("has_renal_failure", F.col("renal_failure") == 1))
-    flags = ["has_prior_aki", "has_ckd", "has_renal_failure"]
-    rows = rows.withColumns({f: F.coalesce(f, F.lit(False)) for f in flags})
-    return rows.withColumn("aki", cohort_label(F.col("aki_7day"))).withColumn(
-        "egfr", egfr(F.col("creat"), F.col("gender"), F.col("ethnicity"), F.col("age")))
+        F.expr(f"max({one_of('icd9_code', C.PRIOR_AKI_CODES)}) as prior_aki"),
+        F.expr(f"max({one_of('icd9_code', C.CKD_CODES)}) as ckd"))
+    rows = base.join(history, "hadm_id", "left").join(conditions, "hadm_id", "left")
+    kept = [c for c in rows.columns if c not in ("prior_aki", "ckd")]
+    flagged = rows.selectExpr(*kept, "coalesce(prior_aki, false) as has_prior_aki",
+                              "coalesce(ckd, false) as has_ckd",
+                              "coalesce(renal_failure = 1, false) as has_renal_failure")
+    return flagged.selectExpr("*", f"{COHORT_LABEL} as aki", f"{EGFR} as egfr")
 
 
 def exclusion_tallies(rows: DataFrame) -> DataFrame:
@@ -120,14 +111,11 @@ def exclusion_tallies(rows: DataFrame) -> DataFrame:
     Counted on the flag before it is overwritten, so that "as aki" tallies
     can differ from zero.
     """
-    sick = F.col("aki_7day") == 1
-    tally = lambda test: F.count_if(test)
-    columns = [tally(sick).alias("aki"), tally(~sick).alias("normal")]
-    for out, flag in (("ckd", "has_ckd"), ("prior_aki", "has_prior_aki"),
-                      ("renal_failure", "has_renal_failure")):
-        columns += [tally(F.col(flag) & sick).alias(f"{out}_as_aki"),
-                    tally(F.col(flag) & ~sick).alias(f"{out}_as_normal")]
-    return rows.agg(*columns)
+    columns = ["count_if(aki_7day = 1) as aki", "count_if(aki_7day = 0) as normal"]
+    for out in ("ckd", "prior_aki", "renal_failure"):
+        columns += [f"count_if(has_{out} and aki_7day = 1) as {out}_as_aki",
+                    f"count_if(has_{out} and aki_7day = 0) as {out}_as_normal"]
+    return rows.agg(*map(F.expr, columns))
 
 
 def labelled_cohort(t: StayTables, variant: str = "urine") -> DataFrame:

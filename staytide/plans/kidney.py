@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..functions.columns import hours_between, in_window, ladder, round_half_up
+from ..functions.columns import hours_between, in_window, interval, ladder, one_of, round_half_up
 from ..operators.joins import align_series, attach_window, interval_join, time_spine, without
 from ..operators.sizing import MAX_GROUP_ROWS, MAX_KEY_PAIRS, hottest_groups, needs_split
 from ..operators.windows import Trailing, trailing_agg, worst_row
@@ -27,8 +27,8 @@ _RATES = [f"uo_rt_{h}" for h in URINE_HORIZONS]
 # --- creatinine ------------------------------------------------------------------
 
 def _creatinine_labs(labevents: DataFrame) -> DataFrame:
-    rows = labevents.where((F.col("itemid") == C.CREATININE_ITEM) & F.col("valuenum").isNotNull())
-    return rows.select("subject_id", "charttime", F.col("valuenum").alias("creat"))
+    rows = labevents.where(f"itemid = {C.CREATININE_ITEM} and valuenum is not null")
+    return rows.selectExpr("subject_id", "charttime", "valuenum as creat")
 
 
 def creatinine_series(icustays: DataFrame, labevents: DataFrame, how: str = "left") -> DataFrame:
@@ -59,15 +59,14 @@ def creatinine_baseline(icustays: DataFrame, labevents: DataFrame, how: str = "l
 
 def stage_creatinine(baseline: DataFrame) -> DataFrame:
     """Stage ladder against the two lows; a missing low never raises a stage."""
-    cr, low2, low7 = F.col("creat"), F.col("creat_low_past_48hr"), F.col("creat_low_past_7day")
     stage = ladder([
-        (cr >= low7 * 3.0, 3),
-        ((cr >= 4) & ((low2 <= 3.7) | (cr >= low7 * 1.5)), 3),
-        (cr >= low7 * 2.0, 2),
-        (cr >= low2 + 0.3, 1),
-        (cr >= low7 * 1.5, 1),
-    ], 0)
-    return baseline.withColumn("aki_stage_creat", stage)
+        ("creat >= creat_low_past_7day * 3.0D", "3"),
+        ("creat >= 4 and (creat_low_past_48hr <= 3.7D or creat >= creat_low_past_7day * 1.5D)", "3"),
+        ("creat >= creat_low_past_7day * 2.0D", "2"),
+        ("creat >= creat_low_past_48hr + 0.3D", "1"),
+        ("creat >= creat_low_past_7day * 1.5D", "1"),
+    ], "0")
+    return baseline.selectExpr("*", f"{stage} as aki_stage_creat")
 
 
 def staged_creatinine(icustays: DataFrame, labevents: DataFrame, how: str = "inner",
@@ -79,11 +78,10 @@ def staged_creatinine(icustays: DataFrame, labevents: DataFrame, how: str = "inn
 
 def urine_output(outputevents: DataFrame) -> DataFrame:
     """Urine volume per stay and time; irrigant put in counts negative."""
-    rows = outputevents.where(
-        F.col("itemid").isin(C.URINE_ITEMS) & (F.col("value") < C.URINE_VALUE_BELOW)
-        & F.col("icustay_id").isNotNull())
-    signed = F.when(F.col("itemid") == C.URINE_NEGATED, -F.col("value")).otherwise(F.col("value"))
-    return rows.groupBy("icustay_id", "charttime").agg(F.sum(signed).alias("value"))
+    rows = outputevents.where(f"{one_of('itemid', C.URINE_ITEMS)} and value < {C.URINE_VALUE_BELOW}"
+                              " and icustay_id is not null")
+    return rows.groupBy("icustay_id", "charttime").agg(
+        F.expr(f"sum(if(itemid = {C.URINE_NEGATED}, -value, value)) as value"))
 
 
 def urine_trailing(urine: DataFrame, split: bool | None = None) -> DataFrame:
@@ -94,37 +92,36 @@ def urine_trailing(urine: DataFrame, split: bool | None = None) -> DataFrame:
         outputs[f"urineoutput_{name}"] = Trailing("sum", "value", span)
         outputs[f"_since_{name}"] = Trailing("min", "charttime", span)
     windowed = trailing_agg(urine, ["icustay_id"], "charttime", outputs, split)
-    elapsed = [round_half_up(hours_between(F.col("charttime"), F.col(f"_since_{name}")))
-               .alias(f"uo_tm_{name}") for name in URINE_HORIZONS]
-    return windowed.select("icustay_id", "charttime",
-                           *[f"urineoutput_{name}" for name in URINE_HORIZONS], *elapsed)
+    elapsed = [f"{round_half_up(hours_between('charttime', f'_since_{n}'))} as uo_tm_{n}"
+               for n in URINE_HORIZONS]
+    return windowed.selectExpr("icustay_id", "charttime",
+                               *[f"urineoutput_{n}" for n in URINE_HORIZONS], *elapsed)
 
 
 def urine_rates(trailing: DataFrame, weights: DataFrame, slotted: bool | None = None) -> DataFrame:
     """Volume per kg and hour, with the weight valid at the time."""
     weighed = interval_join(trailing, weights, ["icustay_id"], "charttime", "starttime", "endtime",
                             slotted)
-    rates = [round_half_up(F.try_divide(F.try_divide(F.col(f"urineoutput_{n}"), F.col("weight")),
-                                        F.col(f"uo_tm_{n}") + 1)).alias(f"uo_rt_{n}")
+    rates = [f"try_divide(try_divide(urineoutput_{n}, weight), uo_tm_{n} + 1) as uo_rt_{n}"
              for n in URINE_HORIZONS]
-    return weighed.select("icustay_id", "charttime", "weight",
-                          *[f"urineoutput_{n}" for n in URINE_HORIZONS], *rates,
-                          *[f"uo_tm_{n}" for n in URINE_HORIZONS])
+    volumes, hours = ([f"{c}_{n}" for n in URINE_HORIZONS] for c in ("urineoutput", "uo_tm"))
+    return weighed.selectExpr("icustay_id", "charttime", "weight", *volumes, *rates, *hours).selectExpr(
+        "icustay_id", "charttime", "weight", *volumes,
+        *[f"{round_half_up(c)} as {c}" for c in _RATES], *hours)
 
 
 def stage_urine(rates: DataFrame, icustays: DataFrame) -> DataFrame:
     """Stage ladder on the rates. The first six hours of a stay are stage 0."""
-    rated = rates.join(icustays.select(*_STAY), "icustay_id")
-    rate, hours = (lambda h: F.col(f"uo_rt_{h}")), (lambda h: F.col(f"uo_tm_{h}"))
     stage = ladder([
-        (rate("6hr").isNull(), F.lit(None).cast("int")),
-        (F.col("charttime") <= F.col("intime") + F.lit(HOURS_6), 0),
-        ((hours("24hr") >= 11) & (rate("24hr") < 0.3), 3),
-        ((hours("12hr") >= 5) & (rate("12hr") == 0), 3),
-        ((hours("12hr") >= 5) & (rate("12hr") < 0.5), 2),
-        ((hours("6hr") >= 2) & (rate("6hr") < 0.5), 1),
-    ], 0)
-    return rated.select(*_STAY, "charttime", "weight", *_RATES, stage.alias("aki_stage_uo"))
+        ("uo_rt_6hr is null", "null"),
+        (f"charttime <= intime + {interval(HOURS_6)}", "0"),
+        ("uo_tm_24hr >= 11 and uo_rt_24hr < 0.3D", "3"),
+        ("uo_tm_12hr >= 5 and uo_rt_12hr = 0", "3"),
+        ("uo_tm_12hr >= 5 and uo_rt_12hr < 0.5D", "2"),
+        ("uo_tm_6hr >= 2 and uo_rt_6hr < 0.5D", "1"),
+    ], "0")
+    rated = rates.join(icustays.select(*_STAY), "icustay_id")
+    return rated.selectExpr(*_STAY, "charttime", "weight", *_RATES, f"{stage} as aki_stage_uo")
 
 
 def staged_urine(outputevents: DataFrame, weights: DataFrame, icustays: DataFrame,
@@ -193,38 +190,34 @@ def stages(creat: DataFrame, urine: DataFrame, icustays: DataFrame) -> DataFrame
     A stay with an undated row on either side, or without creatinine, has
     one row with NULL time.
     """
-    dated = lambda df: df.where(F.col("charttime").isNotNull())
-    cr = dated(creat).select("icustay_id", "charttime", "creat", "aki_stage_creat")
-    uo = dated(urine).select("icustay_id", "charttime", *_RATES, "aki_stage_uo")
+    cr = creat.where("charttime is not null").select("icustay_id", "charttime", "creat", "aki_stage_creat")
+    uo = urine.where("charttime is not null").select("icustay_id", "charttime", *_RATES, "aki_stage_uo")
     both = align_series(cr, uo, ["icustay_id"], "charttime")
-    ids = icustays.select("icustay_id")
-    undated = without(ids, cr, "icustay_id")
-    undated = undated.unionByName(
-        urine.where(F.col("charttime").isNull()).select("icustay_id")).distinct()
+    undated = without(icustays.select("icustay_id"), cr, "icustay_id").unionByName(
+        urine.where("charttime is null").select("icustay_id")).distinct()
     rows = both.unionByName(undated, allowMissingColumns=True)
-    return rows.join(icustays.select("icustay_id", "dbsource"), "icustay_id").select(
+    return rows.join(icustays.select("icustay_id", "dbsource"), "icustay_id").selectExpr(
         "icustay_id", "dbsource", "charttime", "creat", "aki_stage_creat", *_RATES, "aki_stage_uo",
-        F.greatest("aki_stage_creat", "aki_stage_uo").alias("aki_stage"))
+        "greatest(aki_stage_creat, aki_stage_uo) as aki_stage")
 
 
 def stages_creatinine(creat: DataFrame, icustays: DataFrame) -> DataFrame:
     """Creatinine stage at every time. The spine of times is not
     de-duplicated: n values at one instant give n * n rows."""
-    dated = creat.where(F.col("charttime").isNotNull()).select(*_CREAT)
+    dated = creat.where("charttime is not null").select(*_CREAT)
     spine = time_spine(dated, keys=["icustay_id"], ts="charttime", distinct=False)
     repeats = spine.groupBy("icustay_id", "charttime").count()
-    rows = (dated.join(repeats, ["icustay_id", "charttime"])
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
-            .select(*_CREAT))
+    rows = dated.join(repeats, ["icustay_id", "charttime"]).selectExpr(
+        *_CREAT, "explode(sequence(1L, count)) as _copy").drop("_copy")
     missing = without(icustays.select("icustay_id", "dbsource"), dated, "icustay_id")
     rows = rows.unionByName(missing, allowMissingColumns=True)
-    return rows.withColumn("aki_stage", F.col("aki_stage_creat"))
+    return rows.selectExpr("*", "aki_stage_creat as aki_stage")
 
 
 # --- worst stage per horizon ----------------------------------------------------------
 
 def _within(series: DataFrame, horizon: timedelta) -> DataFrame:
-    return series.where(in_window(F.col("charttime"), F.col("intime"), HOURS_6, horizon, "right"))
+    return series.where(in_window("charttime", "intime", HOURS_6, horizon, "right"))
 
 
 def worst_creatinine(creat: DataFrame, horizon: timedelta) -> DataFrame:
@@ -233,7 +226,7 @@ def worst_creatinine(creat: DataFrame, horizon: timedelta) -> DataFrame:
 
 
 def worst_urine(urine: DataFrame, horizon: timedelta) -> DataFrame:
-    rows = _within(urine, horizon).where(F.col("aki_stage_uo").isNotNull())
+    rows = _within(urine, horizon).where("aki_stage_uo is not null")
     return worst_row(rows, ["icustay_id"],
                      ["aki_stage_uo", "uo_rt_24hr", "uo_rt_12hr", "uo_rt_6hr"], ["charttime"])
 
@@ -246,16 +239,14 @@ def worst_stage(icustays: DataFrame, creat: DataFrame, urine: DataFrame | None,
     would not change either's worst row. Stays without one keep NULLs and
     flag 0.
     """
-    result = icustays.select("icustay_id", "dbsource").join(
-        worst_creatinine(creat, horizon).select(
-            "icustay_id", F.col("charttime").alias("charttime_creat"), "creat", "aki_stage_creat"),
-        "icustay_id", "left")
-    stage: Column = F.col("aki_stage_creat")
+    cr = worst_creatinine(creat, horizon).selectExpr(
+        "icustay_id", "charttime as charttime_creat", "creat", "aki_stage_creat")
+    result = icustays.select("icustay_id", "dbsource").join(cr, "icustay_id", "left")
+    stage = "aki_stage_creat"
     if urine is not None:
-        result = result.join(
-            worst_urine(urine, horizon).select(
-                "icustay_id", F.col("charttime").alias("charttime_uo"), *_RATES, "aki_stage_uo"),
-            "icustay_id", "left")
-        stage = F.greatest("aki_stage_creat", "aki_stage_uo")
-    return result.withColumn(f"aki_stage_{suffix}", stage).withColumn(
-        f"aki_{suffix}", F.when(stage > 0, 1).otherwise(0))
+        uo = worst_urine(urine, horizon).selectExpr(
+            "icustay_id", "charttime as charttime_uo", *_RATES, "aki_stage_uo")
+        result = result.join(uo, "icustay_id", "left")
+        stage = "greatest(aki_stage_creat, aki_stage_uo)"
+    return result.selectExpr("*", f"{stage} as aki_stage_{suffix}",
+                             f"if({stage} > 0, 1, 0) as aki_{suffix}")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..functions.columns import code_label, guarded_label, not_flagged, null_outliers, to_celsius
+from ..functions.columns import (code_label, guarded_label, not_flagged, null_outliers, one_of,
+                                 to_celsius)
 from ..operators.aggregates import pivot_agg
 from ..operators.joins import attach_window
 
@@ -24,7 +24,7 @@ def attach_labs(icustays: DataFrame, labevents: DataFrame, how: str = "left") ->
     """Listed lab items of the stay's admission with a positive value, from
     six hours before to seven days after the start of the stay."""
     items = list(C.lab_item_labels())
-    labs = labevents.where(F.col("itemid").isin(items) & (F.col("valuenum") > 0)).select(
+    labs = labevents.where(f"{one_of('itemid', items)} and valuenum > 0").select(
         "subject_id", "hadm_id", "itemid", "charttime", "valuenum")
     return attach_window(_stays(icustays), labs, ["subject_id", "hadm_id"], "charttime", "intime",
                          BEFORE, AFTER, how=how).drop("intime")
@@ -33,17 +33,16 @@ def attach_labs(icustays: DataFrame, labevents: DataFrame, how: str = "left") ->
 def lab_pivot(icustays: DataFrame, labevents: DataFrame) -> DataFrame:
     """Minimum and maximum of 19 laboratory values. Stays without labs come
     from the final left join, so the event join itself can stay inner."""
-    code, value = F.col("itemid"), F.col("valuenum")
     wide = pivot_agg(attach_labs(icustays, labevents, "inner"), ["icustay_id"],
-                     code_label(code, C.lab_item_labels()),
-                     null_outliers(code, value, C.lab_item_limits()),
-                     {lab: lab for lab in C.LABS}, ["min", "max"], "lab_")
+                     code_label("itemid", C.lab_item_labels()),
+                     null_outliers("itemid", "valuenum", C.lab_item_limits()),
+                     C.LABS, ["min", "max"], "lab_")
     return icustays.select(*STAY_KEYS).join(wide, "icustay_id", "left")
 
 
 def attach_vitals(icustays: DataFrame, chartevents: DataFrame) -> DataFrame:
     """Listed vital sign items of the stay that are not marked as errors."""
-    chart = chartevents.where(F.col("itemid").isin(C.vital_items()) & not_flagged(F.col("error")))
+    chart = chartevents.where(f"{one_of('itemid', C.vital_items())} and {not_flagged('error')}")
     keys = ["subject_id", "hadm_id", "icustay_id"]
     return attach_window(_stays(icustays),
                          chart.select(*keys, "itemid", "charttime", "valuenum"), keys,
@@ -53,8 +52,7 @@ def attach_vitals(icustays: DataFrame, chartevents: DataFrame) -> DataFrame:
 def vitals_pivot(icustays: DataFrame, chartevents: DataFrame) -> DataFrame:
     """Minimum, maximum and mean of 8 vital signs; only stays with a listed
     item, which stay with NULLs when no value is in range."""
-    code, value = F.col("itemid"), F.col("valuenum")
     return pivot_agg(attach_vitals(icustays, chartevents), STAY_KEYS,
-                     guarded_label(code, value, C.VITALS),
-                     to_celsius(code, value, C.FAHRENHEIT_ITEMS),
-                     {vital: vital for vital in C.VITALS}, ["min", "max", "mean"], "vital_")
+                     guarded_label("itemid", "valuenum", C.VITALS),
+                     to_celsius("itemid", "valuenum", C.FAHRENHEIT_ITEMS),
+                     C.VITALS, ["min", "max", "mean"], "vital_")

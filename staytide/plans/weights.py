@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..functions.columns import ladder, not_flagged
+from ..functions.columns import interval, ladder, not_flagged, one_of
 from ..functions.text import extract_fields, time_on_day
 from ..operators.intervals import backfill_first, fallback_intervals, mark_first, to_intervals
 from ..operators.sizing import MAX_GROUP_ROWS, hottest_groups
 
-LEAD_IN = timedelta(hours=2)
+LEAD_IN = interval(timedelta(hours=2))
 _DIRECT = C.WEIGHT_ADMIT_ITEMS + C.WEIGHT_DAILY_ITEMS
 _NEONATE = [C.NEONATE_KG, C.NEONATE_LB, C.NEONATE_OZ]
 _BIRTH = [C.BIRTH_TEXT_ITEM, C.BIRTH_NUM_ITEM]
@@ -22,38 +22,32 @@ _OUT = ["icustay_id", "starttime", "endtime", "weight"]
 
 
 def _charted(chart: DataFrame, items: list[int]) -> DataFrame:
-    return chart.where(F.col("itemid").isin(items) & F.col("icustay_id").isNotNull()
-                       & not_flagged(F.col("error")))
+    return chart.where(f"{one_of('itemid', items)} and icustay_id is not null and {not_flagged('error')}")
 
 
-def _neonate_columns() -> list[Column]:
-    named = (("wt_kg", C.NEONATE_KG), ("wt_lb", C.NEONATE_LB), ("wt_oz", C.NEONATE_OZ))
-    usable = F.when(F.col("valuenum") > 0, F.col("valuenum"))
-    return [F.max(F.when(F.col("itemid") == item, usable)).alias(name) for name, item in named]
+def _maxima() -> list:
+    """Largest usable kg, lb and oz value of a group."""
+    named = {"wt_kg": C.NEONATE_KG, "wt_lb": C.NEONATE_LB, "wt_oz": C.NEONATE_OZ}
+    return [F.expr(f"max(if(itemid = {item} and valuenum > 0, valuenum, null)) as {name}")
+            for name, item in named.items()]
 
 
-def _neonate_kg() -> Column:
-    imperial = F.col("wt_lb") * C.KG_PER_LB + F.col("wt_oz") * C.KG_PER_OZ
-    return F.coalesce(F.col("wt_kg"), imperial)
-
-
-def _birth_kg() -> Column:
-    """Text weights above 100 are grams, below 10 kilograms, others unusable."""
-    grams_or_kg = F.when(~F.col("value").rlike("[^0-9.]"), F.col("value").try_cast("double"))
-    from_text = ladder([(grams_or_kg > 100, grams_or_kg / 1000), (grams_or_kg < 10, grams_or_kg)],
-                       F.lit(None).cast("double"))
-    return (F.when(F.col("itemid") == C.BIRTH_TEXT_ITEM, from_text)
-            .when((F.col("itemid") == C.BIRTH_NUM_ITEM) & (F.col("valuenum") < 10),
-                  F.col("valuenum")))
+_NEONATE_KG = f"coalesce(wt_kg, wt_lb * {C.KG_PER_LB}D + wt_oz * {C.KG_PER_OZ}D)"
+# Text weights above 100 are grams, below 10 kilograms, others unusable.
+_TEXT_KG = "if(value rlike '[^0-9.]', null, try_cast(value as double))"
+_BIRTH_KG = ladder([
+    (f"itemid = {C.BIRTH_TEXT_ITEM} and {_TEXT_KG} > 100", f"{_TEXT_KG} / 1000"),
+    (f"itemid = {C.BIRTH_TEXT_ITEM} and {_TEXT_KG} < 10", _TEXT_KG),
+    (f"itemid = {C.BIRTH_NUM_ITEM} and valuenum < 10", "valuenum")])
 
 
 def neonate_weight(chart: DataFrame) -> DataFrame:
-    rows = _charted(chart, _NEONATE).where(F.col("valuenum") > 0)
-    return rows.groupBy(*_KEYS).agg(*_neonate_columns()).withColumn("weight", _neonate_kg())
+    rows = _charted(chart, _NEONATE).where("valuenum > 0")
+    return rows.groupBy(*_KEYS).agg(*_maxima()).selectExpr("*", f"{_NEONATE_KG} as weight")
 
 
 def birth_weight(chart: DataFrame) -> DataFrame:
-    return _charted(chart, _BIRTH).groupBy(*_KEYS).agg(F.max(_birth_kg()).alias("wt_kg"))
+    return _charted(chart, _BIRTH).groupBy(*_KEYS).agg(F.expr(f"max({_BIRTH_KG}) as wt_kg"))
 
 
 def weight_points(chart: DataFrame) -> DataFrame:
@@ -63,67 +57,59 @@ def weight_points(chart: DataFrame) -> DataFrame:
     the two kinds that need a maximum, and the directly charted weights, whose
     value is part of the group key, are counted and repeated.
     """
-    code, num = F.col("itemid"), F.col("valuenum")
-    kind = ladder([(code.isin(_DIRECT), "direct"), (code.isin(_NEONATE), "neonate")], "birth")
-    weight_type = ladder([(code.isin(C.WEIGHT_ADMIT_ITEMS + _BIRTH), "admit")], "daily")
+    kind = ladder([(one_of("itemid", _DIRECT), "'direct'"), (one_of("itemid", _NEONATE), "'neonate'")],
+                  "'birth'")
+    admit = one_of("itemid", C.WEIGHT_ADMIT_ITEMS + _BIRTH)
     rows = (_charted(chart, _DIRECT + _NEONATE + _BIRTH)
-            .where((num > 0) | code.isin(_BIRTH))
-            .select(*_KEYS, "itemid", "value", "valuenum", kind.alias("kind"),
-                    weight_type.alias("weight_type"),
-                    F.when(kind == "direct", num).alias("direct")))
+            .where(f"valuenum > 0 or {one_of('itemid', _BIRTH)}")
+            .selectExpr(*_KEYS, "itemid", "value", "valuenum", f"{kind} as kind",
+                        f"if({admit}, 'admit', 'daily') as weight_type",
+                        f"if({one_of('itemid', _DIRECT)}, valuenum, null) as direct"))
     grouped = rows.groupBy(*_KEYS, "kind", "weight_type", "direct").agg(
-        *_neonate_columns(), F.max(_birth_kg()).alias("birth"), F.count(F.lit(1)).alias("n"))
-    weight = ladder([(F.col("kind") == "direct", F.col("direct")),
-                     (F.col("kind") == "neonate", _neonate_kg())], F.col("birth"))
-    copies = F.when(F.col("kind") == "direct", F.col("n")).otherwise(F.lit(1))
-    return grouped.select(*_KEYS, "weight_type", weight.alias("weight"),
-                          F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("_copy")
-                          ).drop("_copy")
+        *_maxima(), F.expr(f"max({_BIRTH_KG}) as birth"), F.expr("count(1) as n"))
+    weight = ladder([("kind = 'direct'", "direct"), ("kind = 'neonate'", _NEONATE_KG)], "birth")
+    return grouped.selectExpr(
+        *_KEYS, "weight_type", f"{weight} as weight",
+        "explode(sequence(1L, if(kind = 'direct', n, 1L))) as _copy").drop("_copy")
 
 
 def weight_starts(points: DataFrame, icustays: DataFrame, split: bool = False) -> DataFrame:
     """Start of each weight; a stay's first admission weight counts from two
     hours before the stay."""
-    known = points.where(F.col("weight").isNotNull())
     stays = icustays.select("icustay_id", "dbsource", "intime", "outtime")
-    ranked = mark_first(known.join(stays, "icustay_id"), ["icustay_id", "weight_type"],
-                        "charttime", ["weight"], "_first", split)
-    lead_in = (F.col("weight_type") == "admit") & F.col("_first")
-    start = F.when(lead_in, F.col("intime") - F.lit(LEAD_IN)).otherwise(F.col("charttime"))
-    return ranked.select("icustay_id", "intime", "outtime", "dbsource",
-                         start.alias("starttime"), "weight")
+    ranked = mark_first(points.where("weight is not null").join(stays, "icustay_id"),
+                        ["icustay_id", "weight_type"], "charttime", ["weight"], "_first", split)
+    return ranked.selectExpr(
+        "icustay_id", "intime", "outtime", "dbsource",
+        f"if(weight_type = 'admit' and _first, intime - {LEAD_IN}, charttime) as starttime", "weight")
 
 
 def weight_intervals(starts: DataFrame, split: bool = False) -> DataFrame:
-    return to_intervals(starts, ["icustay_id"], "starttime", F.col("outtime") + F.lit(LEAD_IN),
-                        ["weight"], split)
+    return to_intervals(starts, ["icustay_id"], "starttime", f"outtime + {LEAD_IN}", ["weight"], split)
 
 
 def weight_backfill(intervals: DataFrame, split: bool = False) -> DataFrame:
     """Adds the stay's first weight from two hours before the stay when it
     starts after the stay began."""
     marked = mark_first(intervals, ["icustay_id"], "starttime", ["weight"], "_first", split)
-    filled = backfill_first(marked, F.col("_first"), F.col("intime") < F.col("starttime"),
-                            "starttime", "endtime", F.col("intime") - F.lit(LEAD_IN))
-    return filled.select(*_OUT)
+    return backfill_first(marked, "_first", "intime < starttime", "starttime", "endtime",
+                          f"intime - {LEAD_IN}").select(*_OUT)
 
 
 def echo_to_stay(notes: DataFrame, icustays: DataFrame) -> DataFrame:
     """Echo weights in kg at the stays of the note's admission."""
-    echo = (note_fields(notes).where(F.col("weight").isNotNull())
-            .select("hadm_id", F.col("charttime").alias("starttime"),
-                    (F.col("weight") * C.KG_PER_LB_NOTE).alias("weight")))
+    echo = note_fields(notes).where("weight is not null").selectExpr(
+        "hadm_id", "charttime as starttime", f"weight * {C.KG_PER_LB_NOTE}D as weight")
     stays = icustays.select("icustay_id", "hadm_id", "intime", "outtime")
     return stays.join(echo, "hadm_id").drop("hadm_id")
 
 
 def echo_intervals(echo: DataFrame, split: bool = False) -> DataFrame:
-    spans = to_intervals(echo, ["icustay_id"], "starttime", F.col("outtime") + F.lit(LEAD_IN),
-                         ["weight"], split)
+    spans = to_intervals(echo, ["icustay_id"], "starttime", f"outtime + {LEAD_IN}", ["weight"], split)
     marked = mark_first(spans, ["icustay_id"], "starttime", ["weight"], "_first", split)
-    begin = F.col("intime") - F.lit(LEAD_IN)
-    return backfill_first(marked, F.col("_first"), F.col("starttime") > begin,
-                          "starttime", "endtime", begin).select(*_OUT)
+    begin = f"intime - {LEAD_IN}"
+    return backfill_first(marked, "_first", f"starttime > {begin}", "starttime", "endtime",
+                          begin).select(*_OUT)
 
 
 def charted_intervals(chart: DataFrame, icustays: DataFrame, split: bool = False) -> DataFrame:
@@ -145,14 +131,13 @@ def weight_durations(chart: DataFrame, notes: DataFrame, icustays: DataFrame,
 def weight_sizes(chart: DataFrame, notes: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
     """What bounds the weight intervals of one stay, for ``hottest_groups``."""
     return {"weights": (_charted(chart, _DIRECT + _NEONATE + _BIRTH), ["icustay_id"]),
-            "echo": (notes.where(F.col("category") == "Echo"), ["hadm_id"])}
+            "echo": (notes.where("category = 'Echo'"), ["hadm_id"])}
 
 
 def note_fields(notes: DataFrame) -> DataFrame:
     """Labelled fields of echo notes, with the note's time of day on its date."""
-    echo = notes.where(F.col("category") == "Echo")
+    echo = notes.where("category = 'Echo'")
     fields = extract_fields(
         echo, ["row_id", "subject_id", "hadm_id", "chartdate"], "text",
         {"clock": C.NOTE_TIME, **C.NOTE_TEXT_FIELDS}, C.NOTE_NUMBER_FIELDS)
-    timed = fields.withColumn("charttime", time_on_day(F.col("chartdate"), F.col("clock")))
-    return timed.drop("clock")
+    return fields.selectExpr("*", f"{time_on_day('chartdate', 'clock')} as charttime").drop("clock")

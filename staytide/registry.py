@@ -7,6 +7,7 @@ rounded here, on both sides, so that the last bit does not decide equality.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +16,21 @@ from . import check_sql as S
 from .functions import codes as C
 from .functions.columns import (code_label, guarded_label, in_window, literal_map, not_flagged,
                                 null_outliers, round_half_up, to_celsius)
+from .operators import aggregates as A
+from .operators import metrics as E
+from .operators import neighbours as N
+from .operators import ordering as O
+from .operators import scaling as L
 from .operators.aggregates import count_distinct, stage_summary
 from .operators.joins import interval_join, time_spine, without
 from .plans import cohort as P
+from .plans import features as X
 from .plans import kidney as K
 from .plans import measurements as M
+from .plans import scenarios as Z
 from .plans import weights as W
 from .sources.fixtures import stay_tables
+from .sources.tables import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,7 +55,8 @@ def on_stays(name: str, sql: str | None = None) -> Callable:
 
 
 def rounded(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
-    return df.withColumns({c: round_half_up(F.col(c), digits) for c in columns})
+    return df.selectExpr(*[f"{round_half_up(c, digits)} as {c}" if c in columns else c
+                           for c in df.columns])
 
 
 def rounded_sql(source: str, columns: list[str], digits: int = 4) -> str:
@@ -68,7 +78,7 @@ on_stays("count_episodes", "select count(*) as n from icustays")(
 
 @on_stays("chart_not_flagged", "select * from chartevents where error is distinct from 1")
 def _(t):
-    return t.chartevents.where(not_flagged(F.col("error")))
+    return t.chartevents.where(not_flagged("error"))
 
 
 @on_stays("lab_in_window", """
@@ -77,7 +87,7 @@ select s.icustay_id, x.itemid, x.charttime, x.valuenum from icustays s join labe
 where x.charttime between s.intime - interval 6 hour and s.intime + interval 7 day""")
 def _(t):
     joined = t.icustays.join(t.labevents, ["subject_id", "hadm_id"])
-    return joined.where(in_window(F.col("charttime"), F.col("intime"), M.BEFORE, M.AFTER)).select(
+    return joined.where(in_window("charttime", "intime", M.BEFORE, M.AFTER)).select(
         "icustay_id", "itemid", "charttime", "valuenum")
 
 
@@ -85,26 +95,24 @@ def _(t):
 select subject_id, hadm_id, itemid, charttime, {S._LAB_LABEL} as label, {S._LAB_VALUE} as valuenum
 from labevents""")
 def _(t):
-    code, value = F.col("itemid"), F.col("valuenum")
-    return t.labevents.select(
+    return t.labevents.selectExpr(
         "subject_id", "hadm_id", "itemid", "charttime",
-        code_label(code, C.lab_item_labels()).alias("label"),
-        null_outliers(code, value, C.lab_item_limits()).alias("valuenum"))
+        f"{code_label('itemid', C.lab_item_labels())} as label",
+        f"{null_outliers('itemid', 'valuenum', C.lab_item_limits())} as valuenum")
 
 
 @on_stays("vitals_label", f"""
 select icustay_id, itemid, charttime, valuenum, {S._vital_case()} as vital from chartevents""")
 def _(t):
-    label = guarded_label(F.col("itemid"), F.col("valuenum"), C.VITALS)
-    return t.chartevents.select("icustay_id", "itemid", "charttime", "valuenum", label.alias("vital"))
+    return t.chartevents.selectExpr("icustay_id", "itemid", "charttime", "valuenum",
+                                    f"{guarded_label('itemid', 'valuenum', C.VITALS)} as vital")
 
 
 @on_stays("vitals_to_celsius", f"""
 select icustay_id, itemid, charttime, {S.r(S._CELSIUS, 6)} as value_c from chartevents""")
 def _(t):
-    value = to_celsius(F.col("itemid"), F.col("valuenum"), C.FAHRENHEIT_ITEMS)
-    return t.chartevents.select("icustay_id", "itemid", "charttime",
-                                round_half_up(value, 6).alias("value_c"))
+    value = round_half_up(to_celsius("itemid", "valuenum", C.FAHRENHEIT_ITEMS), 6)
+    return t.chartevents.selectExpr("icustay_id", "itemid", "charttime", f"{value} as value_c")
 
 
 for _name, _column, _groups, _unlisted in (
@@ -114,8 +122,8 @@ for _name, _column, _groups, _unlisted in (
     _table, _key = ("admissions", "hadm_id") if _column == "ethnicity" else ("icustays", "icustay_id")
 
     def _encode(t, table=_table, key=_key, column=_column, groups=_groups, unlisted=_unlisted):
-        code = literal_map(F.col(column), groups, unlisted)
-        return getattr(t, table).select(key, column, code.alias("code"))
+        return getattr(t, table).selectExpr(
+            key, column, f"{literal_map(column, groups, unlisted)} as code")
 
     on_stays(_name, f"select {_key}, {_column}, case {_whens} else {'null' if _unlisted is None else _unlisted} "
                     f"end as code from {_table}")(_encode)
@@ -316,3 +324,177 @@ on_stays("cohort_wide", rounded_sql("wide_urine", ["egfr"], 6))(
     lambda t: rounded(P.cohort_wide(t), ["egfr", *_VITAL_COLUMNS], 6))
 on_stays("cohort_wide_creatinine", rounded_sql("wide_creat", ["egfr"], 6))(
     lambda t: rounded(P.cohort_wide(t, "creatinine"), ["egfr", *_VITAL_COLUMNS], 6))
+
+
+# --- features ----------------------------------------------------------------------
+
+def _wide(t: K.StayTables, variant: str) -> DataFrame:
+    return rounded(P.cohort_wide(t, variant), ["egfr", *_VITAL_COLUMNS], 6)
+
+
+def _features(t: K.StayTables, variant: str, keep: list[str] | None = None) -> DataFrame:
+    return X.feature_matrix(X.clean_cohort(_wide(t, variant)), variant, keep)
+
+
+on_stays("cohort_exclusions", "select * from kept_creat")(
+    lambda t: X.cohort_exclusions(_wide(t, "creatinine")))
+on_stays("features_fill_zero", "select * from filled_creat")(
+    lambda t: X.fill_zero(X.encode_categories(X.cohort_exclusions(_wide(t, "creatinine"))),
+                          ["dbsource"]).select(
+        "icustay_id", *C.LABEL_COLUMNS, *S.RAW_FEATURES["creat"], "dbsource"))
+for _v, _variant in (("creat", "creatinine"), ("urine", "urine")):
+    on_stays(f"feature_matrix_{_v}", f"select * exclude (icustay_id) from features_{_v}")(
+        lambda t, variant=_variant: _features(t, variant))
+on_stays("features_finite", "select icustay_id, egfr, creat, dbsource from features_creat")(
+    lambda t: _features(t, "creatinine", ["icustay_id"]).select("icustay_id", "egfr", "creat", "dbsource"))
+on_stays("clean_cohort", "select * from features_urine")(
+    lambda t: _features(t, "urine", ["icustay_id"]))
+
+
+# --- splits, scaling, evaluation ------------------------------------------------------
+
+def reads(table: str) -> Callable:
+    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+_labels, _events, _embeddings = reads("labels"), reads("events"), reads("embeddings")
+_ORDER = "row_number() over (order by md5('{seed}:' || {key}), {key})"
+
+
+@query("split_exact", f"""
+select doc_id, quality, toxic, pos <= round_even(n * 0.2, 0) as is_test
+from (select *, {_ORDER.format(seed=1234, key='doc_id')} as pos, count(*) over () as n from labels) z""")
+def _(spark, sf_dir):
+    return O.split_exact(_labels(spark, sf_dir), "doc_id", 0.2, 1234)
+
+
+@query("folds", f"""
+select doc_id, cast({_ORDER.format(seed=1234, key='doc_id')} % 5 as int) as fold from labels""")
+def _(spark, sf_dir):
+    return O.assign_folds(_labels(spark, sf_dir).select("doc_id"), "doc_id", 5, 1234)
+
+
+@query("size_ladder", f"""
+select test_fraction, cast(round_even(n * test_fraction, 0) as bigint) as n_test,
+       n - cast(round_even(n * test_fraction, 0) as bigint) as n_train
+from (select count(*) as n from events) z,
+     (select cast(unnest({Z.TEST_SIZES}) as double) as test_fraction) f""")
+def _(spark, sf_dir):
+    return O.size_ladder(_events(spark, sf_dir).select("event_id"), "event_id", Z.TEST_SIZES, 1234)
+
+
+def _transfer_sets(t: K.StayTables, as_counts: bool = True) -> DataFrame:
+    stays = t.icustays.select("icustay_id", F.lit(0).alias("aki"), F.lit(0).alias("aki_stage_7day"),
+                              (F.col("subject_id") % 4).cast("int").alias("ethnicity"))
+    sets = Z.transfer_sets(stays, "ethnicity", 0, {"group 1": 1, "group 3": 3, "not group 0": None})
+    rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+            for name, df in sets.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+on_stays("transfer_sets", """
+select 'train' as part, n - t as n from grp where g = 0 union all
+select 'test', t from grp where g = 0 union all select 'group 1', t from grp where g = 1 union all
+select 'group 3', t from grp where g = 3 union all select 'not group 0', sum(n)::bigint from grp where g <> 0""")(
+    _transfer_sets)
+
+
+@query("standardize", f"""
+select event_id, {S.r('(value - m) / if(s = 0, 1, s)', 6)} as value
+from events, (select avg(value) as m, stddev_pop(value) as s from events) z""")
+def _(spark, sf_dir):
+    df = _events(spark, sf_dir).select("event_id", "value")
+    return rounded(L.apply_scaler(df, L.fit_scaler(df, ["value"]), ["value"]), ["value"], 6)
+
+
+@query("standardize_by_group", f"""
+select event_id, event_type,
+       {S.r('(value - avg(value) over w) / if(stddev_pop(value) over w = 0, 1, stddev_pop(value) over w)', 6)} as value
+from events window w as (partition by event_type)""")
+def _(spark, sf_dir):
+    df = _events(spark, sf_dir).select("event_id", "event_type", "value")
+    scaler = L.fit_scaler(df, ["value"], ["event_type"])
+    return rounded(L.apply_scaler(df, scaler, ["value"], ["event_type"]), ["value"], 6)
+
+
+def on_labels(name: str, sql: str, fn: Callable[..., DataFrame]) -> None:
+    query(name, sql)(lambda spark, sf_dir: fn(_labels(spark, sf_dir), "quality", "toxic"))
+
+
+on_labels("confusion_matrix",
+          "select quality as truth, toxic as predicted, count(*) as n from labels group by all", E.confusion)
+on_labels("confusion_normalized", f"""
+select truth, predicted, n, {S.r('n / sum(n) over (partition by truth)', 6)} as share
+from (select quality as truth, toxic as predicted, count(*) as n from labels group by all) z""",
+          lambda *a: rounded(E.confusion_normalized(*a), ["share"], 6))
+on_labels("accuracy", f"select {S.r('avg(if(quality = toxic, 1.0::double, 0.0::double))', 6)} as accuracy from labels",
+          lambda *a: rounded(E.accuracy(*a), ["accuracy"], 6))
+_SHARES = ["precision", "recall", "f1"]
+on_labels("class_report", f"""
+select label, {', '.join(f'{S.r(c, 6)} as {c}' for c in _SHARES)}, support::bigint as support from report""",
+          lambda *a: rounded(E.class_report(*a), _SHARES, 6))
+on_labels("macro_auc", f"""
+select {S.r('avg((tp / pos + (n - pos - (hit - tp)) / (n - pos)) / 2)', 6)} as macro_auc from class_tallies""",
+          lambda *a: rounded(E.macro_auc_hard(*a), ["macro_auc"], 6))
+
+
+@query("roc_auc", f"""
+select {S.r('(sum(rk) filter (where y) - count(*) filter (where y) * (count(*) filter (where y) + 1) / 2)'
+            ' / (count(*) filter (where y) * count(*) filter (where not y))', 6)} as roc_auc
+from (select event_type = 'purchase' as y,
+             rank() over (order by value) + (count(*) over (partition by value) - 1) / 2.0::double as rk
+      from events) z""")
+def _(spark, sf_dir):
+    df = _events(spark, sf_dir).select(
+        (F.col("event_type") == "purchase").cast("int").alias("y"), "value")
+    return rounded(E.roc_auc(df, "y", "value"), ["roc_auc"], 6)
+
+
+@query("class_counts", "select user_id % 10 = 9 as both, event_type, count(*) as n from events group by all")
+def _(spark, sf_dir):
+    df = _events(spark, sf_dir).withColumn("both", F.col("user_id") % 10 == 9)
+    return A.class_counts(df, "event_type", ["both"])
+
+
+_DIMENSIONS = [f"f{i}" for i in range(64)]
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embeddings(spark, sf_dir).select(
+        "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_DIMENSIONS)])
+
+
+@query("smote_rows")
+def _smote(spark, sf_dir):
+    return N.smote(_points(spark, sf_dir), "vec_id", "label", _DIMENSIONS)
+
+
+@query("smote_counts", "select label, max(count(*)) over () as n from embeddings group by label")
+def _(spark, sf_dir):
+    return _smote(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- scenarios -----------------------------------------------------------------------
+
+# Network and round count of the registered scenarios; the library default is
+# the seven-layer network and up to 1000 rounds.
+_LEARNER = {"kind": "mlp", "hidden": (32, 32), "max_iter": 50}
+
+
+def _model_input(t: K.StayTables, variant: str = "urine") -> DataFrame:
+    return checkpointed(_features(t, variant, ["icustay_id"]))
+
+
+@on_stays("predict_stage")
+def _(t):
+    df = _model_input(t)
+    return Z.predict(Z.train(df, **_LEARNER), df)
+
+
+on_stays("scenario_overall")(lambda t: Z.overall(_model_input(t), **_LEARNER))
+on_stays("scenario_ethnicity")(lambda t: Z.by_ethnicity(_model_input(t), **_LEARNER))
+on_stays("scenario_system")(lambda t: Z.by_system(_model_input(t), **_LEARNER))
+on_stays("scenario_system_oversampled")(
+    lambda t: Z.by_system(_model_input(t), oversample="train", **_LEARNER))
+on_stays("scenario_sizes")(
+    lambda t: Z.by_size(_model_input(t), kind="logistic", max_iter=50))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -89,10 +92,9 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
 def materialize(df: DataFrame, name: str, how: str = "view") -> DataFrame:
     """Drop and rebuild a named intermediate.
 
-    ``view``: a temporary view, evaluated where used. ``table``: written to
-    the warehouse, for results read more than once; it survives lost
-    executors. ``checkpoint``: cut the lineage in the session's checkpoint
-    folder.
+    ``view``: a temporary view, evaluated where used. For results read more
+    than once, ``table`` writes to the warehouse and ``checkpoint`` to the
+    session's checkpoint folder; both survive lost executors.
     """
     spark = df.sparkSession
     if how == "table":
@@ -104,18 +106,28 @@ def materialize(df: DataFrame, name: str, how: str = "view") -> DataFrame:
     return spark.table(name)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
-
-    The session's setting is used where the cluster gives one; otherwise a
-    folder must have been set on the context before (tests do)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named by the cluster; only a local session without
+    that setting gets a folder of its own."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="staytide-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by writing the rows, once, to the checkpoint folder.
+
+    Reading them back keeps column pruning and file sizes for the planner, and
+    a lost executor costs no recomputation. The folder's owner cleans it up.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def list_tables(spark: SparkSession) -> list[str]:
