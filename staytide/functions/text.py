@@ -10,15 +10,9 @@ from .columns import literal
 
 
 def capture(text: str, pattern: str) -> str:
-    """First group of the first match; NULL without a match.
-
-    ``(?s)`` lets ``.`` cross a carriage return. ``regexp_extract`` gives ''
-    for no match and for an empty capture, so only then the pattern is tested
-    again to tell the two apart.
-    """
-    dotall = literal("(?s)" + pattern)
-    found = f"regexp_extract({text}, {dotall}, 1)"
-    return f"case when {found} <> '' then {found} when {text} rlike {dotall} then '' end"
+    """First group of the first match; NULL without a match, '' for an empty
+    group. ``(?s)`` lets ``.`` cross a carriage return."""
+    return f"get(regexp_extract_all({text}, {literal('(?s)' + pattern)}, 1), 0)"
 
 
 def number(text: str) -> str:
@@ -26,13 +20,14 @@ def number(text: str) -> str:
     return f"if(contains({text}, '*'), null, try_cast({text} as double))"
 
 
-def time_on_day(day: str, clock: str) -> str:
-    """``day`` at ``H:mm`` of the clock text, anything after the minutes ignored.
-    NULL when the text is no time of day."""
-    part = lambda n: f"try_cast(regexp_extract({clock}, '^([0-9]{{1,2}}):([0-9]{{1,2}})', {n}) as int)"
+def add_time_of_day(df: DataFrame, day: str, clock: str, out: str) -> DataFrame:
+    """Adds ``day`` at the ``H:mm`` of the clock text, whatever follows the
+    minutes ignored; NULL when the text is no time of day."""
+    parts = df.selectExpr("*", f"try_cast(split_part({clock}, ':', 1) as int) as _hour",
+                          f"try_cast(left(split_part({clock}, ':', 2), 2) as int) as _minute")
     midnight = f"cast(cast(cast({day} as timestamp_ntz) as date) as timestamp_ntz)"
-    return (f"if({part(1)} < 24 and {part(2)} < 60,"
-            f" {midnight} + make_dt_interval(0, {part(1)}, {part(2)}), null)")
+    time = f"if(_hour < 24 and _minute < 60, {midnight} + make_dt_interval(0, _hour, _minute), null)"
+    return parts.selectExpr(*df.columns, f"{time} as {out}")
 
 
 def extract_fields(notes: DataFrame, keep: list[str], text: str, text_fields: Mapping[str, str],

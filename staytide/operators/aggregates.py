@@ -16,12 +16,15 @@ def pivot_agg(df: DataFrame, keys: list[str], label: str, value: str, labels: It
               stats: list[str], prefix: str = "") -> DataFrame:
     """One ``<label>_<stat>`` column per label and statistic.
 
-    Conditional aggregates over an explicit label list: one shuffle with
-    map-side partial aggregation and no extra job to discover labels.
+    Input rows are first reduced per (keys, label), map-side combined and with
+    one buffer per statistic; the wide step then sees one row per key and
+    label. The explicit label list saves a job that discovers labels. Keys
+    that have only unlabelled rows stay, with NULLs.
     """
     rows = df.selectExpr(*keys, f"{label} as _label", f"{value} as _value")
-    return rows.groupBy(*keys).agg(*[
-        F.expr(f"{_STATS[s]}(if(_label = {literal(name)}, _value, null)) as {prefix}{name}_{s}")
+    tall = rows.groupBy(*keys, "_label").agg(*[F.expr(f"{_STATS[s]}(_value) as _{s}") for s in stats])
+    return tall.groupBy(*keys).agg(*[
+        F.expr(f"max(if(_label = {literal(name)}, _{s}, null)) as {prefix}{name}_{s}")
         for name in labels for s in stats])
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +9,12 @@ from ..functions.columns import slot
 from .joins import without
 from .sizing import needs_split
 
-DAY = timedelta(days=1)
 # Undated rows sort last, hence the largest slot.
-_LAST_SLOT = (1 << 63) - 1
+_LAST_SLOT = (1 << 31) - 1
 
 
-def _slotted(df: DataFrame, ts: str, width: timedelta) -> DataFrame:
-    return df.selectExpr("*", f"coalesce({slot(ts, width)}, {_LAST_SLOT}L) as _slot")
+def _slotted(df: DataFrame, ts: str, days: int) -> DataFrame:
+    return df.selectExpr("*", f"coalesce({slot(ts, days)}, {_LAST_SLOT}) as _slot")
 
 
 def _over(keys: list[str], ts: str, ties: list[str]) -> str:
@@ -26,7 +23,7 @@ def _over(keys: list[str], ts: str, ties: list[str]) -> str:
 
 
 def mark_first(df: DataFrame, keys: list[str], ts: str, ties: list[str], out: str,
-               split: bool, width: timedelta = DAY) -> DataFrame:
+               split: bool, days: int = 1) -> DataFrame:
     """Flag the earliest row per key.
 
     Split plan: order only within time slots; a slot's first row is the
@@ -35,7 +32,7 @@ def mark_first(df: DataFrame, keys: list[str], ts: str, ties: list[str], out: st
     """
     if not split:
         return df.selectExpr("*", f"row_number() {_over(keys, ts, ties)} = 1 as {out}")
-    slotted = _slotted(df, ts, width)
+    slotted = _slotted(df, ts, days)
     earliest = slotted.groupBy(*keys).agg(F.min("_slot").alias("_earliest"))
     ranked = slotted.selectExpr("*", f"row_number() {_over([*keys, '_slot'], ts, ties)} as _rn")
     return ranked.join(earliest, keys).selectExpr(
@@ -44,7 +41,7 @@ def mark_first(df: DataFrame, keys: list[str], ts: str, ties: list[str], out: st
 
 def to_intervals(df: DataFrame, keys: list[str], start: str, fallback_end: str,
                  ties: list[str], split: bool | None = None, out: str = "endtime",
-                 width: timedelta = DAY) -> DataFrame:
+                 days: int = 1) -> DataFrame:
     """Add the end of each row's validity: the key's next start, else the fallback.
 
     Split plan: the next start is sought within the time slot, and for a
@@ -54,7 +51,7 @@ def to_intervals(df: DataFrame, keys: list[str], start: str, fallback_end: str,
     if not needs_split(df, keys, split):
         following = f"lead({start}) {_over(keys, start, ties)}"
         return df.selectExpr("*", f"coalesce({following}, {fallback_end}) as {out}")
-    slotted = _slotted(df, start, width)
+    slotted = _slotted(df, start, days)
     heads = slotted.groupBy(*keys, "_slot").agg(F.min(start).alias("_head")).selectExpr(
         *keys, "_slot", f"lead(_head) over (partition by {', '.join(keys)} order by _slot) as _next_head")
     ahead = slotted.selectExpr("*", f"lead({start}) {_over([*keys, '_slot'], start, ties)} as _next")

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import MICROSECOND, as_micros, in_window, interval, one_of, slot
+from ..functions.columns import MICROSECOND, in_window, interval, one_of, slot, whole_days
 from .sizing import MAX_KEY_PAIRS, hottest_group
 
 
@@ -16,8 +16,8 @@ def attach_window(episodes: DataFrame, events: DataFrame, on: list[str], ts: str
                   how: str = "inner", episode_key: str = "icustay_id") -> DataFrame:
     """Events of each episode within ``anchor - before .. anchor + after``.
 
-    The join is an equi join on ``on`` and a time slot half as wide as the
-    window, so an episode row is repeated at most three times and one key's
+    The join is an equi join on ``on`` and a slot of days about half as wide as
+    the window, so an episode row is repeated at most three times and one key's
     events spread over slots. Being an inner join on every row, a slot that is
     still too large can be divided by adaptive execution, and the episode side
     is broadcast only when its measured size allows.
@@ -25,11 +25,12 @@ def attach_window(episodes: DataFrame, events: DataFrame, on: list[str], ts: str
     ``how="left"`` adds one row with NULL event columns for every episode
     without an event, found by an anti join on the matched keys.
     """
-    width = (before + after) / 2
-    first, last = slot(f"({anchor} - {interval(before)})", width), slot(f"({anchor} + {interval(after)})", width)
+    days = whole_days((before + after) / 2)
+    first, last = (slot(f"({anchor} {move})", days)
+                   for move in (f"- {interval(before)}", f"+ {interval(after)}"))
     windows = episodes.selectExpr(
-        "*", f"explode(sequence({first}, {last}, {as_micros(width)}L)) as _slot")
-    slotted = events.selectExpr("*", f"{slot(ts, width)} as _slot")
+        "*", f"explode(sequence({first}, {last}, {days})) as _slot")
+    slotted = events.selectExpr("*", f"{slot(ts, days)} as _slot")
     matched = (windows.join(slotted, [*on, "_slot"])
                .where(in_window(ts, anchor, before, after, closed)).drop("_slot"))
     if how == "inner":
@@ -39,25 +40,25 @@ def attach_window(episodes: DataFrame, events: DataFrame, on: list[str], ts: str
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], ts: str, start: str,
-                  end: str, slotted: bool | None = None,
-                  width: timedelta = timedelta(days=1)) -> DataFrame:
+                  end: str, slotted: bool | None = None, days: int = 1) -> DataFrame:
     """Left join of points to the intervals ``[start, end)`` that hold them.
 
     Plain plan: equi join on ``keys`` with the interval test as extra
     condition; it reuses an existing partitioning on ``keys``. When points x
-    intervals of one key could exceed ``MAX_KEY_PAIRS`` the slotted plan repeats each interval per
-    time slot it covers and joins on (key, slot); the exact test stays.
-    A point lies in one slot only, so no match is repeated.
+    intervals of one key could exceed ``MAX_KEY_PAIRS`` the slotted plan
+    repeats each interval per time slot it covers and joins on (key, slot);
+    the exact test stays. A point lies in one slot only, so no match is
+    repeated.
     """
     if slotted is None:
         slotted = (hottest_group(points, keys) * hottest_group(intervals, keys)) > MAX_KEY_PAIRS
     payload = [c for c in intervals.columns if c not in keys]
     left, right = points, intervals.where(f"{start} < {end}")
     if slotted:
-        last = slot(f"({end} - {interval(MICROSECOND)})", width)
+        last = slot(f"({end} - {interval(MICROSECOND)})", days)
         right = right.selectExpr(
-            "*", f"explode(sequence({slot(start, width)}, {last}, {as_micros(width)}L)) as _slot")
-        left = left.selectExpr("*", f"{slot(ts, width)} as _slot")
+            "*", f"explode(sequence({slot(start, days)}, {last}, {days})) as _slot")
+        left = left.selectExpr("*", f"{slot(ts, days)} as _slot")
     tests = [f"p.{k} = i.{k}" for k in (keys + (["_slot"] if slotted else []))]
     tests += [f"p.{ts} >= i.{start}", f"p.{ts} < i.{end}"]
     joined = left.alias("p").join(right.alias("i"), F.expr(" and ".join(tests)), "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions import codes as C
-from ..functions.columns import is_finite, literal_map, one_of
+from ..functions.columns import all_finite, literal_map, one_of
 
 EXCLUDED_LABELS = [2, 3, 4]
 ADULT_AGE = 18
@@ -35,9 +35,8 @@ def fill_zero(df: DataFrame, keep_null: list[str]) -> DataFrame:
 
 def drop_non_finite(df: DataFrame) -> DataFrame:
     """Drops rows with an infinite, NaN or NULL number."""
-    tests = [is_finite(n) for n, t in df.dtypes if t == "double"]
-    tests += [f"{n} is not null" for n, t in df.dtypes if t in ("int", "bigint")]
-    return df.where(" and ".join(tests))
+    numeric = [n for n, t in df.dtypes if t in ("int", "bigint", "double")]
+    return df.where(all_finite(numeric))
 
 
 def clean_cohort(wide: DataFrame) -> DataFrame:

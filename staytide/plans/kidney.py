@@ -49,8 +49,9 @@ def creatinine_baseline(icustays: DataFrame, labevents: DataFrame, how: str = "l
         series.select(*_STAY, "charttime", "creat"), ["icustay_id"], "charttime",
         {"creat_low_past_48hr": Trailing("min", "creat", HOURS_48, "left"),
          "creat_low_past_7day": Trailing("min", "creat", DAYS_7, "left")}, split)
-    # The window has already placed each stay in one partition (or slot).
-    lows = lows.dropDuplicates(["icustay_id", "charttime", "creat"])
+    # Equal (stay, time, value) rows agree in every column. The plain window has
+    # already placed each stay in one partition, so this shuffles nothing.
+    lows = lows.distinct()
     if how == "inner":
         return lows
     missing = without(icustays.select(*_STAY), series, "icustay_id")
@@ -148,21 +149,32 @@ class StayTables:
     diagnoses_icd: DataFrame | None = None
 
 
-def staged_series(t: StayTables) -> tuple[DataFrame, DataFrame]:
-    """Staged creatinine and urine of every stay.
+@dataclass(frozen=True)
+class Layout:
+    """Which steps are cut into time slots because a group outgrows a task."""
 
-    One job over key columns of the source tables measures the largest groups
-    first and fixes which steps work per key and which per time slot.
-    """
+    creatinine: bool
+    urine: bool
+    weights: bool
+    weight_join: bool
+
+
+def layout(t: StayTables) -> Layout:
+    """Measured in one job that reads key columns of the source tables."""
     size = hottest_groups({"creatinine": (_creatinine_labs(t.labevents), ["subject_id"]),
                            "urine": (t.outputevents, ["icustay_id"]),
                            **weight_sizes(t.chartevents, t.noteevents)})
     spans = max(size["weights"], size["echo"])
-    creat = staged_creatinine(t.icustays, t.labevents,
-                              split=size["creatinine"] > MAX_GROUP_ROWS)
-    weights = weight_durations(t.chartevents, t.noteevents, t.icustays, spans > MAX_GROUP_ROWS)
-    urine = staged_urine(t.outputevents, weights, t.icustays, size["urine"] > MAX_GROUP_ROWS,
-                         size["urine"] * spans > MAX_KEY_PAIRS)
+    return Layout(size["creatinine"] > MAX_GROUP_ROWS, size["urine"] > MAX_GROUP_ROWS,
+                  spans > MAX_GROUP_ROWS, size["urine"] * spans > MAX_KEY_PAIRS)
+
+
+def staged_series(t: StayTables, cut: Layout | None = None) -> tuple[DataFrame, DataFrame]:
+    """Staged creatinine and urine of every stay."""
+    cut = cut or layout(t)
+    creat = staged_creatinine(t.icustays, t.labevents, split=cut.creatinine)
+    weights = weight_durations(t.chartevents, t.noteevents, t.icustays, cut.weights)
+    urine = staged_urine(t.outputevents, weights, t.icustays, cut.urine, cut.weight_join)
     return creat, urine
 
 

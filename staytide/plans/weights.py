@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions.columns import interval, ladder, not_flagged, one_of
-from ..functions.text import extract_fields, time_on_day
+from ..functions.text import add_time_of_day, extract_fields
 from ..operators.intervals import backfill_first, fallback_intervals, mark_first, to_intervals
 from ..operators.sizing import MAX_GROUP_ROWS, hottest_groups
 
@@ -140,4 +140,4 @@ def note_fields(notes: DataFrame) -> DataFrame:
     fields = extract_fields(
         echo, ["row_id", "subject_id", "hadm_id", "chartdate"], "text",
         {"clock": C.NOTE_TIME, **C.NOTE_TEXT_FIELDS}, C.NOTE_NUMBER_FIELDS)
-    return fields.selectExpr("*", f"{time_on_day('chartdate', 'clock')} as charttime").drop("clock")
+    return add_time_of_day(fields, "chartdate", "clock", "charttime").drop("clock")

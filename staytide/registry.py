@@ -190,7 +190,7 @@ _VOLUMES = [f"urineoutput_{h}" for h in K.URINE_HORIZONS]
 
 
 def _urine_series(t: K.StayTables) -> DataFrame:
-    return K.staged_urine(t.outputevents, _durations(t), t.icustays)
+    return K.staged_series(t)[1]
 
 
 def _trailing_urine(t: K.StayTables, split: bool | None = None) -> DataFrame:

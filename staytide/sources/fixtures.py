@@ -6,6 +6,8 @@ the whole input tables. ``{name}`` marks an input.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,14 +81,33 @@ from {{events}}""",
 }
 
 
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+CUSTOMER = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+# date_trunc and make_date leave session-zone or date types behind.
+_ZONE_FREE = {"noteevents": "chartdate", "patients": "dob"}
+
+
+class DerivedTables:
+    """``StayTables`` whose tables are planned when first used."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._spark = spark
+        self._built: dict[str, DataFrame] = {
+            "events": spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"),
+            "customer": spark.read.schema(CUSTOMER).parquet(f"{sf_dir}/customer.parquet")}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in VIEWS and name not in ("events", "customer"):
+            raise AttributeError(name)
+        if name not in self._built:
+            inputs = re.findall(r"\{(\w+)\}", VIEWS[name])
+            df = self._spark.sql(VIEWS[name], **{i: getattr(self, i) for i in inputs})
+            if name in _ZONE_FREE:
+                column = _ZONE_FREE[name]
+                df = df.withColumn(column, F.col(column).cast("timestamp_ntz"))
+            self._built[name] = df
+        return self._built[name]
+
+
 def stay_tables(spark: SparkSession, sf_dir: str) -> StayTables:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    built: dict[str, DataFrame] = {}
-    for name, text in VIEWS.items():
-        inputs = {"events": events, "customer": customer, **built}
-        built[name] = spark.sql(text, **{k: v for k, v in inputs.items() if f"{{{k}}}" in text})
-    # date_trunc and make_date leave session-zone or date types behind.
-    for name, column in (("noteevents", "chartdate"), ("patients", "dob")):
-        built[name] = built[name].withColumn(column, F.col(column).cast("timestamp_ntz"))
-    return StayTables(**built)
+    return DerivedTables(spark, sf_dir)
