@@ -65,6 +65,21 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], ts:
     return joined.selectExpr(*[f"p.{c}" for c in points.columns], *[f"i.{c}" for c in payload])
 
 
+def lookup(rows: DataFrame, small: DataFrame, key: str, spread: str, split: bool = False,
+           salts: int = 64) -> DataFrame:
+    """Inner join of many rows to one row per key.
+
+    ``split`` spreads the rows of a hot key over ``salts`` partitions by the
+    hash of the ``spread`` column and repeats the small side as often, so that
+    no later step inherits a partitioning with one oversized part.
+    """
+    if not split:
+        return rows.join(small, key)
+    salted = rows.selectExpr("*", f"pmod(xxhash64({spread}), {salts}) as _salt")
+    copies = small.selectExpr("*", f"explode(sequence(0L, {salts - 1}L)) as _salt")
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def without(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """Rows whose key does not occur in ``other``; keys of ``other`` are
     de-duplicated before they are shuffled."""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_micros, micros, slot_start
+from ..sources.tables import checkpointed
 from .sizing import needs_split
 
 
@@ -68,6 +69,7 @@ def _split_trailing(df: DataFrame, keys: list[str], ts: str, outputs: Mapping[st
     alias = {v: f"_v{i}" for i, v in enumerate(sorted({o.value for o in outputs.values()}))}
     by = ", ".join(keys)
 
+    df = checkpointed(df)  # read by both branches below
     timed = (df.where(f"{ts} is not null").selectExpr("*", f"{micros(ts)} as _t")
              .selectExpr("*", f"{slot_start('_t', width)} as _slot"))
     # Each row in place, plus one copy per span that lands where it leaves a

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions.columns import hours_between, in_window, interval, ladder, one_of, round_half_up
-from ..operators.joins import align_series, attach_window, interval_join, time_spine, without
+from ..operators.joins import (align_series, attach_window, interval_join, lookup, time_spine,
+                               without)
 from ..operators.sizing import MAX_GROUP_ROWS, MAX_KEY_PAIRS, hottest_groups, needs_split
 from ..operators.windows import Trailing, trailing_agg, worst_row
 from .weights import weight_durations, weight_sizes
@@ -111,7 +112,7 @@ def urine_rates(trailing: DataFrame, weights: DataFrame, slotted: bool | None =
         *[f"{round_half_up(c)} as {c}" for c in _RATES], *hours)
 
 
-def stage_urine(rates: DataFrame, icustays: DataFrame) -> DataFrame:
+def stage_urine(rates: DataFrame, icustays: DataFrame, split: bool = False) -> DataFrame:
     """Stage ladder on the rates. The first six hours of a stay are stage 0."""
     stage = ladder([
         ("uo_rt_6hr is null", "null"),
@@ -121,7 +122,7 @@ def stage_urine(rates: DataFrame, icustays: DataFrame) -> DataFrame:
         ("uo_tm_12hr >= 5 and uo_rt_12hr < 0.5D", "2"),
         ("uo_tm_6hr >= 2 and uo_rt_6hr < 0.5D", "1"),
     ], "0")
-    rated = rates.join(icustays.select(*_STAY), "icustay_id")
+    rated = lookup(rates, icustays.select(*_STAY), "icustay_id", "charttime", split)
     return rated.selectExpr(*_STAY, "charttime", "weight", *_RATES, f"{stage} as aki_stage_uo")
 
 
@@ -130,7 +131,7 @@ def staged_urine(outputevents: DataFrame, weights: DataFrame, icustays: DataFram
     if split is None:
         split = needs_split(outputevents, ["icustay_id"], None)
     trailing = urine_trailing(urine_output(outputevents), split)
-    return stage_urine(urine_rates(trailing, weights, slotted), icustays)
+    return stage_urine(urine_rates(trailing, weights, slotted), icustays, split)
 
 
 # --- from source tables ----------------------------------------------------------
@@ -182,8 +183,8 @@ def stage_48h(t: StayTables) -> DataFrame:
     return worst_stage(t.icustays, *staged_series(t), HOURS_48, "48hr")
 
 
-def stage_7day(t: StayTables) -> DataFrame:
-    return worst_stage(t.icustays, *staged_series(t), DAYS_7, "7day")
+def stage_7day(t: StayTables, cut: Layout | None = None) -> DataFrame:
+    return worst_stage(t.icustays, *staged_series(t, cut), DAYS_7, "7day")
 
 
 def stage_7day_creatinine(t: StayTables) -> DataFrame:
@@ -202,15 +203,19 @@ def stages(creat: DataFrame, urine: DataFrame, icustays: DataFrame) -> DataFrame
     A stay with an undated row on either side, or without creatinine, has
     one row with NULL time.
     """
-    cr = creat.where("charttime is not null").select("icustay_id", "charttime", "creat", "aki_stage_creat")
-    uo = urine.where("charttime is not null").select("icustay_id", "charttime", *_RATES, "aki_stage_uo")
-    both = align_series(cr, uo, ["icustay_id"], "charttime")
-    undated = without(icustays.select("icustay_id"), cr, "icustay_id").unionByName(
-        urine.where("charttime is null").select("icustay_id")).distinct()
-    rows = both.unionByName(undated, allowMissingColumns=True)
-    return rows.join(icustays.select("icustay_id", "dbsource"), "icustay_id").selectExpr(
-        "icustay_id", "dbsource", "charttime", "creat", "aki_stage_creat", *_RATES, "aki_stage_uo",
+    cr = creat.where("charttime is not null").selectExpr(
+        "icustay_id", "charttime", "dbsource as cr_source", "creat", "aki_stage_creat")
+    uo = urine.where("charttime is not null").selectExpr(
+        "icustay_id", "charttime", "dbsource as uo_source", *_RATES, "aki_stage_uo")
+    both = align_series(cr, uo, ["icustay_id"], "charttime").selectExpr(
+        "icustay_id", "coalesce(cr_source, uo_source) as dbsource", "charttime", "creat",
+        "aki_stage_creat", *_RATES, "aki_stage_uo",
         "greatest(aki_stage_creat, aki_stage_uo) as aki_stage")
+    # Both lists of ids need no windows or weights, which the optimizer drops.
+    undated = without(icustays.select("icustay_id"), cr, "icustay_id").unionByName(
+        urine.where("charttime is null").select("icustay_id").distinct()).distinct()
+    undated = undated.join(icustays.select("icustay_id", "dbsource"), "icustay_id")
+    return both.unionByName(undated, allowMissingColumns=True)
 
 
 def stages_creatinine(creat: DataFrame, icustays: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ from ..functions import codes as C
 from ..functions.columns import interval, ladder, not_flagged, one_of
 from ..functions.text import add_time_of_day, extract_fields
 from ..operators.intervals import backfill_first, fallback_intervals, mark_first, to_intervals
+from ..operators.joins import lookup
 from ..operators.sizing import MAX_GROUP_ROWS, hottest_groups
+from ..sources.tables import checkpointed
 
 LEAD_IN = interval(timedelta(hours=2))
 _DIRECT = C.WEIGHT_ADMIT_ITEMS + C.WEIGHT_DAILY_ITEMS
@@ -77,8 +79,8 @@ def weight_starts(points: DataFrame, icustays: DataFrame, split: bool = False) -
     """Start of each weight; a stay's first admission weight counts from two
     hours before the stay."""
     stays = icustays.select("icustay_id", "dbsource", "intime", "outtime")
-    ranked = mark_first(points.where("weight is not null").join(stays, "icustay_id"),
-                        ["icustay_id", "weight_type"], "charttime", ["weight"], "_first", split)
+    known = lookup(points.where("weight is not null"), stays, "icustay_id", "charttime", split)
+    ranked = mark_first(known, ["icustay_id", "weight_type"], "charttime", ["weight"], "_first", split)
     return ranked.selectExpr(
         "icustay_id", "intime", "outtime", "dbsource",
         f"if(weight_type = 'admit' and _first, intime - {LEAD_IN}, charttime) as starttime", "weight")
@@ -96,12 +98,12 @@ def weight_backfill(intervals: DataFrame, split: bool = False) -> DataFrame:
                           f"intime - {LEAD_IN}").select(*_OUT)
 
 
-def echo_to_stay(notes: DataFrame, icustays: DataFrame) -> DataFrame:
+def echo_to_stay(notes: DataFrame, icustays: DataFrame, split: bool = False) -> DataFrame:
     """Echo weights in kg at the stays of the note's admission."""
     echo = note_fields(notes).where("weight is not null").selectExpr(
         "hadm_id", "charttime as starttime", f"weight * {C.KG_PER_LB_NOTE}D as weight")
     stays = icustays.select("icustay_id", "hadm_id", "intime", "outtime")
-    return stays.join(echo, "hadm_id").drop("hadm_id")
+    return lookup(echo, stays, "hadm_id", "starttime", split).drop("hadm_id")
 
 
 def echo_intervals(echo: DataFrame, split: bool = False) -> DataFrame:
@@ -113,8 +115,11 @@ def echo_intervals(echo: DataFrame, split: bool = False) -> DataFrame:
 
 
 def charted_intervals(chart: DataFrame, icustays: DataFrame, split: bool = False) -> DataFrame:
-    starts = weight_starts(weight_points(chart), icustays, split)
-    return weight_backfill(weight_intervals(starts, split), split)
+    """Intervals from charted weights. The split plan reads some inputs twice and
+    keeps them written instead of scanning the chart again."""
+    keep = checkpointed if split else lambda df: df
+    starts = keep(weight_starts(keep(weight_points(chart)), icustays, split))
+    return weight_backfill(keep(weight_intervals(starts, split)), split)
 
 
 def weight_durations(chart: DataFrame, notes: DataFrame, icustays: DataFrame,
@@ -123,9 +128,11 @@ def weight_durations(chart: DataFrame, notes: DataFrame, icustays: DataFrame,
     for stays without any charted weight."""
     if split is None:
         split = max(hottest_groups(weight_sizes(chart, notes)).values()) > MAX_GROUP_ROWS
-    return fallback_intervals(charted_intervals(chart, icustays, split),
-                              echo_intervals(echo_to_stay(notes, icustays), split),
-                              "icustay_id", split)
+    charted = charted_intervals(chart, icustays, split)
+    echo = echo_to_stay(notes, icustays, split)
+    if split:
+        charted, echo = checkpointed(charted), checkpointed(echo)
+    return fallback_intervals(charted, echo_intervals(echo, split), "icustay_id", split)
 
 
 def weight_sizes(chart: DataFrame, notes: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:

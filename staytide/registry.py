@@ -226,7 +226,9 @@ def _(t):
 
 on_stays("stages_all_times", "select * from stage_series")(K.stages_all_times)
 on_stays("stage_48h", "select * from worst48")(K.stage_48h)
-on_stays("stage_7day", "select * from worst7")(K.stage_7day)
+on_stays("stage_7day", "select * from worst7")(lambda t: K.stage_7day(t))
+on_stays("stage_7day_split", "select * from worst7")(
+    lambda t: K.stage_7day(t, K.Layout(True, True, True, True)))
 on_stays("stage_dropna", "select * from worst7 where aki_stage_7day is not null")(
     lambda t: K.stage_7day(t).na.drop(subset=["aki_stage_7day"]))
 on_stays("ordered_stages", "select * from worst7c order by icustay_id")(
