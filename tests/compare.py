@@ -66,11 +66,12 @@ def main() -> int:
     import __spark_entry__ as entry
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     sf_dir = f"/root/testdata/sf{sf}"
+    broadcast = os.environ.get("BROADCAST_THRESHOLD", "10MB")  # -1 plans joins as for large tables
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+             .config("spark.sql.autoBroadcastJoinThreshold", broadcast)
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
-    spark.sparkContext.setCheckpointDir(os.environ.get("CHECKPOINT_DIR", "/tmp/staytide-checkpoints"))
     con, sql, failed = duck(sf_dir), entry.oracle_sql(), []
     names = sys.argv[2:] or list(entry.queries())
     for name in names:
