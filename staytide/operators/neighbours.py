@@ -14,6 +14,8 @@ from .ordering import with_position
 
 # Rows per block: the largest number of queries or candidates one task call holds.
 BLOCK_ROWS = 2048
+# Rows handed over at once when a query is sent to many blocks.
+_VISIT_ROWS = 10_000
 _SLACK = 1e-9
 _ROW = "_label string, _key string, _x array<double>"
 
@@ -86,10 +88,14 @@ class _Cells:
                 bound = rows["_bound"].to_numpy()[:, None]
                 row, cell = np.nonzero((gap <= bound * (1 + _SLACK) + _SLACK) & (self.blocks[label] > 0))
                 count = self.blocks[label][cell]
-                target = np.concatenate([np.arange(c) for c in count]) if len(count) else count
-                picked = rows.iloc[np.repeat(row, count)]
-                yield picked.drop(columns="_bound").assign(
-                    _to_cell=np.repeat(cell, count), _to_block=target)
+                blocks = pd.DataFrame({
+                    "row": np.repeat(row, count), "_to_cell": np.repeat(cell, count),
+                    "_to_block": [b for c in count for b in range(c)]})
+                rows = rows.drop(columns="_bound")
+                for start in range(0, len(blocks), _VISIT_ROWS):
+                    part = blocks.iloc[start:start + _VISIT_ROWS]
+                    yield rows.iloc[part["row"]].assign(
+                        _to_cell=part["_to_cell"].to_numpy(), _to_block=part["_to_block"].to_numpy())
 
 
 def nearest_neighbours(df: DataFrame, key: str, label: str, vector: str, k: int,
