@@ -385,9 +385,10 @@ def _(spark, sf_dir):
     return O.size_ladder(_events(spark, sf_dir).select("event_id"), "event_id", Z.TEST_SIZES, 1234)
 
 
-def _transfer_sets(t: K.StayTables, as_counts: bool = True) -> DataFrame:
-    stays = t.icustays.select("icustay_id", F.lit(0).alias("aki"), F.lit(0).alias("aki_stage_7day"),
-                              (F.col("subject_id") % 4).cast("int").alias("ethnicity"))
+def _transfer_sets(t: K.StayTables) -> DataFrame:
+    code = literal_map("ethnicity", C.ETHNICITY_GROUPS, C.ETHNICITY_UNLISTED)
+    stays = t.icustays.select("icustay_id", "hadm_id").join(t.admissions, "hadm_id").selectExpr(
+        "icustay_id", f"{code} as ethnicity")
     sets = Z.transfer_sets(stays, "ethnicity", 0, {"group 1": 1, "group 3": 3, "not group 0": None})
     rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
             for name, df in sets.items()]
@@ -452,10 +453,9 @@ def _(spark, sf_dir):
     return rounded(E.roc_auc(df, "y", "value"), ["roc_auc"], 6)
 
 
-@query("class_counts", "select user_id % 10 = 9 as both, event_type, count(*) as n from events group by all")
+@query("class_counts", "select toxic, quality, count(*) as n from labels group by all")
 def _(spark, sf_dir):
-    df = _events(spark, sf_dir).withColumn("both", F.col("user_id") % 10 == 9)
-    return A.class_counts(df, "event_type", ["both"])
+    return A.class_counts(_labels(spark, sf_dir), "quality", ["toxic"])
 
 
 _DIMENSIONS = [f"f{i}" for i in range(64)]
