@@ -192,16 +192,19 @@ def stage_7day_creatinine(t: StayTables) -> DataFrame:
 
 
 def stages_all_times(t: StayTables) -> DataFrame:
-    return stages(*staged_series(t), t.icustays)
+    undated = urine_output(t.outputevents).where("charttime is null").select("icustay_id")
+    return stages(*staged_series(t), t.icustays, undated)
 
 
 # --- stages at every time -----------------------------------------------------------
 
-def stages(creat: DataFrame, urine: DataFrame, icustays: DataFrame) -> DataFrame:
+def stages(creat: DataFrame, urine: DataFrame, icustays: DataFrame,
+           undated_urine: DataFrame | None = None) -> DataFrame:
     """Both stages and the larger of them at every time either is known.
 
     A stay with an undated row on either side, or without creatinine, has
-    one row with NULL time.
+    one row with NULL time. ``undated_urine`` gives the ids of stays with
+    undated urine if they are known without evaluating the whole series.
     """
     cr = creat.where("charttime is not null").selectExpr(
         "icustay_id", "charttime", "dbsource as cr_source", "creat", "aki_stage_creat")
@@ -211,9 +214,10 @@ def stages(creat: DataFrame, urine: DataFrame, icustays: DataFrame) -> DataFrame
         "icustay_id", "coalesce(cr_source, uo_source) as dbsource", "charttime", "creat",
         "aki_stage_creat", *_RATES, "aki_stage_uo",
         "greatest(aki_stage_creat, aki_stage_uo) as aki_stage")
-    # Both lists of ids need no windows or weights, which the optimizer drops.
+    if undated_urine is None:
+        undated_urine = urine.where("charttime is null").select("icustay_id")
     undated = without(icustays.select("icustay_id"), cr, "icustay_id").unionByName(
-        urine.where("charttime is null").select("icustay_id").distinct()).distinct()
+        undated_urine).distinct()
     undated = undated.join(icustays.select("icustay_id", "dbsource"), "icustay_id")
     return both.unionByName(undated, allowMissingColumns=True)
 

@@ -160,3 +160,15 @@ def test_stages_align(table):
                   (2, "carevue", T0, None, 70.0, None, None, None, None))
     got = rows(K.stages(creat, urine, stays), "icustay_id", "charttime", "aki_stage")
     assert got == sorted([(1, T0, 1), (1, T0, 2), (2, None, None), (2, T0 + hours(1), 1), (3, None, None)], key=str)
+
+
+def test_all_times_with_undated_urine(table):
+    """One undated row per stay, whether urine is undated or labs are missing."""
+    chart = table("subject_id long, hadm_id long, icustay_id long, itemid int, charttime timestamp_ntz, value string, "
+                  "valuenum double, error int")
+    notes = table("row_id long, subject_id long, hadm_id long, chartdate timestamp_ntz, category string, text string")
+    tables = K.StayTables(table(STAYS, stay(), stay(2, 2), stay(3, 3)), table(LABS, lab(T0, 1.0)),
+                          table(OUTPUT, (2, 40055, None, 5.0), (1, 40055, None, 5.0), (1, 40055, T0, 5.0), (9, 40055, None, 1.0)),
+                          chart, notes)
+    got = rows(K.stages_all_times(tables), "icustay_id", "charttime", "aki_stage")
+    assert got == sorted([(1, T0, 0), (1, None, None), (2, None, None), (3, None, None)], key=str)
