@@ -14,11 +14,11 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """Where the public vocabularies are installed, on the driver and on every worker."""
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -31,52 +31,52 @@ def _query(f: Query) -> Query:
 
 @_query
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 @_query
 def op2_quality_rules_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_quality.rule_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rule_quality.rule_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @_query
 def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @_query
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 @_query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie_tokens.token_counts(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return trie_tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 @_query
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.RULES)
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.RULES)
 
 
 @_query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 @_query
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 @_query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("root", "digest")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("root", "digest")
 
 
 @_query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_quality.line_quality(_table(spark, sf_dir, "documents")).drop("source", "digest")
+    return line_quality.line_quality(table(spark, sf_dir, "documents")).drop("source", "digest")
 
 
 SQL["op6_url_filters"] = url_filter.SQL
