@@ -18,33 +18,76 @@ from staytide.sources.tables import checkpointed
 CAPACITY = 2048
 END_ID = 0
 #: Word cache of a task: emptied when it holds so many words.
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 600_000
 
 
-class _Encoder:
+#: ASCII signs that may close a word; an apostrophe may start a pre-token of its own and is left out.
+_CLOSING = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+
+
+class Encoder:
     """Token ids of whole texts as little-endian bytes.
 
-    The vocabulary's pre-tokens never span white space, so a text's ids are
-    those of its words one after the other; each word is encoded once per task.
+    The vocabulary's pre-tokens never span white space and its texts are
+    lower-cased, so a text's ids are those of its words one after the other and
+    each distinct word is encoded once per task. Signs after a final letter are
+    a pre-token of their own, so words that differ in them share the work. Texts
+    that might name a special token are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.asarray([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
         self.known: dict[bytes, bytes] = {}
 
+    def _alone(self, words: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.asarray(c.ids, dtype="<u4").tobytes() for c in coded]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words made of letters. They are encoded side by side and told
+        apart by their closing tokens; should a word have more than one pre-token,
+        the number of closing tokens shows it and all are encoded alone."""
+        out, parts = [], [words[at:at + 1000] for at in range(0, len(words), 1000)]
+        coded = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
+        for part, code in zip(parts, coded):
+            ids = np.asarray(code.ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part) or stops[-1] != len(ids):
+                out += self._alone(part)
+                continue
+            flat, stops = ids.tobytes(), (4 * stops).tolist()
+            out += [flat[i:j] for i, j in zip([0, *stops[:-1]], stops)]
+        return out
+
+    def _learn(self, new: list[bytes]) -> None:
+        known, texts = self.known, b" ".join(new).decode().split(" ")
+        plain = [t.isalpha() for t in texts]
+        known.update(zip([w for w, p in zip(new, plain) if p], self._letters([t for t, p in zip(texts, plain) if p])))
+        rest = [w for w, p in zip(new, plain) if not p]
+        cores = [w.rstrip(_CLOSING) for w in rest]
+        split = [len(c) < len(w) and c.decode().isalpha() for w, c in zip(rest, cores)]
+        alone = list({w for w, s in zip(rest, split) if not s} | {w[len(c):] for w, c, s in zip(rest, cores, split) if s})
+        known.update(zip(alone, self._alone([w.decode() for w in alone])))
+        todo = list({c for c, s in zip(cores, split) if s and c not in known})
+        known.update(zip(todo, self._letters([c.decode() for c in todo])))
+        known.update((w, known[c] + known[w[len(c):]]) for w, c, s in zip(rest, cores, split) if s)
+
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        for start in range(0, len(texts), 256):
-            split = [t.split() for t in texts[start:start + 256]]
+        for start in range(0, len(texts), 1024):
+            part = texts[start:start + 1024]
+            split = [None if b"<|" in t else t.lower().split() for t in part]
             if len(self.known) > _CACHE_WORDS:
                 self.known = {}
-            known = self.known
-            new = list({w for ws in split for w in ws if w not in known})
-            if new:
-                coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                known.update((w, np.asarray(c.ids, dtype="<u4").tobytes()) for w, c in zip(new, coded))
-            for ws in split:
-                yield b"".join([known[w] for w in ws])
+            seen: set[bytes] = set()
+            seen.update(*(ws for ws in split if ws))
+            if new := list(seen.difference(self.known)):
+                self._learn(new)
+            get = self.known.__getitem__
+            for t, ws in zip(part, split):
+                yield self._alone([t.decode()])[0] if ws is None else b"".join(map(get, ws))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -59,7 +102,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
     end = np.asarray([END_ID], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, task = _Encoder(tokenizer), defaultdict(int), TaskContext.get().partitionId()
+        encode, seen, task = Encoder(tokenizer), defaultdict(int), TaskContext.get().partitionId()
         for b in batches:
             owner, rest = [], []
             for i, ids in enumerate(encode(b.column("text").to_pylist())):
