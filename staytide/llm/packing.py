@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
@@ -18,7 +19,7 @@ from staytide.sources.tables import checkpointed
 CAPACITY = 2048
 END_ID = 0
 #: Word cache of a task: emptied when it holds so many words.
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 400_000
 
 
 #: ASCII signs that may close a word; an apostrophe may start a pre-token of its own and is left out.
@@ -36,6 +37,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
