@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staytide.llm.text import SPACE_CHARS, filled, kept_rows, words
+from staytide.llm.text import SPACE_CHARS, filled, kept_rows, lookup, words
 from staytide.sources.tables import checkpointed
 
 _SYMBOLS = "[#*$%&|<>]"
@@ -100,7 +100,7 @@ def keep_good(docs: DataFrame, **settings: object) -> DataFrame:
     rows = kept_rows(docs).withColumn("digest", F.md5(filled(F.col("doc.text"))))
     gone = (F.col("doc.doc_id").eqNullSafe(F.col("r_doc_id")) & F.col("doc.source").eqNullSafe(F.col("r_source"))
             & (F.col("digest") == F.col("r_digest")))
-    return rows.join(rejected, gone, "left_anti").select("doc.*")
+    return rows.join(lookup(rejected), gone, "left_anti").select("doc.*")
 
 
 #: DuckDB: the same counts and verdict by plain grouping of the line texts.

@@ -7,12 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staytide.llm.text import filled, kept_rows
+from staytide.llm.text import filled, kept_rows, lookup
 from staytide.sources.tables import checkpointed
 
 MARGINS = ("source", "lang", "topic")
-#: A look-up table of up to this many rows is broadcast (a few dozen MB); a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def topic_of(text: Column) -> Column:
@@ -111,10 +109,8 @@ def mix(docs: DataFrame, wanted: Mapping[str, Mapping[str, float]] | None = None
     cells = checkpointed(rows.filter("n_tokens > 0").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     cells = checkpointed(inclusion(rake(cells, wanted, power), rate))
     table = cells.select(*[F.col(m).alias(f"c_{m}") for m in MARGINS], "weight", "probability")
-    if cells.count() <= BROADCAST_ROWS:
-        table = F.broadcast(table)
     same = [F.col(m).eqNullSafe(F.col(f"c_{m}")) for m in MARGINS]
-    return (rows.join(table, same[0] & same[1] & same[2], "left")
+    return (rows.join(lookup(table), same[0] & same[1] & same[2], "left")
             .select("doc_id", *MARGINS, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("cell_weight"),
                     F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0).alias("probability"), "draw")
             .withColumn("sampled", F.col("draw") < F.col("probability")))
@@ -125,11 +121,10 @@ def sample(docs: DataFrame, seed: int = 17, **settings: object) -> DataFrame:
     drawn = mix(docs, seed=seed, **settings)
     cells = checkpointed(drawn.filter("probability > 0").groupBy(*[F.col(m).alias(f"c_{m}") for m in MARGINS])
                          .agg(F.max("probability").alias("probability")))
-    table = F.broadcast(cells) if cells.count() <= BROADCAST_ROWS else cells
     text = filled(F.col("doc.text"))
     rows = kept_rows(docs).withColumns({
         "topic": topic_of(text),
         "draw": F.pmod(F.xxhash64("doc.doc_id", text, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)})
     same = (F.col("doc.source").cast("string").eqNullSafe(F.col("c_source"))
             & F.col("doc.lang").cast("string").eqNullSafe(F.col("c_lang")) & (F.col("topic") == F.col("c_topic")))
-    return rows.join(table, same).filter((F.col("draw") < F.col("probability")) & (F.length(text) > 0)).select("doc.*")
+    return rows.join(lookup(cells), same).filter((F.col("draw") < F.col("probability")) & (F.length(text) > 0)).select("doc.*")

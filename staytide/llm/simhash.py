@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staytide.llm.components import connected_components
-from staytide.llm.text import kept_rows
+from staytide.llm.text import kept_rows, lookup
 from staytide.sources.tables import checkpointed
 
 #: Five blocks of the 64 bits: two fingerprints with at most three differing bits agree on two blocks at least.
@@ -174,10 +174,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d"))
     repeated = checkpointed(found.join(kept, same, "left_semi").groupBy("doc_id", "digest").count().filter("count > 1")
                             .select(F.col("doc_id").alias("id"), F.col("digest").alias("d")))
+    dropped = checkpointed(found.join(kept, same, "left_anti").select(F.col("doc_id").alias("id"), F.col("digest").alias("d")).distinct())
     rows = kept_rows(docs).withColumns({
         "doc_id": F.col("doc.doc_id"),
         "digest": F.md5(F.coalesce(F.col("doc.text").cast("string"), F.lit("")).cast("binary"))})
-    rows = rows.join(kept, same, "left_semi")
+    rows = rows.join(lookup(dropped), same, "left_anti")
     if not repeated.isEmpty():
         once = (rows.join(repeated, same, "left_semi").groupBy("doc_id", "digest").agg(F.first("doc").alias("doc")))
         rows = rows.join(repeated, same, "left_anti").select("doc").unionByName(once.select("doc"))

@@ -36,3 +36,9 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 def kept_rows(docs: DataFrame) -> DataFrame:
     """Each row packed into one column ``doc``, so that no name of the input can clash with a working column."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
+def lookup(table: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table for the small side of a join: broadcast where it has at
+    most ``rows`` rows (some dozen MB), else joined by shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table
