@@ -14,12 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from staytide.llm.text import in_slices
 from staytide.sources.tables import checkpointed
 
 CAPACITY = 2048
 END_ID = 0
 #: Word cache of a task: emptied when it holds so many words.
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 300_000
 
 
 #: ASCII signs that may close a word; an apostrophe may start a pre-token of its own and is left out.
@@ -78,18 +79,16 @@ class Encoder:
         known.update((w, known[c] + known[w[len(c):]]) for w, c, s in zip(rest, cores, split) if s)
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        for start in range(0, len(texts), 1024):
-            part = texts[start:start + 1024]
-            split = [None if b"<|" in t else t.lower().split() for t in part]
-            if len(self.known) > _CACHE_WORDS:
-                self.known = {}
-            seen: set[bytes] = set()
-            seen.update(*(ws for ws in split if ws))
-            if new := list(seen.difference(self.known)):
-                self._learn(new)
-            get = self.known.__getitem__
-            for t, ws in zip(part, split):
-                yield self._alone([t.decode()])[0] if ws is None else b"".join(map(get, ws))
+        split = [None if b"<|" in t else t.lower().split() for t in texts]
+        if len(self.known) > _CACHE_WORDS:
+            self.known = {}
+        seen: set[bytes] = set()
+        seen.update(*(ws for ws in split if ws))
+        if new := list(seen.difference(self.known)):
+            self._learn(new)
+        get = self.known.__getitem__
+        for t, ws in zip(texts, split):
+            yield self._alone([t.decode()])[0] if ws is None else b"".join(map(get, ws))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -107,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
         encode, seen, task = Encoder(tokenizer), defaultdict(int), TaskContext.get().partitionId()
         for b in batches:
             owner, rest = [], []
-            for i, ids in enumerate(encode(b.column("text").to_pylist())):
+            for i, ids in enumerate(x for texts in in_slices(b.column("text"), 512) for x in encode(texts)):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]

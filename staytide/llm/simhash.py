@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staytide.llm.components import connected_components
-from staytide.llm.text import kept_rows, lookup
+from staytide.llm.text import in_slices, kept_rows, lookup
 from staytide.sources.tables import checkpointed
 
 #: Five blocks of the 64 bits: two fingerprints with at most three differing bits agree on two blocks at least.
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t, size) for t in b.column("text").to_pylist()), dtype=np.uint64)
+            fps = np.fromiter((fingerprint(t, size) for texts in in_slices(b.column("text")) for t in texts), dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(fps.view(np.int64))],
                                              ["doc_id", "digest", "fp"])
 

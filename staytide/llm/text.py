@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,12 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def in_slices(column: pa.Array, rows: int = 256) -> Iterator[list]:
+    """Values of an Arrow column, a few at a time, so that a batch of long texts is never held twice."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Fold by the CRC of the id's text; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder

@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staytide.llm.text import in_slices
+
 SPACE_MARK = "▁"
 #: A task starts a new trie when its trie holds so many nodes (some hundred MB).
-MAX_NODES = 1_000_000
+MAX_NODES = 600_000
 
 
 def unigram_scores(path: str) -> dict[str, float]:
@@ -96,7 +98,7 @@ def token_counts(docs: DataFrame, vocabulary: str, max_nodes: int = MAX_NODES) -
         trie = SegmentTrie(unigram_scores(vocabulary), max_nodes)
         for b in batches:
             chars, pretokens, tokens = [], [], []
-            for text in b.column("text").to_pylist():
+            for text in (t for texts in in_slices(b.column("text")) for t in texts):
                 parts = text.encode().split()
                 known = trie.terminal
                 total = 0
