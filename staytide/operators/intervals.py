@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import slot
-from .joins import without
 from .sizing import needs_split
 
 # Undated rows sort last, hence the largest slot.
@@ -22,6 +21,11 @@ def _over(keys: list[str], ts: str, ties: list[str]) -> str:
     return f"over (partition by {', '.join(keys)} order by {order})"
 
 
+def _same(keys: list[str]) -> Column:
+    """NULL keys are keys, in joins as in windows."""
+    return F.expr(" and ".join(f"{k} <=> _k_{k}" for k in keys))
+
+
 def mark_first(df: DataFrame, keys: list[str], ts: str, ties: list[str], out: str,
                split: bool, days: int = 1) -> DataFrame:
     """Flag the earliest row per key.
@@ -35,7 +39,8 @@ def mark_first(df: DataFrame, keys: list[str], ts: str, ties: list[str], out: st
     slotted = _slotted(df, ts, days)
     earliest = slotted.groupBy(*keys).agg(F.min("_slot").alias("_earliest"))
     ranked = slotted.selectExpr("*", f"row_number() {_over([*keys, '_slot'], ts, ties)} as _rn")
-    return ranked.join(earliest, keys).selectExpr(
+    earliest = earliest.selectExpr(*[f"{k} as _k_{k}" for k in keys], "_earliest")
+    return ranked.join(earliest, _same(keys)).selectExpr(
         *df.columns, f"_rn = 1 and _slot = _earliest as {out}")
 
 
@@ -55,7 +60,8 @@ def to_intervals(df: DataFrame, keys: list[str], start: str, fallback_end: str,
     heads = slotted.groupBy(*keys, "_slot").agg(F.min(start).alias("_head")).selectExpr(
         *keys, "_slot", f"lead(_head) over (partition by {', '.join(keys)} order by _slot) as _next_head")
     ahead = slotted.selectExpr("*", f"lead({start}) {_over([*keys, '_slot'], start, ties)} as _next")
-    return ahead.join(heads, [*keys, "_slot"]).selectExpr(
+    heads = heads.selectExpr(*[f"{k} as _k_{k}" for k in [*keys, "_slot"]], "_next_head")
+    return ahead.join(heads, _same([*keys, "_slot"])).selectExpr(
         *df.columns, f"coalesce(_next, _next_head, {fallback_end}) as {out}")
 
 
@@ -81,7 +87,8 @@ def fallback_intervals(primary: DataFrame, secondary: DataFrame, key: str,
     Split plan: anti join against the distinct primary keys.
     """
     if split:
-        return primary.unionByName(without(secondary, primary, key)).distinct()
+        known = primary.selectExpr(f"{key} as _k_{key}").distinct()
+        return primary.unionByName(secondary.join(known, _same([key]), "left_anti")).distinct()
     both = primary.selectExpr("*", "true as _primary").unionByName(
         secondary.selectExpr("*", "false as _primary"))
     marked = both.selectExpr("*", f"max(_primary) over (partition by {key}) as _has_primary")

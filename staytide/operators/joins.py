@@ -22,8 +22,8 @@ def attach_window(episodes: DataFrame, events: DataFrame, on: list[str], ts: str
     still too large can be divided by adaptive execution, and the episode side
     is broadcast only when its measured size allows.
 
-    ``how="left"`` adds one row with NULL event columns for every episode
-    without an event, found by an anti join on the matched keys.
+    ``how="left"`` joins the episodes, one row per ``episode_key``, to the
+    matched rows once more, which adds those without an event.
     """
     days = whole_days((before + after) / 2)
     first, last = (slot(f"({anchor} {move})", days)
@@ -35,8 +35,9 @@ def attach_window(episodes: DataFrame, events: DataFrame, on: list[str], ts: str
                .where(in_window(ts, anchor, before, after, closed)).drop("_slot"))
     if how == "inner":
         return matched
-    missing = without(episodes, matched, episode_key)
-    return matched.unionByName(missing, allowMissingColumns=True)
+    others = [c for c in episodes.columns if c != episode_key]
+    rest = [c for c in matched.columns if c not in others]
+    return episodes.join(matched.select(*rest), episode_key, "left").select(*matched.columns)
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], ts: str, start: str,

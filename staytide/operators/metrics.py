@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """Rows per (truth, prediction); combinations that do not occur are absent."""
-    return df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(
-        F.count(F.lit(1)).alias("n"))
+    """Rows per (truth, prediction), with zero for pairs of occurring classes
+    that do not occur. The classes, not the rows, bound what is paired."""
+    found = df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    classes = found.select(F.explode(F.array("truth", "predicted")).alias("c")).where("c is not null").agg(F.collect_set("c").alias("all"))
+    zero = classes.select("all", F.explode("all").alias("truth")).select(
+        "truth", F.explode("all").alias("predicted"), F.lit(0).cast("long").alias("n"))
+    return found.unionByName(zero).groupBy("truth", "predicted").agg(F.sum("n").alias("n"))
 
 
 def confusion_normalized(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     row = F.sum("n").over(Window.partitionBy("truth"))
-    return confusion(df, truth, predicted).withColumn("share", F.col("n") / row)
+    return confusion(df, truth, predicted).withColumn("share", F.coalesce(F.try_divide(F.col("n"), row), F.lit(0.0)))
 
 
 def accuracy(df: DataFrame, truth: str, predicted: str) -> DataFrame:

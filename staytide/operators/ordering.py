@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,20 +19,23 @@ def with_position(df: DataFrame, key: str, seed: int = 0, by: list[str] | None =
     The order is that of ``md5(seed:key)``, so it does not depend on how rows
     are distributed, and re-running a lost task gives the same positions. A
     position is the number of rows in smaller hash buckets plus the rank
-    inside the bucket; ``key`` must identify a row. ``_n`` is the group size.
+    inside the bucket; ``key`` must identify a row;
+    NULL keys and groups are values like others. ``_n`` is the group size.
     """
     by = by or []
-    hashed = df.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    hashed = df.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
     hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, _PREFIX))
     counts = hashed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "_bucket", F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_o"),
                             F.sum("_c").over(Window.partitionBy(*by)).alias("_n"))
     rank = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_hash", key))
+    offsets = offsets.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_bucket"]], "_o", "_n")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, "_bucket"]])
     return (hashed.withColumn("_r", rank)
-            .join(offsets if by else F.broadcast(offsets), [*by, "_bucket"])
+            .join(offsets if by else F.broadcast(offsets), same)
             .withColumn("_pos", F.col("_o") + F.col("_r"))
-            .drop("_hash", "_bucket", "_o", "_r"))
+            .select(*df.columns, "_n", "_pos"))
 
 
 def held_out_rows(n: Column, size: float) -> Column:

@@ -18,6 +18,10 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, columns: list[str],
                  by: list[str] | None = None) -> DataFrame:
     """Columns replaced by their standardised values. An ungrouped scaler has
     exactly one row, so broadcasting it is safe at any input size."""
-    joined = df.join(scaler, by) if by else df.join(F.broadcast(scaler))
+    if by:  # NULL groups are groups
+        scaler = scaler.selectExpr(*[f"{c} as _k_{c}" for c in by], *[c for c in scaler.columns if c not in by])
+        joined = df.join(scaler, F.expr(" and ".join(f"{c} <=> _k_{c}" for c in by)))
+    else:
+        joined = df.join(F.broadcast(scaler))
     return joined.selectExpr(*[
         f"({c} - _mean_{c}) / _sd_{c} as {c}" if c in columns else c for c in df.columns])

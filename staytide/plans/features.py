@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import NumericType
 
 from ..functions import codes as C
 from ..functions.columns import all_finite, literal_map, one_of
@@ -27,16 +28,18 @@ def encode_categories(df: DataFrame) -> DataFrame:
     return df.selectExpr(*[f"{codes[c]} as {c}" if c in codes else c for c in df.columns])
 
 
+def _numeric(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
+
+
 def fill_zero(df: DataFrame, keep_null: list[str]) -> DataFrame:
     """NULL and NaN numbers become 0, except in the named columns."""
-    numeric = [n for n, t in df.dtypes if t in ("int", "bigint", "double") and n not in keep_null]
-    return df.na.fill(0, subset=numeric)
+    return df.na.fill(0, subset=[n for n in _numeric(df) if n not in keep_null])
 
 
 def drop_non_finite(df: DataFrame) -> DataFrame:
     """Drops rows with an infinite, NaN or NULL number."""
-    numeric = [n for n, t in df.dtypes if t in ("int", "bigint", "double")]
-    return df.where(all_finite(numeric))
+    return df.where(all_finite(_numeric(df)))
 
 
 def clean_cohort(wide: DataFrame) -> DataFrame:

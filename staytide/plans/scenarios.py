@@ -47,7 +47,7 @@ def train(df: DataFrame, kind: str = "mlp", hidden: Sequence[int] = HIDDEN, clas
         "mlp": lambda: MultilayerPerceptronClassifier(
             layers=[len(columns), *hidden, classes], maxIter=max_iter, tol=tol, seed=seed, **common),
         "forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed, **common),
-        "logistic": lambda: LogisticRegression(maxIter=min(max_iter, 100), tol=tol, **common),
+        "logistic": lambda: LogisticRegression(maxIter=max_iter, tol=tol, **common),
     }[kind]()
     return PipelineModel([assembler, learner.fit(assembler.transform(df))])
 

@@ -150,8 +150,8 @@ on_stays("stages_creatinine", "select * from stage_series_creat")(
 on_stays("stage_7day_creatinine", "select * from worst7c")(K.stage_7day_creatinine)
 
 
-@on_stays("worst_creatinine", "select icustay_id, dbsource, charttime, creat, aki_stage_creat from "
-          + S._worst("stage_series", S._RANK_C, "k.aki_stage_creat", "7 day"))
+@on_stays("worst_creatinine", "select icustay_id, dbsource, charttime, creat, aki_stage_creat from icustays join "
+          + S._worst("stage_series", "aki_stage_creat", ["creat"], "7 day") + " w using (icustay_id)")
 def _(t):
     worst = K.worst_creatinine(K.staged_creatinine(t.icustays, t.labevents), K.DAYS_7)
     return worst.select("icustay_id", "dbsource", "charttime", "creat", "aki_stage_creat")
@@ -215,8 +215,8 @@ on_stays("urine_rates", rounded_sql("urine_rate", _VOLUMES))(
 on_stays("stage_urine", "select * from urine_stage")(_urine_series)
 
 
-@on_stays("worst_urine", "select icustay_id, dbsource, charttime, uo_rt_6hr, uo_rt_12hr, uo_rt_24hr, aki_stage_uo from "
-          + S._worst("stage_series", S._RANK_U, "k.aki_stage_uo", "7 day"))
+@on_stays("worst_urine", "select icustay_id, dbsource, charttime, uo_rt_6hr, uo_rt_12hr, uo_rt_24hr, aki_stage_uo from icustays join "
+          + S._worst("stage_series", "aki_stage_uo", ["uo_rt_24hr", "uo_rt_12hr", "uo_rt_6hr"], "7 day") + " w using (icustay_id)")
 def _(t):
     return K.worst_urine(_urine_series(t), K.DAYS_7).select(
         "icustay_id", "dbsource", "charttime", *K._RATES, "aki_stage_uo")

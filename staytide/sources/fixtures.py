@@ -62,11 +62,11 @@ from {{events}}""",
     "diagnoses_icd": f"""
 select user_id as subject_id, {_HADM} as hadm_id,
        1 + cast(floor(event_id / 10) as bigint) % 5 as seq_num,
-       case cast(floor(event_id / 10) as bigint) % 29
+       case event_id % 290
             when 0 then '5851' when 1 then '5845' when 2 then '40391' when 3 then 'V420' when 4 then '4280' when 5 then '42731'
             when 6 then '4019' when 7 then '25000' when 8 then '25040' when 9 then '2449' when 10 then '27800' when 11 then '4240'
             when 12 then '4400' when 13 then '5712' when 14 then '30500' when 15 then '3042' else '78650' end as icd9_code
-from {{events}} where event_id % 10 = 0""",
+from {{events}}""",
     "noteevents": f"""
 select event_id as row_id, user_id as subject_id, {_HADM} as hadm_id,
        date_trunc('day', ts) as chartdate,

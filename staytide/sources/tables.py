@@ -54,8 +54,8 @@ COLUMNS = {
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType,
                    columns: list[str] | None = None) -> DataFrame:
     """CSV with a header; types come from the schema, never from a scan of the
-    data. Column pruning reaches the parser."""
-    df = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
+    data, and a header that does not agree with the schema is an error. Column pruning reaches the parser."""
+    df = (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
           .option("multiLine", False).csv(path))
     return df.select(*(columns or [c for c in df.columns if c != "row_id"]))
 
