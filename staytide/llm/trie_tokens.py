@@ -13,7 +13,7 @@ from staytide.llm.text import in_slices
 
 SPACE_MARK = "▁"
 #: A task starts a new trie when its trie holds so many nodes (some hundred MB).
-MAX_NODES = 600_000
+MAX_NODES = 1_000_000
 
 
 def unigram_scores(path: str) -> dict[str, float]:
@@ -35,28 +35,36 @@ class SegmentTrie:
     of the score where the piece starts plus the piece's; it depends on the
     prefix alone, so words with a common beginning share the work. A character
     that no piece covers costs one token per UTF-8 byte. Ties go to fewer
-    tokens. Terminal counts are kept per whole pre-token.
+    tokens. ``terminal`` keeps the counts of whole pre-tokens as long as their trie.
     """
 
     def __init__(self, scores: dict[str, float], max_nodes: int = MAX_NODES):
         self.scores, self.max_nodes = scores, max_nodes
-        self.longest = max(map(len, scores), default=1)
+        # Endings of pieces, with the score of those that are whole pieces: the look back from a node ends where no piece does.
+        self.endings: dict[str, float | None] = {}
+        for piece, score in scores.items():
+            for at in range(1, len(piece)):
+                self.endings.setdefault(piece[at:], None)
+            self.endings[piece] = score
         self.byte_score = min(scores.values(), default=0.0) - 10.0
         self._clear()
 
     def _clear(self) -> None:
         # A node is (children, forward score, tokens).
         self.root: tuple[dict, float, int] = ({}, 0.0, 0)
-        self.terminal: dict[str, int] = {}
+        self.terminal: dict[bytes, int] = {}
         self.nodes = 1
 
     def _grow(self, word: str, path: list[tuple[dict, float, int]]) -> tuple[dict, float, int]:
         """The node below ``path`` for the prefix of ``word`` one character longer."""
-        end, scores = len(path), self.scores
+        end, endings = len(path), self.endings
         size = len(word[end - 1].encode("utf-8", "surrogatepass"))
         best, count = path[-1][1] + size * self.byte_score, path[-1][2] + size
-        for start in range(max(0, end - self.longest), end):
-            score = scores.get(word[start:end])
+        for start in range(end - 1, -1, -1):
+            piece = word[start:end]
+            if piece not in endings:
+                break
+            score = endings[piece]
             if score is not None:
                 total, tokens = path[start][1] + score, path[start][2] + 1
                 if total > best or (total == best and tokens < count):
@@ -66,9 +74,6 @@ class SegmentTrie:
 
     def count(self, word: str) -> int:
         """Tokens of the best segmentation of one pre-token."""
-        known = self.terminal.get(word)
-        if known is not None:
-            return known
         if self.nodes > self.max_nodes:
             self._clear()
         node, path = self.root, [self.root]
@@ -78,7 +83,6 @@ class SegmentTrie:
                 below = node[0][ch] = self._grow(word, path)
             node = below
             path.append(node)
-        self.terminal[word] = node[2]
         return node[2]
 
 
@@ -100,15 +104,13 @@ def token_counts(docs: DataFrame, vocabulary: str, max_nodes: int = MAX_NODES) -
             chars, pretokens, tokens = [], [], []
             for text in (t for texts in in_slices(b.column("text")) for t in texts):
                 parts = text.encode().split()
-                known = trie.terminal
-                total = 0
-                for w in parts:
-                    n = known.get(w)
-                    if n is None:
-                        n = trie.count(SPACE_MARK + w.decode())
-                        known = trie.terminal
-                        known[w] = n
-                    total += n
+                for w in set(parts).difference(trie.terminal):
+                    n = trie.count(SPACE_MARK + w.decode())
+                    trie.terminal[w] = n
+                try:
+                    total = sum(map(trie.terminal.__getitem__, parts))
+                except KeyError:  # the trie was started anew within this text
+                    total = sum(trie.count(SPACE_MARK + w.decode()) for w in parts)
                 chars.append(len(text))
                 pretokens.append(len(parts))
                 tokens.append(total)
