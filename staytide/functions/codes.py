@@ -203,18 +203,34 @@ def vital_items() -> list[int]:
     return sorted(code for rules in VITALS.values() for codes, *_ in rules for code in codes)
 
 
+# The model inputs in their fixed order, from labels and labs only (79) and with urine rates (82).
+FEATURES = {
+    "creatinine": """
+        creatinine_max creatinine_min creat egfr potassium_max glucose_max platelet_min bun_max wbc_min platelet_max tempc_mean
+        glucose_mean ptt_max tempc_min bun_min hematocrit_min spo2_mean meanbp_mean age dbsource heartrate_mean pt_max tempc_max
+        resprate_mean chloride_max glucose_min wbc_max diasbp_mean sysbp_max diasbp_min chloride_min spo2_min heartrate_max
+        hemoglobin_max sysbp_mean hematocrit_max diasbp_max heartrate_min sysbp_min sodium_min meanbp_max bicarbonate_max
+        meanbp_min sodium_max aniongap_max aniongap_min hemoglobin_min lactate_min bicarbonate_min ptt_min pt_min bilirubin_max
+        resprate_min lactate_max resprate_max albumin_min potassium_min inr_max albumin_max bilirubin_min inr_min bands_min
+        ethnicity bands_max hypertension diabetes_uncomplicated valvular_disease congestive_heart_failure spo2_max alcohol_abuse
+        gender cardiac_arrhythmias peripheral_vascular obesity hypothyroidism diabetes_complicated liver_disease drug_abuse
+        renal_failure""".split(),
+    "urine": """
+        uo_rt_24hr uo_rt_12hr uo_rt_6hr creatinine_max creatinine_min creat egfr platelet_max wbc_max bun_max platelet_min age
+        dbsource glucose_min tempc_min wbc_min glucose_max diasbp_mean bun_min resprate_mean sysbp_max potassium_max chloride_max
+        heartrate_max heartrate_mean spo2_mean ptt_max meanbp_mean chloride_min glucose_mean ptt_min tempc_max meanbp_min
+        aniongap_max sodium_min hemoglobin_max hematocrit_max meanbp_max diasbp_max hematocrit_min spo2_min sodium_max tempc_mean
+        diasbp_min heartrate_min resprate_max hemoglobin_min bicarbonate_max sysbp_min sysbp_mean bicarbonate_min potassium_min
+        bilirubin_max lactate_max aniongap_min albumin_max pt_min bilirubin_min inr_min albumin_min resprate_min pt_max ethnicity
+        lactate_min inr_max bands_max bands_min hypertension hypothyroidism congestive_heart_failure gender cardiac_arrhythmias
+        spo2_max alcohol_abuse drug_abuse valvular_disease obesity peripheral_vascular diabetes_complicated liver_disease
+        diabetes_uncomplicated renal_failure""".split(),
+}
+
+
 def feature_columns(variant: str) -> list[str]:
-    """Model inputs: 79 columns from labels and labs only, 82 with urine rates.
-
-    The two stage labels come first; the rest follows from the lab, vital and
-    comorbidity lists, so a new lab or vital extends the features.
-    """
-    labs = [f"{lab}_{stat}" for lab in LABS for stat in ("min", "max")]
-    vitals = [f"{v}_{stat}" for v in VITALS if v != "glucose" for stat in ("min", "max", "mean")]
-    conditions = sorted([*COMORBIDITY_OUTPUTS, "hypertension", "diabetes_uncomplicated"])
-    urine = ["uo_rt_6hr", "uo_rt_12hr", "uo_rt_24hr"] if variant == "urine" else []
-    return (["creat", "egfr", *urine] + labs + vitals + ["glucose_mean"]
-            + ["age", "gender", "ethnicity", "dbsource"] + conditions)
+    """Model inputs of a variant in their fixed order; "urine" has the urine rates, any other name has not."""
+    return FEATURES["urine" if variant == "urine" else "creatinine"]
 
 
 LABEL_COLUMNS = ["aki", "aki_stage_7day"]

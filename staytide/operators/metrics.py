@@ -49,8 +49,8 @@ def _per_class(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """Precision, recall, F1 and support per class, with micro, macro and
-    weighted averages. Ratios without a denominator are 0."""
+    """Precision, recall, F1 and support per class, with micro, macro,
+    weighted and per-sample averages. Ratios without a denominator are 0."""
     scored = _per_class(df, truth, predicted).select(
         F.col("label").cast("string").alias("label"), "tp", "guessed", "support",
         _ratio(F.col("tp"), F.col("guessed")).alias("precision"),
@@ -68,7 +68,9 @@ def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     averages = sums.select(F.explode(F.array(
         line("micro avg", micro_p, micro_r, _ratio(2 * micro_p * micro_r, micro_p + micro_r)),
         *[line(f"{kind} avg", *[F.col(f"{kind}_{c}") for c in shares])
-          for kind in ("macro", "weighted")])).alias("a")).select("a.*")
+          for kind in ("macro", "weighted")],
+        # Each row has one class, so per sample all three ratios are 1 for a hit and 0 for a miss.
+        line("samples avg", micro_r, micro_r, micro_r))).alias("a")).select("a.*")
     return scored.select("label", *shares, "support").unionByName(averages)
 
 

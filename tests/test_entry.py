@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from staytide import registry
 from compare import difference, duck
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +14,8 @@ ROWS_ONLY = {"smote_rows", "predict_stage", "scenario_overall", "scenario_ethnic
 
 
 def test_contract(spark):
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    own = set(registry.QUERIES)
+    assert own <= set(entry.queries()) and own - set(entry.oracle_sql()) == ROWS_ONLY
     df = entry.entry(spark)
     assert df.count() == 45 and "aki_stage_7day" in df.columns
 

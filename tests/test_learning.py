@@ -141,3 +141,20 @@ def test_model_is_saved(stays, tmp_path):
     again = Z.predict(PipelineModel.load(str(tmp_path / "model")), stays)
     assert again.exceptAll(Z.predict(model, stays)).count() == 0
     assert set(Z.features_of(stays)) == {"creat", "age", "ethnicity", "dbsource"} and C.LABEL_COLUMNS[1] == Z.LABEL
+
+
+def test_null_keys_and_groups_keep_their_rows(table):
+    from staytide.operators import intervals, metrics, ordering, scaling
+    rows = table("g string, k long, v double", *[(("a", "b", None)[i % 3], None if i == 4 else i, float(i)) for i in range(12)])
+    assert ordering.split_exact(rows, "k", 0.25, by=["g"]).count() == 12
+    assert ordering.split_exact(rows, "k", 0.25).where("is_test").count() == 3
+    scaled = scaling.apply_scaler(rows, scaling.fit_scaler(rows, ["v"], ["g"]), ["v"], ["g"])
+    assert scaled.count() == 12 and abs(scaled.where("g is null").agg({"v": "avg"}).first()[0]) < 1e-9
+    dense = {(r.truth, r.predicted): r.n for r in metrics.confusion(table("t int, p int", (0, 0), (1, 2)), "t", "p").collect()}
+    assert len(dense) == 9 and sum(dense.values()) == 2
+    spans = table("k int, s timestamp_ntz, e timestamp_ntz, w int").unionByName(rows.sparkSession.sql(
+        "select k, timestamp_ntz'2024-01-01' as s, timestamp_ntz'2024-01-02' as e, k as w from values (1), (cast(null as int)) as t(k)"))
+    for split in (False, True):
+        assert intervals.to_intervals(spans, ["k"], "s", "e", ["w"], split).count() == 2
+        assert intervals.mark_first(spans, ["k"], "s", ["w"], "f", split).where("f").count() == 2
+        assert intervals.fallback_intervals(spans, spans, "k", split).count() == 2
