@@ -20,7 +20,7 @@ from staytide.sources.tables import checkpointed
 CAPACITY = 2048
 END_ID = 0
 #: Word cache of a task: emptied when it holds so many words.
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 600_000
 
 
 #: ASCII signs that may close a word; an apostrophe may start a pre-token of its own and is left out.
@@ -54,7 +54,8 @@ class Encoder:
         apart by their closing tokens; should a word have more than one pre-token,
         the number of closing tokens shows it and all are encoded alone."""
         out, parts = [], [words[at:at + 1000] for at in range(0, len(words), 1000)]
-        coded = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
+        coded = (c for at in range(0, len(parts), 8)
+                 for c in self.tokenizer.encode_batch_fast([" ".join(p) for p in parts[at:at + 8]], add_special_tokens=False))
         for part, code in zip(parts, coded):
             ids = np.asarray(code.ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
@@ -118,6 +119,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
                                                       (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(owner, pa.int64())), *columns],
                                              ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"])
+            del b, columns, owner, rest
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(pieces, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, "
                                    "ids_crc32 long, task int, place long")
