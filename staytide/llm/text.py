@@ -31,7 +31,9 @@ def lower_ascii(text: Column) -> Column:
 
 
 def in_slices(column: pa.Array, rows: int = 256) -> Iterator[list]:
-    """Values of an Arrow column, a few at a time, so that a batch of long texts is never held twice."""
+    """Values of an Arrow column, a few at a time, so that a batch of long texts is never held twice.
+    Memory of earlier batches goes back to the system first."""
+    pa.default_memory_pool().release_unused()
     for at in range(0, len(column), rows):
         yield column.slice(at, rows).to_pylist()
 
