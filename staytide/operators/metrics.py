@@ -6,6 +6,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpointed
+
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Rows per (truth, prediction), with zero for pairs of occurring classes
@@ -104,10 +106,11 @@ def roc_auc(df: DataFrame, label: str, score: str, buckets: int = 1000) -> DataF
     ``buckets`` numbers); they only balance the work, any borders give the
     exact area.
     """
-    counts = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-              .groupBy(F.col(score).cast("double").alias("score"))
-              .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
-                   F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg")))
+    counts = checkpointed(  # read for the borders and for the area
+        df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+        .groupBy(F.col(score).cast("double").alias("score"))
+        .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
+             F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg")))
     borders = sorted(set(counts.approxQuantile(
         "score", [i / buckets for i in range(1, buckets)], 1 / buckets)))
     splits = [float("-inf"), *borders, float("inf")]

@@ -158,14 +158,14 @@ def smote(df: DataFrame, key: str, label: str, columns: list[str], k: int = 5,
     and one of its k nearest rows of the class.
 
     Base rows take turns; neighbour and position on the segment come from a
-    hash of (seed, row, turn), so a repeated task gives the same points. A
-    class needs two rows to be grown. Output: ``columns``, label and
+    hash of (seed, row, turn), so a repeated task gives the same points. The
+    row of a class of one has no neighbour and is repeated. Output: ``columns``, label and
     ``is_synthetic``.
     """
     rows = checkpointed(df.select(F.col(key).cast("string").alias("_key"), label, *columns))
     classes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     classes = classes.join(F.broadcast(classes.agg(F.max("_n").alias("_max"))))
-    growing = classes.where((F.col("_n") < F.col("_max")) & (F.col("_n") > 1)).select(
+    growing = classes.where(F.col("_n") < F.col("_max")).select(
         label, (F.col("_max") - F.col("_n")).alias("_need"))
     small = rows.join(growing, label)
     near = nearest_neighbours(
@@ -177,7 +177,8 @@ def smote(df: DataFrame, key: str, label: str, columns: list[str], k: int = 5,
     turns = (F.floor(F.col("_need") / F.col("_n"))
              + F.when(F.col("_pos") <= F.col("_need") % F.col("_n"), 1).otherwise(0))
     base = (with_position(small, "_key", seed, [label]).withColumn("_turns", turns)
-            .where(F.col("_turns") > 0).join(near, "_key")
+            .where(F.col("_turns") > 0).join(near, "_key", "left")
+            .withColumn("_nears", F.coalesce("_nears", F.array("_key")))
             .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"),
                                                       F.floor((F.col("_turns") - 1) / part))))
             .repartition("_key", "_part")

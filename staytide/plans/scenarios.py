@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..operators.metrics import metrics_row
 from ..operators.neighbours import smote
-from ..operators.ordering import split_exact
+from ..operators.ordering import held_out_rows, split_exact, with_position
 from ..operators.scaling import apply_scaler, fit_scaler
 from ..sources.tables import checkpointed
 
@@ -31,14 +31,14 @@ def features_of(df: DataFrame) -> list[str]:
 
 
 def train(df: DataFrame, kind: str = "mlp", hidden: Sequence[int] = HIDDEN, classes: int = 4,
-          max_iter: int = 1000, tol: float = 1e-6, seed: int = SEED,
-          label: str = LABEL) -> PipelineModel:
+          max_iter: int = 1000, tol: float = 1e-6, seed: int = SEED, trees: int = 100,
+          depth: int = 10, label: str = LABEL) -> PipelineModel:
     """Fits a classifier; all learners train data-parallel on the executors.
 
     ``mlp`` is a fully connected network with softmax output. Its hidden units
     are sigmoid and it is fitted by L-BFGS, without dropout, until the loss
     stops improving by ``tol`` or after ``max_iter`` rounds. ``forest`` and
-    ``logistic`` take the same inputs.
+    ``logistic`` take the same inputs; a forest has ``trees`` trees of ``depth`` levels.
     """
     columns = features_of(df)
     assembler = VectorAssembler(inputCols=columns, outputCol="_features")
@@ -46,7 +46,7 @@ def train(df: DataFrame, kind: str = "mlp", hidden: Sequence[int] = HIDDEN, clas
     learner = {
         "mlp": lambda: MultilayerPerceptronClassifier(
             layers=[len(columns), *hidden, classes], maxIter=max_iter, tol=tol, seed=seed, **common),
-        "forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed, **common),
+        "forest": lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **common),
         "logistic": lambda: LogisticRegression(maxIter=max_iter, tol=tol, **common),
     }[kind]()
     return PipelineModel([assembler, learner.fit(assembler.transform(df))])
@@ -73,17 +73,21 @@ def _evaluate(model: Transformer, sets: dict[str, DataFrame], scenario: str) ->
     return reduce(DataFrame.unionByName, rows)
 
 
-def _train_test(df: DataFrame, size: float, fit_on: str) -> tuple[DataFrame, DataFrame]:
-    """Split, then scaled by the training rows (or by all, ``fit_on="all"``)."""
-    parts = checkpointed(split_exact(df, KEY, size, SEED))
-    train_set = parts.where(~F.col("is_test")).drop("is_test")
-    test_set = parts.where(F.col("is_test")).drop("is_test")
-    return tuple(_scaled(df if fit_on == "all" else train_set, train_set, test_set))
+def _ordered(df: DataFrame) -> DataFrame:
+    """All rows with their place in one random order, written once."""
+    return checkpointed(with_position(df, KEY, SEED))
+
+
+def _train_test(ordered: DataFrame, size: float, fit_on: str) -> tuple[DataFrame, DataFrame]:
+    """Cut at ``size``, then scaled by the training rows (or by all, ``fit_on="all"``)."""
+    is_test, rows = F.col("_pos") <= held_out_rows(F.col("_n"), size), lambda df: df.drop("_pos", "_n")
+    train_set, test_set = rows(ordered.where(~is_test)), rows(ordered.where(is_test))
+    return tuple(_scaled(rows(ordered) if fit_on == "all" else train_set, train_set, test_set))
 
 
 def overall(df: DataFrame, fit_on: str = "train", **learner: object) -> DataFrame:
     """80/20 split of all stays; metrics on both parts."""
-    train_set, test_set = _train_test(df, 0.2, fit_on)
+    train_set, test_set = _train_test(_ordered(df), 0.2, fit_on)
     model = train(train_set, **learner)
     return _evaluate(model, {"train": train_set, "test": test_set}, "overall")
 
@@ -91,9 +95,9 @@ def overall(df: DataFrame, fit_on: str = "train", **learner: object) -> DataFram
 def by_size(df: DataFrame, sizes: Sequence[float] = TEST_SIZES, fit_on: str = "train",
                **learner: object) -> DataFrame:
     """One model per test fraction; all splits are cuts of one random order."""
-    rows = []
+    rows, ordered = [], _ordered(df)
     for size in sizes:
-        train_set, test_set = _train_test(df, size, fit_on)
+        train_set, test_set = _train_test(ordered, size, fit_on)
         rows.append(_evaluate(train(train_set, **learner), {"test": test_set}, f"test size {size}"))
     return reduce(DataFrame.unionByName, rows)
 

@@ -131,7 +131,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def list_tables(spark: SparkSession) -> list[str]:
-    return sorted(t.name for t in spark.catalog.listTables())
+    """Tables and views of every schema; those outside the current one come
+    with their schema's name."""
+    current, catalog = spark.catalog.currentDatabase(), spark.catalog
+    found = {t.name for t in catalog.listTables()}
+    for schema in (d.name for d in catalog.listDatabases() if d.name != current):
+        found |= {f"{schema}.{t.name}" for t in catalog.listTables(schema) if not t.isTemporary}
+    return sorted(found)
 
 
 def preview_tables(spark: SparkSession, n: int = 5) -> dict[str, DataFrame]:

@@ -93,6 +93,12 @@ def test_neighbours_equal_brute_force(spark, block):
         assert np.allclose(sorted(got[k]), others[:3])
 
 
+def test_smote_repeats_the_row_of_a_class_of_one(table):
+    df = table("k int, y int, a double", (1, 0, 1.0), (2, 0, 2.0), (3, 0, 4.0), (4, 1, 7.0))
+    grown = N.smote(df, "k", "y", ["a"], k=2).collect()
+    assert sorted((r["y"], r["a"]) for r in grown if r["y"] == 1) == [(1, 7.0)] * 3 and len(grown) == 6
+
+
 def test_smote(spark):
     rng = random.Random(1)
     rows = [(i, int(i >= 40) + int(i >= 52), rng.random(), rng.random()) for i in range(55)]

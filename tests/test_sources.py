@@ -56,6 +56,13 @@ def test_intermediates(spark, table):
     assert S.preview_tables(spark, 5)["kept_view"].count() == 1
 
 
+def test_preview_of_all_schemas(spark):
+    spark.sql("create database if not exists other_schema")
+    spark.range(9).write.mode("overwrite").saveAsTable("other_schema.numbers")
+    assert "other_schema.numbers" in S.list_tables(spark)
+    assert S.preview_tables(spark, 5)["other_schema.numbers"].count() == 5
+
+
 def _series(spark, n=300, stays=4):
     rng = random.Random(11)
     rows = [(rng.randrange(stays) if i % 3 else 0, T0 + timedelta(minutes=rng.randrange(20000)), float(rng.randrange(50))) for i in range(n)]
