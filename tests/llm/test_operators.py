@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from staytide.llm import licenses, line_quality, mixing, packing, rule_quality, simhash, topk, toxicity, trie_tokens, url_filter
+from staytide.llm import licenses, line_quality, mixing, near_copies, packing, rule_quality, simhash, topk, toxicity, trie_tokens, url_filter
 from staytide.llm.components import connected_components
 from staytide.llm.queries import vocabulary
 
@@ -101,6 +101,34 @@ def test_simhash(docs, empty, spark):
     assert kept.columns == docs.columns
 
 
+def edited(seed, words, edits):
+    """A text of ``words`` words with ``edits`` of them replaced."""
+    out, draw = body(seed, words).split(), np.random.default_rng(1000 + 100 * seed + edits)
+    for i in draw.choice(words, edits, replace=False):
+        out[i] = f"edit{draw.integers(1 << 30)}"
+    return " ".join(out)
+
+
+def test_one_of_each_equals_brute_force_jaccard(spark):
+    texts = [edited(seed, 150, edits) for seed in range(30) for edits in (0, 1, 2, 3, 4, 5)]
+    texts += [body(900 + i, 60) + " " + LINE for i in range(50)] + [edited(3, 150, 0).upper(), "a b", "A  b", None, ""]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)})
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 60
+    root = components(pairs)
+    want = sorted({root.get(i, i) for i in range(len(texts))})
+    frame = spark.createDataFrame([(i, t, "en", "h", 1) for i, t in enumerate(texts)], DOCS).repartition(3)
+    assert sorted(r[0] for r in simhash.keep_one(frame).collect()) == want
+    for hot in (1, 10_000):
+        sets_frame = near_copies.shingle_sets(frame)
+        named = {r.doc_id: r.s for r in sets_frame.collect()}
+        got = {(r.a, r.b) for r in near_copies.similar_pairs(sets_frame, hot=hot).collect()}
+        assert got == {tuple(sorted((named[i], named[j]))) for i, j in pairs if named[i] != named[j]}
+
+
 def test_links_equal_brute_force_with_split_buckets(spark):
     draw = np.random.default_rng(1)
     base = draw.integers(0, 1 << 63, 6, dtype=np.uint64)
