@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staytide.llm.text import SPACE_CHARS, filled, kept_rows, lookup, words
@@ -12,6 +12,14 @@ _SYMBOLS = "[#*$%&|<>]"
 _KEY = ["doc_id", "source", "digest"]
 
 
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(SPACE_CHARS))
+
+
+def _line_hash(line: Column) -> Column:
+    return F.xxhash64(F.lower(_bare(line)))
+
+
 def _with_signals(rows: DataFrame) -> DataFrame:
     """Counts of one text, row by row.
 
@@ -20,9 +28,8 @@ def _with_signals(rows: DataFrame) -> DataFrame:
     windows all differ skip the sort. ``lines`` has the hash and length of each
     normalised line: lower case, without blanks at its ends.
     """
-    bare = lambda x: F.btrim(x, F.lit(SPACE_CHARS))
     rows = rows.withColumns({"w": words(F.col("text")),
-                             "full_lines": F.filter(F.split("text", "\n"), lambda x: bare(x) != "")})
+                             "full_lines": F.filter(F.split("text", "\n"), lambda x: _bare(x) != "")})
     rows = rows.withColumn("hashes", F.transform("w", lambda x: F.xxhash64(x)))
     windows = F.transform(F.slice("hashes", 1, F.greatest(F.size("hashes") - 2, F.lit(0))),
                           lambda h, i: F.xxhash64(h, F.get("hashes", i + 1), F.get("hashes", i + 2)))
@@ -40,7 +47,7 @@ def _with_signals(rows: DataFrame) -> DataFrame:
         (F.size("full_lines") - F.size(F.array_distinct("full_lines"))).cast("bigint").alias("n_dup_lines"),
         F.when(F.col("ordered").isNull(), 0).otherwise(F.size(F.array_distinct(places))).cast("bigint")
         .alias("n_repeat_words"),
-        F.transform("full_lines", lambda x: F.struct(F.xxhash64(F.lower(bare(x))).alias("line"), F.length(F.lower(bare(x))).alias("n")))
+        F.transform("full_lines", lambda x: F.struct(_line_hash(x).alias("line"), F.length(F.lower(_bare(x))).alias("n")))
         .alias("lines"))
 
 
@@ -59,7 +66,8 @@ def line_quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int =
 
     Null or empty texts have no words and fail the base rule. A null host is a
     host of its own. Repeated rows get the same verdict each. Other columns of
-    ``docs`` are not read.
+    ``docs`` are not read. ``hot_lines`` are the hashes of a row's frequent
+    lines, null without any, for :func:`without_lines`.
 
     The texts are read once; later steps read a written table of hashes. Counts
     are aggregated before the shuffle, and the look-up of frequent lines is
@@ -79,9 +87,10 @@ def line_quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int =
         .select("host", F.col("line").alias("hot_line"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")))
     hits = placed.join(frequent, (F.col("line") == F.col("hot_line")) & F.col("source").eqNullSafe(F.col("host"))
                        & (F.pmod(F.xxhash64("doc_id", "digest", "pos"), F.lit(salts)) == F.col("salt")))
-    removed = (hits.select(*_KEY, "pos", "n").dropDuplicates([*_KEY, "pos"])
+    removed = (hits.select(*_KEY, "pos", "line", "n").dropDuplicates([*_KEY, "pos"])
                .groupBy(*[F.col(c).alias(f"r_{c}") for c in _KEY])
-               .agg(F.sum("n").alias("removed_chars"), F.count("*").alias("removed_lines")))
+               .agg(F.sum("n").alias("removed_chars"), F.count("*").alias("removed_lines"),
+                    F.array_sort(F.collect_set("line")).alias("hot_lines")))
     same = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in _KEY]
     n = F.col("n_words")
     failed = (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * n)
@@ -90,17 +99,32 @@ def line_quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int =
             .select("doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     failed.alias("base_failed"), cut.cast("bigint").alias("removed_chars"),
                     F.coalesce("removed_lines", F.lit(0)).cast("bigint").alias("removed_lines"),
-                    (~failed & (cut <= F.lit(max_removed_share) * F.col("n_chars"))).alias("kept"), "digest"))
+                    (~failed & (cut <= F.lit(max_removed_share) * F.col("n_chars"))).alias("kept"), "digest", "hot_lines"))
+
+
+def without_lines(text: Column, hot_lines: Column) -> Column:
+    """The text without the lines whose normalised form has one of the hashes; blank lines and order stay."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(hot_lines, _line_hash(x))), "\n")
 
 
 def keep_good(docs: DataFrame, **settings: object) -> DataFrame:
-    """The rows of ``docs`` that :func:`line_quality` keeps, with all their columns."""
-    rejected = checkpointed(line_quality(docs, **settings).filter(~F.col("kept"))
-                            .select(*[F.col(c).alias(f"r_{c}") for c in _KEY]).distinct())
+    """The rows of ``docs`` that :func:`line_quality` keeps, with all their
+    columns; ``text`` comes without the frequent lines of its host. Other
+    columns, a length among them, stay as delivered."""
+    verdicts = checkpointed(line_quality(docs, **settings).filter(~F.col("kept") | F.col("hot_lines").isNotNull())
+                            .select(*[F.col(c).alias(f"r_{c}") for c in _KEY], "kept", "hot_lines").distinct())
+    rejected = verdicts.filter(~F.col("kept")).select(*[f"r_{c}" for c in _KEY])
+    cut = verdicts.filter("kept").select(*[f"r_{c}" for c in _KEY], "hot_lines")
     rows = kept_rows(docs).withColumn("digest", F.md5(filled(F.col("doc.text"))))
-    gone = (F.col("doc.doc_id").eqNullSafe(F.col("r_doc_id")) & F.col("doc.source").eqNullSafe(F.col("r_source"))
+    same = (F.col("doc.doc_id").eqNullSafe(F.col("r_doc_id")) & F.col("doc.source").eqNullSafe(F.col("r_source"))
             & (F.col("digest") == F.col("r_digest")))
-    return rows.join(lookup(rejected), gone, "left_anti").select("doc.*")
+    rows = rows.join(lookup(rejected), same, "left_anti")
+    # A broadcast holds the hashes too, so they count as rows of their own.
+    hashes = cut.agg(F.coalesce(F.sum(F.size("hot_lines")), F.lit(0))).first()[0]
+    rows = rows.join(lookup(cut) if hashes <= 200_000 else cut, same, "left")
+    text = F.when(F.col("hot_lines").isNull(), F.col("doc.text")).otherwise(
+        without_lines(filled(F.col("doc.text")), F.col("hot_lines")))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 #: DuckDB: the same counts and verdict by plain grouping of the line texts.

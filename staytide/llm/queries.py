@@ -76,7 +76,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_quality.line_quality(table(spark, sf_dir, "documents")).drop("source", "digest")
+    return line_quality.line_quality(table(spark, sf_dir, "documents")).drop("source", "digest", "hot_lines")
 
 
 SQL["op6_url_filters"] = url_filter.SQL

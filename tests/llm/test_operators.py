@@ -63,6 +63,16 @@ def test_line_quality(docs, empty):
     assert line_quality.keep_good(docs).columns == docs.columns
 
 
+def test_kept_texts_come_without_frequent_lines(table, docs):
+    texts = {i: f"{body(i, 30)}\n\n  {LINE.upper()}\t\n{body(100 + i, 30)}\n{LINE}" for i in range(12)}
+    rows = [(i, t, "en", "h", 1) for i, t in texts.items()] + [(20, body(20, 60) + "\n" + LINE, "en", "other", 1), (0, texts[0], "en", None, 1)]
+    for frame in (table(DOCS, *rows), table(DOCS, *rows).repartition(5)):
+        got = {(r.doc_id, r.source): r.text for r in line_quality.keep_good(frame).collect()}
+        assert got == {(r[0], r[3]): f"{body(r[0], 30)}\n\n{body(100 + r[0], 30)}" if r[3] == "h" else r[1] for r in rows}
+    kept = {r.doc_id: r.text for r in line_quality.keep_good(docs).collect()}
+    assert kept[20] == body(20, 60) and kept[7] == body(7, 30_000)
+
+
 def test_copies_of_a_text_are_one_document_for_line_counts(table):
     copies = table(DOCS, *[(i, body(3, 70), "en", "h", 1) for i in range(40)])
     assert line_quality.line_quality(copies).filter("kept").count() == 40
