@@ -107,11 +107,15 @@ def without_lines(text: Column, hot_lines: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(hot_lines, _line_hash(x))), "\n")
 
 
-def keep_good(docs: DataFrame, **settings: object) -> DataFrame:
+def keep_good(docs: DataFrame, min_line_share: float = 0.0, **settings: object) -> DataFrame:
     """The rows of ``docs`` that :func:`line_quality` keeps, with all their
     columns; ``text`` comes without the frequent lines of its host. Other
-    columns, a length among them, stay as delivered."""
-    verdicts = checkpointed(line_quality(docs, **settings).filter(~F.col("kept") | F.col("hot_lines").isNotNull())
+    columns, a length among them, stay as delivered.
+
+    Unlike in the registered query, the limit is a count of documents alone: a
+    share of the host would grow with it, and let lines of tens of thousands of
+    documents pass in a large host."""
+    verdicts = checkpointed(line_quality(docs, min_line_share=min_line_share, **settings).filter(~F.col("kept") | F.col("hot_lines").isNotNull())
                             .select(*[F.col(c).alias(f"r_{c}") for c in _KEY], "kept", "hot_lines").distinct())
     rejected = verdicts.filter(~F.col("kept")).select(*[f"r_{c}" for c in _KEY])
     cut = verdicts.filter("kept").select(*[f"r_{c}" for c in _KEY], "hot_lines")

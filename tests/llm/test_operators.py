@@ -73,6 +73,14 @@ def test_kept_texts_come_without_frequent_lines(table, docs):
     assert kept[20] == body(20, 60) and kept[7] == body(7, 30_000)
 
 
+def test_line_limit_does_not_grow_with_the_host(table):
+    rows = [(i, body(i, 60), "en", "h", 1) for i in range(700)]
+    rows += [(1000 + i, body(1000 + i, 55) + "\n" + LINE, "en", "h", 1) for i in range(10)]
+    rows += [(2000 + i, body(2000 + i, 10) + f"\n{LINE} twice\n{LINE} thrice\n{LINE} and again", "en", "h", 1) for i in range(12)]
+    got = {r.doc_id: r.text for r in line_quality.keep_good(table(DOCS, *rows)).collect()}
+    assert sorted(got) == [*range(700), *range(1000, 1010)] and got[1000] == body(1000, 55)
+
+
 def test_copies_of_a_text_are_one_document_for_line_counts(table):
     copies = table(DOCS, *[(i, body(3, 70), "en", "h", 1) for i in range(40)])
     assert line_quality.line_quality(copies).filter("kept").count() == 40
