@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staytide.llm.text import filled, lower_ascii
+from staytide.llm.text import SPACE_CHARS, filled, lower_ascii
 from staytide.sources.tables import checkpointed
 
 #: Phrases whose places are counted, with their labels: the parameters of the registered query.
@@ -31,6 +31,16 @@ def _split(text: Column) -> Column:
     return F.filter(F.split(text, _GAP), lambda w: w != "")
 
 
+def _wrapped(text: Column, reach: int) -> Column:
+    """Word windows over line ends: of every paragraph (lines up to a blank one)
+    of several lines, 2 * ``reach`` words from every ``reach``-th on, so that
+    any run of ``reach`` words lies in one window."""
+    paragraphs = F.filter(F.split(text, r"\n\s*\n"), lambda p: F.contains(F.btrim(p, F.lit(SPACE_CHARS)), F.lit("\n")))
+    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - reach - 1, F.lit(0)), F.lit(reach))
+    return F.flatten(F.transform(F.transform(paragraphs, _split),
+                                 lambda w: F.transform(starts(w), lambda i: F.slice(w, i + 1, 2 * reach))))
+
+
 def _places(phrase: str) -> Column:
     """Starts of a phrase's words in ``words``, counted from 0. Only texts that hold the phrase's words side by side look."""
     parts = phrase.split()
@@ -85,8 +95,10 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mappi
     ``n_base`` counts the places where a phrase's words stand consecutively,
     ``first_word`` and ``last_word`` are their smallest and largest start,
     ``base_labels`` the phrases' labels; ``labels`` adds those of the templates
-    that a block (line) contains to ``threshold`` at least; ``score`` is the
-    greatest containment found, 1 with a phrase, else 0. Null texts count as
+    that a block contains to ``threshold`` at least; ``score`` is the greatest
+    containment found, 1 with a phrase, else 0. Blocks are the lines and, for
+    texts wrapped over several lines, windows of a paragraph's words of twice
+    the longest template's length. Null texts count as
     empty: no words, null starts, no labels. Repeated rows are judged each;
     other columns are not read.
     """
@@ -100,8 +112,10 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mappi
     places = places.select("doc_id", "row", "n_words", F.flatten(F.array(*[f"p{i}" for i in range(len(found))])).alias("places"),
                            F.array_compact(F.array(*names)).alias("base"))
     places = checkpointed(places)
-    blocks = rows.select("row", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    blocks = blocks.select("row", "block", F.array_distinct(_split(F.col("line"))).alias("tokens"))
+    reach = max((len(t.split()) for texts in templates.values() for t in texts), default=1)
+    parts = F.concat(F.transform(F.split("text", "\n"), _split), _wrapped(F.col("text"), reach))
+    blocks = rows.select("row", F.posexplode(parts).alias("block", "part"))
+    blocks = blocks.select("row", "block", F.array_distinct("part").alias("tokens"))
     least = min((ceil(threshold * len(set(t.split())) - 1e-9) for texts in templates.values() for t in texts), default=1)
     matches = template_matches(blocks.filter(F.size("tokens") >= max(1, least)), templates, threshold)
     best = checkpointed(matches.groupBy(F.col("row").alias("r"))

@@ -281,6 +281,17 @@ def test_licenses(table, empty):
     assert (got[5][0].n_base, got[5][0].first_word) == (1, 1) and licenses.scan(empty).count() == 0
 
 
+def test_licenses_wrapped_over_lines(table):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy"
+    mit = "Permission is hereby\ngranted, free of charge,\nto any person\nobtaining a copy\nof this software"
+    apart = "subject to the terms of the Mozilla Public\n\nLicense, v. 2.0"
+    frame = table("doc_id bigint, text string", (1, bsd), (2, mpl), (3, mit), (4, apart), (5, body(1, 95) + "\n" + body(2, 40) + "\n" + bsd + body(3, 50)),
+                  (6, "released\n" + body(4, 80) + "\nunder the mit\n" + body(5, 80) + "\nlicense"))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(frame).collect()}
+    assert [got[i] for i in range(1, 7)] == [("bsd", 1.0), ("mpl-2.0", 1.0), ("mit", 1.0), ("", 0.0), ("bsd", 1.0), ("", 0.0)]
+
+
 def test_template_join_equals_all_pairs(spark):
     draw = np.random.default_rng(4)
     pool = [f"t{i}" for i in range(14)]
