@@ -478,10 +478,6 @@ def _(spark, sf_dir):
 
 # --- scenarios -----------------------------------------------------------------------
 
-# The ten models of the size scenario; all other scenarios take the library's
-# default network.
-_SMALL_NETWORK = {"hidden": (32, 32), "max_iter": 50}
-
 
 def _model_input(t: K.StayTables, variant: str = "urine") -> DataFrame:
     return checkpointed(_features(t, variant, ["icustay_id"]))
@@ -497,4 +493,4 @@ on_stays("scenario_overall")(lambda t: Z.overall(_model_input(t)))
 on_stays("scenario_ethnicity")(lambda t: Z.by_ethnicity(_model_input(t)))
 on_stays("scenario_system")(lambda t: Z.by_system(_model_input(t)))
 on_stays("scenario_system_oversampled")(lambda t: Z.by_system(_model_input(t), oversample="train"))
-on_stays("scenario_sizes")(lambda t: Z.by_size(_model_input(t), **_SMALL_NETWORK))
+on_stays("scenario_sizes")(lambda t: Z.by_size(_model_input(t)))

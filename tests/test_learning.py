@@ -164,3 +164,13 @@ def test_null_keys_and_groups_keep_their_rows(table):
         assert intervals.to_intervals(spans, ["k"], "s", "e", ["w"], split).count() == 2
         assert intervals.mark_first(spans, ["k"], "s", ["w"], "f", split).where("f").count() == 2
         assert intervals.fallback_intervals(spans, spans, "k", split).count() == 2
+
+
+def test_sizes_query_takes_the_default_network(monkeypatch):
+    from staytide import registry
+    given = {}
+    monkeypatch.setattr(registry, "stay_tables", lambda *a: None)
+    monkeypatch.setattr(registry, "_model_input", lambda t: "stays")
+    monkeypatch.setattr(registry.Z, "by_size", lambda df, **settings: given.update(df=df, settings=settings))
+    registry.QUERIES["scenario_sizes"](None, "")
+    assert given == {"df": "stays", "settings": {}}
