@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import timedelta
+from math import gcd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +40,12 @@ def trailing_agg(df: DataFrame, keys: list[str], ts: str, outputs: Mapping[str,
     None): every key is cut into time slots. A window is then the slot's own
     earlier rows, the whole slots in between (pre-aggregated to one row per
     slot) and the tail of its oldest slot, reached by a copy of each row moved
-    forward by the span. Work per task follows the slot, not the key. Spans
-    must be multiples of ``slot``.
+    forward by the span. Work per task follows the slot, not the key. A slot
+    is ``slot`` wide, or the greatest width that divides it and every span.
+    Spans must be positive in both plans.
     """
+    if any(o.span <= timedelta(0) for o in outputs.values()):
+        raise ValueError("every span must be positive")
     if needs_split(df, keys, split):
         return _split_trailing(df, keys, ts, outputs, slot)
     by = ", ".join(keys)
@@ -62,10 +66,8 @@ def _merged(fn: str, parts: list[str]) -> str:
 
 def _split_trailing(df: DataFrame, keys: list[str], ts: str, outputs: Mapping[str, Trailing],
                     slot: timedelta) -> DataFrame:
-    width = as_micros(slot)
     spans = sorted({as_micros(o.span) for o in outputs.values()})
-    if any(span % width or span < width for span in spans):
-        raise ValueError("every span must be a multiple of the slot width")
+    width = gcd(as_micros(slot), *spans)
     alias = {v: f"_v{i}" for i, v in enumerate(sorted({o.value for o in outputs.values()}))}
     by = ", ".join(keys)
 

@@ -172,3 +172,15 @@ def test_all_times_with_undated_urine(table):
                           chart, notes)
     got = rows(K.stages_all_times(tables), "icustay_id", "charttime", "aki_stage")
     assert got == sorted([(1, T0, 0), (1, None, None), (2, None, None), (3, None, None)], key=str)
+
+
+def test_spans_of_no_whole_hours_give_the_same_rows_in_both_plans(table):
+    from datetime import datetime, timedelta
+
+    from staytide.operators.windows import Trailing, trailing_agg
+    start = datetime(2020, 1, 1)
+    rows = [(k % 2, start + timedelta(minutes=17 * k), k * 7 % 13) for k in range(60)] + [(0, None, 5)]
+    df = table("k int, t timestamp, v int", *rows)
+    outputs = {"low": Trailing("min", "v", timedelta(minutes=90)), "total": Trailing("sum", "v", timedelta(minutes=100), "left")}
+    plain, slotted = (sorted(map(str, trailing_agg(df, ["k"], "t", outputs, split).collect())) for split in (False, True))
+    assert plain == slotted and len(plain) == 61
