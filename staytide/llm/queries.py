@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staytide.llm import filter_audit, licenses, line_quality, mixing, packing, rule_quality, simhash, topk, toxicity, trie_tokens, url_filter
+from staytide.llm import (filter_audit, licenses, line_quality, mixing, packing, periodic_runs, rule_quality, simhash, topk, toxicity,
+                          trie_tokens, url_filter)
+from staytide.llm.text import words
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,6 +81,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(table(spark, sf_dir, "documents")).drop("source", "digest", "hot_lines")
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; of one document in ten, by the CRC of its id, the words from a drawn place on repeat
+    with a drawn period (the registered query's rule). A null id counts as empty text."""
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", "text", crc.alias("h"), F.floor(crc / 10).alias("g"))
+    rows = rows.withColumn("w", F.when(F.col("h") % 10 == 0, words(F.col("text"))))
+    n = F.size("w")
+    rows = rows.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    changed = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(
+        F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator's runs and collapsed text as counts, the run of the greatest exponent and digests."""
+    found = periodic_runs.periodic_runs(with_periods(table(spark, sf_dir, "documents")))
+    # a / p > b / q is a * q > b * p; of equal exponents the run that comes first stays.
+    first = F.get("runs", F.lit(0))
+    top = F.aggregate("runs", first, lambda t, r: F.when(r["length"] * t["period"] > t["length"] * r["period"], r).otherwise(t))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return (found.withColumn("top", top)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), F.col("top.length").alias("length"),
+                    F.col("top.period").alias("period"), F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+                    digest(lines).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256")))
+
+
 @_query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
