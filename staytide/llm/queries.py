@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staytide.llm import (filter_audit, licenses, line_quality, mixing, packing, periodic_runs, rule_quality, simhash, topk, toxicity,
+from staytide.llm import (filter_audit, hyperminhash, licenses, line_quality, mixing, packing, periodic_runs, rule_quality, simhash, topk, toxicity,
                           trie_tokens, url_filter)
 from staytide.llm.text import words
 
@@ -115,6 +115,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@_query
+def op13_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 SQL["op6_url_filters"] = url_filter.SQL
 SQL["op8_exact_topk"] = topk.SQL
 SQL["op10_quality_rules"] = line_quality.SQL

@@ -52,3 +52,12 @@ def lookup(table: DataFrame, rows: int = 200_000) -> DataFrame:
     """A written table for the small side of a join: broadcast where it has at
     most ``rows`` rows (some dozen MB), else joined by shuffle."""
     return F.broadcast(table) if table.count() <= rows else table
+
+
+def spread_lookup(rows: DataFrame, small: DataFrame, key: str, small_key: str, spread: str, salts: int = 8) -> DataFrame:
+    """Left join of many rows to one row per key of ``small``, where one key may hold a third of the rows: these are
+    spread over ``salts`` partitions by the hash of ``spread``, and ``small`` is repeated as often."""
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    copies = small.withColumn("small_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return (rows.withColumn("row_salt", salt)
+            .join(copies, (F.col(key) == F.col(small_key)) & (F.col("row_salt") == F.col("small_salt")), "left").drop("row_salt", "small_salt"))
