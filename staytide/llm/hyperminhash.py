@@ -88,20 +88,20 @@ def collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (1 << INDEX_BITS) * total * a * b / (a + b)
 
 
-def estimate(one: np.ndarray, many: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard similarity of one sketch with many, corrected by the collisions of what they do not share, and the
-    registers it rests on. Exact for sets whose hashes all have registers of their own."""
-    used = ((many > 0) | (one > 0)).sum(axis=1)
-    same = ((many == one) & (many > 0)).sum(axis=1)
-    raw = same / np.maximum(used, 1)
-    chance = collisions(n, m) / np.maximum(used, 1)
-    return np.clip((raw - chance) / np.maximum(1 - chance, 1e-9), 0, 1), used
-
-
-def likely(similarity: np.ndarray, used: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the threshold lies within ``ERRORS`` standard errors of the estimate; few registers leave much room."""
+def estimate(one: np.ndarray, many: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``many`` of the sketches that may reach ``percent`` % Jaccard similarity with ``one`` (one sketch, or one
+    for each), and their estimates: agreeing registers over used ones, corrected by the collisions of what the sets do
+    not share. A pair stays if the threshold lies within ``ERRORS`` standard errors, so few registers leave much room.
+    The correction only lowers an estimate and is worked out where the plain one is near enough."""
     t = percent / 100
-    return similarity >= t - ERRORS * np.sqrt(t * (1 - t) / np.maximum(used, 1))
+    used = ((many > 0) | (one > 0)).sum(axis=1)
+    raw = ((many == one) & (many > 0)).sum(axis=1) / np.maximum(used, 1)
+    least = t - ERRORS * np.sqrt(t * (1 - t) / np.maximum(used, 1))
+    at = np.flatnonzero(raw >= least)
+    chance = collisions(n[at], m[at]) / np.maximum(used[at], 1)
+    similarity = np.clip((raw[at] - chance) / np.maximum(1 - chance, 1e-9), 0, 1)
+    ok = similarity >= least[at]
+    return at[ok], similarity[ok]
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
@@ -162,24 +162,22 @@ def _sketches_of(column: pa.Array) -> np.ndarray:
 
 
 def likely_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (``a``, ``b``) that :func:`likely` leaves, with their estimate ``e``; ``known`` has ``s``, ``n``, ``sketch``."""
+    """``pairs`` (``a``, ``b``) that :func:`estimate` leaves, with their estimate ``e``; ``known`` has ``s``, ``n``, ``sketch``."""
     a = known.select(F.col("s").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("of_a"))
     b = known.select(F.col("s").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("of_b"))
     joined = pairs.join(a, "a").join(b, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            e, used = estimate(_sketches_of(b.column("of_a")), _sketches_of(b.column("of_b")),
-                               b.column("n_a").to_numpy(), b.column("n_b").to_numpy())
-            ok = likely(e, used, percent)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok)), pa.array(e[ok])],
-                                             ["a", "b", "e"])
+            at, e = estimate(_sketches_of(b.column("of_a")), _sketches_of(b.column("of_b")),
+                             b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(at)), b.column("b").take(pa.array(at)), pa.array(e)], ["a", "b", "e"])
 
     return joined.mapInArrow(judged, "a long, b long, e double")
 
 
 def pairs_within(rows: dict[str, np.ndarray], percent: int) -> Iterator[dict[str, np.ndarray]]:
-    """Likely pairs of one bucket's sets in different components. ``rows``: ``s``, ``n``, ``c`` (component), ``part``,
+    """Pairs near the threshold of one bucket's sets in different components. ``rows``: ``s``, ``n``, ``c`` (component), ``part``,
     ``sketch``; where parts differ, only pairs across parts count, as every part also meets itself."""
     order = np.argsort(rows["n"], kind="stable")
     s, n, c, part, sketch = (rows[k][order] for k in ("s", "n", "c", "part", "sketch"))
@@ -191,10 +189,9 @@ def pairs_within(rows: dict[str, np.ndarray], percent: int) -> Iterator[dict[str
             other &= part[i + 1:ends[i]] != part[i]
         j = i + 1 + np.flatnonzero(other)
         if len(j):
-            e, used = estimate(sketch[i], sketch[j], np.full(len(j), n[i]), n[j])
-            ok = likely(e, used, percent)
-            if ok.any():
-                yield {"a": np.minimum(s[i], s[j[ok]]), "b": np.maximum(s[i], s[j[ok]]), "e": e[ok]}
+            at, e = estimate(sketch[i], sketch[j], np.full(len(j), n[i]), n[j], percent)
+            if len(at):
+                yield {"a": np.minimum(s[i], s[j[at]]), "b": np.maximum(s[i], s[j[at]]), "e": e}
 
 
 def bucket_pairs(members: DataFrame, percent: int, chunk: int = 2048) -> DataFrame:

@@ -134,11 +134,12 @@ def _reach(w: np.ndarray, i: int, j: int, most: int, step: int) -> int:
 
 def _candidates(w: np.ndarray, q: np.ndarray, cut: int, low: int, high: int) -> list[tuple[int, bool]]:
     """Those of the periods ``q`` that a run across ``cut`` may have, and whether its greater part lies left of it. That
-    part has two periods at least, so a whole period beside the boundary repeats; up to 64 words of it are compared."""
+    part has two periods at least, so a whole period beside the boundary repeats; while many are left, up to 16 words of
+    it are compared."""
     out = []
     for left in (True, False):
         alive, k = q[2 * q <= (cut - low if left else high - cut)], 0
-        while len(alive) and k < 64:
+        while len(alive) and (k < 2 or (len(alive) > 3 and k < 16)):
             beside = cut - np.minimum(k, alive) if left else cut - 1 + np.minimum(k, alive)
             same = w[beside] == w[beside - alive if left else beside + alive]
             alive, k = alive[same], k + 1
