@@ -24,7 +24,7 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document per component of near copies: five-word shingles, Jaccard similarity of at least 0.8."""
+    """One document per component of SimHash near-duplicates: three-word shingles, at most three differing bits."""
     return simhash.keep_one(docs)
 
 

@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staytide.llm.components import connected_components
-from staytide.llm.near_copies import near_copies
-from staytide.llm.text import in_slices, kept_rows, lookup
+from staytide.llm.text import in_slices, kept_rows, lookup, spread_lookup
 from staytide.sources.tables import checkpointed
 
 #: Five blocks of the 64 bits: two fingerprints with at most three differing bits agree on two blocks at least.
@@ -161,17 +160,15 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
               .select("fp", "first", F.coalesce("component", "fp").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select(F.col("fp").alias("f"), "component_id", "root")
-    return (rows.join(named, F.col("fp") == F.col("f"), "left")
+    return (spread_lookup(rows, named, "fp", "f", "doc_id")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "digest"))
 
 
-def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of ``docs`` per component of :func:`near_copies` (five-word
-    shingles, similarity 0.8; a SimHash of 64 bits differs in about ten bits
-    there, beyond exact bucket keys), with all its columns: that with the
-    smallest id (a null id comes last), of equal ids that with the smallest
-    digest, of rows equal in both any one."""
-    found = checkpointed(near_copies(docs, size, percent))
+def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
+    """One row of ``docs`` per component of :func:`near_duplicates`, with all
+    its columns: that with the smallest id (a null id comes last), of equal ids
+    that with the smallest digest, of rows equal in both any one."""
+    found = checkpointed(near_duplicates(docs, size))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("digest").alias("d"))
     kept = checkpointed(found.groupBy("root").agg(F.min(rank).alias("r")).select("r.id", "r.d"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d"))
