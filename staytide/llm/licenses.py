@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staytide.llm.text import SPACE_CHARS, filled, lower_ascii
+from staytide.llm.text import SPACE_CHARS, filled, lower_ascii, spread_lookup
 from staytide.sources.tables import checkpointed
 
 #: Phrases whose places are counted, with their labels: the parameters of the registered query.
@@ -50,35 +50,36 @@ def _places(phrase: str) -> Column:
     return F.when(held, F.filter(steps, same)).otherwise(F.array().cast("array<int>"))
 
 
-def template_matches(blocks: DataFrame, templates: Mapping[str, Sequence[str]], threshold: float) -> DataFrame:
+def _sets(templates: Mapping[str, Sequence[str]], threshold: float) -> list[tuple[str, list[str], int]]:
+    """Label, distinct tokens and tokens needed of every template."""
+    sets = [(label, sorted(set(text.split()))) for label, texts in sorted(templates.items()) for text in texts]
+    return [(label, tokens, max(1, ceil(threshold * len(tokens) - 1e-9))) for label, tokens in sets]
+
+
+def template_matches(blocks: DataFrame, counts: Mapping[str, int], templates: Mapping[str, Sequence[str]],
+                     threshold: float) -> DataFrame:
     """All pairs of a block (``row``, ``block``, distinct ``tokens``) and a template with containment
     |block and template| / |template| of at least ``threshold``: ``row``, ``block``, ``label``, ``containment``.
 
-    Tokens are put in one order for all: rare in the blocks first. Of a template
-    with n tokens, k = ceil(threshold * n) must occur, so one of its n - k + 1
-    first tokens must, and the block needs k tokens (length filter). Where the
-    first shared token is token i of the template and token j of the block, the
-    pair is dropped unless 1 + min(n - 1 - i, m - 1 - j) reaches k (positional
-    filter). Survivors are intersected.
+    Tokens are put in one order for all: rare first by ``counts``, the documents
+    that hold a token. Of a template with n tokens, k = ceil(threshold * n) must
+    occur, so one of its n - k + 1 first tokens must, and the block needs k
+    tokens (length filter). Where the first shared token is token i of the
+    template and token j of the block, the pair is dropped unless
+    1 + min(n - 1 - i, m - 1 - j) reaches k (positional filter). Survivors are intersected.
     """
     spark = blocks.sparkSession
-    sets = [(label, sorted(set(text.split()))) for label, texts in sorted(templates.items()) for text in texts]
-    wanted = sorted({t for _, tokens in sets for t in tokens})
-    # Only template tokens can match, so only their counts are needed; there are as many as the parameter has.
-    relevant = blocks.select("row", "block", F.size("tokens").alias("m"),
-                             F.array_intersect("tokens", F.array(*map(F.lit, wanted))).alias("shared"))
-    counts = {r[0]: r[1] for r in relevant.select(F.explode("shared").alias("t")).groupBy("t").count().collect()}
-    order = sorted(wanted, key=lambda t: (counts.get(t, 0), t))
+    order = sorted({t for _, tokens, _ in _sets(templates, threshold) for t in tokens}, key=lambda t: (counts.get(t, 0), t))
     rank = {t: i for i, t in enumerate(order)}
     rows = []
-    for number, (label, tokens) in enumerate(sets):
+    for number, (label, tokens, need) in enumerate(_sets(templates, threshold)):
         tokens = sorted(tokens, key=rank.__getitem__)
-        need = max(1, ceil(threshold * len(tokens) - 1e-9))
         rows += [(number, label, tokens, len(tokens), need, t, i) for i, t in enumerate(tokens[:len(tokens) - need + 1])]
     prefixes = spark.createDataFrame(rows, "number int, label string, wanted array<string>, n int, need int, token string, i int")
-    position = F.array(*map(F.lit, order))
-    ordered = relevant.filter(F.size("shared") > 0).withColumn("shared", F.array_intersect(position, F.col("shared")))
-    met = ordered.select("row", "block", "m", "shared", F.posexplode("shared").alias("j", "token"))
+    # Only template tokens can match; a block's are put in the common order.
+    ordered = blocks.select("row", "block", F.size("tokens").alias("m"),
+                            F.array_intersect(F.array(*map(F.lit, order)), F.col("tokens")).alias("shared"))
+    met = ordered.filter(F.size("shared") > 0).select("row", "block", "m", "shared", F.posexplode("shared").alias("j", "token"))
     pairs = (met.join(F.broadcast(prefixes), "token")
              .filter((F.col("m") >= F.col("need"))
                      & (1 + F.least(F.col("n") - 1 - F.col("i"), F.size("shared") - 1 - F.col("j")) >= F.col("need"))))
@@ -103,26 +104,35 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mappi
     other columns are not read.
     """
     rows = docs.select("doc_id", F.md5(filled(F.col("text"))).alias("row"), lower_ascii(filled(F.col("text"))).alias("text"))
+    sets = _sets(templates, threshold)
+    wanted = F.array(*map(F.lit, sorted({t for _, tokens, _ in sets for t in tokens})))
     words = rows.withColumn("words", _split(F.col("text"))).withColumn(
         "joined", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
+    # A text holds a block's tokens, so one without enough tokens of any template has no block with enough.
+    words = words.withColumn("held", F.array_intersect(wanted, F.col("words")))
+    enough = F.lit(False)
+    for _, tokens, need in sets:
+        enough = enough | (F.size(F.array_intersect("held", F.array(*map(F.lit, tokens)))) >= need)
     found = {label: _places(phrase) for phrase, label in phrases.items()}
-    places = words.select("doc_id", "row", F.size("words").cast("bigint").alias("n_words"),
+    places = words.select("doc_id", "row", F.size("words").cast("bigint").alias("n_words"), "held", F.when(enough, F.col("text")).alias("text"),
                           *[p.alias(f"p{i}") for i, p in enumerate(found.values())])
     names = [F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(found)]
-    places = places.select("doc_id", "row", "n_words", F.flatten(F.array(*[f"p{i}" for i in range(len(found))])).alias("places"),
+    places = places.select("doc_id", "row", "n_words", "held", "text",
+                           F.flatten(F.array(*[f"p{i}" for i in range(len(found))])).alias("places"),
                            F.array_compact(F.array(*names)).alias("base"))
     places = checkpointed(places)
+    # As many counts as the templates have tokens.
+    counts = {r[0]: r[1] for r in places.select(F.explode("held").alias("t")).groupBy("t").count().collect()}
     reach = max((len(t.split()) for texts in templates.values() for t in texts), default=1)
     parts = F.concat(F.transform(F.split("text", "\n"), _split), _wrapped(F.col("text"), reach))
-    blocks = rows.select("row", F.posexplode(parts).alias("block", "part"))
+    blocks = places.filter("text is not null").select("row", F.posexplode(parts).alias("block", "part"))
     blocks = blocks.select("row", "block", F.array_distinct("part").alias("tokens"))
-    least = min((ceil(threshold * len(set(t.split())) - 1e-9) for texts in templates.values() for t in texts), default=1)
-    matches = template_matches(blocks.filter(F.size("tokens") >= max(1, least)), templates, threshold)
+    matches = template_matches(blocks.filter(F.size("tokens") >= min((need for *_, need in sets), default=1)), counts, templates, threshold)
     best = checkpointed(matches.groupBy(F.col("row").alias("r"))
                         .agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment")))
     base = F.array_join(F.array_sort(F.array_distinct("base")), ",")
     labels = F.array_join(F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>")))), ",")
-    return (places.join(best, F.col("row") == F.col("r"), "left")
+    return (spread_lookup(places, best, "row", "r", "doc_id")
             .select("doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"),
                     F.array_min("places").cast("bigint").alias("first_word"), F.array_max("places").cast("bigint").alias("last_word"),
                     base.alias("base_labels"), labels.alias("labels"),
