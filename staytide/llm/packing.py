@@ -32,8 +32,8 @@ class Encoder:
 
     The vocabulary's pre-tokens never span white space and its texts are
     lower-cased, so a text's ids are those of its words one after the other and
-    each distinct word is encoded once per task. Signs after a final letter are
-    a pre-token of their own, so words that differ in them share the work. Texts
+    each distinct word is encoded once per task. Signs after a final letter,
+    normalised, are a pre-token of their own, so words that differ in them share the work. Texts
     that might name a special token are encoded whole.
     """
 
@@ -66,13 +66,19 @@ class Encoder:
             out += [flat[i:j] for i, j in zip([0, *stops[:-1]], stops)]
         return out
 
+    def _closes(self, core: bytes) -> bool:
+        """Whether a sign after these letters is a pre-token of its own: not so where normalising ends them in a
+        combining mark, which joins the sign."""
+        text = core.decode()
+        return text.isalpha() and (core.isascii() or self.tokenizer.normalizer.normalize_str(text)[-1:].isalpha())
+
     def _learn(self, new: list[bytes]) -> None:
         known, texts = self.known, b" ".join(new).decode().split(" ")
         plain = [t.isalpha() for t in texts]
         known.update(zip([w for w, p in zip(new, plain) if p], self._letters([t for t, p in zip(texts, plain) if p])))
         rest = [w for w, p in zip(new, plain) if not p]
         cores = [w.rstrip(_CLOSING) for w in rest]
-        split = [len(c) < len(w) and c.decode().isalpha() for w, c in zip(rest, cores)]
+        split = [len(c) < len(w) and self._closes(c) for w, c in zip(rest, cores)]
         alone = list({w for w, s in zip(rest, split) if not s} | {w[len(c):] for w, c, s in zip(rest, cores, split) if s})
         known.update(zip(alone, self._alone([w.decode() for w in alone])))
         todo = list({c for c, s in zip(cores, split) if s and c not in known})
@@ -80,7 +86,8 @@ class Encoder:
         known.update((w, known[c] + known[w[len(c):]]) for w, c, s in zip(rest, cores, split) if s)
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [None if b"<|" in t else t.lower().split() for t in texts]
+        # Beyond ASCII lower-casing first could let a letter and a mark become one sign that they are not in the text.
+        split = [None if b"<|" in t else (t.lower() if t.isascii() else t).split() for t in texts]
         if len(self.known) > _CACHE_WORDS:
             self.known = {}
         seen: set[bytes] = set()
