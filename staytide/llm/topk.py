@@ -20,12 +20,12 @@ REFERENCES, SEEDS = 64, 2_048
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
     """``vec_id`` and ``terms``, floor(scale * x) of every component. Rows without an id, null vectors and vectors
-    with a null or non-finite component are left out; of a repeated id the smallest vector stays."""
+    with a null or non-finite component are left out; equal rows are one, and a repeated id keeps all its vectors."""
     x = F.col("embedding")
     whole = ~F.coalesce(F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf"))), F.lit(False))
     terms = F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("bigint"))
     return (vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & whole)
-            .select(F.col("vec_id").cast("bigint").alias("vec_id"), terms.alias("terms")).groupBy("vec_id").agg(F.min("terms").alias("terms")))
+            .select(F.col("vec_id").cast("bigint").alias("vec_id"), terms.alias("terms")).distinct())
 
 
 def _matrix(lists: pa.Array | pd.Series, width: int) -> np.ndarray:
@@ -59,11 +59,11 @@ def _blocks(rows: DataFrame, width: int, references: np.ndarray, n_shards: int)
     homed_rows = rows.mapInArrow(homed, "vec_id long, terms array<long>, home int")
     ranged = homed_rows.repartitionByRange(n_shards, "home", "vec_id").sortWithinPartitions("home", "vec_id")
     return (ranged.mapInArrow(cut, "ids binary, terms binary, top binary, low binary")
-            .withColumn("shard", F.spark_partition_id()))
+            .withColumns({"shard": F.spark_partition_id(), "block": F.monotonically_increasing_id()}))
 
 
 class _Best:
-    """The k best of one query so far: score descending, id ascending."""
+    """The k best of one query so far, an id once: score descending, id ascending."""
 
     def __init__(self, k: int, floor: float):
         self.k, self.floor = k, floor
@@ -71,7 +71,9 @@ class _Best:
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         scores, ids = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
-        order = np.lexsort((ids, -scores))[:self.k]
+        order = np.lexsort((ids, -scores))
+        _, first = np.unique(ids[order], return_index=True)
+        order = order[np.sort(first)][:self.k]
         self.scores, self.ids = scores[order], ids[order]
         if len(order) == self.k:
             self.floor = max(self.floor, self.scores[-1])
@@ -88,7 +90,7 @@ def search_blocks(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple
     """
     tops, lows = np.stack([b[2] for b in blocks]), np.stack([b[3] for b in blocks])
     q = queries.astype(float)
-    bounds = np.maximum(q, 0) @ tops.T.astype(float) + np.minimum(q, 0) @ lows.T.astype(float)
+    bounds = _bounds(q, tops, lows)
     order = np.argsort(-bounds, axis=1, kind="stable")
     best = [_Best(k, f) for f in floors]
     live = np.arange(len(query_ids))
@@ -109,32 +111,58 @@ def search_blocks(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple
     return best
 
 
+def _bounds(q: np.ndarray, tops: np.ndarray, lows: np.ndarray) -> np.ndarray:
+    """For every query and block the sum, over the terms, of the larger product with the block's extremes."""
+    return np.maximum(q, 0) @ tops.T.astype(float) + np.minimum(q, 0) @ lows.T.astype(float)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id``, ``score``: for each row of ``vectors``
-    (``vec_id``, ``embedding``) under ``is_query``, the k rows other than itself
-    with the greatest integer inner product, ties to the smaller id.
-
-    Queries in groups meet shards of blocks, each pair in a task of its own; a
-    task prunes by block bounds, from a threshold that a bounded sample of rows
-    gives, and hands on k rows per query. Vectors shorter than the longest
-    count as filled with zeros. Sums are exact below 2**53. Rows that
-    :func:`quantised` leaves out are neither query nor candidate; fewer than k
-    candidates are all returned; an empty table gives no rows.
+    """``query_id``, ``rank``, ``vec_id``, ``score``: for each id of ``vectors``
+    (``vec_id``, ``embedding``) under ``is_query``, the k other ids with the
+    greatest integer inner product, ties to the smaller id.
+
+    Rows are cut into blocks, written once; a shard is what one writing task
+    held, as the written table says. Queries in groups meet the blocks' extremes
+    first: a group gets a block only if one of its queries may find a row there
+    that beats its threshold, which a bounded sample of rows gives. A group and
+    the blocks it gets of a shard are a task of their own, which prunes by block
+    bounds as thresholds rise and hands on k rows per query. Vectors shorter
+    than the longest count as filled with zeros. Sums are exact below 2**53.
+    Rows that :func:`quantised` leaves out are neither query nor candidate; of
+    an id with several vectors, asking or asked, the best score counts; fewer
+    than k candidates are all returned; an empty table gives no rows.
     """
     rows = checkpointed(quantised(vectors))
     n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("terms")), F.lit(0))).first()
     schema = "query_id long, vec_id long, score long"
     if not n:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    drawn = rows.orderBy(F.xxhash64("vec_id")).limit(SEEDS).collect()
-    seed_ids = np.asarray([r[0] for r in drawn], dtype=np.int64)
-    seeds = _matrix(pd.Series([r[1] for r in drawn]), width)
+    drawn = {r[0]: r[1] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "terms").limit(SEEDS).collect()}
+    seed_ids = np.asarray(list(drawn), dtype=np.int64)
+    seeds = _matrix(pd.Series(list(drawn.values())), width)
     blocks = checkpointed(_blocks(rows, width, seeds[:REFERENCES].astype(float), max(1, -(-n // SHARD))))
     asked = rows.filter(is_query)
-    n_groups, n_shards = max(1, -(-asked.count() // GROUP)), max(1, -(-n // SHARD))
+    n_groups, n_shards = max(1, -(-asked.count() // GROUP)), 1 + blocks.agg(F.max("shard")).first()[0]
     queries = asked.select("vec_id", "terms", F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)).cast("int").alias("group"),
                            F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
-    index = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    extremes = blocks.select("shard", "block", "top", "low", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"))
+
+    def floors(ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The k-th best score among the sample, for every query."""
+        first = q.astype(float) @ seeds.T.astype(float)
+        first[ids[:, None] == seed_ids[None, :]] = -np.inf
+        return np.partition(first, -k, axis=1)[:, -k] if len(seed_ids) >= k else np.full(len(ids), -np.inf)
+
+    def choose(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: np.empty(0, dtype=np.int64) for c in ("group", "chosen")})
+        ids, q = left["vec_id"].to_numpy(), _matrix(left["terms"], width)
+        tops, lows = (np.stack([np.frombuffer(x, np.int64) for x in right[c]]) for c in ("top", "low"))
+        wanted = (_bounds(q.astype(float), tops, lows) >= floors(ids, q)[:, None]).any(axis=0)
+        return pd.DataFrame({"group": left["group"].iloc[0], "chosen": right["block"].to_numpy()[wanted]})
+
+    chosen = checkpointed(queries.groupBy("group", "shard").cogroup(extremes.groupBy("group", "shard")).applyInPandas(choose, "group int, chosen long"))
+    index = blocks.join(chosen, F.col("block") == F.col("chosen")).drop("block", "chosen")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -142,27 +170,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         parts = [(np.frombuffer(i, np.int64), np.frombuffer(t, np.int64).reshape(-1, width), np.frombuffer(hi, np.int64),
                   np.frombuffer(lo, np.int64)) for i, t, hi, lo in zip(right["ids"], right["terms"], right["top"], right["low"])]
         ids, q = left["vec_id"].to_numpy(), _matrix(left["terms"], width)
-        first = q.astype(float) @ seeds.T.astype(float)
-        first[ids[:, None] == seed_ids[None, :]] = -np.inf
-        floors = np.partition(first, -k, axis=1)[:, -k] if len(seed_ids) >= k else np.full(len(ids), -np.inf)
-        found = search_blocks(ids, q, parts, floors, k)
+        found = search_blocks(ids, q, parts, floors(ids, q), k)
         return pd.DataFrame({"query_id": np.repeat(ids, [len(f.ids) for f in found]),
                              "vec_id": np.concatenate([f.ids for f in found]), "score": np.concatenate([f.scores for f in found])})
 
     found = queries.groupBy("group", "shard").cogroup(index.groupBy("group", "shard")).applyInPandas(search, schema)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return (found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
 
 #: DuckDB: every pair, ranked.
 SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as t from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-q as (select vec_id, unnest(t) as x, generate_subscripts(t, 1) as d from v where vec_id % 20 = 0),
-c as (select vec_id, unnest(t) as x, generate_subscripts(t, 1) as d from v),
-s as (select q.vec_id as query_id, c.vec_id, sum(q.x * c.x)::bigint as score from q join c on q.d = c.d and q.vec_id <> c.vec_id
-  group by q.vec_id, c.vec_id)
+with v as (select row_number() over (order by vec_id, t) as r, vec_id, t from (select distinct vec_id,
+    list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as t from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)),
+c as (select r, vec_id, unnest(t) as x, generate_subscripts(t, 1) as d from v),
+q as (select * from c where vec_id % 20 = 0),
+p as (select q.vec_id as query_id, c.vec_id, sum(q.x * c.x)::bigint as score from q join c on q.d = c.d and q.vec_id <> c.vec_id
+  group by q.r, c.r, q.vec_id, c.vec_id),
+s as (select query_id, vec_id, max(score) as score from p group by query_id, vec_id)
 select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
 from s qualify rank <= 20
 """
