@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staytide.llm.text import SPACE_CHARS, filled, kept_rows, lookup, words
+from staytide.llm.text import SPACE, SPACE_CHARS, filled, kept_rows, lookup, words
 from staytide.sources.tables import checkpointed
 
 _SYMBOLS = "[#*$%&|<>]"
@@ -25,8 +25,8 @@ def _with_signals(rows: DataFrame) -> DataFrame:
 
     Three-word windows are compared by 64-bit hash inside one document only.
     Sorting (hash, position) puts equal windows side by side; documents whose
-    windows all differ skip the sort. ``lines`` has the hash and length of each
-    normalised line: lower case, without blanks at its ends.
+    windows all differ skip the sort. ``lines`` has the hash, length and words of
+    each normalised line: lower case, without blanks at its ends.
     """
     rows = rows.withColumns({"w": words(F.col("text")),
                              "full_lines": F.filter(F.split("text", "\n"), lambda x: _bare(x) != "")})
@@ -47,12 +47,12 @@ def _with_signals(rows: DataFrame) -> DataFrame:
         (F.size("full_lines") - F.size(F.array_distinct("full_lines"))).cast("bigint").alias("n_dup_lines"),
         F.when(F.col("ordered").isNull(), 0).otherwise(F.size(F.array_distinct(places))).cast("bigint")
         .alias("n_repeat_words"),
-        F.transform("full_lines", lambda x: F.struct(_line_hash(x).alias("line"), F.length(F.lower(_bare(x))).alias("n")))
-        .alias("lines"))
+        F.transform("full_lines", lambda x: F.struct(_line_hash(x).alias("line"), F.length(F.lower(_bare(x))).alias("n"),
+                                                    F.size(F.split(_bare(x), SPACE)).alias("w"))).alias("lines"))
 
 
 def line_quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_line_docs: int = 10,
-                 min_line_share: float = 0.02, max_removed_share: float = 0.5, salts: int = 8) -> DataFrame:
+                 max_removed_share: float = 0.5, salts: int = 8) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``, ``source``) with its counts and verdict.
 
     Base rule: a document fails with fewer than ``min_words`` words or with more
@@ -60,9 +60,9 @@ def line_quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int =
 
     Line rule: lines are normalised and hashed; for every host (``source``) the
     distinct documents with a line are counted, copies of one text counting
-    once. Lines in at least ``min_line_docs`` documents and at least
-    ``min_line_share`` of the host's documents are removed; a document that
-    loses more than ``max_removed_share`` of its characters is rejected.
+    once. Lines in at least ``min_line_docs`` documents are removed, whatever the
+    size of the host. A document is depleted, and rejected, if it loses more than
+    ``max_removed_share`` of its characters or keeps fewer than ``min_words`` words.
 
     Null or empty texts have no words and fail the base rule. A null host is a
     host of its own. Repeated rows get the same verdict each. Other columns of
@@ -76,30 +76,28 @@ def line_quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int =
     rows = docs.select(F.col("doc_id"), F.col("source"), filled(F.col("text")).alias("text"))
     signals = checkpointed(_with_signals(rows))
     placed = signals.select(*_KEY, F.posexplode("lines").alias("pos", "l")).select(
-        *_KEY, "pos", F.col("l")["line"].alias("line"), F.col("l")["n"].alias("n"))
-    line_docs = (placed.select("source", "line", "digest").distinct()
-                 .groupBy("source", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_line_docs))
-    host_docs = (signals.select("source", "digest").distinct()
-                 .groupBy(F.col("source").alias("host")).agg(F.count("*").alias("host_docs")))
+        *_KEY, "pos", F.col("l")["line"].alias("line"), F.col("l")["n"].alias("n"), F.col("l")["w"].alias("w"))
     frequent = checkpointed(
-        line_docs.join(host_docs, F.col("source").eqNullSafe(F.col("host")))
-        .filter(F.col("docs") >= F.lit(min_line_share) * F.col("host_docs"))
-        .select("host", F.col("line").alias("hot_line"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")))
+        placed.select("source", "line", "digest").distinct()
+        .groupBy(F.col("source").alias("host"), F.col("line").alias("hot_line")).agg(F.count("*").alias("docs"))
+        .filter(F.col("docs") >= min_line_docs)
+        .select("host", "hot_line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")))
     hits = placed.join(frequent, (F.col("line") == F.col("hot_line")) & F.col("source").eqNullSafe(F.col("host"))
                        & (F.pmod(F.xxhash64("doc_id", "digest", "pos"), F.lit(salts)) == F.col("salt")))
-    removed = (hits.select(*_KEY, "pos", "line", "n").dropDuplicates([*_KEY, "pos"])
+    removed = (hits.select(*_KEY, "pos", "line", "n", "w").dropDuplicates([*_KEY, "pos"])
                .groupBy(*[F.col(c).alias(f"r_{c}") for c in _KEY])
-               .agg(F.sum("n").alias("removed_chars"), F.count("*").alias("removed_lines"),
+               .agg(F.sum("n").alias("removed_chars"), F.sum("w").alias("removed_words"), F.count("*").alias("removed_lines"),
                     F.array_sort(F.collect_set("line")).alias("hot_lines")))
     same = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in _KEY]
     n = F.col("n_words")
     failed = (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * n)
-    cut = F.coalesce(F.col("removed_chars"), F.lit(0))
+    cut, gone = (F.coalesce(F.col(c), F.lit(0)) for c in ("removed_chars", "removed_words"))
+    whole = (cut <= F.lit(max_removed_share) * F.col("n_chars")) & (n - gone >= min_words)
     return (signals.drop("lines").join(removed, same[0] & same[1] & same[2], "left")
             .select("doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     failed.alias("base_failed"), cut.cast("bigint").alias("removed_chars"),
                     F.coalesce("removed_lines", F.lit(0)).cast("bigint").alias("removed_lines"),
-                    (~failed & (cut <= F.lit(max_removed_share) * F.col("n_chars"))).alias("kept"), "digest", "hot_lines"))
+                    (~failed & whole).alias("kept"), "digest", "hot_lines"))
 
 
 def without_lines(text: Column, hot_lines: Column) -> Column:
@@ -107,15 +105,11 @@ def without_lines(text: Column, hot_lines: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(hot_lines, _line_hash(x))), "\n")
 
 
-def keep_good(docs: DataFrame, min_line_share: float = 0.0, **settings: object) -> DataFrame:
+def keep_good(docs: DataFrame, **settings: object) -> DataFrame:
     """The rows of ``docs`` that :func:`line_quality` keeps, with all their
     columns; ``text`` comes without the frequent lines of its host. Other
-    columns, a length among them, stay as delivered.
-
-    Unlike in the registered query, the limit is a count of documents alone: a
-    share of the host would grow with it, and let lines of tens of thousands of
-    documents pass in a large host."""
-    verdicts = checkpointed(line_quality(docs, min_line_share=min_line_share, **settings).filter(~F.col("kept") | F.col("hot_lines").isNotNull())
+    columns, a length among them, stay as delivered."""
+    verdicts = checkpointed(line_quality(docs, **settings).filter(~F.col("kept") | F.col("hot_lines").isNotNull())
                             .select(*[F.col(c).alias(f"r_{c}") for c in _KEY], "kept", "hot_lines").distinct())
     rejected = verdicts.filter(~F.col("kept")).select(*[f"r_{c}" for c in _KEY])
     cut = verdicts.filter("kept").select(*[f"r_{c}" for c in _KEY], "hot_lines")
@@ -148,20 +142,20 @@ lines as (select rid, line, lower(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\
 ]')),
 dups as (select rid, count(*) - count(distinct line) as n_dup_lines from lines group by rid),
 freq as (select source, tidy, count(distinct text) as docs from lines join d using (rid) group by source, tidy),
-hosts as (select source, count(distinct text) as host_docs from d group by source),
-hot as (select f.source, tidy from freq f join hosts h on f.source is not distinct from h.source
-        where docs >= 10 and docs >= 0.02 * host_docs),
-gone as (select l.rid, sum(length(l.tidy)) as removed_chars, count(*) as removed_lines
+hot as (select source, tidy from freq where docs >= 10),
+gone as (select l.rid, sum(length(l.tidy)) as removed_chars, count(*) as removed_lines,
+                sum(len(regexp_split_to_array(l.tidy, '[\x20\x09-\x0D]+'))) as removed_words
          from lines l join d using (rid) join hot h on h.tidy = l.tidy and h.source is not distinct from d.source group by l.rid),
 n as (select d.doc_id, length(text) as n_chars, len(w.w) as n_words, length(regexp_replace(text, '[ 	-
 ]+', '', 'g')) as word_chars,
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
         coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
-        coalesce(removed_chars, 0)::bigint as removed_chars, coalesce(removed_lines, 0) as removed_lines
+        coalesce(removed_chars, 0)::bigint as removed_chars, coalesce(removed_lines, 0) as removed_lines,
+        coalesce(removed_words, 0) as removed_words
       from d join w using (rid) left join dups using (rid) left join cover using (rid) left join gone using (rid))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and removed_chars <= 0.5 * n_chars as kept,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and removed_chars <= 0.5 * n_chars and n_words - removed_words >= 50 as kept,
        removed_chars, removed_lines
 from n
 """
