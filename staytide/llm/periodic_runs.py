@@ -71,6 +71,13 @@ class Grammar:
                     removed(left, (symbol[left], pair[0]))
                 if right < n and symbol[right] >= 0:
                     removed(j, (pair[1], symbol[right]))
+                    if symbol[right] == pair[1] != pair[0]:
+                        # A row of one symbol lost its first: its pairs are counted from the next one on.
+                        row, k, second = (pair[1], pair[1]), right, False
+                        while (m := after[k]) < n and symbol[m] == pair[1]:
+                            removed(k, row) if second else places[row].setdefault(k)
+                            k, second = m, not second
+                        changed[row] = None
                 symbol[i], symbol[j] = new, -2
                 after[i] = right
                 if right < n:

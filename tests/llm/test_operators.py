@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from staytide.llm import licenses, line_quality, mixing, near_copies, packing, rule_quality, simhash, topk, toxicity, trie_tokens, url_filter
+from staytide.llm import licenses, line_quality, mixing, packing, rule_quality, simhash, topk, toxicity, trie_tokens, url_filter
 from staytide.llm.components import connected_components
 from staytide.llm.queries import vocabulary
 
@@ -127,24 +129,23 @@ def edited(seed, words, edits):
     return " ".join(out)
 
 
-def test_one_of_each_equals_brute_force_jaccard(spark):
-    texts = [edited(seed, 150, edits) for seed in range(30) for edits in (0, 1, 2, 3, 4, 5)]
-    texts += [body(900 + i, 60) + " " + LINE for i in range(50)] + [edited(3, 150, 0).upper(), "a b", "A  b", None, ""]
-    sets = []
-    for t in texts:
-        w = (t or "").lower().split()
-        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)})
-    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    assert len(pairs) > 60
+def test_one_of_each_equals_brute_force_bits(spark):
+    texts = [edited(seed, 400, edits) for seed in range(12) for edits in (0, 1, 2, 3)] + [edited(3, 400, 0).upper(), "a b", "A  b", None, ""]
+    prints = [simhash.fingerprint((t or "").encode()) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
     root = components(pairs)
-    want = sorted({root.get(i, i) for i in range(len(texts))})
+    assert len(pairs) > 10
     frame = spark.createDataFrame([(i, t, "en", "h", 1) for i, t in enumerate(texts)], DOCS).repartition(3)
-    assert sorted(r[0] for r in simhash.keep_one(frame).collect()) == want
-    for hot in (1, 10_000):
-        sets_frame = near_copies.shingle_sets(frame)
-        named = {r.doc_id: r.s for r in sets_frame.collect()}
-        got = {(r.a, r.b) for r in near_copies.similar_pairs(sets_frame, hot=hot).collect()}
-        assert got == {tuple(sorted((named[i], named[j]))) for i, j in pairs if named[i] != named[j]}
+    assert sorted(r[0] for r in simhash.keep_one(frame).collect()) == sorted({root.get(i, i) for i in range(len(texts))})
+
+
+def test_fingerprint_equals_plain_counting():
+    for text in (body(1, 40), "A b\x0bC d\te " + body(2, 9), "one Two", "x " * 500):
+        w = [x for x in text.lower().replace("\x0b", " ").replace("\t", " ").split(" ") if x]
+        grams = [" ".join(w[i:i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
+        hashes = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+        want = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(text.encode()) == want
 
 
 def test_links_equal_brute_force_with_split_buckets(spark):
@@ -190,7 +191,14 @@ def test_packing(docs, empty):
 def test_encoder_on_odd_words():
     from tokenizers import Tokenizer
     path = vocabulary("word_bpe_49k.json")
-    texts = ["İstanbul 'tis x's a'. ''s ΌΔΟΣ", "<|endoftext|> a <|ENDOFTEXT|>", "é! é́! …. a….. x²!", "a\x1cb \x85 c", "한국어, 각 ﬁ. कि. ŉ!", ""]
+    texts = ["İstanbul 'tis x's a'. ''s ΌΔΟΣ", "<|endoftext|> a <|ENDOFTEXT|>", "é! é́! …. a….. x²!", "a\x1cb \x85 c", "한국어, 각 ﬁ. कि. ŉ!", "",
+             "GELDİ. TEŞEKKÜRLERİ!", "\u095f. x\u095f!", "W\u030a. w\u030a!"]
+    letters = [chr(c) for c in [*range(33, 127), *range(0xC0, 0x180), *range(0x300, 0x330), *range(0x900, 0x970), *range(0x1E00, 0x1F00),
+                                0x130, 0x1F0, 0x3B0, 0xFB01, 0xAC00, 0x5D0, 0x5B0, 0x627, 0x654, 0x212B]]
+    draw = random.Random(7)
+    for _ in range(20_000):
+        texts.append(" ".join("".join(draw.choices(letters, k=draw.randint(1, 5))) + "".join(draw.choices(".,!?;:()", k=draw.randint(0, 2)))
+                              for _ in range(draw.randint(1, 4))))
     coded = packing.Encoder(path)([t.encode() for t in texts])
     plain = Tokenizer.from_file(path)
     assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
@@ -234,6 +242,27 @@ def test_top_k(table):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_looks_at_every_shard_and_every_vector_of_an_id(table, monkeypatch):
+    draw = np.random.default_rng(5)
+    vec = [(int(i), v.tolist()) for i, v in zip(draw.integers(0, 300, 700), draw.integers(-9, 10, (700, 4)))] + [(20, [9, 9, 9, 9])] * 3
+    frame = table("vec_id bigint, embedding array<float>", *[(i, [x / 64 for x in v]) for i, v in vec])
+    want = []
+    for q in sorted({i for i, _ in vec if i % 20 == 0}):
+        best = {}
+        for i, v in vec:
+            if i != q:
+                best[i] = max([best.get(i, -10**9)] + [int(np.dot(v, u)) for j, u in vec if j == q])
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(sorted((-s, i) for i, s in best.items())[:5])]
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "GROUP", 6)
+    plain = type(frame).repartitionByRange
+    for shard, raised in ((40, 0), (100_000, 37)):
+        monkeypatch.setattr(topk, "SHARD", shard)
+        # A session may deal rows to more partitions than asked for.
+        monkeypatch.setattr(type(frame), "repartitionByRange", lambda self, n, *c, more=raised: plain(self, max(n, more), *c))
+        assert [tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 20 == 0, 5).orderBy("query_id", "rank").collect()] == want
+
+
 def test_pruned_blocks_equal_a_full_search():
     draw = np.random.default_rng(3)
     rows = draw.integers(-20, 20, (600, 8))
@@ -298,7 +327,8 @@ def test_template_join_equals_all_pairs(spark):
     templates = {f"l{k}": [" ".join(draw.choice(pool, draw.integers(2, 9)))] for k in range(6)}
     blocks = [(str(i), 0, sorted(set(draw.choice(pool + ["x", "y"], draw.integers(1, 14)).tolist()))) for i in range(200)]
     frame = spark.createDataFrame(blocks, "row string, block int, tokens array<string>")
-    got = {(r.row, r.label, round(r.containment, 9)) for r in licenses.template_matches(frame, templates, 0.7).collect()}
+    counts = Counter(t for *_, tokens in blocks for t in tokens)
+    got = {(r.row, r.label, round(r.containment, 9)) for r in licenses.template_matches(frame, counts, templates, 0.7).collect()}
     want = {(row, label, round(len(set(t) & set(x.split())) / len(set(x.split())), 9)) for row, _, t in blocks
             for label, (x,) in templates.items() if len(set(t) & set(x.split())) >= 0.7 * len(set(x.split())) - 1e-9}
     assert got == want

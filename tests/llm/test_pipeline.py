@@ -11,10 +11,10 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op6_url_filters", "op8_exact_topk", "op10_quality_rules"])
+@pytest.mark.parametrize("name", ["op6_url_filters", "op8_exact_topk", "op10_quality_rules", "op12_filter_audit"])
 def test_queries_match_sql(spark, name):
     assert difference(entry.queries()[name](spark, SF), duck(SF).sql(entry.oracle_sql()[name])) is None
 
