@@ -2,67 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions.columns import slot
-from .sizing import needs_split
 
-# Undated rows sort last, hence the largest slot.
-_LAST_SLOT = (1 << 31) - 1
+# Undated rows sort last, hence the largest slot. The rows at the edges of a key's slots meet in a part of their own.
+_LAST_SLOT, _EDGES = (1 << 31) - 1, -(1 << 31)
 
 
 def _slotted(df: DataFrame, ts: str, days: int) -> DataFrame:
     return df.selectExpr("*", f"coalesce({slot(ts, days)}, {_LAST_SLOT}) as _slot")
 
 
-def _over(keys: list[str], ts: str, ties: list[str]) -> str:
-    order = ", ".join(f"{c} asc nulls last" for c in [ts, *ties])
-    return f"over (partition by {', '.join(keys)} order by {order})"
+def _over(keys: list[str], order: list[str]) -> str:
+    return f"over (partition by {', '.join(keys)} order by {', '.join(f'{c} asc nulls last' for c in order)})"
 
 
-def _same(keys: list[str]) -> Column:
-    """NULL keys are keys, in joins as in windows."""
-    return F.expr(" and ".join(f"{k} <=> _k_{k}" for k in keys))
+def in_order(df: DataFrame, keys: list[str], ts: str, ties: list[str], days: int = 32) -> DataFrame:
+    """Add ``_next``, the key's next ``ts`` in the order of (``ts``, ``ties``), and ``_first``, true for its first row.
 
+    Rows are ordered within time slots of ``days``; then a slot's first and last
+    rows are ordered once more per key, where the last row of a slot finds the
+    first one of the key's next slot. So a task sorts a slot's rows or a key's
+    slots, never all rows of a key, and the input is read once.
+    """
+    order = [ts, *ties]
+    inside = _over([*keys, "_slot"], order)
+    placed = _slotted(df, ts, days).selectExpr(
+        "*", f"lead({ts}) {inside} as _ahead", f"lead(_slot) {inside} is null as _tail", f"row_number() {inside} as _rn")
+    edges = placed.selectExpr("*", f"if(_rn = 1 or _tail, {_EDGES}, _slot) as _part")
+    across = _over([*keys, "_part"], [*order, "_rn"])
+    found = edges.selectExpr("*", f"lead({ts}) {across} as _later", f"row_number() {across} as _place")
+    return found.selectExpr(*df.columns, "if(_tail, _later, _ahead) as _next", "_rn = 1 and _place = 1 as _first")
 
-def mark_first(df: DataFrame, keys: list[str], ts: str, ties: list[str], out: str,
-               split: bool, days: int = 1) -> DataFrame:
-    """Flag the earliest row per key.
 
-    Split plan: order only within time slots; a slot's first row is the
-    key's first row exactly when the slot is the key's earliest, which an
-    aggregate of slot numbers tells.
-    """
-    if not split:
-        return df.selectExpr("*", f"row_number() {_over(keys, ts, ties)} = 1 as {out}")
-    slotted = _slotted(df, ts, days)
-    earliest = slotted.groupBy(*keys).agg(F.min("_slot").alias("_earliest"))
-    ranked = slotted.selectExpr("*", f"row_number() {_over([*keys, '_slot'], ts, ties)} as _rn")
-    earliest = earliest.selectExpr(*[f"{k} as _k_{k}" for k in keys], "_earliest")
-    return ranked.join(earliest, _same(keys)).selectExpr(
-        *df.columns, f"_rn = 1 and _slot = _earliest as {out}")
-
-
-def to_intervals(df: DataFrame, keys: list[str], start: str, fallback_end: str,
-                 ties: list[str], split: bool | None = None, out: str = "endtime",
-                 days: int = 1) -> DataFrame:
-    """Add the end of each row's validity: the key's next start, else the fallback.
-
-    Split plan: the next start is sought within the time slot, and for a
-    slot's last row it is the first start of the key's next slot, taken from
-    one row per slot.
-    """
-    if not needs_split(df, keys, split):
-        following = f"lead({start}) {_over(keys, start, ties)}"
-        return df.selectExpr("*", f"coalesce({following}, {fallback_end}) as {out}")
-    slotted = _slotted(df, start, days)
-    heads = slotted.groupBy(*keys, "_slot").agg(F.min(start).alias("_head")).selectExpr(
-        *keys, "_slot", f"lead(_head) over (partition by {', '.join(keys)} order by _slot) as _next_head")
-    ahead = slotted.selectExpr("*", f"lead({start}) {_over([*keys, '_slot'], start, ties)} as _next")
-    heads = heads.selectExpr(*[f"{k} as _k_{k}" for k in [*keys, "_slot"]], "_next_head")
-    return ahead.join(heads, _same([*keys, "_slot"])).selectExpr(
-        *df.columns, f"coalesce(_next, _next_head, {fallback_end}) as {out}")
+def mark_first(df: DataFrame, keys: list[str], ts: str, ties: list[str], out: str) -> DataFrame:
+    """Flag the earliest row per key."""
+    return in_order(df, keys, ts, ties).selectExpr(*df.columns, f"_first as {out}")
+
+
+def to_intervals(df: DataFrame, keys: list[str], start: str, fallback_end: str, ties: list[str],
+                 out: str = "endtime", first: str | None = None) -> DataFrame:
+    """Add the end of each row's validity: the key's next start, else the
+    fallback; and with ``first`` a flag of the key's earliest row."""
+    return in_order(df, keys, start, ties).selectExpr(
+        *df.columns, f"coalesce(_next, {fallback_end}) as {out}", *([f"_first as {first}"] if first else []))
 
 
 def backfill_first(df: DataFrame, first: str, due: str, start: str, end: str,
@@ -78,18 +62,20 @@ def backfill_first(df: DataFrame, first: str, due: str, start: str, end: str,
     return df.selectExpr(*others, f"inline({spans}) as ({start}, {end})")
 
 
-def fallback_intervals(primary: DataFrame, secondary: DataFrame, key: str,
-                       split: bool = False) -> DataFrame:
-    """Primary intervals, and secondary ones for keys the primary lacks.
+def fallback_intervals(primary: DataFrame, secondary: DataFrame, key: str, ts: str, days: int = 32) -> DataFrame:
+    """Distinct primary intervals, and secondary ones for keys the primary lacks.
 
-    Plain plan: one window per key over both, so that the primary side is
-    evaluated once and the window's partitioning also serves ``distinct``.
-    Split plan: anti join against the distinct primary keys.
+    Both sides are evaluated once: whether a key has a primary row is found per
+    time slot of ``ts``, then from one row per slot, and handed back to the
+    slot's rows, so no task meets all rows of a key.
     """
-    if split:
-        known = primary.selectExpr(f"{key} as _k_{key}").distinct()
-        return primary.unionByName(secondary.join(known, _same([key]), "left_anti")).distinct()
     both = primary.selectExpr("*", "true as _primary").unionByName(
         secondary.selectExpr("*", "false as _primary"))
-    marked = both.selectExpr("*", f"max(_primary) over (partition by {key}) as _has_primary")
-    return marked.where("_primary or not _has_primary").select(*primary.columns).distinct()
+    inside = _over([key, "_slot"], [ts])
+    placed = _slotted(both, ts, days).selectExpr(
+        "*", f"max(_primary) over (partition by {key}, _slot) as _any", f"row_number() {inside} as _rn")
+    heads = placed.selectExpr("*", f"if(_rn = 1, {_EDGES}, _slot) as _part").selectExpr(
+        "*", f"max(_any) over (partition by {key}, _part) as _known")
+    told = heads.selectExpr("*", f"max(if(_rn = 1, _known, null)) over (partition by {key}, _slot) as _has_primary")
+    kept = told.where("_primary or not _has_primary").select(*primary.columns, "_slot")
+    return kept.distinct().select(*primary.columns)

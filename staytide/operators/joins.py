@@ -7,8 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import MICROSECOND, in_window, interval, one_of, slot, whole_days
-from .sizing import MAX_KEY_PAIRS, hottest_group
+from ..functions.columns import MICROSECOND, in_window, interval, one_of, slot, slot_start, whole_days
 
 
 def attach_window(episodes: DataFrame, events: DataFrame, on: list[str], ts: str, anchor: str,
@@ -40,45 +39,54 @@ def attach_window(episodes: DataFrame, events: DataFrame, on: list[str], ts: str
     return episodes.join(matched.select(*rest), episode_key, "left").select(*matched.columns)
 
 
+def _nodes(ts: str, levels: list[int]) -> str:
+    """The time nodes that hold an instant, one per level."""
+    day = slot(ts)
+    return "array(" + ", ".join(f"struct({i} as level, {slot_start(day, w)} as node)" for i, w in enumerate(levels)) + ")"
+
+
+def _tiles(start: str, end: str, levels: list[int]) -> str:
+    """Time nodes that tile the days of ``[start, end)``: of every level the whole nodes inside, next to the ends, that
+    no node of the level above covers."""
+    first, last = slot(start), f"({slot(f'({end} - {interval(MICROSECOND)})')} + 1)"
+    tiles = []
+    for i, width in enumerate(levels):
+        up = lambda x, w=width: f"(-{slot_start(f'(-{x})', w)})"  # noqa: E731  the next node's edge at or after x
+        low, high = up(first), slot_start(last, width)
+        steps = lambda a, b, w=width: f"if({a} < {b}, sequence({a}, {b} - 1, {w}), array())"
+        if i + 1 < len(levels):
+            wide = levels[i + 1]
+            next_low, next_high = up(first, wide), slot_start(last, wide)
+            covered = f"({next_low} < {next_high})"
+            parts = [steps(low, f"if({covered}, {next_low}, {high})"), f"if({covered}, {steps(next_high, high)}, array())"]
+        else:
+            parts = [steps(low, high)]
+        tiles += [f"transform(cast({p} as array<int>), x -> struct({i} as level, x as node))" for p in parts]
+    return f"concat({', '.join(tiles)})"
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], ts: str, start: str,
-                  end: str, slotted: bool | None = None, days: int = 1) -> DataFrame:
+                  end: str, base: int = 16, levels: int = 5) -> DataFrame:
     """Left join of points to the intervals ``[start, end)`` that hold them.
 
-    Plain plan: equi join on ``keys`` with the interval test as extra
-    condition; it reuses an existing partitioning on ``keys``. When points x
-    intervals of one key could exceed ``MAX_KEY_PAIRS`` the slotted plan
-    repeats each interval per time slot it covers and joins on (key, slot);
-    the exact test stays. A point lies in one slot only, so no match is
-    repeated.
+    Hierarchical time index: level i has nodes of ``base``**i days. An interval
+    is stored under the few nodes that tile its days, so its copies grow with
+    the logarithm of its length; an instant probes the one node per level that
+    holds it, and the exact test stays. Tiles do not overlap, so no match is
+    repeated. A task meets the instants and intervals of a (key, node), not of
+    a key. The matches of the distinct instants are joined back to the points.
     """
-    if slotted is None:
-        slotted = (hottest_group(points, keys) * hottest_group(intervals, keys)) > MAX_KEY_PAIRS
+    widths = [base**i for i in range(levels)]
     payload = [c for c in intervals.columns if c not in keys]
-    left, right = points, intervals.where(f"{start} < {end}")
-    if slotted:
-        last = slot(f"({end} - {interval(MICROSECOND)})", days)
-        right = right.selectExpr(
-            "*", f"explode(sequence({slot(start, days)}, {last}, {days})) as _slot")
-        left = left.selectExpr("*", f"{slot(ts, days)} as _slot")
-    tests = [f"p.{k} = i.{k}" for k in (keys + (["_slot"] if slotted else []))]
-    tests += [f"p.{ts} >= i.{start}", f"p.{ts} < i.{end}"]
-    joined = left.alias("p").join(right.alias("i"), F.expr(" and ".join(tests)), "left")
-    return joined.selectExpr(*[f"p.{c}" for c in points.columns], *[f"i.{c}" for c in payload])
-
-
-def lookup(rows: DataFrame, small: DataFrame, key: str, spread: str, split: bool = False,
-           salts: int = 64) -> DataFrame:
-    """Inner join of many rows to one row per key.
-
-    ``split`` spreads the rows of a hot key over ``salts`` partitions by the
-    hash of the ``spread`` column and repeats the small side as often, so that
-    no later step inherits a partitioning with one oversized part.
-    """
-    if not split:
-        return rows.join(small, key)
-    salted = rows.selectExpr("*", f"pmod(xxhash64({spread}), {salts}) as _salt")
-    copies = small.selectExpr("*", f"explode(sequence(0L, {salts - 1}L)) as _salt")
-    return salted.join(copies, [key, "_salt"]).drop("_salt")
+    named = {c: f"_i_{c}" for c in payload}
+    tiled = (intervals.where(f"{start} < {end}")
+             .selectExpr(*keys, *[f"{c} as {a}" for c, a in named.items()], f"inline({_tiles(start, end, widths)}) as (_level, _node)"))
+    probes = (points.where(f"{ts} is not null").selectExpr(*keys, f"{ts} as _ts").distinct()
+              .selectExpr(*keys, "_ts", f"inline({_nodes('_ts', widths)}) as (_level, _node)"))
+    hits = (probes.join(tiled, [*keys, "_level", "_node"]).where(f"_ts >= {named[start]} and _ts < {named[end]}")
+            .selectExpr(*[f"{k} as _k_{k}" for k in keys], "_ts", *named.values()))
+    same = " and ".join([f"{k} = _k_{k}" for k in keys] + [f"{ts} = _ts"])
+    return points.join(hits, F.expr(same), "left").selectExpr(*points.columns, *[f"{a} as {c}" for c, a in named.items()])
 
 
 def without(df: DataFrame, other: DataFrame, key: str) -> DataFrame:

@@ -5,14 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import timedelta
-from math import gcd
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.columns import as_micros, micros, slot_start
-from ..sources.tables import checkpointed
-from .sizing import needs_split
 
 
 @dataclass(frozen=True)
@@ -30,84 +26,37 @@ class Trailing:
 
 
 def trailing_agg(df: DataFrame, keys: list[str], ts: str, outputs: Mapping[str, Trailing],
-                 split: bool | None = None, slot: timedelta = timedelta(hours=1)) -> DataFrame:
-    """Add one trailing aggregate per output column; rows are kept as they are.
-
-    Plain plan: one shuffle on ``keys`` and one sort serve all outputs, as
-    RANGE frames over microseconds. No self join, hence no fan-out.
-
-    Split plan, taken when one key outgrows a task (measured when ``split`` is
-    None): every key is cut into time slots. A window is then the slot's own
-    earlier rows, the whole slots in between (pre-aggregated to one row per
-    slot) and the tail of its oldest slot, reached by a copy of each row moved
-    forward by the span. Work per task follows the slot, not the key. A slot
-    is ``slot`` wide, or the greatest width that divides it and every span.
-    Spans must be positive in both plans.
+                 slot: timedelta | None = None, distinct: bool = False) -> DataFrame:
+    """Add one trailing aggregate per output column; rows are kept as they are, or with ``distinct`` one of each.
+
+    Every key is cut into time slots, by default four times as wide as the
+    widest span, and a (key, slot) is a window partition of its own: its rows
+    and, without their other columns, those of earlier slots that its windows
+    reach back to. One shuffle and one sort serve all outputs, as RANGE frames
+    over microseconds; a frame meets the same rows in the same order whatever
+    the slots, so sums agree to the last digit. No self join, hence no fan-out,
+    and a task's work follows the slot, not the key. Undated rows have no window.
     """
     if any(o.span <= timedelta(0) for o in outputs.values()):
         raise ValueError("every span must be positive")
-    if needs_split(df, keys, split):
-        return _split_trailing(df, keys, ts, outputs, slot)
-    by = ", ".join(keys)
-    windows = [
-        f"if(_t is null, null, {o.fn}({o.value}) over (partition by {by} order by _t range between "
-        f"{as_micros(o.span)}L preceding and {'1L preceding' if o.closed == 'left' else 'current row'}))"
-        f" as {name}" for name, o in outputs.items()]
-    return df.selectExpr("*", f"{micros(ts)} as _t").selectExpr(*df.columns, *windows)
-
-
-def _merged(fn: str, parts: list[str]) -> str:
-    """One aggregate from aggregates of disjoint parts, NULL when all are."""
-    if fn in ("min", "max"):
-        return f"{'least' if fn == 'min' else 'greatest'}({', '.join(parts)})"
-    total = " + ".join(f"coalesce({p}, 0)" for p in parts)
-    return f"if(coalesce({', '.join(parts)}) is null, null, {total})"
-
-
-def _split_trailing(df: DataFrame, keys: list[str], ts: str, outputs: Mapping[str, Trailing],
-                    slot: timedelta) -> DataFrame:
-    spans = sorted({as_micros(o.span) for o in outputs.values()})
-    width = gcd(as_micros(slot), *spans)
+    widest = max(as_micros(o.span) for o in outputs.values())
+    width = as_micros(slot) if slot else 4 * widest
     alias = {v: f"_v{i}" for i, v in enumerate(sorted({o.value for o in outputs.values()}))}
-    by = ", ".join(keys)
-
-    df = checkpointed(df)  # read by both branches below
-    timed = (df.where(f"{ts} is not null").selectExpr("*", f"{micros(ts)} as _t")
-             .selectExpr("*", f"{slot_start('_t', width)} as _slot"))
-    # Each row in place, plus one copy per span that lands where it leaves a
-    # window; only the copy in place carries the row itself.
-    moves = ", ".join(f"{m}L" for m in [0, *spans])
-    mixed = timed.selectExpr(
-        *keys, "_slot", "_t", f"struct({', '.join(df.columns)}) as _row",
-        *[f"{v} as {a}" for v, a in alias.items()], f"explode(array({moves})) as _moved")
-    mixed = mixed.selectExpr(*keys, "_slot + _moved as _slot", "_t + _moved as _t", "_moved",
-                             *alias.values(), "if(_moved = 0, _row, null) as _row")
-    edges = []
-    for name, o in outputs.items():
-        over = f"over (partition by {by}, _slot order by _t range between"
-        value, last = alias[o.value], "1L preceding" if o.closed == "left" else "current row"
-        edges.append(f"{o.fn}(if(_moved = 0, {value}, null)) {over} unbounded preceding and {last})"
-                     f" as _a_{name}")
-        edges.append(f"{o.fn}(if(_moved = {as_micros(o.span)}L, {value}, null)) {over} current row"
-                     f" and unbounded following) as _b_{name}")
-    placed = mixed.selectExpr(*keys, "_slot", "_moved", "_row", *edges).where("_moved = 0")
-
-    # One row per key and slot: its number is bounded by elapsed time.
-    wide = {n: o for n, o in outputs.items() if as_micros(o.span) > width}
-    whole = timed.groupBy(*keys, "_slot").agg(
-        *[F.expr(f"{o.fn}({o.value}) as _w_{n}") for n, o in outputs.items()])
-    between = whole.selectExpr(
-        *[f"{k} as _k_{k}" for k in keys], "_slot as _k_slot",
-        *[f"{o.fn}(_w_{n}) over (partition by {by} order by _slot range between "
-          f"{as_micros(o.span) - width}L preceding and 1L preceding) as _m_{n}" for n, o in wide.items()])
-    on = " and ".join([f"{k} <=> _k_{k}" for k in keys] + ["_slot = _k_slot"])
-    result = placed.join(between, F.expr(on), "left").selectExpr(
-        "_row.*",
-        *[_merged(o.fn, [f"_a_{n}", f"_b_{n}"] + ([f"_m_{n}"] if n in wide else [])) + f" as {n}"
-          for n, o in outputs.items()])
-    undated = df.where(f"{ts} is null").selectExpr("*", *[
-        f"cast(null as {result.schema[n].dataType.simpleString()}) as {n}" for n in outputs])
-    return result.unionByName(undated)
+    rest = [c for c in df.columns if c not in keys]
+    # Undated rows of one key are spread; nothing is looked up for them.
+    undated = "array(-1L - pmod(xxhash64(_row), 64L))"
+    placed = df.selectExpr(*keys, f"{micros(ts)} as _t", f"struct({', '.join(rest)}) as _row", *[f"{v} as {a}" for v, a in alias.items()])
+    placed = placed.selectExpr("*", f"{slot_start('_t', width)} as _home").selectExpr(
+        *keys, "_t", "_home", "_row", *alias.values(),
+        f"explode(if(_t is null, {undated}, sequence(_home, {slot_start(f'(_t + {widest})', width)}, {width}L))) as _slot")
+    placed = placed.selectExpr(*keys, "_slot", "_t", *alias.values(), "if(_t is null or _slot = _home, _row, null) as _row")
+    over = f"over (partition by {', '.join(keys)}, _slot order by _t range between"
+    frames = [f"if(_t is null, null, {o.fn}({alias[o.value]}) {over} {as_micros(o.span)}L preceding and "
+              f"{'1L preceding' if o.closed == 'left' else 'current row'})) as {name}" for name, o in outputs.items()]
+    own = placed.selectExpr(*keys, "_slot", "_row", *frames).where("_row is not null")
+    result = own.selectExpr(*keys, "_slot", *[f"_row.{c} as {c}" for c in rest], *outputs)
+    # With the slot among the columns the window's partitioning also serves ``distinct``.
+    return (result.distinct() if distinct else result).select(*df.columns, *outputs)
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

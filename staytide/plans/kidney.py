@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions.columns import hours_between, in_window, interval, ladder, one_of, round_half_up
-from ..operators.joins import (align_series, attach_window, interval_join, lookup, time_spine,
-                               without)
-from ..operators.sizing import MAX_GROUP_ROWS, MAX_KEY_PAIRS, hottest_groups, needs_split
+from ..operators.joins import align_series, attach_window, interval_join, time_spine, without
 from ..operators.windows import Trailing, trailing_agg, worst_row
-from .weights import weight_durations, weight_sizes
+from .weights import weight_durations
 
 HOURS_48, DAYS_7 = timedelta(hours=48), timedelta(days=7)
 HOURS_6 = timedelta(hours=6)
@@ -40,23 +38,17 @@ def creatinine_series(icustays: DataFrame, labevents: DataFrame, how: str = "lef
 
 
 def creatinine_baseline(icustays: DataFrame, labevents: DataFrame, how: str = "left",
-                        split: bool | None = None) -> DataFrame:
+                        slot: timedelta | None = None) -> DataFrame:
     """Lowest creatinine of the past 48 hours and 7 days, the present excluded;
-    one row per (stay, time, value)."""
-    if split is None:
-        split = needs_split(_creatinine_labs(labevents), ["subject_id"], None)
+    one row per (stay, time, value), as equal ones agree in every column."""
     series = creatinine_series(icustays, labevents, "inner")
     lows = trailing_agg(
         series.select(*_STAY, "charttime", "creat"), ["icustay_id"], "charttime",
         {"creat_low_past_48hr": Trailing("min", "creat", HOURS_48, "left"),
-         "creat_low_past_7day": Trailing("min", "creat", DAYS_7, "left")}, split)
-    # Equal (stay, time, value) rows agree in every column. The plain window has
-    # already placed each stay in one partition, so this shuffles nothing.
-    lows = lows.distinct()
+         "creat_low_past_7day": Trailing("min", "creat", DAYS_7, "left")}, slot, distinct=True)
     if how == "inner":
         return lows
-    missing = without(icustays.select(*_STAY), series, "icustay_id")
-    return lows.unionByName(missing, allowMissingColumns=True)
+    return icustays.select(*_STAY).join(lows.drop("dbsource", "intime"), "icustay_id", "left")
 
 
 def stage_creatinine(baseline: DataFrame) -> DataFrame:
@@ -71,9 +63,8 @@ def stage_creatinine(baseline: DataFrame) -> DataFrame:
     return baseline.selectExpr("*", f"{stage} as aki_stage_creat")
 
 
-def staged_creatinine(icustays: DataFrame, labevents: DataFrame, how: str = "inner",
-                      split: bool | None = None) -> DataFrame:
-    return stage_creatinine(creatinine_baseline(icustays, labevents, how, split))
+def staged_creatinine(icustays: DataFrame, labevents: DataFrame, how: str = "inner") -> DataFrame:
+    return stage_creatinine(creatinine_baseline(icustays, labevents, how))
 
 
 # --- urine -----------------------------------------------------------------------
@@ -86,24 +77,23 @@ def urine_output(outputevents: DataFrame) -> DataFrame:
         F.expr(f"sum(if(itemid = {C.URINE_NEGATED}, -value, value)) as value"))
 
 
-def urine_trailing(urine: DataFrame, split: bool | None = None) -> DataFrame:
+def urine_trailing(urine: DataFrame, slot: timedelta | None = None) -> DataFrame:
     """Volume over the last 6, 12 and 24 hours and hours since the window's first value."""
     outputs: dict[str, Trailing] = {}
     for name, hours in URINE_HORIZONS.items():
         span = timedelta(hours=hours)
         outputs[f"urineoutput_{name}"] = Trailing("sum", "value", span)
         outputs[f"_since_{name}"] = Trailing("min", "charttime", span)
-    windowed = trailing_agg(urine, ["icustay_id"], "charttime", outputs, split)
+    windowed = trailing_agg(urine, ["icustay_id"], "charttime", outputs, slot)
     elapsed = [f"{round_half_up(hours_between('charttime', f'_since_{n}'))} as uo_tm_{n}"
                for n in URINE_HORIZONS]
     return windowed.selectExpr("icustay_id", "charttime",
                                *[f"urineoutput_{n}" for n in URINE_HORIZONS], *elapsed)
 
 
-def urine_rates(trailing: DataFrame, weights: DataFrame, slotted: bool | None = None) -> DataFrame:
+def urine_rates(trailing: DataFrame, weights: DataFrame) -> DataFrame:
     """Volume per kg and hour, with the weight valid at the time."""
-    weighed = interval_join(trailing, weights, ["icustay_id"], "charttime", "starttime", "endtime",
-                            slotted)
+    weighed = interval_join(trailing, weights, ["icustay_id"], "charttime", "starttime", "endtime")
     rates = [f"try_divide(try_divide(urineoutput_{n}, weight), uo_tm_{n} + 1) as uo_rt_{n}"
              for n in URINE_HORIZONS]
     volumes, hours = ([f"{c}_{n}" for n in URINE_HORIZONS] for c in ("urineoutput", "uo_tm"))
@@ -112,7 +102,7 @@ def urine_rates(trailing: DataFrame, weights: DataFrame, slotted: bool | None =
         *[f"{round_half_up(c)} as {c}" for c in _RATES], *hours)
 
 
-def stage_urine(rates: DataFrame, icustays: DataFrame, split: bool = False) -> DataFrame:
+def stage_urine(rates: DataFrame, icustays: DataFrame) -> DataFrame:
     """Stage ladder on the rates. The first six hours of a stay are stage 0."""
     stage = ladder([
         ("uo_rt_6hr is null", "null"),
@@ -122,16 +112,13 @@ def stage_urine(rates: DataFrame, icustays: DataFrame, split: bool = False) -> D
         ("uo_tm_12hr >= 5 and uo_rt_12hr < 0.5D", "2"),
         ("uo_tm_6hr >= 2 and uo_rt_6hr < 0.5D", "1"),
     ], "0")
-    rated = lookup(rates, icustays.select(*_STAY), "icustay_id", "charttime", split)
+    rated = rates.join(icustays.select(*_STAY), "icustay_id")
     return rated.selectExpr(*_STAY, "charttime", "weight", *_RATES, f"{stage} as aki_stage_uo")
 
 
-def staged_urine(outputevents: DataFrame, weights: DataFrame, icustays: DataFrame,
-                 split: bool | None = None, slotted: bool | None = None) -> DataFrame:
-    if split is None:
-        split = needs_split(outputevents, ["icustay_id"], None)
-    trailing = urine_trailing(urine_output(outputevents), split)
-    return stage_urine(urine_rates(trailing, weights, slotted), icustays, split)
+def staged_urine(outputevents: DataFrame, weights: DataFrame, icustays: DataFrame) -> DataFrame:
+    trailing = urine_trailing(urine_output(outputevents))
+    return stage_urine(urine_rates(trailing, weights), icustays)
 
 
 # --- from source tables ----------------------------------------------------------
@@ -150,41 +137,18 @@ class StayTables:
     diagnoses_icd: DataFrame | None = None
 
 
-@dataclass(frozen=True)
-class Layout:
-    """Which steps are cut into time slots because a group outgrows a task."""
-
-    creatinine: bool
-    urine: bool
-    weights: bool
-    weight_join: bool
-
-
-def layout(t: StayTables) -> Layout:
-    """Measured in one job that reads key columns of the source tables."""
-    size = hottest_groups({"creatinine": (_creatinine_labs(t.labevents), ["subject_id"]),
-                           "urine": (t.outputevents, ["icustay_id"]),
-                           **weight_sizes(t.chartevents, t.noteevents)})
-    spans = max(size["weights"], size["echo"])
-    return Layout(size["creatinine"] > MAX_GROUP_ROWS, size["urine"] > MAX_GROUP_ROWS,
-                  spans > MAX_GROUP_ROWS, size["urine"] * spans > MAX_KEY_PAIRS)
-
-
-def staged_series(t: StayTables, cut: Layout | None = None) -> tuple[DataFrame, DataFrame]:
+def staged_series(t: StayTables) -> tuple[DataFrame, DataFrame]:
     """Staged creatinine and urine of every stay."""
-    cut = cut or layout(t)
-    creat = staged_creatinine(t.icustays, t.labevents, split=cut.creatinine)
-    weights = weight_durations(t.chartevents, t.noteevents, t.icustays, cut.weights)
-    urine = staged_urine(t.outputevents, weights, t.icustays, cut.urine, cut.weight_join)
-    return creat, urine
+    weights = weight_durations(t.chartevents, t.noteevents, t.icustays)
+    return staged_creatinine(t.icustays, t.labevents), staged_urine(t.outputevents, weights, t.icustays)
 
 
 def stage_48h(t: StayTables) -> DataFrame:
     return worst_stage(t.icustays, *staged_series(t), HOURS_48, "48hr")
 
 
-def stage_7day(t: StayTables, cut: Layout | None = None) -> DataFrame:
-    return worst_stage(t.icustays, *staged_series(t, cut), DAYS_7, "7day")
+def stage_7day(t: StayTables) -> DataFrame:
+    return worst_stage(t.icustays, *staged_series(t), DAYS_7, "7day")
 
 
 def stage_7day_creatinine(t: StayTables) -> DataFrame:

@@ -11,9 +11,6 @@ from ..functions import codes as C
 from ..functions.columns import interval, ladder, not_flagged, one_of
 from ..functions.text import add_time_of_day, extract_fields
 from ..operators.intervals import backfill_first, fallback_intervals, mark_first, to_intervals
-from ..operators.joins import lookup
-from ..operators.sizing import MAX_GROUP_ROWS, hottest_groups
-from ..sources.tables import checkpointed
 
 LEAD_IN = interval(timedelta(hours=2))
 _DIRECT = C.WEIGHT_ADMIT_ITEMS + C.WEIGHT_DAILY_ITEMS
@@ -75,70 +72,48 @@ def weight_points(chart: DataFrame) -> DataFrame:
         "explode(sequence(1L, if(kind = 'direct', n, 1L))) as _copy").drop("_copy")
 
 
-def weight_starts(points: DataFrame, icustays: DataFrame, split: bool = False) -> DataFrame:
+def weight_starts(points: DataFrame, icustays: DataFrame) -> DataFrame:
     """Start of each weight; a stay's first admission weight counts from two
     hours before the stay."""
     stays = icustays.select("icustay_id", "dbsource", "intime", "outtime")
-    known = lookup(points.where("weight is not null"), stays, "icustay_id", "charttime", split)
-    ranked = mark_first(known, ["icustay_id", "weight_type"], "charttime", ["weight"], "_first", split)
+    known = points.where("weight is not null").join(stays, "icustay_id")
+    ranked = mark_first(known, ["icustay_id", "weight_type"], "charttime", ["weight"], "_first")
     return ranked.selectExpr(
         "icustay_id", "intime", "outtime", "dbsource",
         f"if(weight_type = 'admit' and _first, intime - {LEAD_IN}, charttime) as starttime", "weight")
 
 
-def weight_intervals(starts: DataFrame, split: bool = False) -> DataFrame:
-    return to_intervals(starts, ["icustay_id"], "starttime", f"outtime + {LEAD_IN}", ["weight"], split)
+def weight_intervals(starts: DataFrame, first: str | None = None) -> DataFrame:
+    return to_intervals(starts, ["icustay_id"], "starttime", f"outtime + {LEAD_IN}", ["weight"], first=first)
 
 
-def weight_backfill(intervals: DataFrame, split: bool = False) -> DataFrame:
-    """Adds the stay's first weight from two hours before the stay when it
-    starts after the stay began."""
-    marked = mark_first(intervals, ["icustay_id"], "starttime", ["weight"], "_first", split)
-    return backfill_first(marked, "_first", "intime < starttime", "starttime", "endtime",
+def charted_intervals(chart: DataFrame, icustays: DataFrame) -> DataFrame:
+    """Intervals from charted weights; the stay's first weight also counts from
+    two hours before the stay when it starts after the stay began."""
+    spans = weight_intervals(weight_starts(weight_points(chart), icustays), "_first")
+    return backfill_first(spans, "_first", "intime < starttime", "starttime", "endtime",
                           f"intime - {LEAD_IN}").select(*_OUT)
 
 
-def echo_to_stay(notes: DataFrame, icustays: DataFrame, split: bool = False) -> DataFrame:
+def echo_to_stay(notes: DataFrame, icustays: DataFrame) -> DataFrame:
     """Echo weights in kg at the stays of the note's admission."""
     echo = note_fields(notes).where("weight is not null").selectExpr(
         "hadm_id", "charttime as starttime", f"weight * {C.KG_PER_LB_NOTE}D as weight")
     stays = icustays.select("icustay_id", "hadm_id", "intime", "outtime")
-    return lookup(echo, stays, "hadm_id", "starttime", split).drop("hadm_id")
+    return echo.join(stays, "hadm_id").drop("hadm_id")
 
 
-def echo_intervals(echo: DataFrame, split: bool = False) -> DataFrame:
-    spans = to_intervals(echo, ["icustay_id"], "starttime", f"outtime + {LEAD_IN}", ["weight"], split)
-    marked = mark_first(spans, ["icustay_id"], "starttime", ["weight"], "_first", split)
+def echo_intervals(echo: DataFrame) -> DataFrame:
     begin = f"intime - {LEAD_IN}"
-    return backfill_first(marked, "_first", f"starttime > {begin}", "starttime", "endtime",
+    return backfill_first(weight_intervals(echo, "_first"), "_first", f"starttime > {begin}", "starttime", "endtime",
                           begin).select(*_OUT)
 
 
-def charted_intervals(chart: DataFrame, icustays: DataFrame, split: bool = False) -> DataFrame:
-    """Intervals from charted weights. The split plan reads some inputs twice and
-    keeps them written instead of scanning the chart again."""
-    keep = checkpointed if split else lambda df: df
-    starts = keep(weight_starts(keep(weight_points(chart)), icustays, split))
-    return weight_backfill(keep(weight_intervals(starts, split)), split)
-
-
-def weight_durations(chart: DataFrame, notes: DataFrame, icustays: DataFrame,
-                     split: bool | None = None) -> DataFrame:
+def weight_durations(chart: DataFrame, notes: DataFrame, icustays: DataFrame) -> DataFrame:
     """Weight intervals ``[starttime, endtime)`` per stay; echo weights only
     for stays without any charted weight."""
-    if split is None:
-        split = max(hottest_groups(weight_sizes(chart, notes)).values()) > MAX_GROUP_ROWS
-    charted = charted_intervals(chart, icustays, split)
-    echo = echo_to_stay(notes, icustays, split)
-    if split:
-        charted, echo = checkpointed(charted), checkpointed(echo)
-    return fallback_intervals(charted, echo_intervals(echo, split), "icustay_id", split)
-
-
-def weight_sizes(chart: DataFrame, notes: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
-    """What bounds the weight intervals of one stay, for ``hottest_groups``."""
-    return {"weights": (_charted(chart, _DIRECT + _NEONATE + _BIRTH), ["icustay_id"]),
-            "echo": (notes.where("category = 'Echo'"), ["hadm_id"])}
+    return fallback_intervals(charted_intervals(chart, icustays), echo_intervals(echo_to_stay(notes, icustays)),
+                              "icustay_id", "starttime")
 
 
 def note_fields(notes: DataFrame) -> DataFrame:

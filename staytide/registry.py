@@ -7,6 +7,7 @@ rounded here, on both sides, so that the last bit does not decide equality.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -142,7 +143,7 @@ on_stays("attach_creatinine", "select * from creat_series")(
 on_stays("creatinine_baseline", "select * from creat_lows")(
     lambda t: K.creatinine_baseline(t.icustays, t.labevents))
 on_stays("creatinine_baseline_split", "select * from creat_lows")(
-    lambda t: K.creatinine_baseline(t.icustays, t.labevents, split=True))
+    lambda t: K.creatinine_baseline(t.icustays, t.labevents, slot=timedelta(days=1)))
 on_stays("stage_creatinine", "select * from creat_stage")(
     lambda t: K.staged_creatinine(t.icustays, t.labevents, "left"))
 on_stays("stages_creatinine", "select * from stage_series_creat")(
@@ -159,12 +160,12 @@ def _(t):
 
 # --- weights -----------------------------------------------------------------------
 
-def _starts(t: K.StayTables, split: bool = False) -> DataFrame:
-    return W.weight_starts(W.weight_points(t.chartevents), t.icustays, split)
+def _starts(t: K.StayTables) -> DataFrame:
+    return W.weight_starts(W.weight_points(t.chartevents), t.icustays)
 
 
-def _durations(t: K.StayTables, split: bool | None = None) -> DataFrame:
-    return W.weight_durations(t.chartevents, t.noteevents, t.icustays, split)
+def _durations(t: K.StayTables) -> DataFrame:
+    return W.weight_durations(t.chartevents, t.noteevents, t.icustays)
 
 
 on_stays("weight_neonate", "select * from weight_newborn")(lambda t: W.neonate_weight(t.chartevents))
@@ -175,7 +176,9 @@ on_stays("weight_intervals", "select * from weight_until")(lambda t: W.weight_in
 on_stays("weight_backfill", "select * from weight_charted")(
     lambda t: W.charted_intervals(t.chartevents, t.icustays).distinct())
 on_stays("weight_durations", "select * from weight_spans")(_durations)
-on_stays("weight_durations_split", "select * from weight_spans")(lambda t: _durations(t, True))
+on_stays("weight_durations_split", "select * from weight_spans")(lambda t: W.fallback_intervals(
+    W.charted_intervals(t.chartevents, t.icustays), W.echo_intervals(W.echo_to_stay(t.noteevents, t.icustays)),
+    "icustay_id", "starttime", days=1))
 on_stays("echo_to_stay", rounded_sql("echo_weight", ["weight"], 6))(
     lambda t: rounded(W.echo_to_stay(t.noteevents, t.icustays), ["weight"], 6))
 on_stays("echo_only_stays", """
@@ -193,8 +196,8 @@ def _urine_series(t: K.StayTables) -> DataFrame:
     return K.staged_series(t)[1]
 
 
-def _trailing_urine(t: K.StayTables, split: bool | None = None) -> DataFrame:
-    return K.urine_trailing(K.urine_output(t.outputevents), split)
+def _trailing_urine(t: K.StayTables, slot: timedelta | None = None) -> DataFrame:
+    return K.urine_trailing(K.urine_output(t.outputevents), slot)
 
 
 on_stays("urine_output", rounded_sql("urine", ["value"]))(
@@ -202,14 +205,14 @@ on_stays("urine_output", rounded_sql("urine", ["value"]))(
 on_stays("urine_trailing", rounded_sql("urine_windows", _VOLUMES))(
     lambda t: rounded(_trailing_urine(t), _VOLUMES))
 on_stays("urine_trailing_split", rounded_sql("urine_windows", _VOLUMES))(
-    lambda t: rounded(_trailing_urine(t, True), _VOLUMES))
+    lambda t: rounded(_trailing_urine(t, timedelta(hours=5)), _VOLUMES))
 _WEIGHT_AT = """
 select u.icustay_id, u.charttime, d.weight from urine u left join weight_spans d
  on d.icustay_id = u.icustay_id and u.charttime >= d.starttime and u.charttime < d.endtime"""
-for _name, _slotted in (("weight_at_time", None), ("weight_at_time_slotted", True)):
-    on_stays(_name, _WEIGHT_AT)(lambda t, slotted=_slotted: interval_join(
+for _name, _base in (("weight_at_time", 16), ("weight_at_time_slotted", 2)):
+    on_stays(_name, _WEIGHT_AT)(lambda t, base=_base: interval_join(
         K.urine_output(t.outputevents).drop("value"), _durations(t), ["icustay_id"], "charttime",
-        "starttime", "endtime", slotted).drop("starttime", "endtime"))
+        "starttime", "endtime", base).drop("starttime", "endtime"))
 on_stays("urine_rates", rounded_sql("urine_rate", _VOLUMES))(
     lambda t: rounded(K.urine_rates(_trailing_urine(t), _durations(t)), _VOLUMES))
 on_stays("stage_urine", "select * from urine_stage")(_urine_series)
@@ -227,8 +230,9 @@ def _(t):
 on_stays("stages_all_times", "select * from stage_series")(K.stages_all_times)
 on_stays("stage_48h", "select * from worst48")(K.stage_48h)
 on_stays("stage_7day", "select * from worst7")(lambda t: K.stage_7day(t))
-on_stays("stage_7day_split", "select * from worst7")(
-    lambda t: K.stage_7day(t, K.Layout(True, True, True, True)))
+on_stays("stage_7day_split", "select * from worst7")(lambda t: K.worst_stage(
+    t.icustays, K.stage_creatinine(K.creatinine_baseline(t.icustays, t.labevents, "inner", timedelta(days=2))),
+    K.stage_urine(K.urine_rates(_trailing_urine(t, timedelta(hours=7)), _durations(t)), t.icustays), K.DAYS_7, "7day"))
 on_stays("stage_dropna", "select * from worst7 where aki_stage_7day is not null")(
     lambda t: K.stage_7day(t).na.drop(subset=["aki_stage_7day"]))
 on_stays("ordered_stages", "select * from worst7c order by icustay_id")(

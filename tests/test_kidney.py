@@ -1,9 +1,12 @@
 """Hand-computed cases for creatinine and urine staging."""
 
+import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 
+from staytide.operators.windows import Trailing, trailing_agg
 from staytide.plans import kidney as K
 
 T0 = datetime(2024, 3, 10, 0, 0)  # a day with a clock change in New York
@@ -29,13 +32,13 @@ def rows(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_baseline_boundaries(table, split):
+@pytest.mark.parametrize("slot", [None, timedelta(days=1), timedelta(hours=7), timedelta(days=400)])
+def test_baseline_boundaries(table, slot):
     now = T0 + timedelta(days=5)
     values = {now - timedelta(days=7): 0.5, now - timedelta(days=7) - US: 0.1,
               now - hours(48): 0.9, now - hours(48) - US: 0.7, now: 2.0, now - US: 1.5}
     labs = table(LABS, *[lab(at, v) for at, v in values.items()])
-    df = K.creatinine_baseline(table(STAYS, stay()), labs, split=split)
+    df = K.creatinine_baseline(table(STAYS, stay()), labs, slot=slot)
     got = {r["charttime"]: (r["creat_low_past_48hr"], r["creat_low_past_7day"]) for r in df.collect()}
     assert got[now] == (0.9, 0.5)
     assert got[now - US] == (0.7, 0.1)  # both lows exactly on its own borders
@@ -50,11 +53,10 @@ def test_series_window_is_inclusive_and_keeps_stays(table):
     assert rows(df, "icustay_id", "creat") == [(1, 1.0), (1, 3.0), (2, None)]
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_equal_instants(table, split):
+def test_equal_instants(table):
     labs = table(LABS, lab(T0, 1.0), lab(T0, 1.0), lab(T0, 3.0), lab(T0 + hours(1), 1.2))
     stays = table(STAYS, stay())
-    creat = K.staged_creatinine(stays, labs, split=split)
+    creat = K.staged_creatinine(stays, labs)
     assert rows(creat, "creat", "creat_low_past_48hr") == [(1.0, None), (1.2, 1.0), (3.0, None)]
     spread = K.stages_creatinine(creat, stays)
     assert rows(spread, "creat") == [(1.0,), (1.0,), (1.2,), (3.0,), (3.0,)]
@@ -106,11 +108,11 @@ def test_urine_output(table):
     assert rows(K.urine_output(df), "charttime", "value") == [(T0, -30.0), (T0 + hours(1), 4999.0)]
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_urine_trailing(table, split):
+@pytest.mark.parametrize("slot", [None, timedelta(hours=1), timedelta(hours=24)])
+def test_urine_trailing(table, slot):
     at = [0, 1, 5, 6, 12, 23, 24]
     urine = table("icustay_id long, charttime timestamp_ntz, value double", *[(1, T0 + hours(h), 10.0 + h) for h in at])
-    got = {r["charttime"]: r for r in K.urine_trailing(urine, split).collect()}
+    got = {r["charttime"]: r for r in K.urine_trailing(urine, slot).collect()}
     for h in at:
         r = got[T0 + hours(h)]
         for name, span in K.URINE_HORIZONS.items():
@@ -132,11 +134,10 @@ def test_rates_and_urine_ladder(table):
         (1, T0 + hours(30), 1.0, 1.0, 1.0, 5.0, 11.0, 23.0))     # no weight then
     weights = table("icustay_id long, starttime timestamp_ntz, endtime timestamp_ntz, weight double",
                     (1, T0, T0 + hours(30), 70.0), (1, T0 + hours(30), T0 + hours(30), 50.0))
-    for slotted in (False, True):
-        rates = K.urine_rates(trailing, weights, slotted)
-        staged = K.stage_urine(rates, table(STAYS, stay()))
-        got = [r["aki_stage_uo"] for r in staged.orderBy("charttime").collect()]
-        assert got == [0, 3, 3, 2, 1, 0, None]
+    rates = K.urine_rates(trailing, weights)
+    staged = K.stage_urine(rates, table(STAYS, stay()))
+    got = [r["aki_stage_uo"] for r in staged.orderBy("charttime").collect()]
+    assert got == [0, 3, 3, 2, 1, 0, None]
     assert rates.where("uo_tm_6hr = 2 and urineoutput_6hr = 70").first()["uo_rt_6hr"] == 0.3333
 
 
@@ -147,7 +148,7 @@ def test_zero_weight_gives_no_rate(table):
         (1, T0, 1.0, 1.0, 1.0, 5.0, 11.0, 23.0))
     weights = table("icustay_id long, starttime timestamp_ntz, endtime timestamp_ntz, weight double",
                     (1, T0, T0 + hours(1), 0.0))
-    assert K.urine_rates(trailing, weights, False).first()["uo_rt_6hr"] is None
+    assert K.urine_rates(trailing, weights).first()["uo_rt_6hr"] is None
 
 
 def test_stages_align(table):
@@ -174,13 +175,42 @@ def test_all_times_with_undated_urine(table):
     assert got == sorted([(1, T0, 0), (1, None, None), (2, None, None), (3, None, None)], key=str)
 
 
-def test_spans_of_no_whole_hours_give_the_same_rows_in_both_plans(table):
-    from datetime import datetime, timedelta
-
-    from staytide.operators.windows import Trailing, trailing_agg
-    start = datetime(2020, 1, 1)
-    rows = [(k % 2, start + timedelta(minutes=17 * k), k * 7 % 13) for k in range(60)] + [(0, None, 5)]
-    df = table("k int, t timestamp, v int", *rows)
-    outputs = {"low": Trailing("min", "v", timedelta(minutes=90)), "total": Trailing("sum", "v", timedelta(minutes=100), "left")}
-    plain, slotted = (sorted(map(str, trailing_agg(df, ["k"], "t", outputs, split).collect())) for split in (False, True))
-    assert plain == slotted and len(plain) == 61
+def test_trailing_windows_equal_brute_force_for_every_slot(table):
+    """NULL keys are a key, undated rows have no window, equal instants see each other, repeated rows stay."""
+    draw = random.Random(4)
+    data = [(draw.choice([0, 1, None]), T0 + timedelta(minutes=draw.randint(0, 3000)), draw.choice([None, draw.randint(0, 99)])) for _ in range(300)]
+    data += [data[0]] * 2 + [(0, None, 5)] * 3
+    df = table("k int, t timestamp_ntz, v int", *data)
+    outputs = {"low": Trailing("min", "v", timedelta(minutes=90)), "total": Trailing("sum", "v", timedelta(minutes=100), "left"),
+               "top": Trailing("max", "v", timedelta(minutes=700), "left")}
+
+    def want(k, t, fn, span, closed):
+        inside = [v for j, u, v in data if t is not None and u is not None and j == k and v is not None
+                  and t - span <= u and (u < t if closed == "left" else u <= t)]
+        return fn(inside) if inside else None
+    expected = Counter((k, t, v, want(k, t, min, timedelta(minutes=90), "both"), want(k, t, sum, timedelta(minutes=100), "left"),
+                        want(k, t, max, timedelta(minutes=700), "left")) for k, t, v in data)
+    for slot in (None, timedelta(minutes=13), timedelta(days=30)):
+        assert Counter(map(tuple, trailing_agg(df, ["k"], "t", outputs, slot).collect())) == expected
+    assert set(map(tuple, trailing_agg(df, ["k"], "t", outputs, distinct=True).collect())) == set(expected)
+    assert len(trailing_agg(df, ["k"], "t", outputs, distinct=True).collect()) == len(expected)
+
+
+def test_float_sums_do_not_depend_on_the_slots(table):
+    draw = random.Random(5)
+    df = table("k int, t timestamp_ntz, v double", *[(i % 2, T0 + timedelta(minutes=7 * i), draw.uniform(-1e6, 1e6)) for i in range(400)])
+    sums = [Counter(map(tuple, trailing_agg(df, ["k"], "t", {"s": Trailing("sum", "v", hours(9))}, slot).collect()))
+            for slot in (None, hours(1), timedelta(days=9))]
+    assert sums[0] == sums[1] == sums[2]
+
+
+def test_plans_are_made_without_a_job(spark, table):
+    """Nothing is measured or written while a query is built."""
+    chart = table("subject_id long, hadm_id long, icustay_id long, itemid int, charttime timestamp_ntz, value string, valuenum double, error int")
+    notes = table("row_id long, subject_id long, hadm_id long, chartdate timestamp_ntz, category string, text string")
+    tables = K.StayTables(table(STAYS, stay()), table(LABS, lab(T0, 1.0)), table(OUTPUT, (1, 40055, T0, 5.0)), chart, notes)
+    spark.sparkContext.setJobGroup("built", "built")
+    for build in (K.stage_7day, K.stage_48h, K.stages_all_times, K.stage_7day_creatinine):
+        build(tables)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("built")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

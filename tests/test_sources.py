@@ -6,9 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from staytide.operators import intervals as I
 from staytide.operators import joins as J
-from staytide.operators.sizing import hottest_group, hottest_groups
 from staytide.operators.windows import Trailing, trailing_agg
 from staytide.sources import tables as S
 
@@ -74,7 +72,7 @@ def test_windows_equal_self_join(spark, closed):
     df = _series(spark)
     spans = {"h1": timedelta(hours=1), "h5": timedelta(hours=5), "d2": timedelta(days=2)}
     outputs = {f"{fn}_{n}": Trailing(fn, "v", s, closed) for n, s in spans.items() for fn in ("min", "max", "sum")}
-    plain, cut = (trailing_agg(df, ["k"], "at", outputs, split) for split in (False, True))
+    plain, cut = (trailing_agg(df, ["k"], "at", outputs, slot) for slot in (None, timedelta(hours=3)))
     key = lambda rows: sorted((tuple(r) for r in rows), key=str)
     assert key(plain.collect()) == key(cut.collect())
     rows = df.collect()
@@ -85,25 +83,36 @@ def test_windows_equal_self_join(spark, closed):
             assert (r[f"min_{n}"], r[f"sum_{n}"]) == ((min(inside), sum(inside)) if inside else (None, None))
 
 
-def test_interval_join_plans_agree(spark):
+@pytest.mark.parametrize("base, levels", [(16, 5), (2, 3), (3, 9)])
+def test_interval_join_equals_a_range_join(spark, base, levels):
+    """Overlapping, empty, reversed and open intervals, lengths of minutes to centuries, repeated points, NULL keys and times."""
     points = _series(spark).withColumnRenamed("v", "p")
+    points = points.unionByName(points.limit(20)).unionByName(spark.sql("select null as k, timestamp_ntz'2024-01-02' as at, 1.0D as p"))
     spans = _series(spark, 60).where("at is not null").selectExpr(
-        "k", "at as s", "at + make_dt_interval(0, cast(v as int), 0, 0) as e", "v as w")
+        "k", "at as s", "at + make_dt_interval(0, cast(v as int), 7, 0) as e", "v as w")
+    spans = spans.unionByName(spark.sql("""select * from values
+        (1L, timestamp_ntz'1500-01-01', timestamp_ntz'2400-07-09', 1.0D), (2L, timestamp_ntz'1969-12-31 23:00:00', timestamp_ntz'2024-01-05', 2.0D),
+        (2L, timestamp_ntz'2024-01-03', timestamp_ntz'2024-01-03', 3.0D), (2L, timestamp_ntz'2024-01-09', timestamp_ntz'2024-01-01', 4.0D),
+        (3L, null, timestamp_ntz'2024-01-09', 5.0D), (3L, timestamp_ntz'2024-01-01', null, 6.0D), (3L, timestamp_ntz'2024-01-01', timestamp_ntz'2024-01-02', 7.0D),
+        (null, timestamp_ntz'2024-01-01', timestamp_ntz'2024-01-09', 8.0D) as v(k, s, e, w)"""))
     key = lambda df: sorted(map(str, df.collect()))
-    plain, cut = (J.interval_join(points, spans, ["k"], "at", "s", "e", slotted) for slotted in (False, True))
-    assert key(plain) == key(cut) and plain.count() > points.count()
+    p, i = points.alias("p"), spans.alias("i")
+    want = p.join(i, F.expr("p.k = i.k and p.at >= i.s and p.at < i.e"), "left").select("p.*", "i.s", "i.e", "i.w")
+    got = J.interval_join(points, spans, ["k"], "at", "s", "e", base, levels)
+    assert got.columns == want.columns and key(got) == key(want) and got.count() > points.count()
 
 
-def test_interval_plans_agree(spark):
-    df = _series(spark)
-    end = "timestamp_ntz'2030-01-01'"
-    make = lambda split: I.mark_first(I.to_intervals(df, ["k"], "at", end, ["v"], split), ["k"], "at", ["v"], "first", split)
-    key = lambda d: sorted(map(str, d.select("k", "at", "v", "endtime", "first").collect()))
-    assert key(make(False)) == key(make(True))
-    assert make(True).where("first").count() == df.select("k").distinct().count()
+def test_long_intervals_have_few_tiles(spark):
+    """Copies grow with the logarithm of an interval's length, and cover its days once."""
+    for days in (1, 9, 300, 40_000):
+        tiles = spark.sql(f"select timestamp_ntz'2001-03-05 07:00:00' as s, timestamp_ntz'2001-03-05 07:00:00' + interval '{days}' day as e").selectExpr(
+            f"inline({J._tiles('s', 'e', [16**i for i in range(5)])}) as (level, node)").collect()
+        covered = [d for t in tiles for d in range(t["node"], t["node"] + 16 ** t["level"])]
+        first = (T0.replace(year=2001, month=3, day=5) - T0.replace(year=1970, month=1, day=1)).days
+        assert sorted(covered) == list(range(first, first + days + 1)) and len(tiles) <= 30 * 5
 
 
-def test_attach_window_left_and_lookup(spark):
+def test_attach_window_left(spark):
     events = _series(spark).where("at is not null")
     stays = spark.createDataFrame([(10 * k + j, k, T0 + timedelta(days=4 * j)) for k in range(6) for j in range(2)],
                                   "icustay_id long, k long, intime timestamp_ntz")
@@ -113,16 +122,3 @@ def test_attach_window_left_and_lookup(spark):
                       & (events.at <= stays.intime + F.lit(after)), "left").select("icustay_id", "at", "v")
     key = lambda d: sorted(map(str, d.select("icustay_id", "at", "v").collect()))
     assert key(got) == key(want)
-    ids = spark.range(4).withColumnRenamed("id", "k").withColumn("name", F.col("k") * 2)
-    assert key2(J.lookup(events, ids, "k", "at")) == key2(J.lookup(events, ids, "k", "at", True))
-
-
-def key2(df):
-    return sorted(map(str, df.collect()))
-
-
-def test_sizes(spark):
-    df = _series(spark)
-    biggest = max(r["count"] for r in df.groupBy("k").count().collect())
-    assert hottest_group(df, ["k"]) == biggest
-    assert hottest_groups({"a": (df, ["k"]), "b": (df.limit(0), ["k"])}) == {"a": biggest, "b": 0}

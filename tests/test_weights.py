@@ -1,9 +1,11 @@
 """Hand-computed cases for the weight timeline and note fields."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
 
+from staytide.operators import intervals as I
 from staytide.plans import weights as W
 
 T0 = datetime(2024, 1, 1)
@@ -30,8 +32,7 @@ def spans(df):
     return sorted(((r["icustay_id"], r["starttime"], r["endtime"], round(r["weight"], 4)) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_timeline(table, split):
+def test_timeline(table):
     stays = table(STAYS, *[(i, 10 * i, "x", h(0), h(48)) for i in range(1, 7)], (7, 70, "x", h(0), None))
     charted = table(
         CHART,
@@ -43,7 +44,7 @@ def test_timeline(table, split):
         chart(7, 762, h(3), 80.0))
     notes = table(NOTES, echo(10, "09:30", 150), echo(40, "09:30", 100), echo(40, "20:00", 110, 2),
                   echo(50, "xx", 100), (9, 1, 40, T0, "Other", "Weight (lb): 7\n"))
-    got = spans(W.weight_durations(charted, notes, stays, split))
+    got = spans(W.weight_durations(charted, notes, stays))
     assert got == sorted([
         (1, h(-2), h(50), 80.0),
         (2, h(5), h(50), 70.0), (2, h(-2), h(5), 70.0),
@@ -59,7 +60,7 @@ def test_intervals_do_not_overlap(table):
     stays = table(STAYS, (1, 10, "x", h(0), h(48)))
     charted = table(CHART, *[chart(1, 763, h(3 * i), 70.0 + i) for i in range(12)], chart(1, 762, h(9), 50.0))
     notes = table(NOTES)
-    got = sorted(spans(W.weight_durations(charted, notes, stays, False)), key=lambda s: s[1])
+    got = sorted(spans(W.weight_durations(charted, notes, stays)), key=lambda s: s[1])
     assert all(a[2] <= b[1] for a, b in zip(got, got[1:])) and got[0][1] == h(-2)
 
 
@@ -91,3 +92,35 @@ def test_note_fields(table):
     assert (a["bp"], a["bpsys"], a["bpdias"], a["hr"]) == ("120/80", 120.0, 80.0, 77.0)
     assert (a["test"], a["status"], a["doppler"]) == ("", "Inpatient", None)
     assert (b["charttime"], b["height"], b["bp"], b["bpsys"]) == (None, None, "120/x", None)
+
+
+@pytest.mark.parametrize("days", [1, 3, 32, 4096])
+def test_order_across_slots_equals_brute_force(table, days):
+    """NULL keys are a key; undated rows come last; repeated rows each have a place."""
+    draw = random.Random(days)
+    data = [(draw.choice([1, 2, None]), None if draw.random() < 0.05 else T0 + timedelta(hours=draw.randint(0, 900)), draw.randint(0, 3), i)
+            for i in range(150)]
+    data += [(3, T0, 1, 900), (3, T0, 1, 901), (3, T0 + timedelta(days=40), 1, 902)]
+    got = I.in_order(table("k int, t timestamp_ntz, w int, id int", *data), ["k"], "t", ["w", "id"], days).collect()
+    want = {}
+    for k in {r[0] for r in data}:
+        own = sorted((r for r in data if r[0] == k), key=lambda r: (r[1] is None, r[1] or T0, r[2], r[3]))
+        for i, r in enumerate(own):
+            want[r[3]] = (own[i + 1][1] if i + 1 < len(own) else None, i == 0)
+    assert {r["id"]: (r["_next"], r["_first"]) for r in got} == want and len(got) == len(data)
+
+
+def test_equal_rows_end_once_at_the_next_slot(table):
+    """Of equal rows in a slot one lasts until the first row of the key's next slot."""
+    df = table("k int, t timestamp_ntz, end timestamp_ntz", *[(1, T0, h(999))] * 3, (1, T0 + timedelta(days=90), h(9999)))
+    got = sorted(r["endtime"] for r in I.to_intervals(df, ["k"], "t", "end", [], first="_f").collect())
+    assert got == [T0, T0, T0 + timedelta(days=90), h(9999)]
+
+
+@pytest.mark.parametrize("days", [1, 32])
+def test_fallback_is_decided_per_key(table, days):
+    kind = "k int, t timestamp_ntz, v int"
+    first = table(kind, (1, h(0), 1), (1, h(0), 1), (1, h(4000), 2), (None, h(5), 3))
+    second = table(kind, (1, h(2000), 9), (2, h(0), 7), (2, h(5000), 8), (2, None, 6), (None, h(9), 5))
+    got = [tuple(r) for r in I.fallback_intervals(first, second, "k", "t", days).collect()]
+    assert sorted(got, key=str) == sorted([(1, h(0), 1), (1, h(4000), 2), (None, h(5), 3), (2, h(0), 7), (2, h(5000), 8), (2, None, 6)], key=str)
