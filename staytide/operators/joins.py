@@ -96,12 +96,17 @@ def without(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 
 def align_series(left: DataFrame, right: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """All instants of two series side by side.
+    """All instants of two series side by side, undated rows of a key with each other.
 
     A full outer join on (key, instant) gives the rows a de-duplicated spine
-    with two left joins would give, without building the spine.
+    with two left joins would give, without building the spine; each series is
+    evaluated once.
     """
-    return left.join(right, [*keys, ts], "full")
+    theirs = right.selectExpr(*[f"{c} as _r_{c}" if c in [*keys, ts] else c for c in right.columns])
+    same = " and ".join([f"{k} = _r_{k}" for k in keys] + [f"{ts} <=> _r_{ts}"])
+    own = [c for c in left.columns if c not in [*keys, ts]]
+    return left.join(theirs, F.expr(same), "full").selectExpr(
+        *[f"coalesce({c}, _r_{c}) as {c}" for c in [*keys, ts]], *own, *[c for c in right.columns if c not in [*keys, ts]])
 
 
 def time_spine(*series: DataFrame, keys: list[str], ts: str, distinct: bool = True) -> DataFrame:

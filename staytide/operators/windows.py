@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.columns import as_micros, micros, slot_start
 
@@ -69,7 +70,16 @@ def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.selectExpr("*", rank).where("_rn = 1").drop("_rn")
 
 
-def worst_row(df: DataFrame, keys: list[str], worst: list[str], ties: list[str]) -> DataFrame:
-    """Row with the largest ``worst`` values (NULL largest), then earliest ``ties``."""
-    return first_per(df, keys, [f"{c} desc nulls first" for c in worst]
-                     + [f"{c} asc nulls last" for c in ties])
+def worst_rows(df: DataFrame, keys: list[str], worst: list[str], ts: str, columns: list[str],
+               within: Mapping[str, str]) -> DataFrame:
+    """Per key and output of ``within`` (name to condition) the ``columns`` of its
+    row with the largest ``worst`` values (NULL largest), then the earliest
+    ``ts``, as a struct; NULL without a row.
+
+    One aggregate serves all outputs and combines before the shuffle, so a hot
+    key sends one row per input task.
+    """
+    order = ", ".join([f"{c} is null, {c}" for c in worst] + [f"-{micros(ts)}"])
+    row = ", ".join([ts, *columns])
+    return df.groupBy(*keys).agg(*[
+        F.expr(f"max_by(struct({row}), struct({order})) filter (where {test})").alias(name) for name, test in within.items()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import timedelta
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..functions.columns import hours_between, in_window, interval, ladder, one_of, round_half_up
 from ..operators.joins import align_series, attach_window, interval_join, time_spine, without
-from ..operators.windows import Trailing, trailing_agg, worst_row
+from ..operators.windows import Trailing, trailing_agg, worst_rows
 from .weights import weight_durations
 
 HOURS_48, DAYS_7 = timedelta(hours=48), timedelta(days=7)
@@ -144,46 +145,43 @@ def staged_series(t: StayTables) -> tuple[DataFrame, DataFrame]:
 
 
 def stage_48h(t: StayTables) -> DataFrame:
-    return worst_stage(t.icustays, *staged_series(t), HOURS_48, "48hr")
+    return worst_stage(t.icustays, *staged_series(t), {"48hr": HOURS_48})
 
 
 def stage_7day(t: StayTables) -> DataFrame:
-    return worst_stage(t.icustays, *staged_series(t), DAYS_7, "7day")
+    return worst_stage(t.icustays, *staged_series(t), {"7day": DAYS_7})
+
+
+def stage_horizons(t: StayTables) -> DataFrame:
+    """Worst stages of both horizons from one evaluation of the series."""
+    return worst_stage(t.icustays, *staged_series(t), {"48hr": HOURS_48, "7day": DAYS_7})
 
 
 def stage_7day_creatinine(t: StayTables) -> DataFrame:
-    return worst_stage(t.icustays, staged_creatinine(t.icustays, t.labevents), None, DAYS_7, "7day")
+    return worst_stage(t.icustays, staged_creatinine(t.icustays, t.labevents), None, {"7day": DAYS_7})
 
 
 def stages_all_times(t: StayTables) -> DataFrame:
-    undated = urine_output(t.outputevents).where("charttime is null").select("icustay_id")
-    return stages(*staged_series(t), t.icustays, undated)
+    weights = weight_durations(t.chartevents, t.noteevents, t.icustays)
+    return stages(staged_creatinine(t.icustays, t.labevents, "left"), staged_urine(t.outputevents, weights, t.icustays))
 
 
 # --- stages at every time -----------------------------------------------------------
 
-def stages(creat: DataFrame, urine: DataFrame, icustays: DataFrame,
-           undated_urine: DataFrame | None = None) -> DataFrame:
+def stages(creat: DataFrame, urine: DataFrame) -> DataFrame:
     """Both stages and the larger of them at every time either is known.
 
-    A stay with an undated row on either side, or without creatinine, has
-    one row with NULL time. ``undated_urine`` gives the ids of stays with
-    undated urine if they are known without evaluating the whole series.
+    ``creat`` has an undated row for every stay without a value
+    (``how="left"``), ``urine`` at most one undated row per stay; a stay with
+    either has one row with NULL time.
     """
-    cr = creat.where("charttime is not null").selectExpr(
-        "icustay_id", "charttime", "dbsource as cr_source", "creat", "aki_stage_creat")
-    uo = urine.where("charttime is not null").selectExpr(
-        "icustay_id", "charttime", "dbsource as uo_source", *_RATES, "aki_stage_uo")
-    both = align_series(cr, uo, ["icustay_id"], "charttime").selectExpr(
+    cr = creat.selectExpr("icustay_id", "charttime", "dbsource as cr_source", "creat",
+                          "if(charttime is null, null, aki_stage_creat) as aki_stage_creat")
+    uo = urine.selectExpr("icustay_id", "charttime", "dbsource as uo_source", *_RATES, "aki_stage_uo")
+    return align_series(cr, uo, ["icustay_id"], "charttime").selectExpr(
         "icustay_id", "coalesce(cr_source, uo_source) as dbsource", "charttime", "creat",
         "aki_stage_creat", *_RATES, "aki_stage_uo",
         "greatest(aki_stage_creat, aki_stage_uo) as aki_stage")
-    if undated_urine is None:
-        undated_urine = urine.where("charttime is null").select("icustay_id")
-    undated = without(icustays.select("icustay_id"), cr, "icustay_id").unionByName(
-        undated_urine).distinct()
-    undated = undated.join(icustays.select("icustay_id", "dbsource"), "icustay_id")
-    return both.unionByName(undated, allowMissingColumns=True)
 
 
 def stages_creatinine(creat: DataFrame, icustays: DataFrame) -> DataFrame:
@@ -201,37 +199,45 @@ def stages_creatinine(creat: DataFrame, icustays: DataFrame) -> DataFrame:
 
 # --- worst stage per horizon ----------------------------------------------------------
 
-def _within(series: DataFrame, horizon: timedelta) -> DataFrame:
-    return series.where(in_window("charttime", "intime", HOURS_6, horizon, "right"))
+Horizons = Mapping[str, timedelta]
+
+
+def _within(horizons: Horizons) -> dict[str, str]:
+    return {name: in_window("charttime", "intime", HOURS_6, span, "right") for name, span in horizons.items()}
 
 
-def worst_creatinine(creat: DataFrame, horizon: timedelta) -> DataFrame:
-    return worst_row(_within(creat, horizon), ["icustay_id"], ["aki_stage_creat", "creat"],
-                     ["charttime"])
+def worst_creatinine(creat: DataFrame, horizons: Horizons) -> DataFrame:
+    """Per stay and horizon the time, value and stage of its worst creatinine, as one struct each."""
+    return worst_rows(creat, ["icustay_id"], ["aki_stage_creat", "creat"], "charttime", ["creat", "aki_stage_creat"], _within(horizons))
 
 
-def worst_urine(urine: DataFrame, horizon: timedelta) -> DataFrame:
-    rows = _within(urine, horizon).where("aki_stage_uo is not null")
-    return worst_row(rows, ["icustay_id"],
-                     ["aki_stage_uo", "uo_rt_24hr", "uo_rt_12hr", "uo_rt_6hr"], ["charttime"])
+def worst_urine(urine: DataFrame, horizons: Horizons) -> DataFrame:
+    """Per stay and horizon the time, rates and stage of its worst urine output, as one struct each."""
+    return worst_rows(urine.where("aki_stage_uo is not null"), ["icustay_id"],
+                      ["aki_stage_uo", "uo_rt_24hr", "uo_rt_12hr", "uo_rt_6hr"], "charttime", [*_RATES, "aki_stage_uo"], _within(horizons))
 
 
-def worst_stage(icustays: DataFrame, creat: DataFrame, urine: DataFrame | None,
-                horizon: timedelta, suffix: str) -> DataFrame:
-    """Worst stage of each stay in ``(intime - 6 h, intime + horizon]``.
+def worst_stage(icustays: DataFrame, creat: DataFrame, urine: DataFrame | None, horizons: Horizons) -> DataFrame:
+    """Worst stage of each stay in ``(intime - 6 h, intime + horizon]``, for one
+    or more horizons from one evaluation; with several, the columns of a
+    horizon's rows end in its name.
 
     The two series are ranked directly: joining them at every instant first
     would not change either's worst row. Stays without one keep NULLs and
     flag 0.
     """
-    cr = worst_creatinine(creat, horizon).selectExpr(
-        "icustay_id", "charttime as charttime_creat", "creat", "aki_stage_creat")
-    result = icustays.select("icustay_id", "dbsource").join(cr, "icustay_id", "left")
-    stage = "aki_stage_creat"
+    named = {h: f"_{h}" if len(horizons) > 1 else "" for h in horizons}
+    sides = {"creat": (worst_creatinine(creat, horizons), ["creat", "aki_stage_creat"])}
     if urine is not None:
-        uo = worst_urine(urine, horizon).selectExpr(
-            "icustay_id", "charttime as charttime_uo", *_RATES, "aki_stage_uo")
-        result = result.join(uo, "icustay_id", "left")
-        stage = "greatest(aki_stage_creat, aki_stage_uo)"
-    return result.selectExpr("*", f"{stage} as aki_stage_{suffix}",
-                             f"if({stage} > 0, 1, 0) as aki_{suffix}")
+        sides["uo"] = (worst_urine(urine, horizons), [*_RATES, "aki_stage_uo"])
+    result = icustays.select("icustay_id", "dbsource")
+    for side, (found, _) in sides.items():
+        result = result.join(found.selectExpr("icustay_id", *[f"`{h}` as {side}_{h}" for h in horizons]), "icustay_id", "left")
+    columns = []
+    for h, end in named.items():
+        columns += [f"{side}_{h}.{c} as {c if c != 'charttime' else f'charttime_{side}'}{end}"
+                    for side, (_, cs) in sides.items() for c in ["charttime", *cs]]
+        level = ", ".join(f"{side}_{h}.aki_stage_{side}" for side in sides)
+        level = f"greatest({level})" if len(sides) > 1 else level
+        columns += [f"{level} as aki_stage_{h}", f"if({level} > 0, 1, 0) as aki_{h}"]
+    return result.selectExpr("icustay_id", "dbsource", *columns)

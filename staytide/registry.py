@@ -154,8 +154,8 @@ on_stays("stage_7day_creatinine", "select * from worst7c")(K.stage_7day_creatini
 @on_stays("worst_creatinine", "select icustay_id, dbsource, charttime, creat, aki_stage_creat from icustays join "
           + S._worst("stage_series", "aki_stage_creat", ["creat"], "7 day") + " w using (icustay_id)")
 def _(t):
-    worst = K.worst_creatinine(K.staged_creatinine(t.icustays, t.labevents), K.DAYS_7)
-    return worst.select("icustay_id", "dbsource", "charttime", "creat", "aki_stage_creat")
+    worst = K.worst_creatinine(K.staged_creatinine(t.icustays, t.labevents), {"found": K.DAYS_7}).where("found is not null")
+    return t.icustays.select("icustay_id", "dbsource").join(worst, "icustay_id").select("icustay_id", "dbsource", "found.*")
 
 
 # --- weights -----------------------------------------------------------------------
@@ -221,8 +221,8 @@ on_stays("stage_urine", "select * from urine_stage")(_urine_series)
 @on_stays("worst_urine", "select icustay_id, dbsource, charttime, uo_rt_6hr, uo_rt_12hr, uo_rt_24hr, aki_stage_uo from icustays join "
           + S._worst("stage_series", "aki_stage_uo", ["uo_rt_24hr", "uo_rt_12hr", "uo_rt_6hr"], "7 day") + " w using (icustay_id)")
 def _(t):
-    return K.worst_urine(_urine_series(t), K.DAYS_7).select(
-        "icustay_id", "dbsource", "charttime", *K._RATES, "aki_stage_uo")
+    worst = K.worst_urine(_urine_series(t), {"found": K.DAYS_7}).where("found is not null")
+    return t.icustays.select("icustay_id", "dbsource").join(worst, "icustay_id").select("icustay_id", "dbsource", "found.*")
 
 
 # --- combined stages ---------------------------------------------------------------
@@ -232,7 +232,11 @@ on_stays("stage_48h", "select * from worst48")(K.stage_48h)
 on_stays("stage_7day", "select * from worst7")(lambda t: K.stage_7day(t))
 on_stays("stage_7day_split", "select * from worst7")(lambda t: K.worst_stage(
     t.icustays, K.stage_creatinine(K.creatinine_baseline(t.icustays, t.labevents, "inner", timedelta(days=2))),
-    K.stage_urine(K.urine_rates(_trailing_urine(t, timedelta(hours=7)), _durations(t)), t.icustays), K.DAYS_7, "7day"))
+    K.stage_urine(K.urine_rates(_trailing_urine(t, timedelta(hours=7)), _durations(t)), t.icustays), {"7day": K.DAYS_7}))
+_BOTH = [f"{c}_{h}" for c in ("charttime_creat", "creat", "aki_stage_creat", "charttime_uo", *K._RATES, "aki_stage_uo") for h in ("48hr", "7day")]
+on_stays("stage_horizons", "select icustay_id, a.dbsource, "
+         + ", ".join(f"{'a' if c.endswith('48hr') else 'b'}.{c.rpartition('_')[0]} as {c}" for c in _BOTH)
+         + ", aki_stage_48hr, aki_48hr, aki_stage_7day, aki_7day from worst48 a join worst7 b using (icustay_id)")(K.stage_horizons)
 on_stays("stage_dropna", "select * from worst7 where aki_stage_7day is not null")(
     lambda t: K.stage_7day(t).na.drop(subset=["aki_stage_7day"]))
 on_stays("ordered_stages", "select * from worst7c order by icustay_id")(

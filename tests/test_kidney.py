@@ -87,8 +87,9 @@ def test_worst_row_window_and_ties(table):
     make = lambda at, creat, stage: (1, "x", T0, at, creat, stage)
     df = table(schema, make(T0 - hours(6), 9.0, 3), make(T0 + hours(48) + US, 9.0, 3),
                make(T0 + hours(2), 2.0, 2), make(T0 + hours(1), 2.0, 2), make(T0 + hours(48), 1.0, 2))
-    assert rows(K.worst_creatinine(df, K.HOURS_48), "charttime", "creat") == [(T0 + hours(1), 2.0)]
-    assert K.worst_creatinine(df, K.DAYS_7).first()["creat"] == 9.0
+    got = K.worst_creatinine(df, {"short": K.HOURS_48, "long": K.DAYS_7, "none": -hours(7)}).first()
+    assert (got["short"]["charttime"], got["short"]["creat"]) == (T0 + hours(1), 2.0)
+    assert got["long"]["creat"] == 9.0 and got["none"] is None
 
 
 def test_worst_urine_puts_null_rates_first(table):
@@ -96,7 +97,7 @@ def test_worst_urine_puts_null_rates_first(table):
               "uo_rt_6hr double, uo_rt_12hr double, uo_rt_24hr double, aki_stage_uo int")
     df = table(schema, (1, "x", T0, T0 + hours(7), 0.1, 0.2, 0.4, 2), (1, "x", T0, T0 + hours(8), 0.1, 0.2, None, 2),
                (1, "x", T0, T0 + hours(9), None, None, None, None))
-    assert K.worst_urine(df, K.HOURS_48).first()["charttime"] == T0 + hours(8)
+    assert K.worst_urine(df, {"w": K.HOURS_48}).first()["w"]["charttime"] == T0 + hours(8)
 
 
 OUTPUT = "icustay_id long, itemid int, charttime timestamp_ntz, value double"
@@ -152,14 +153,13 @@ def test_zero_weight_gives_no_rate(table):
 
 
 def test_stages_align(table):
-    stays = table(STAYS, stay(), stay(2, 2), stay(3, 3))
     creat = table("icustay_id long, dbsource string, intime timestamp_ntz, charttime timestamp_ntz, creat double, aki_stage_creat int",
-                  (1, "carevue", T0, T0, 1.0, 0), (1, "carevue", T0, T0, 3.0, 2))
+                  (1, "carevue", T0, T0, 1.0, 0), (1, "carevue", T0, T0, 3.0, 2), (2, "carevue", T0, None, None, 0), (3, "carevue", T0, None, None, 0))
     urine = table("icustay_id long, dbsource string, intime timestamp_ntz, charttime timestamp_ntz, weight double, "
                   "uo_rt_6hr double, uo_rt_12hr double, uo_rt_24hr double, aki_stage_uo int",
                   (1, "carevue", T0, T0, 70.0, 1.0, 1.0, 1.0, 1), (2, "carevue", T0, T0 + hours(1), 70.0, 1.0, 1.0, 1.0, 1),
                   (2, "carevue", T0, None, 70.0, None, None, None, None))
-    got = rows(K.stages(creat, urine, stays), "icustay_id", "charttime", "aki_stage")
+    got = rows(K.stages(creat, urine), "icustay_id", "charttime", "aki_stage")
     assert got == sorted([(1, T0, 1), (1, T0, 2), (2, None, None), (2, T0 + hours(1), 1), (3, None, None)], key=str)
 
 
