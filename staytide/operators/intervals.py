@@ -79,3 +79,28 @@ def fallback_intervals(primary: DataFrame, secondary: DataFrame, key: str, ts: s
     told = heads.selectExpr("*", f"max(if(_rn = 1, _known, null)) over (partition by {key}, _slot) as _has_primary")
     kept = told.where("_primary or not _has_primary").select(*primary.columns, "_slot")
     return kept.distinct().select(*primary.columns)
+
+
+def preferred_intervals(points: DataFrame, keys: list[str], start: str, fallback_end: str, ties: list[str], preferred: str,
+                        out: str = "endtime", first: str = "_first", days: int = 32) -> DataFrame:
+    """:func:`to_intervals` of the ``preferred`` points of each key, and of its
+    others where it has none. Adds the slot's number as ``_slot``, by which the
+    rows lie.
+
+    Both kinds are put in order together, preferred first: what finds the next
+    start across slots also tells a slot's first row whether its key has a
+    preferred point, and the slot's other rows learn it from there.
+    """
+    order = [start, *ties]
+    inside = _over([*keys, preferred, "_slot"], order)
+    placed = _slotted(points, start, days).selectExpr(
+        "*", f"lead({start}) {inside} as _ahead", f"lead(_slot) {inside} is null as _tail", f"row_number() {inside} as _rn")
+    edges = placed.selectExpr("*", f"if(_rn = 1 or _tail, {_EDGES}, _slot) as _part", f"not {preferred} as _other")
+    part = f"partition by {', '.join(keys)}, _part"
+    across = _over([*keys, "_part"], ["_other", *order, "_rn"])
+    found = edges.selectExpr(
+        "*", f"if(lead(_other) {across} = _other, lead({start}) {across}, null) as _later", f"row_number() {across} as _place",
+        f"max({preferred}) over ({part}) as _known")
+    told = found.selectExpr("*", f"max(if(_rn = 1, _known, null)) over (partition by {', '.join(keys)}, {preferred}, _slot) as _has")
+    return told.where(f"{preferred} or not _has").selectExpr(
+        *points.columns, "_slot", f"coalesce(if(_tail, _later, _ahead), {fallback_end}) as {out}", f"_rn = 1 and _place = 1 as {first}")

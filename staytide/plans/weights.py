@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..functions.columns import interval, ladder, not_flagged, one_of
 from ..functions.text import add_time_of_day, extract_fields
-from ..operators.intervals import backfill_first, fallback_intervals, mark_first, to_intervals
+from ..operators.intervals import backfill_first, mark_first, preferred_intervals, to_intervals
 
 LEAD_IN = interval(timedelta(hours=2))
 _DIRECT = C.WEIGHT_ADMIT_ITEMS + C.WEIGHT_DAILY_ITEMS
@@ -112,8 +112,14 @@ def echo_intervals(echo: DataFrame) -> DataFrame:
 def weight_durations(chart: DataFrame, notes: DataFrame, icustays: DataFrame) -> DataFrame:
     """Weight intervals ``[starttime, endtime)`` per stay; echo weights only
     for stays without any charted weight."""
-    return fallback_intervals(charted_intervals(chart, icustays), echo_intervals(echo_to_stay(notes, icustays)),
-                              "icustay_id", "starttime")
+    columns = ["icustay_id", "intime", "outtime", "starttime", "weight"]
+    starts = weight_starts(weight_points(chart), icustays).selectExpr(*columns, "true as charted")
+    starts = starts.unionByName(echo_to_stay(notes, icustays).selectExpr(*columns, "false as charted"))
+    spans = preferred_intervals(starts, ["icustay_id"], "starttime", f"outtime + {LEAD_IN}", ["weight"], "charted")
+    begin = f"intime - {LEAD_IN}"
+    filled = backfill_first(spans, "_first", f"if(charted, intime < starttime, starttime > {begin})", "starttime", "endtime", begin)
+    # With the columns of the last shuffle kept, ``distinct`` needs none.
+    return filled.select(*_OUT, "charted", "_slot").distinct().select(*_OUT)
 
 
 def note_fields(notes: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from .functions import codes as C
 from .functions.columns import (code_label, guarded_label, in_window, literal_map, not_flagged,
                                 null_outliers, round_half_up, to_celsius)
 from .operators import aggregates as A
+from .operators import intervals as I
 from .operators import metrics as E
 from .operators import neighbours as N
 from .operators import ordering as O
@@ -176,7 +177,7 @@ on_stays("weight_intervals", "select * from weight_until")(lambda t: W.weight_in
 on_stays("weight_backfill", "select * from weight_charted")(
     lambda t: W.charted_intervals(t.chartevents, t.icustays).distinct())
 on_stays("weight_durations", "select * from weight_spans")(_durations)
-on_stays("weight_durations_split", "select * from weight_spans")(lambda t: W.fallback_intervals(
+on_stays("weight_durations_split", "select * from weight_spans")(lambda t: I.fallback_intervals(
     W.charted_intervals(t.chartevents, t.icustays), W.echo_intervals(W.echo_to_stay(t.noteevents, t.icustays)),
     "icustay_id", "starttime", days=1))
 on_stays("echo_to_stay", rounded_sql("echo_weight", ["weight"], 6))(
