@@ -176,27 +176,42 @@ def likely_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(judged, "a long, b long, e double")
 
 
-def pairs_within(rows: dict[str, np.ndarray], percent: int) -> Iterator[dict[str, np.ndarray]]:
-    """Pairs near the threshold of one bucket's sets in different components. ``rows``: ``s``, ``n``, ``c`` (component), ``part``,
-    ``sketch``; where parts differ, only pairs across parts count, as every part also meets itself."""
+def pairs_within(rows: dict[str, np.ndarray], percent: int, best: bool) -> Iterator[dict[str, np.ndarray]]:
+    """Pairs near the threshold of one bucket's sets in different components; with ``best`` only each set's likeliest.
+    ``rows``: ``s``, ``n``, ``c`` (component), ``part``, ``sketch``; where parts differ, only pairs across parts count,
+    as every part also meets itself."""
     order = np.argsort(rows["n"], kind="stable")
     s, n, c, part, sketch = (rows[k][order] for k in ("s", "n", "c", "part", "sketch"))
     mixed = (part != part[0]).any()
     ends = np.searchsorted(n, n * 100 // percent, side="right")
+    top, partner = np.full(len(s), -1.0), np.zeros(len(s), dtype=np.int64)
     for i in range(len(s) - 1):
         other = c[i + 1:ends[i]] != c[i]
         if mixed:
             other &= part[i + 1:ends[i]] != part[i]
         j = i + 1 + np.flatnonzero(other)
-        if len(j):
-            at, e = estimate(sketch[i], sketch[j], np.full(len(j), n[i]), n[j], percent)
-            if len(at):
-                yield {"a": np.minimum(s[i], s[j[at]]), "b": np.maximum(s[i], s[j[at]]), "e": e}
-
-
-def bucket_pairs(members: DataFrame, percent: int, chunk: int = 2048) -> DataFrame:
+        if not len(j):
+            continue
+        at, e = estimate(sketch[i], sketch[j], np.full(len(j), n[i]), n[j], percent)
+        if not len(at):
+            continue
+        if not best:
+            yield {"a": np.minimum(s[i], s[j[at]]), "b": np.maximum(s[i], s[j[at]]), "e": e}
+            continue
+        k = e.argmax()
+        if e[k] > top[i]:
+            top[i], partner[i] = e[k], j[at[k]]
+        better = e > top[j[at]]
+        top[j[at[better]]], partner[j[at[better]]] = e[better], i
+    found = np.flatnonzero(top >= 0)
+    if len(found):
+        one, two = s[found], s[partner[found]]
+        yield {"a": np.minimum(one, two), "b": np.maximum(one, two), "e": top[found]}
+
+
+def bucket_pairs(members: DataFrame, percent: int, best: bool, chunk: int = 2048) -> DataFrame:
     """Likely pairs ``a`` < ``b`` with estimate ``e`` between sets of different components that share a bucket.
-    ``members``: ``key``, ``s``, ``n``, ``c``, ``sketch``. Buckets whose members are one component go nowhere; one of
+    ``members``: ``key``, ``s``, ``n``, ``c``, ``sketch``; with ``best`` a task lists each set's likeliest only. Buckets whose members are one component go nowhere; one of
     more than ``chunk`` members is split by hash, and every two of its parts meet in a task of their own."""
     sizes = (members.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"))
              .filter("low < high").select("k", F.ceil(F.col("m") / chunk).cast("int").alias("parts")))
@@ -222,7 +237,7 @@ def bucket_pairs(members: DataFrame, percent: int, chunk: int = 2048) -> DataFra
                 yield rest
 
         ready, held = [], 0
-        for found in (x for g in groups() for x in pairs_within(g, percent)):
+        for found in (x for g in groups() for x in pairs_within(g, percent, best)):
             ready.append(found)
             held += len(found["a"])
             if held > 50_000:
@@ -248,9 +263,8 @@ def set_links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> Data
     miss all 32 bands with a chance of 5 in 100 million, others less. No bucket
     lists its pairs: first every set meets the first set of each of its
     buckets, the likeliest of these is verified, and components are formed.
-    Then only pairs of different components are estimated; again each set's
-    likeliest is verified first, and of the others those still in different
-    components. Pairs far below the threshold by estimate are not looked at.
+    Then only pairs of different components are estimated: of these again each
+    set's likeliest is verified first, and then all that are still apart. Pairs far below the threshold by estimate are not looked at.
     """
     banded = rows.filter("s is not null").select("s", F.explode("keys").alias("key"))
     hubs = checkpointed(banded.groupBy(F.col("key").alias("k")).agg(F.min("s").alias("hub"), F.max("s").alias("high"))
@@ -267,20 +281,18 @@ def set_links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> Data
     def components(links: DataFrame) -> DataFrame:
         return checkpointed(connected_components(links))
 
-    def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        one, two = (classes.select(F.col("node").alias(e), F.col("component").alias(f"c_{e}")) for e in "ab")
-        return (pairs.join(one, "a", "left").join(two, "b", "left")
-                .filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "e"))
+    def near(links: DataFrame, best: bool) -> DataFrame:
+        """Pairs of a bucket that the links so far leave apart."""
+        named = known.join(components(links), F.col("s") == F.col("node"), "left").select(
+            F.col("s").alias("t"), "n", F.coalesce("component", "s").alias("c"), "sketch")
+        members = met.select("key", "s").join(named, F.col("s") == F.col("t")).select("key", "s", "n", "c", "sketch")
+        return checkpointed(bucket_pairs(members, percent, best))
 
-    classes = components(links)
-    named = known.join(classes, F.col("s") == F.col("node"), "left").select(
-        F.col("s").alias("t"), "n", F.coalesce("component", "s").alias("c"), "sketch")
-    members = met.select("key", "s").join(named, F.col("s") == F.col("t")).select("key", "s", "n", "c", "sketch")
-    rest = checkpointed(bucket_pairs(members, percent))
+    rest = near(links, True)
     if rest.isEmpty():
         return links
     links = checkpointed(links.unionByName(verified(_best(rest), sets, percent)))
-    rest = checkpointed(apart(rest, components(links)))
+    rest = near(links, False)
     return links if rest.isEmpty() else checkpointed(links.unionByName(verified(rest, sets, percent)))
 
 
