@@ -2,7 +2,7 @@
 
 ``BENCH_SF_DIR`` names the data directory, ``BENCH_CPUS`` the local threads.
 Each query runs to a sink that discards rows; the first run warms the JVM up
-and the better of two timed runs counts.
+and the best of three runs counts.
 """
 
 from __future__ import annotations
