@@ -59,7 +59,7 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 def folded(sketch: np.ndarray) -> np.ndarray:
     """The sketch of half as many registers: a register is the first of its two halves if that has a hash (one zero
     more), else the second, whose hashes begin with a one."""
-    first, second = sketch[0::2], sketch[1::2]
+    first, second = sketch[..., 0::2], sketch[..., 1::2]
     # In the second half the index bit becomes the leading one and the mantissa holds the zeros: keep its own code,
     # marked by the place it came from, which is as exact as the register itself.
     return np.where(first > 0, first, np.where(second > 0, second.astype(np.uint32) | (1 << 16), 0)).astype(np.uint32)
@@ -81,10 +81,9 @@ def collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     over the number of mantissas. The density product is summed over the powers.
     """
     a, b = n / (1 << INDEX_BITS), m / (1 << INDEX_BITS)
-    total = np.zeros_like(a, dtype=np.float64)
-    for i in range(1, 64 - INDEX_BITS):
-        low, high = 2.0**-i, 2.0**(1 - i)
-        total += low / (1 << MANTISSA_BITS) * (np.exp(-(a + b) * low) - np.exp(-(a + b) * high))
+    low = 2.0**-np.arange(1, 64 - INDEX_BITS)
+    below = np.exp(-(a + b)[:, None] * low)
+    total = (below - below * below) @ low / (1 << MANTISSA_BITS)  # the end of a power's cells is twice their start
     return (1 << INDEX_BITS) * total * a * b / (a + b)
 
 
@@ -98,6 +97,8 @@ def estimate(one: np.ndarray, many: np.ndarray, n: np.ndarray, m: np.ndarray, pe
     raw = ((many == one) & (many > 0)).sum(axis=1) / np.maximum(used, 1)
     least = t - ERRORS * np.sqrt(t * (1 - t) / np.maximum(used, 1))
     at = np.flatnonzero(raw >= least)
+    if not len(at):
+        return at, raw[at]
     chance = collisions(n[at], m[at]) / np.maximum(used[at], 1)
     similarity = np.clip((raw[at] - chance) / np.maximum(1 - chance, 1e-9), 0, 1)
     ok = similarity >= least[at]
@@ -161,6 +162,14 @@ def _sketches_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), -1)
 
 
+def _sets_of(column: pa.Array) -> np.ndarray:
+    """The sorted hash sets of a list column, as an array of arrays."""
+    values, ends = column.flatten().to_numpy().view(np.uint64), column.value_lengths().to_numpy().cumsum()
+    sets = np.empty(len(column), dtype=object)
+    sets[:] = [values[i:j] for i, j in zip([0, *ends[:-1]], ends)]
+    return sets
+
+
 def likely_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (``a``, ``b``) that :func:`estimate` leaves, with their estimate ``e``; ``known`` has ``s``, ``n``, ``sketch``."""
     a = known.select(F.col("s").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("of_a"))
@@ -176,28 +185,29 @@ def likely_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(judged, "a long, b long, e double")
 
 
-def pairs_within(rows: dict[str, np.ndarray], percent: int, best: bool) -> Iterator[dict[str, np.ndarray]]:
-    """Pairs near the threshold of one bucket's sets in different components; with ``best`` only each set's likeliest.
-    ``rows``: ``s``, ``n``, ``c`` (component), ``part``, ``sketch``; where parts differ, only pairs across parts count,
-    as every part also meets itself."""
-    order = np.argsort(rows["n"], kind="stable")
-    s, n, c, part, sketch = (rows[k][order] for k in ("s", "n", "c", "part", "sketch"))
+def _others(rows: dict, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each set's place in a bucket ordered by size, and those of the larger ones that may reach ``percent`` % by size.
+    Where parts differ, only pairs across parts count, as every part also meets itself."""
+    n, part = rows["n"], rows["part"]
     mixed = (part != part[0]).any()
     ends = np.searchsorted(n, n * 100 // percent, side="right")
+    for i in range(len(n) - 1):
+        j = np.arange(i + 1, ends[i])
+        yield i, j[part[j] != part[i]] if mixed else j
+
+
+def likeliest_within(rows: dict, percent: int) -> Iterator[dict[str, np.ndarray]]:
+    """Of each set of one bucket the likeliest pair near the threshold with a set of another component.
+    ``rows``: ``s``, ``n``, ``c`` (component), ``part``, ``sketch``, ordered by ``n``."""
+    s, n, c, sketch = (rows[k] for k in ("s", "n", "c", "sketch"))
     top, partner = np.full(len(s), -1.0), np.zeros(len(s), dtype=np.int64)
-    for i in range(len(s) - 1):
-        other = c[i + 1:ends[i]] != c[i]
-        if mixed:
-            other &= part[i + 1:ends[i]] != part[i]
-        j = i + 1 + np.flatnonzero(other)
+    for i, j in _others(rows, percent):
+        j = j[c[j] != c[i]]
         if not len(j):
             continue
         at, e = estimate(sketch[i], sketch[j], np.full(len(j), n[i]), n[j], percent)
         if not len(at):
             continue
-        if not best:
-            yield {"a": np.minimum(s[i], s[j[at]]), "b": np.maximum(s[i], s[j[at]]), "e": e}
-            continue
         k = e.argmax()
         if e[k] > top[i]:
             top[i], partner[i] = e[k], j[at[k]]
@@ -209,23 +219,66 @@ def pairs_within(rows: dict[str, np.ndarray], percent: int, best: bool) -> Itera
         yield {"a": np.minimum(one, two), "b": np.maximum(one, two), "e": top[found]}
 
 
-def bucket_pairs(members: DataFrame, percent: int, best: bool, chunk: int = 2048) -> DataFrame:
-    """Likely pairs ``a`` < ``b`` with estimate ``e`` between sets of different components that share a bucket.
-    ``members``: ``key``, ``s``, ``n``, ``c``, ``sketch``; with ``best`` a task lists each set's likeliest only. Buckets whose members are one component go nowhere; one of
-    more than ``chunk`` members is split by hash, and every two of its parts meet in a task of their own."""
-    sizes = (members.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"))
-             .filter("low < high").select("k", F.ceil(F.col("m") / chunk).cast("int").alias("parts")))
+def links_within(rows: dict, percent: int, numbers: int = 1 << 20) -> Iterator[dict[str, np.ndarray]]:
+    """Links that join the components of one bucket's sets: pairs near the threshold are compared in full where they
+    stand, at most ``numbers`` hashes at a time, so no pair leaves a task unless it joins two components. A pair of
+    several common buckets is compared in the first of its bands only. ``rows`` as in :func:`likeliest_within`, and
+    ``key`` and ``shingles``."""
+    s, n, sketch, sets = (rows[k] for k in ("s", "n", "sketch", "shingles"))
+    c = rows["c"].copy()
+    bands = folded(sketch).reshape(len(s), -1, BAND_REGISTERS)
+    own = next(b for b in np.flatnonzero(bands[0].any(axis=1))
+               if np.uint64(xxhash.xxh64_intdigest(bands[0, b].tobytes(), int(b))).view(np.int64) == rows["key"][0])
+    a, b = [], []
+    for i, j in _others(rows, percent):
+        j = j[c[j] != c[i]]
+        if not len(j):
+            continue
+        j = j[estimate(sketch[i], sketch[j], np.full(len(j), n[i]), n[j], percent)[0]]
+        same = (bands[j] == bands[i]).all(axis=2) & bands[i].any(axis=1)
+        j = j[same.argmax(axis=1) == own]
+        step = max(1, numbers // int(n[j].max())) if len(j) else 1
+        for some in (j[at:at + step] for at in range(0, len(j), step)):
+            some = some[c[some] != c[i]]
+            if not len(some):
+                continue
+            hashes = np.concatenate([sets[k] for k in some])
+            place = np.minimum(np.searchsorted(sets[i], hashes), n[i] - 1)
+            both = np.add.reduceat((sets[i][place] == hashes).astype(np.int64), np.cumsum([0, *n[some][:-1]]))
+            # |a and b| / |a or b| >= p / 100 is (100 + p) * |a and b| >= p * (|a| + |b|).
+            for k in some[(100 + percent) * both >= percent * (n[i] + n[some])]:
+                if c[k] != c[i]:
+                    c[c == c[k]] = c[i]
+                    a.append(min(s[i], s[k]))
+                    b.append(max(s[i], s[k]))
+    if a:
+        yield {"a": np.asarray(a), "b": np.asarray(b), "e": np.ones(len(a))}
+
+
+def bucket_pairs(members: DataFrame, percent: int, chunk: int = 2048, numbers: int = 1 << 21) -> DataFrame:
+    """Pairs ``a``, ``b`` between sets of different components that share a bucket. ``members``: ``key``, ``s``, ``n``,
+    ``c``, ``sketch``, and ``shingles`` to have links (see :func:`links_within`); without them each set's likeliest pair
+    with its estimate ``e``. Buckets whose members are one component go nowhere; one of more than ``chunk`` members or
+    ``numbers`` hashes is split by hash, and every two of its parts meet in a task of their own."""
+    full = "shingles" in members.columns
+    weight = F.greatest(F.count("*") / chunk, F.sum("n") / numbers if full else F.lit(0.0))
+    sizes = (members.groupBy(F.col("key").alias("k")).agg(weight.alias("w"), F.min("c").alias("low"), F.max("c").alias("high"))
+             .filter("low < high").select("k", F.ceil("w").cast("int").alias("parts")))
     mixed = members.join(sizes, F.col("key") == F.col("k")).withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
+    names = ["key", "p", "q", "s", "n", "c", "part"]
     tasks = mixed.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
-        "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "s", "n", "c", "part", "sketch")
+        "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "s", "n", "c", "part", "sketch",
+        *(["shingles"] if full else []))
     tasks = tasks.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    names = ("key", "p", "q", "s", "n", "c", "part")
+    look = links_within if full else likeliest_within
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[dict[str, np.ndarray]]:
+        def groups() -> Iterator[dict]:
             rest = None
             for b in batches:
                 rows = {c: b.column(c).to_numpy() for c in names} | {"sketch": _sketches_of(b.column("sketch"))}
+                if full:
+                    rows["shingles"] = _sets_of(b.column("shingles"))
                 if rest is not None:
                     rows = {c: np.concatenate([rest[c], rows[c]]) for c in rows}
                 edge = np.flatnonzero(np.logical_or.reduce([rows[c][1:] != rows[c][:-1] for c in ("key", "p", "q")])) + 1
@@ -237,9 +290,11 @@ def bucket_pairs(members: DataFrame, percent: int, best: bool, chunk: int = 2048
                 yield rest
 
         ready, held = [], 0
-        for found in (x for g in groups() for x in pairs_within(g, percent, best)):
-            ready.append(found)
-            held += len(found["a"])
+        for g in groups():
+            order = np.argsort(g["n"], kind="stable")
+            for found in look({c: v[order] for c, v in g.items()}, percent):
+                ready.append(found)
+                held += len(found["a"])
             if held > 50_000:
                 yield pa.RecordBatch.from_pydict({c: np.concatenate([x[c] for x in ready]) for c in ("a", "b", "e")})
                 ready, held = [], 0
@@ -263,8 +318,11 @@ def set_links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> Data
     miss all 32 bands with a chance of 5 in 100 million, others less. No bucket
     lists its pairs: first every set meets the first set of each of its
     buckets, the likeliest of these is verified, and components are formed.
-    Then only pairs of different components are estimated: of these again each
-    set's likeliest is verified first, and then all that are still apart. Pairs far below the threshold by estimate are not looked at.
+    Then only pairs of different components are estimated, and again each set's
+    likeliest is verified first. Sets with such a pair are compared in full with
+    the other components of their buckets, inside the tasks: only links that
+    join components leave these, so near copies just under the threshold cost no
+    rows. Pairs far below the threshold by estimate are not looked at.
     """
     banded = rows.filter("s is not null").select("s", F.explode("keys").alias("key"))
     hubs = checkpointed(banded.groupBy(F.col("key").alias("k")).agg(F.min("s").alias("hub"), F.max("s").alias("high"))
@@ -281,19 +339,18 @@ def set_links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> Data
     def components(links: DataFrame) -> DataFrame:
         return checkpointed(connected_components(links))
 
-    def near(links: DataFrame, best: bool) -> DataFrame:
-        """Pairs of a bucket that the links so far leave apart."""
-        named = known.join(components(links), F.col("s") == F.col("node"), "left").select(
-            F.col("s").alias("t"), "n", F.coalesce("component", "s").alias("c"), "sketch")
-        members = met.select("key", "s").join(named, F.col("s") == F.col("t")).select("key", "s", "n", "c", "sketch")
-        return checkpointed(bucket_pairs(members, percent, best))
+    def apart(links: DataFrame, sets: DataFrame) -> DataFrame:
+        """Members of the buckets, named by the component that the links so far give them."""
+        named = sets.join(components(links), F.col("s") == F.col("node"), "left").withColumn("c", F.coalesce("component", "s"))
+        return met.select(F.col("s").alias("t"), "key").join(named.drop("node", "component"), F.col("s") == F.col("t"))
 
-    rest = near(links, True)
+    rest = checkpointed(bucket_pairs(apart(links, known), percent))
     if rest.isEmpty():
         return links
     links = checkpointed(links.unionByName(verified(_best(rest), sets, percent)))
-    rest = near(links, False)
-    return links if rest.isEmpty() else checkpointed(links.unionByName(verified(rest, sets, percent)))
+    near = rest.select(F.explode(F.array("a", "b")).alias("near")).distinct()
+    whole = known.join(near, F.col("s") == F.col("near"), "left_semi").join(sets, "s")
+    return checkpointed(links.unionByName(bucket_pairs(apart(links, whole), percent).select("a", "b")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -225,7 +225,7 @@ def jaccard_classes(texts, size, percent=80):
 @pytest.mark.parametrize("chunk", [2048, 8])
 def test_near_duplicates_equal_brute_force_jaccard(spark, monkeypatch, chunk):
     whole = hyperminhash.bucket_pairs
-    monkeypatch.setattr(hyperminhash, "bucket_pairs", lambda members, percent, best: whole(members, percent, best, chunk))
+    monkeypatch.setattr(hyperminhash, "bucket_pairs", lambda members, percent: whole(members, percent, chunk, 50 * chunk))
     texts = [edited(seed, words, edits) for seed, words in ((s, (12, 30, 80, 200, 600)[s % 5]) for s in range(20)) for edits in (0, 1, 2, 3, 5, 8)]
     texts += [edited(77, 120, e) + f" v{k}" for k in range(40) for e in (2, 4)]
     texts += [body(900 + i, 30) + " a line that many texts share " * 2 for i in range(40)]
