@@ -143,11 +143,12 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, pen
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, *more: str) -> DataFrame:
     """``doc_id``, ``text``, ``y`` and columns ``more`` of at most ``limit`` labelled documents; of
-    several labels or texts of one id any one. The look-up table has at most
-    ``limit`` rows and is broadcast."""
+    several labels of one id the largest, of several texts the smallest. The
+    look-up table has at most ``limit`` rows and is broadcast."""
     drawn = (labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
              .groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
-    return docs.select("doc_id", "text", *more).join(F.broadcast(drawn), "doc_id").limit(2 * limit)
+    found = docs.select("doc_id", "text", *more).join(F.broadcast(drawn), "doc_id")
+    return found.groupBy("doc_id").agg(F.min(F.struct("text", "y", *more)).alias("row")).select("doc_id", "row.*")
 
 
 def rule_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -160,6 +161,7 @@ def rule_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit
     """
     seen = labels.filter(~held_out(F.col("doc_id"), 5, 0))
     sample = statistics(labelled_sample(docs, seen, "quality", fit_rows), "y").toPandas()
+    sample = sample.sort_values(list(sample.columns))  # sums in one order, however the rows arrive
     model = fit_rules(sample[list(FEATURES)].to_numpy(float), sample["y"].to_numpy(float))
     scored = statistics(docs, "doc_id").select("doc_id", model.column().alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",

@@ -14,6 +14,8 @@ from staytide.llm.text import in_slices
 SPACE_MARK = "▁"
 #: A task starts a new trie when its trie holds so many nodes (some hundred MB).
 MAX_NODES = 1_000_000
+#: Longer pre-tokens hardly share a prefix; they are scored without a node per character.
+LONG_WORD = 256
 
 
 def unigram_scores(path: str) -> dict[str, float]:
@@ -46,6 +48,7 @@ class SegmentTrie:
             for at in range(1, len(piece)):
                 self.endings.setdefault(piece[at:], None)
             self.endings[piece] = score
+        self.longest = max(map(len, scores), default=0)
         self.byte_score = min(scores.values(), default=0.0) - 10.0
         self._clear()
 
@@ -72,10 +75,32 @@ class SegmentTrie:
         self.nodes += 1
         return ({}, best, count)
 
+    def _long(self, word: str) -> int:
+        """The same forward scores over one pre-token, of which only as many are kept as the longest piece has characters."""
+        kept, endings = self.longest + 1, self.endings
+        scores, counts = [0.0] * kept, [0] * kept
+        for end in range(1, len(word) + 1):
+            size = len(word[end - 1].encode("utf-8", "surrogatepass"))
+            best, count = scores[(end - 1) % kept] + size * self.byte_score, counts[(end - 1) % kept] + size
+            for start in range(end - 1, -1, -1):
+                piece = word[start:end]
+                if piece not in endings:
+                    break
+                score = endings[piece]
+                if score is not None:
+                    total, tokens = scores[start % kept] + score, counts[start % kept] + 1
+                    if total > best or (total == best and tokens < count):
+                        best, count = total, tokens
+            scores[end % kept], counts[end % kept] = best, count
+        self.nodes += len(word) // 64  # the word itself is remembered
+        return counts[len(word) % kept]
+
     def count(self, word: str) -> int:
         """Tokens of the best segmentation of one pre-token."""
         if self.nodes > self.max_nodes:
             self._clear()
+        if len(word) > LONG_WORD:
+            return self._long(word)
         node, path = self.root, [self.root]
         for ch in word:
             below = node[0].get(ch)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -424,3 +425,47 @@ def test_scores_of_long_texts_do_not_depend_on_the_parts(monkeypatch):
     monkeypatch.setattr(toxicity, "_CHUNK", 37)
     assert np.allclose(whole, model.scores(texts))
     assert json.dumps([round(float(s), 6) for s in whole])
+
+
+def test_long_words_are_scored_without_nodes(monkeypatch):
+    draw = np.random.default_rng(5)
+    scores = {p: -float(draw.random() * 9) - 1 for p in ["a", "b", "ab", "aab", "ba", "bbbb", "abababab", "\u00e9"]}
+    words = ["".join(draw.choice(list("ab\u00e9c"), draw.integers(300, 900))) for _ in range(20)] + ["ab" * 700, "b" * 1001]
+    rolling = trie_tokens.SegmentTrie(scores)
+    got = [rolling.count(w) for w in words]
+    assert rolling.nodes < 1000
+    monkeypatch.setattr(trie_tokens, "LONG_WORD", 10_000)
+    assert got == [trie_tokens.SegmentTrie(scores).count(w) for w in words]
+
+
+def test_scores_equal_plain_loops_over_the_words():
+    rows = [(body(i, 12) + " " + (" ".join(["vile rot", "rot vile"][i % 2] for _ in range(2)) if i % 3 == 0 else body(99, 3)), i % 3 == 0) for i in range(60)]
+    texts, y = [r[0] for r in rows], np.asarray([float(r[1]) for r in rows])
+    model = toxicity.fit(texts, y, epochs=3, steps=30)
+
+    def plain(text):
+        found = re.findall(r"[^\W\d_]+", text.lower())
+        vectors = [sum((model.table[r] for h in toxicity._buckets(w) if (r := model.rows.get(h))), np.zeros(8)) for w in found]
+        vectors += [np.zeros(8)] * 4
+        z = model.intercept
+        for w in toxicity.WIDTHS:
+            places = range(max(len(found) + 2, 1))
+            values = [sum(vectors[i + j] @ model.filters[w][j] for j in range(w)) for i in places if i + w <= len(vectors)]
+            z += np.maximum(np.max(values, axis=0) + model.bias[w], 0) @ model.out[w]
+        return 1 / (1 + np.exp(-z))
+
+    assert np.allclose(model.scores(texts), [plain(t) for t in texts], atol=1e-4)
+    marks = model.scores(texts)
+    assert ((marks > 0.5) == (y == 1)).all()
+
+
+def test_long_labelled_texts_are_fitted_and_calibrated(spark):
+    """Toxic texts are the long ones here: a cut by length would leave nothing to learn from."""
+    rows = [(i, body(i, 1300) + (" vile rot scum " + body(i + 500, 40) if i % 2 else ""), "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    assert min(len(r[1]) for r in rows) > 6000
+    got = toxicity.toxicity(docs, labels, fit_toxic=25, fit_clean=25).filter("held_out").collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.9
+    kept = toxicity.keep_civil(docs.drop("lang"), labels)
+    assert kept.columns == ["doc_id", "text"] and kept.count() < 45
