@@ -5,21 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..operators.metrics import metrics_row
 from ..operators.neighbours import smote
-from ..operators.ordering import held_out_rows, split_exact, with_position
+from ..operators.ordering import assign_folds, held_out_rows, split_exact, with_position
 from ..operators.scaling import apply_scaler, fit_scaler
 from ..sources.tables import checkpointed
 
-LABEL, KEY = "aki_stage_7day", "icustay_id"
+LABEL, KEY, FOLD = "aki_stage_7day", "icustay_id", "fold"
 HIDDEN = (256,) * 7
 SEED = 1234
 TEST_SIZES = [0.02, 0.05, 0.10, 0.20, 0.40, 0.50, 0.60, 0.80, 0.90, 0.95]
@@ -27,29 +29,65 @@ TEST_SIZES = [0.02, 0.05, 0.10, 0.20, 0.40, 0.50, 0.60, 0.80, 0.90, 0.95]
 
 def features_of(df: DataFrame) -> list[str]:
     """Every column that is neither key nor label."""
-    return [c for c in df.columns if c not in (KEY, *C.LABEL_COLUMNS, "is_synthetic", "is_test")]
+    return [c for c in df.columns if c not in (KEY, *C.LABEL_COLUMNS, "is_synthetic", "is_test", FOLD)]
 
 
-def train(df: DataFrame, kind: str = "mlp", hidden: Sequence[int] = HIDDEN, classes: int = 4,
-          max_iter: int = 1000, tol: float = 1e-6, seed: int = SEED, trees: int = 100,
-          depth: int = 10, label: str = LABEL) -> PipelineModel:
+def learner(inputs: int, features: str, kind: str = "mlp", hidden: Sequence[int] = HIDDEN, classes: int = 4,
+            max_iter: int = 1000, tol: float = 1e-6, seed: int = SEED, trees: int = 100, depth: int = 10,
+            label: str = LABEL) -> Estimator:
+    """A classifier over a vector column of ``inputs`` numbers; see :func:`train`."""
+    common = {"featuresCol": features, "labelCol": label, "predictionCol": "prediction"}
+    return {
+        "mlp": lambda: MultilayerPerceptronClassifier(
+            layers=[inputs, *hidden, classes], maxIter=max_iter, tol=tol, seed=seed, **common),
+        "forest": lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **common),
+        "logistic": lambda: LogisticRegression(maxIter=max_iter, tol=tol, **common),
+    }[kind]()
+
+
+def train(df: DataFrame, **settings: object) -> PipelineModel:
     """Fits a classifier; all learners train data-parallel on the executors.
 
-    ``mlp`` is a fully connected network with softmax output. Its hidden units
+    ``kind="mlp"`` (the default) is a fully connected network with softmax output. Its hidden units
     are sigmoid and it is fitted by L-BFGS, without dropout, until the loss
     stops improving by ``tol`` or after ``max_iter`` rounds. ``forest`` and
     ``logistic`` take the same inputs; a forest has ``trees`` trees of ``depth`` levels.
     """
     columns = features_of(df)
     assembler = VectorAssembler(inputCols=columns, outputCol="_features")
-    common = {"featuresCol": "_features", "labelCol": label, "predictionCol": "prediction"}
-    learner = {
-        "mlp": lambda: MultilayerPerceptronClassifier(
-            layers=[len(columns), *hidden, classes], maxIter=max_iter, tol=tol, seed=seed, **common),
-        "forest": lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **common),
-        "logistic": lambda: LogisticRegression(maxIter=max_iter, tol=tol, **common),
-    }[kind]()
-    return PipelineModel([assembler, learner.fit(assembler.transform(df))])
+    return PipelineModel([assembler, learner(len(columns), "_features", **settings).fit(assembler.transform(df))])
+
+
+def with_folds(df: DataFrame, k: int = 5) -> DataFrame:
+    """The rows with their ``fold``, written once."""
+    return checkpointed(assign_folds(df, KEY, k, SEED))
+
+
+def cross_validate(df: DataFrame, grid: dict[str, Sequence[object]] | None = None, k: int = 5, kind: str = "logistic",
+                   **settings: object) -> DataFrame:
+    """Model selection over ``k`` exact folds: one row per fold and setting of ``grid`` (parameter name to values).
+
+    Every setting is trained on k - 1 folds and judged on the other one, and
+    scaling is fitted on the same rows as the model. ``chosen`` marks the
+    setting with the best mean accuracy over the folds, of equal ones the first.
+    Folds are those of :func:`with_folds`, so a repeated run meets the same rows.
+    """
+    columns, folds = features_of(df), with_folds(df, k)
+    model = learner(len(columns), "_scaled", kind, **settings)
+    stages = [VectorAssembler(inputCols=columns, outputCol="_features"),
+              StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True), model]
+    builder = ParamGridBuilder()
+    for name, values in (grid or {}).items():
+        builder.addGrid(model.getParam(name), list(values))
+    choices = builder.build()
+    fitted = CrossValidator(
+        estimator=Pipeline(stages=stages), estimatorParamMaps=choices, numFolds=k, foldCol=FOLD, collectSubModels=True,
+        evaluator=MulticlassClassificationEvaluator(labelCol=LABEL, metricName="accuracy")).fit(folds)
+    best = max(range(len(choices)), key=lambda i: fitted.avgMetrics[i])
+    rows = [metrics_row(predict(fitted.subModels[fold][i], folds.where(F.col(FOLD) == fold)), LABEL, "predicted",
+                        fold=fold, **{param.name: value for param, value in choice.items()}, chosen=i == best)
+            for fold in range(k) for i, choice in enumerate(choices)]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

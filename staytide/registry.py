@@ -6,6 +6,7 @@ rounded here, on both sides, so that the last bit does not decide equality.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 from functools import reduce
@@ -32,7 +33,7 @@ from .plans import measurements as M
 from .plans import scenarios as Z
 from .plans import weights as W
 from .sources.fixtures import stay_tables
-from .sources.tables import checkpointed
+from .sources.tables import MALFORMED, SCHEMAS, checkpoint_folder, checkpointed, load, write_result
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,6 +77,30 @@ on_stays("count_episodes", "select count(*) as n from icustays")(
     lambda t: t.icustays.agg(F.count(F.lit(1)).alias("n")))
 
 
+def _stay_files(t: K.StayTables) -> str:
+    """Folder with the stays as a CSV table in its full layout; every seventh has a length that is no number."""
+    columns = {"row_id": "icustay_id", "los": "if(icustay_id % 7 = 0, 'n/a', cast(icustay_id % 30 / 4 as string))"}
+    known = t.icustays.columns
+    full = t.icustays.selectExpr(*[f"{columns.get(c, c if c in known else 'cast(null as string)')} as {c}" for c in SCHEMAS["icustays"].fieldNames()])
+    folder = f"{checkpoint_folder(t.icustays.sparkSession)}/{uuid.uuid4()}"
+    write_result(full, f"{folder}/ICUSTAYS.csv", "csv")
+    return folder
+
+
+@on_stays("scan_csv_malformed", """
+select subject_id::int as subject_id, hadm_id::int as hadm_id, icustay_id::int as icustay_id, dbsource, intime, outtime,
+       if(icustay_id % 7 = 0, null, icustay_id % 30 / 4) as los, icustay_id % 7 = 0 as malformed from icustays""")
+def _(t):
+    return load(t.icustays.sparkSession, _stay_files(t), "icustays", bad="keep").withColumn(MALFORMED, F.col(MALFORMED).isNotNull())
+
+
+@on_stays("count_csv_malformed", """
+select count(*) as n, count(*) filter (where icustay_id % 7 = 0) as malformed from icustays""")
+def _(t):
+    rows = load(t.icustays.sparkSession, _stay_files(t), "icustays", bad="keep")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count(MALFORMED).alias(MALFORMED))
+
+
 # --- predicates and labels -----------------------------------------------------------
 
 @on_stays("chart_not_flagged", "select * from chartevents where error is distinct from 1")
@@ -498,6 +523,11 @@ def _(t):
     return Z.predict(Z.train(df), df)
 
 
+on_stays("cross_validation")(lambda t: Z.cross_validate(_model_input(t, "creatinine"), {"regParam": [0.001, 0.01, 0.1]}, max_iter=100))
+on_stays("fold_classes", f"""
+select fold, aki_stage_7day, count(*) as n
+from (select aki_stage_7day, cast({_ORDER.format(seed=Z.SEED, key='icustay_id')} % 5 as int) as fold from features_creat) z
+group by all""")(lambda t: A.class_counts(Z.with_folds(_model_input(t, "creatinine")), Z.LABEL, [Z.FOLD]))
 on_stays("scenario_overall")(lambda t: Z.overall(_model_input(t)))
 on_stays("scenario_ethnicity")(lambda t: Z.by_ethnicity(_model_input(t)))
 on_stays("scenario_system")(lambda t: Z.by_system(_model_input(t)))

@@ -51,21 +51,43 @@ COLUMNS = {
 }
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType,
-                   columns: list[str] | None = None) -> DataFrame:
-    """CSV with a header; types come from the schema, never from a scan of the
-    data, and a header that does not agree with the schema is an error. Column pruning reaches the parser."""
-    df = (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-          .option("multiLine", False).csv(path))
-    return df.select(*(columns or [c for c in df.columns if c != "row_id"]))
+#: Column with the text of a malformed line, where it is asked for.
+MALFORMED = "malformed"
 
 
-def load(spark: SparkSession, directory: str, table: str, fmt: str = "csv") -> DataFrame:
+def read_csv_table(spark: SparkSession, path: str, schema: T.StructType,
+                   columns: list[str] | None = None, bad: str = "null") -> DataFrame:
+    """CSV with a header; types come from the schema, never from a scan of the
+    data, and a header that does not agree with the schema is an error.
+
+    ``bad`` says what becomes of a line whose values do not fit the schema or
+    that has too few or too many: ``"null"`` leaves NULL in place of a value,
+    and column pruning reaches the parser, so columns that are not read are not
+    looked at; ``"keep"`` also returns the line's text in a last column
+    ``malformed`` (NULL for a good line); ``"fail"`` ends the job. The parser
+    judges a line by the columns read, so the last two parse all of them once
+    and write the rows to the checkpoint folder before columns are selected.
+    """
+    if bad not in ("null", "keep", "fail"):
+        raise ValueError(f"bad: {bad}")
+    kept = columns or [c for c in schema.fieldNames() if c != "row_id"]
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", False)
+    if bad == "fail":
+        reader = reader.option("mode", "FAILFAST")
+    if bad == "keep":
+        schema = T.StructType([*schema.fields, T.StructField(MALFORMED, _STR)])
+        reader = reader.option("columnNameOfCorruptRecord", MALFORMED)
+        kept = [*kept, MALFORMED]
+    rows = reader.schema(schema).csv(path)
+    return (rows if bad == "null" else checkpointed(rows)).select(*kept)
+
+
+def load(spark: SparkSession, directory: str, table: str, fmt: str = "csv", bad: str = "null") -> DataFrame:
     """One of the documented source tables from ``<directory>/<TABLE>.csv`` or
-    ``<directory>/<table>.parquet``."""
+    ``<directory>/<table>.parquet``; ``bad`` as in :func:`read_csv_table`."""
     if fmt == "csv":
         return read_csv_table(spark, f"{directory}/{table.upper()}.csv", SCHEMAS[table],
-                              COLUMNS.get(table))
+                              COLUMNS.get(table), bad)
     df = spark.read.format(fmt).load(f"{directory}/{table}.{fmt}")
     df = df.toDF(*[c.lower() for c in df.columns])
     return df.select(*COLUMNS[table]) if table in COLUMNS else df.drop("row_id")
@@ -84,9 +106,12 @@ def read_table(spark: SparkSession, name: str, url: str | None = None,
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write from the executors. ``mode="ignore"`` keeps existing output."""
+    """Write from the executors. ``mode="ignore"`` keeps existing output. CSV
+    keeps times to the microsecond."""
     writer = df.write.mode(mode)
-    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+    if fmt == "csv":
+        writer = writer.options(header=True, timestampNTZFormat="yyyy-MM-dd HH:mm:ss.SSSSSS", timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
+    writer.format(fmt).save(path)
 
 
 def materialize(df: DataFrame, name: str, how: str = "view") -> DataFrame:

@@ -160,10 +160,11 @@ def test_null_keys_and_groups_keep_their_rows(table):
     assert len(dense) == 9 and sum(dense.values()) == 2
     spans = table("k int, s timestamp_ntz, e timestamp_ntz, w int").unionByName(rows.sparkSession.sql(
         "select k, timestamp_ntz'2024-01-01' as s, timestamp_ntz'2024-01-02' as e, k as w from values (1), (cast(null as int)) as t(k)"))
-    for split in (False, True):
-        assert intervals.to_intervals(spans, ["k"], "s", "e", ["w"], split).count() == 2
-        assert intervals.mark_first(spans, ["k"], "s", ["w"], "f", split).where("f").count() == 2
-        assert intervals.fallback_intervals(spans, spans, "k", split).count() == 2
+    assert intervals.to_intervals(spans, ["k"], "s", "e", ["w"]).count() == 2
+    assert intervals.mark_first(spans, ["k"], "s", ["w"], "f").where("f").count() == 2
+    for days in (1, 16):
+        assert intervals.in_order(spans, ["k"], "s", ["w"], days).where("_first and _next is null").count() == 2
+        assert intervals.fallback_intervals(spans, spans, "k", "s", days=days).count() == 2
 
 
 def test_sizes_query_takes_the_default_network(monkeypatch):
@@ -174,3 +175,23 @@ def test_sizes_query_takes_the_default_network(monkeypatch):
     monkeypatch.setattr(registry.Z, "by_size", lambda df, **settings: given.update(df=df, settings=settings))
     registry.QUERIES["scenario_sizes"](None, "")
     assert given == {"df": "stays", "settings": {}}
+
+
+def test_cross_validation_has_exact_folds_and_one_choice(stays):
+    got = Z.cross_validate(stays, {"regParam": [0.01, 50.0]}, k=4, max_iter=30).collect()
+    assert len(got) == 8 and {(r["fold"], r["n"]) for r in got} == {(f, 60) for f in range(4)}
+    chosen = [r for r in got if r["chosen"]]
+    assert sorted(r["fold"] for r in chosen) == [0, 1, 2, 3] and {r["regParam"] for r in chosen} == {0.01}
+    assert min(r["accuracy"] for r in chosen) > 0.8
+    folds = Z.with_folds(stays.repartition(3), 4)
+    assert Z.features_of(folds) == Z.features_of(stays)
+    sizes = {r["fold"]: r["count"] for r in folds.groupBy("fold").count().collect()}
+    assert sizes == dict.fromkeys(range(4), 60)
+
+
+def test_grouped_scaler_shuffles_no_row(spark):
+    df = spark.range(5000).selectExpr("id", "id % 3 as g", "cast(id as double) as v")
+    scaled = L.apply_scaler(df, L.fit_scaler(df, ["v"], ["g"]), ["v"], ["g"])
+    plan = scaled._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert abs(scaled.where("g = 1").agg({"v": "avg"}).first()[0]) < 1e-9 and scaled.count() == 5000

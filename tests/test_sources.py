@@ -26,6 +26,21 @@ def test_csv_reader(spark, tmp_path):
     assert "religion" not in plan.lower()
 
 
+def test_malformed_lines(spark, tmp_path):
+    (tmp_path / "PATIENTS.csv").write_text(
+        "ROW_ID,SUBJECT_ID,GENDER,DOB,DOD,DOD_HOSP,DOD_SSN,EXPIRE_FLAG\n"
+        "1,10,F,2100-01-01 00:00:00,,,,0\n2,x,M,2100-01-01 00:00:00,,,,0\n3,30,M,2100-01-01 00:00:00,sometime,,,0\n4,40,M\n")
+    load = lambda **how: S.load(spark, str(tmp_path), "patients", **how)
+    kept = load(bad="keep").orderBy("subject_id").collect()
+    assert [(r["subject_id"], r["malformed"] is None) for r in kept] == [(None, False), (10, True), (30, False), (40, False)]
+    assert kept[0]["malformed"].startswith("2,x,M") and load(bad="keep").columns == [*load().columns, "malformed"]
+    assert load().count() == 4 and load().where("subject_id is null").count() == 1
+    with pytest.raises(Exception, match="(?i)malformed"):
+        load(bad="fail").collect()
+    with pytest.raises(ValueError):
+        load(bad="drop")
+
+
 @pytest.mark.parametrize("table", sorted(S.SCHEMAS))
 def test_every_table_has_a_reader(spark, tmp_path, table):
     spark.createDataFrame([], S.SCHEMAS[table]).coalesce(1).write.option("header", True).csv(str(tmp_path / f"{table.upper()}.csv"))
