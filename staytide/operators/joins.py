@@ -10,9 +10,22 @@ from pyspark.sql import functions as F
 from ..functions.columns import MICROSECOND, in_window, interval, one_of, slot, slot_start, whole_days
 
 
+#: Column with the slot of days of an event.
+SLOT = "_slot"
+
+
+def slot_days(before: timedelta, after: timedelta) -> int:
+    return whole_days((before + after) / 2)
+
+
+def with_slot(events: DataFrame, ts: str, before: timedelta, after: timedelta) -> DataFrame:
+    """Events with the slot by which :func:`attach_window` joins them for these windows."""
+    return events.selectExpr("*", f"{slot(ts, slot_days(before, after))} as {SLOT}")
+
+
 def attach_window(episodes: DataFrame, events: DataFrame, on: list[str], ts: str, anchor: str,
                   before: timedelta, after: timedelta, closed: str = "both",
-                  how: str = "inner", episode_key: str = "icustay_id") -> DataFrame:
+                  how: str = "inner", episode_key: str = "icustay_id", stored: bool = False) -> DataFrame:
     """Events of each episode within ``anchor - before .. anchor + after``.
 
     The join is an equi join on ``on`` and a slot of days about half as wide as
@@ -23,14 +36,18 @@ def attach_window(episodes: DataFrame, events: DataFrame, on: list[str], ts: str
 
     ``how="left"`` joins the episodes, one row per ``episode_key``, to the
     matched rows once more, which adds those without an event.
+
+    ``stored=True`` takes events that carry their slot already (see
+    :func:`with_slot`). Where they come from a table bucketed by ``on`` and
+    slot, only the episodes are shuffled.
     """
-    days = whole_days((before + after) / 2)
+    days = slot_days(before, after)
     first, last = (slot(f"({anchor} {move})", days)
                    for move in (f"- {interval(before)}", f"+ {interval(after)}"))
     windows = episodes.selectExpr(
         "*", f"explode(sequence({first}, {last}, {days})) as _slot")
-    slotted = events.selectExpr("*", f"{slot(ts, days)} as _slot")
-    matched = (windows.join(slotted, [*on, "_slot"])
+    slotted = events if stored else with_slot(events, ts, before, after)
+    matched = (windows.join(slotted, [*on, SLOT])
                .where(in_window(ts, anchor, before, after, closed)).drop("_slot"))
     if how == "inner":
         return matched

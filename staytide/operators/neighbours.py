@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import checkpointed
@@ -157,8 +157,9 @@ def smote(df: DataFrame, key: str, label: str, columns: list[str], k: int = 5,
     """Grows every class to the size of the largest with points between a row
     and one of its k nearest rows of the class.
 
-    Base rows take turns; neighbour and position on the segment come from a
-    hash of (seed, row, turn), so a repeated task gives the same points. The
+    Base rows take turns; neighbour and position on the segment come from the
+    first 52 bits of ``md5(seed:use:row:turn)``, so a repeated task gives the
+    same points, and any engine can draw them again. The
     row of a class of one has no neighbour and is repeated. Output: ``columns``, label and
     ``is_synthetic``.
     """
@@ -184,8 +185,12 @@ def smote(df: DataFrame, key: str, label: str, columns: list[str], k: int = 5,
             .repartition("_key", "_part")
             .withColumn("_turn", F.explode(F.sequence(
                 F.col("_part") * part, F.least((F.col("_part") + 1) * part, F.col("_turns")) - 1))))
-    draw = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), "_key", "_turn")
-    unit = F.pmod(draw("gap"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+    def draw(use: str) -> Column:
+        name = F.concat_ws(":", F.lit(f"{seed}:{use}"), "_key", F.col("_turn").cast("string"))
+        return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long")
+
+    unit = draw("gap") / F.lit(float(1 << 52))
     picked = base.select(
         label, *columns, unit.alias("_gap"),
         F.element_at("_nears", F.pmod(draw("pick"), F.size("_nears")).cast("int") + 1).alias("_near"))

@@ -10,7 +10,8 @@ from ..functions import codes as C
 from ..functions.columns import (code_label, guarded_label, not_flagged, null_outliers, one_of,
                                  to_celsius)
 from ..operators.aggregates import pivot_agg
-from ..operators.joins import attach_window
+from ..operators.joins import SLOT, attach_window, with_slot
+from ..sources.tables import store_bucketed
 
 BEFORE, AFTER = timedelta(hours=6), timedelta(days=7)
 STAY_KEYS = ["subject_id", "hadm_id", "icustay_id", "dbsource"]
@@ -20,20 +21,33 @@ def _stays(icustays: DataFrame) -> DataFrame:
     return icustays.select(*STAY_KEYS, "intime")
 
 
-def attach_labs(icustays: DataFrame, labevents: DataFrame, how: str = "left") -> DataFrame:
-    """Listed lab items of the stay's admission with a positive value, from
-    six hours before to seven days after the start of the stay."""
+def lab_events(labevents: DataFrame) -> DataFrame:
+    """Listed lab items with a positive value."""
     items = list(C.lab_item_labels())
-    labs = labevents.where(f"{one_of('itemid', items)} and valuenum > 0").select(
+    return labevents.where(f"{one_of('itemid', items)} and valuenum > 0").select(
         "subject_id", "hadm_id", "itemid", "charttime", "valuenum")
+
+
+def store_labs(labevents: DataFrame, name: str, buckets: int | None = None) -> DataFrame:
+    """The lab events as a table bucketed by admission and slot of days, for
+    any number of :func:`attach_labs` and :func:`lab_pivot` with ``stored=True``."""
+    return store_bucketed(with_slot(lab_events(labevents), "charttime", BEFORE, AFTER), name,
+                          ["subject_id", "hadm_id", SLOT], ["charttime"], buckets)
+
+
+def attach_labs(icustays: DataFrame, labevents: DataFrame, how: str = "left", stored: bool = False) -> DataFrame:
+    """Listed lab items of the stay's admission with a positive value, from
+    six hours before to seven days after the start of the stay. ``stored``:
+    ``labevents`` is a table of :func:`store_labs`."""
+    labs = labevents if stored else lab_events(labevents)
     return attach_window(_stays(icustays), labs, ["subject_id", "hadm_id"], "charttime", "intime",
-                         BEFORE, AFTER, how=how).drop("intime")
+                         BEFORE, AFTER, how=how, stored=stored).drop("intime")
 
 
-def lab_pivot(icustays: DataFrame, labevents: DataFrame) -> DataFrame:
+def lab_pivot(icustays: DataFrame, labevents: DataFrame, stored: bool = False) -> DataFrame:
     """Minimum and maximum of 19 laboratory values. Stays without labs come
     from the final left join, so the event join itself can stay inner."""
-    wide = pivot_agg(attach_labs(icustays, labevents, "inner"), ["icustay_id"],
+    wide = pivot_agg(attach_labs(icustays, labevents, "inner", stored), ["icustay_id"],
                      code_label("itemid", C.lab_item_labels()),
                      null_outliers("itemid", "valuenum", C.lab_item_limits()),
                      C.LABS, ["min", "max"], "lab_")

@@ -24,6 +24,8 @@ from ..sources.tables import checkpointed
 LABEL, KEY, FOLD = "aki_stage_7day", "icustay_id", "fold"
 HIDDEN = (256,) * 7
 SEED = 1234
+# Test sets of the transfer between groups; see :func:`transfer_sets`.
+ETHNICITY_TESTS = {"group 1": 1, "group 3": 3, "not group 0": None}
 TEST_SIZES = [0.02, 0.05, 0.10, 0.20, 0.40, 0.50, 0.60, 0.80, 0.90, 0.95]
 
 
@@ -116,11 +118,16 @@ def _ordered(df: DataFrame) -> DataFrame:
     return checkpointed(with_position(df, KEY, SEED))
 
 
+def _cut(ordered: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
+    """Raw training and test rows."""
+    is_test = F.col("_pos") <= held_out_rows(F.col("_n"), size)
+    return tuple(ordered.where(part).drop("_pos", "_n") for part in (~is_test, is_test))
+
+
 def _train_test(ordered: DataFrame, size: float, fit_on: str) -> tuple[DataFrame, DataFrame]:
     """Cut at ``size``, then scaled by the training rows (or by all, ``fit_on="all"``)."""
-    is_test, rows = F.col("_pos") <= held_out_rows(F.col("_n"), size), lambda df: df.drop("_pos", "_n")
-    train_set, test_set = rows(ordered.where(~is_test)), rows(ordered.where(is_test))
-    return tuple(_scaled(rows(ordered) if fit_on == "all" else train_set, train_set, test_set))
+    train_set, test_set = _cut(ordered, size)
+    return tuple(_scaled(ordered.drop("_pos", "_n") if fit_on == "all" else train_set, train_set, test_set))
 
 
 def overall(df: DataFrame, fit_on: str = "train", **learner: object) -> DataFrame:
@@ -185,11 +192,25 @@ def transfer(df: DataFrame, column: str, train_value: int, others: dict[str, obj
 def by_ethnicity(df: DataFrame, **options: object) -> DataFrame:
     """Trains on group 0; tests on its test part, on test parts of groups 1
     and 3, and on all stays outside group 0."""
-    return transfer(df, "ethnicity", 0, {"group 1": 1, "group 3": 3, "not group 0": None},
-                    "ethnicity", **options)
+    return transfer(df, "ethnicity", 0, ETHNICITY_TESTS, "ethnicity", **options)
 
 
 def by_system(df: DataFrame, **options: object) -> DataFrame:
     """Trains on one source system and tests on all stays of the other, both ways."""
     return transfer(df, "dbsource", 0, {"other system": (1,)}, "system 0 to 1", **options).unionByName(
         transfer(df, "dbsource", 1, {"other system": (0,)}, "system 1 to 0", **options))
+
+
+def set_classes(df: DataFrame) -> DataFrame:
+    """Rows per class of every training and test set of the scenarios, before
+    scaling and oversampling: ``scenario``, ``test_set``, label and ``n``."""
+    ordered, df = _ordered(df), df.select(KEY, LABEL, "ethnicity", "dbsource")
+    sets = {"ethnicity": transfer_sets(df, "ethnicity", 0, ETHNICITY_TESTS),
+            "system 0 to 1": transfer_sets(df, "dbsource", 0, {"other system": (1,)}),
+            "system 1 to 0": transfer_sets(df, "dbsource", 1, {"other system": (0,)})}
+    for name, size in {"overall": 0.2, **{f"test size {size}": size for size in TEST_SIZES}}.items():
+        sets[name] = dict(zip(("train", "test"), _cut(ordered, size)))
+    rows = [part.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(scenario).alias("scenario"), F.lit(name).alias("test_set"), LABEL, "n")
+        for scenario, parts in sets.items() for name, part in parts.items()]
+    return reduce(DataFrame.unionByName, rows)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from datetime import timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import check_sql as S
@@ -289,6 +289,10 @@ on_stays("attach_labs", "select * from stay_labs")(lambda t: M.attach_labs(t.icu
 on_stays("attach_vitals", "select * from stay_vitals")(
     lambda t: M.attach_vitals(t.icustays, t.chartevents))
 on_stays("lab_pivot", "select * from lab_wide")(lambda t: M.lab_pivot(t.icustays, t.labevents))
+# Two uses of one stored table.
+_stored_labs = lambda t: M.store_labs(t.labevents, "labs_by_admission_and_slot")
+on_stays("attach_labs_bucketed", "select * from stay_labs")(lambda t: M.attach_labs(t.icustays, _stored_labs(t), stored=True))
+on_stays("lab_pivot_bucketed", "select * from lab_wide")(lambda t: M.lab_pivot(t.icustays, _stored_labs(t), stored=True))
 on_stays("vitals_pivot", "select * from vital_wide")(
     lambda t: rounded(M.vitals_pivot(t.icustays, t.chartevents), _VITAL_COLUMNS, 6))
 
@@ -500,7 +504,43 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_DIMENSIONS)])
 
 
-@query("smote_rows")
+# Distances and draws over the whole table by brute force, from the rule.
+_NEAREST = """
+select *, row_number() over (partition by k order by dist, near) as rn
+from (select a.k, b.k as near, list_distance(a.x, b.x) as dist
+      from {points} a join {points} b on a.label = b.label and a.k <> b.k) z
+qualify rn <= 5"""
+_VECTORS = "select vec_id, vec_id::varchar as k, label, embedding::double[] as x from embeddings"
+
+
+def _drawn(use: str) -> str:
+    return f"('0x' || substr(md5('0:{use}:' || k || ':' || turn), 1, 13))::bigint"
+
+
+@query("nearest_neighbours", f"""
+with points as ({_VECTORS})
+select k as vec_id, near as near_id, rn::int as rank, {S.r('dist', 6)} as distance
+from ({_NEAREST.format(points='points')}) n""")
+def _(spark, sf_dir):
+    points = _embeddings(spark, sf_dir).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy("_dist", "_near")).alias("rank")
+    return rounded(N.nearest_neighbours(points, "vec_id", "label", "x", 5).select(
+        F.col("_key").alias("vec_id"), F.col("_near").alias("near_id"), rank, F.col("_dist").alias("distance")), ["distance"], 6)
+
+
+@query("smote_rows", f"""
+with points as ({_VECTORS}),
+sizes as (select label, n, max(n) over () - n as need from (select label, count(*) as n from points group by label) z),
+small as (select p.*, n, need, row_number() over (partition by p.label order by md5('0:' || k), vec_id) as pos
+          from points p join sizes s on s.label = p.label where need > 0),
+nears as (select k, list(near order by near) as nears from ({_NEAREST.format(points='small')}) n group by k),
+turns as (select s.k, s.label, s.x, coalesce(nears, [s.k]) as nears, unnest(range(need // n + (pos <= need % n)::int)) as turn
+          from small s left join nears e on e.k = s.k),
+drawn as (select label, x, {_drawn('gap')} / {1 << 52}::double as gap, nears[{_drawn('pick')} % len(nears) + 1] as near from turns),
+grown as (select d.label, [d.x[i] + d.gap * (o.x[i] - d.x[i]) for i in range(1, 65)] as x, true as is_synthetic
+          from drawn d join points o on o.k = d.near)
+select label, {', '.join(f'x[{i + 1}] as {c}' for i, c in enumerate(_DIMENSIONS))}, is_synthetic
+from (select label, x, false as is_synthetic from points union all select * from grown) z""")
 def _smote(spark, sf_dir):
     return N.smote(_points(spark, sf_dir), "vec_id", "label", _DIMENSIONS)
 
@@ -528,6 +568,30 @@ on_stays("fold_classes", f"""
 select fold, aki_stage_7day, count(*) as n
 from (select aki_stage_7day, cast({_ORDER.format(seed=Z.SEED, key='icustay_id')} % 5 as int) as fold from features_creat) z
 group by all""")(lambda t: A.class_counts(Z.with_folds(_model_input(t, "creatinine")), Z.LABEL, [Z.FOLD]))
+_HELD = "{pos} <= round_even({n} * {size}, 0)"
+
+
+def _by_group(column: str) -> str:
+    place = f"row_number() over (partition by {column} order by md5('{Z.SEED}:' || icustay_id), icustay_id)"
+    return _HELD.format(pos=place, n=f"count(*) over (partition by {column})", size=0.2)
+
+
+_SETS = [("ethnicity", "train", "ethnicity = 0 and not by_ethnicity"), ("ethnicity", "test", "ethnicity = 0 and by_ethnicity"),
+         ("ethnicity", "group 1", "ethnicity = 1 and by_ethnicity"), ("ethnicity", "group 3", "ethnicity = 3 and by_ethnicity"),
+         ("ethnicity", "not group 0", "ethnicity <> 0"),
+         *[row for a, b in ((0, 1), (1, 0)) for row in (
+             (f"system {a} to {b}", "train", f"dbsource = {a} and not by_dbsource"),
+             (f"system {a} to {b}", "test", f"dbsource = {a} and by_dbsource"), (f"system {a} to {b}", "other system", f"dbsource = {b}"))],
+         ("overall", "train", f"not {_HELD.format(pos='pos', n='n', size=0.2)}"), ("overall", "test", _HELD.format(pos="pos", n="n", size=0.2)),
+         *[(f"test size {size}", part, f"{no}{_HELD.format(pos='pos', n='n', size=size)}")
+           for size in Z.TEST_SIZES for part, no in (("train", "not "), ("test", ""))]]
+on_stays("scenario_sets", f"""
+select s.scenario, s.test_set, aki_stage_7day, count(*) as n
+from (select aki_stage_7day, unnest([{', '.join(f"struct_pack(scenario := '{s}', test_set := '{p}', inside := {rule})" for s, p, rule in _SETS)}]) as s
+      from (select *, {_ORDER.format(seed=Z.SEED, key='icustay_id')} as pos, count(*) over () as n,
+                   {_by_group('ethnicity')} as by_ethnicity, {_by_group('dbsource')} as by_dbsource
+            from features_urine) y) z
+where s.inside group by all""")(    lambda t: Z.set_classes(_model_input(t)))
 on_stays("scenario_overall")(lambda t: Z.overall(_model_input(t)))
 on_stays("scenario_ethnicity")(lambda t: Z.by_ethnicity(_model_input(t)))
 on_stays("scenario_system")(lambda t: Z.by_system(_model_input(t)))

@@ -131,6 +131,24 @@ def materialize(df: DataFrame, name: str, how: str = "view") -> DataFrame:
     return spark.table(name)
 
 
+def store_bucketed(df: DataFrame, name: str, keys: list[str], order: list[str] | None = None,
+                   buckets: int | None = None) -> DataFrame:
+    """Drop and rebuild a named table whose files are bucketed by ``keys`` and
+    sorted by them, then by ``order``.
+
+    Joins and aggregates by all of ``keys`` read it without a shuffle of its
+    rows, as often as it is used. One shuffle writes one file per bucket
+    (``buckets``: by default as many as shuffle partitions) to the checkpoint
+    folder. A bucket is read by one task, so the keys should hold a part, such
+    as a slot of days, that divides a key with many rows.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(n, *keys).write.mode("overwrite").option("path", f"{checkpoint_folder(spark)}/{uuid.uuid4()}")
+     .bucketBy(n, *keys).sortBy(*keys, *(order or [])).saveAsTable(name))
+    return spark.table(name)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by the cluster; only a local session without
     that setting gets a folder of its own."""

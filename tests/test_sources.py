@@ -137,3 +137,25 @@ def test_attach_window_left(spark):
                       & (events.at <= stays.intime + F.lit(after)), "left").select("icustay_id", "at", "v")
     key = lambda d: sorted(map(str, d.select("icustay_id", "at", "v").collect()))
     assert key(got) == key(want)
+
+
+def test_bucketed_events_are_not_shuffled(spark):
+    """Two joins read one stored table; only the stays move."""
+    events = _series(spark).where("at is not null")
+    stays = spark.createDataFrame([(10 * k + j, k, T0 + timedelta(days=4 * j)) for k in range(6) for j in range(2)],
+                                  "icustay_id long, k long, intime timestamp_ntz")
+    before, after = timedelta(hours=6), timedelta(days=2)
+    kept = S.store_bucketed(J.with_slot(events, "at", before, after), "kept_bucketed", ["k", J.SLOT], ["at"], 5)
+    key = lambda d: sorted(map(str, d.select("icustay_id", "at", "v").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for how in ("inner", "left"):
+            got = J.attach_window(stays, kept, ["k"], "at", "intime", before, after, how=how, stored=True)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            side = plan[:plan.index("kept_bucketed")].split("SortMergeJoin")[-1]
+            assert side.count("Exchange") == 1 and "Bucketed: true" in plan
+            assert key(got) == key(J.attach_window(stays, events, ["k"], "at", "intime", before, after, how=how))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    again = S.store_bucketed(J.with_slot(events.limit(7), "at", before, after), "kept_bucketed", ["k", J.SLOT])
+    assert again.count() == 7 and kept.columns == again.columns
