@@ -47,3 +47,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     labels = checkpointed(labels)
     smallest = labels.groupBy("root").agg(F.min("node").alias("component"))
     return labels.join(smallest, "root").select("node", "component")
+
+
+def joined_components(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``classes`` (``node``, ``component``) after further ``edges`` (``a``, ``b``).
+
+    Only the edges between classes are contracted, so a few late edges cost a
+    few rows, not all earlier ones again. A class keeps one of its nodes as
+    name, the smallest of the classes' names.
+    """
+    named = edges
+    for end in ("a", "b"):
+        known = classes.select(F.col("node").alias("n"), F.col("component").alias("c"))
+        named = named.join(known, F.col(end) == F.col("n"), "left").withColumn(end, F.coalesce("c", end)).drop("n", "c")
+    later = checkpointed(connected_components(named))
+    moved = later.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    kept = (classes.join(moved, F.col("component") == F.col("old"), "left")
+            .select("node", F.coalesce("new", "component").alias("component")))
+    # Nodes that were alone until now; the names of classes are nodes of these.
+    return checkpointed(kept.unionByName(later.join(classes, "node", "left_anti")))

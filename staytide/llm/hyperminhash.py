@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staytide.llm.components import connected_components
+from staytide.llm.components import connected_components, joined_components
 from staytide.llm.text import in_slices, lookup, spread_lookup
 from staytide.sources.tables import checkpointed
 
@@ -311,8 +311,8 @@ def _best(pairs: DataFrame) -> DataFrame:
     return top.select(F.least("a", "top.b").alias("a"), F.greatest("a", "top.b").alias("b")).distinct()
 
 
-def set_links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links ``a``, ``b`` between distinct sets that connect exactly those joined by verified pairs.
+def set_classes(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """``node``, ``component`` of the distinct sets that verified pairs join; others have no row.
 
     Sets meet where a band of their registers agrees: pairs at the threshold
     miss all 32 bands with a chance of 5 in 100 million, others less. No bucket
@@ -322,7 +322,8 @@ def set_links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> Data
     likeliest is verified first. Sets with such a pair are compared in full with
     the other components of their buckets, inside the tasks: only links that
     join components leave these, so near copies just under the threshold cost no
-    rows. Pairs far below the threshold by estimate are not looked at.
+    rows. Pairs far below the threshold by estimate are not looked at. Later links
+    join the components there are; earlier links are not contracted again.
     """
     banded = rows.filter("s is not null").select("s", F.explode("keys").alias("key"))
     hubs = checkpointed(banded.groupBy(F.col("key").alias("k")).agg(F.min("s").alias("hub"), F.max("s").alias("high"))
@@ -334,23 +335,20 @@ def set_links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> Data
     sets = checkpointed(full_sets(docs, known.select("d", F.col("s")), size))
     pairs = met.filter("s > hub").select(F.col("hub").alias("a"), F.col("s").alias("b")).distinct()
     first = checkpointed(likely_pairs(pairs, known, percent))
-    links = checkpointed(verified(_best(first), sets, percent))
+    classes = checkpointed(connected_components(verified(_best(first), sets, percent)))
 
-    def components(links: DataFrame) -> DataFrame:
-        return checkpointed(connected_components(links))
-
-    def apart(links: DataFrame, sets: DataFrame) -> DataFrame:
+    def apart(sets: DataFrame) -> DataFrame:
         """Members of the buckets, named by the component that the links so far give them."""
-        named = sets.join(components(links), F.col("s") == F.col("node"), "left").withColumn("c", F.coalesce("component", "s"))
+        named = sets.join(classes, F.col("s") == F.col("node"), "left").withColumn("c", F.coalesce("component", "s"))
         return met.select(F.col("s").alias("t"), "key").join(named.drop("node", "component"), F.col("s") == F.col("t"))
 
-    rest = checkpointed(bucket_pairs(apart(links, known), percent))
+    rest = checkpointed(bucket_pairs(apart(known), percent))
     if rest.isEmpty():
-        return links
-    links = checkpointed(links.unionByName(verified(_best(rest), sets, percent)))
+        return classes
+    classes = joined_components(classes, checkpointed(verified(_best(rest), sets, percent)))
     near = rest.select(F.explode(F.array("a", "b")).alias("near")).distinct()
     whole = known.join(near, F.col("s") == F.col("near"), "left_semi").join(sets, "s")
-    return checkpointed(links.unionByName(bucket_pairs(apart(links, whole), percent).select("a", "b")))
+    return joined_components(classes, checkpointed(bucket_pairs(apart(whole), percent).select("a", "b")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -368,7 +366,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     share a band with another text.
     """
     rows = checkpointed(sketches(docs, size))
-    classes = checkpointed(connected_components(set_links(docs, rows, size, percent)))
+    classes = set_classes(docs, rows, size, percent)
     owned = rows.filter("s is not null").groupBy("s").agg(F.min("doc_id").alias("first"), F.count("*").alias("c"))
     rooted = checkpointed(owned.join(classes, F.col("s") == F.col("node"), "left")
                           .select("s", "first", "c", F.coalesce("component", "s").alias("root")))

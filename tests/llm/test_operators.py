@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from staytide.llm import licenses, line_quality, mixing, packing, rule_quality, simhash, topk, toxicity, trie_tokens, url_filter
-from staytide.llm.components import connected_components
+from staytide.llm.components import connected_components, joined_components
 from staytide.llm.queries import vocabulary
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -111,6 +111,26 @@ def test_components_of_chains_stars_and_random_graphs(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("cut", [(0, 0), (40, 40), (40, 70), (60, 90), (120, 120)])
+def test_components_after_later_links(spark, cut):
+    """Links in three lots, empty ones too, join what all at once would."""
+    rng = random.Random(sum(cut))
+    pairs = [(rng.randrange(150), rng.randrange(150)) for _ in range(120)]
+    lots = [spark.createDataFrame(some, "a long, b long") for some in (pairs[:cut[0]], pairs[cut[0]:cut[1]], pairs[cut[1]:])]
+    classes = connected_components(lots[0])
+    for lot in lots[1:]:
+        classes = joined_components(classes, lot)
+    rows, groups = classes.collect(), {}
+    assert len(rows) == len({r.node for r in rows})
+    for r in rows:
+        groups.setdefault(r.component, set()).add(r.node)
+    want = {}
+    for node, root in components([p for p in pairs if p[0] != p[1]]).items():
+        want.setdefault(root, set()).add(node)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    assert all(name in members for name, members in groups.items())
+
+
 def test_simhash(docs, empty, spark):
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == len(ROWS) and simhash.near_duplicates(empty).count() == 0
