@@ -195,3 +195,21 @@ def test_grouped_scaler_shuffles_no_row(spark):
     plan = scaled._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
     assert abs(scaled.where("g = 1").agg({"v": "avg"}).first()[0]) < 1e-9 and scaled.count() == 5000
+
+
+def test_a_fit_uses_every_core_whatever_the_files(stays, monkeypatch):
+    """One small file is one part; the fit must still reach all cores, with the same rows and the same result."""
+    given = []
+    fit = Z.MultilayerPerceptronClassifier.fit
+    monkeypatch.setattr(Z.MultilayerPerceptronClassifier, "fit", lambda self, df: given.append(df) or fit(self, df))
+    one = stays.coalesce(1)
+    model = Z.train(one, **SMALL)
+    cores = stays.sparkSession.sparkContext.defaultParallelism
+    sizes = given[0].rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == cores and sum(sizes) == 240 and max(sizes) <= -(-240 // cores) + 1
+    assert Z.predict(model, one).exceptAll(Z.predict(Z.train(one, **SMALL), one)).count() == 0
+
+
+def test_models_side_by_side_keep_order_and_results(stays):
+    alone = [Z.by_size(stays, [size], kind="logistic").first() for size in (0.05, 0.2, 0.5)]
+    assert Z.by_size(stays, [0.05, 0.2, 0.5], kind="logistic").collect() == alone
