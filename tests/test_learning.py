@@ -213,3 +213,23 @@ def test_a_fit_uses_every_core_whatever_the_files(stays, monkeypatch):
 def test_models_side_by_side_keep_order_and_results(stays):
     alone = [Z.by_size(stays, [size], kind="logistic").first() for size in (0.05, 0.2, 0.5)]
     assert Z.by_size(stays, [0.05, 0.2, 0.5], kind="logistic").collect() == alone
+
+
+def test_visits_take_the_same_memory_however_many_blocks():
+    import tracemalloc
+
+    import pandas as pd
+    draw, rows, peaks = np.random.default_rng(0), 2000, []
+    for blocks in (10, 1000):
+        cells = N._Cells([{"_label": "a", "_x": x} for x in draw.normal(size=(2, 3)).tolist()])
+        cells.measure([{"_label": "a", "_cell": i, "low": 0.0, "high": 99.0, "n": blocks // 2 * 16} for i in range(2)], 16)
+        batch = pd.DataFrame({"_label": "a", "_key": [str(i) for i in range(rows)], "_x": list(draw.normal(size=(rows, 3))),
+                              "_cell": 0, "_block": 0, "_bound": np.inf})
+        tracemalloc.start()
+        seen = np.zeros((2, blocks // 2), dtype=int)
+        for part in cells.visits(iter([batch])):
+            np.add.at(seen, (part["_to_cell"].to_numpy(), part["_to_block"].to_numpy()), 1)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert (seen == rows).all()
+    assert max(peaks) < 20_000_000
