@@ -489,3 +489,20 @@ def test_long_labelled_texts_are_fitted_and_calibrated(spark):
     assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.9
     kept = toxicity.keep_civil(docs.drop("lang"), labels)
     assert kept.columns == ["doc_id", "text"] and kept.count() < 45
+
+
+def test_all_labelled_texts_are_fitted_on_and_calibrate(spark, monkeypatch):
+    """Every label counts, whatever their number, and in several parts the network learns as well as in one."""
+    rows, marks = labelled(900)
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    inside = {i for i, *_ in marks if zlib.crc32(str(i).encode()) % 3 != 1}
+    back = {i for i in inside if zlib.crc32(f"fold {i}".encode()) % 5 == 0}
+    seen, tallied, truth = [], [], {i: t for i, _, t in marks}
+    averaged, calibrate = toxicity._averaged, toxicity.calibrate
+    monkeypatch.setattr(toxicity, "PART_ROWS", 150)
+    monkeypatch.setattr(toxicity, "_averaged", lambda sample, *rest: seen.append(sample) or averaged(sample, *rest))
+    monkeypatch.setattr(toxicity, "calibrate", lambda counts: tallied.extend(counts) or calibrate(counts))
+    got = toxicity.toxicity(docs, labels).filter("held_out").collect()
+    assert seen[0].select("part").distinct().count() > 1
+    assert {r.doc_id for r in seen[0].collect()} == inside - back and sum(r["n"] for r in tallied) == len(back)
+    assert np.mean([r.predicted == truth[r.doc_id] for r in got]) > 0.95
