@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,6 +27,8 @@ _THRESHOLDS = np.linspace(0.05, 0.95, 19)
 WIDTHS = (1, 2, 3)
 _CHUNK = 100_000  # words looked at together when scoring
 _WORDS = 200_000  # words a task remembers before it starts anew
+_HELD = 2_000_000  # buckets of texts that a task counts at once
+_WORD, _ASCII = re.compile(r"[^\W\d_]+"), re.compile("[a-z]+")  # the second finds the same in lower-cased ASCII
 
 
 def _buckets(word: str) -> tuple[int, int]:
@@ -35,6 +36,33 @@ def _buckets(word: str) -> tuple[int, int]:
     return zlib.crc32(word.encode()), zlib.crc32(b"^" + word[:4].encode()) if len(word) > 4 else 0
 
 
+def _split(text: str) -> list[str]:
+    lower = text.lower()
+    return (_ASCII if lower.isascii() else _WORD).findall(lower)
+
+
+class _Words(dict):
+    """The embedding rows of a word's two buckets as one number: the first, and the second above 32 bits. 0 without any."""
+
+    def __init__(self, rows: dict[int, int]):
+        self.row = rows.get
+
+    def __missing__(self, word: str) -> int:
+        own, beginning = _buckets(word)
+        self[word] = pair = self.row(own, 0) | self.row(beginning, 0) << 32
+        return pair
+
+    def of(self, text: str) -> np.ndarray:
+        if len(self) > _WORDS:
+            self.clear()
+        found = _split(text)
+        return np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
+
+
+def _rows_of(pairs: np.ndarray) -> np.ndarray:
+    return np.stack([pairs & 0xFFFFFFFF, pairs >> 32], axis=1)
+
+
 @dataclass
 class TextCNN:
     """Embedding sum of a word's buckets, filters of several widths, maximum over the text, logistic output."""
@@ -45,61 +73,61 @@ class TextCNN:
     bias: dict[int, np.ndarray]
     out: dict[int, np.ndarray]
     intercept: float
-    _words: dict[str, int] = field(default_factory=dict)
-    _vectors: list[np.ndarray] = field(default_factory=list)
-
-    def ids(self, text: str) -> list[int]:
-        """Numbers of a text's words in this object's own word list; words without a trained bucket are all 0."""
-        known = self._words
-        if not self._vectors:
-            self._vectors.append(np.zeros(self.table.shape[1], dtype=np.float32))
-        found = re.findall(r"[^\W\d_]+", text.lower())
-        for w in set(found):
-            if w not in known:
-                own = [r for h in _buckets(w) if (r := self.rows.get(h))]
-                known[w] = len(self._vectors) if own else 0
-                if own:
-                    self._vectors.append(self.table[own].sum(axis=0))
-        return [known[w] for w in found]
+    def __post_init__(self) -> None:
+        self._words = _Words(self.rows)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        if len(self._words) > _WORDS:
-            self._words, self._vectors = {}, []
-        gap, widest = [0] * (max(WIDTHS) - 1), max(WIDTHS)
-        pooled = {w: np.full((len(texts), self.out[w].shape[0]), -np.inf, dtype=np.float32) for w in WIDTHS}
-
-        def flush(stream: list[int], owner: list[tuple[int, int]]) -> None:
+        widest = max(WIDTHS)
+        # The filters' columns side by side, the widest last, so those that look j words on are the last ones.
+        sizes = [self.out[w].shape[0] for w in sorted(WIDTHS)]
+        ahead = [np.concatenate([self.filters[w][j] for w in sorted(WIDTHS) if w > j], axis=1) for j in range(widest)]
+        pooled = np.full((len(texts), sum(sizes)), -np.inf, dtype=np.float32)
+        gap = np.zeros(widest - 1, dtype=np.int64)
+
+        def flush(stream: list[np.ndarray], owner: list[tuple[int, int, int]]) -> None:
             # Every width looks past the end of a text into the zeros between texts, so short texts count too.
-            ids = np.asarray(stream + [0] * widest, dtype=np.int64)
-            used, place = np.unique(ids, return_inverse=True)
-            vectors = np.stack([self._vectors[i] for i in used])
-            starts = np.asarray([s for s, _ in owner])
-            docs = np.asarray([d for _, d in owner])
-            for w in WIDTHS:
-                total = sum((vectors @ self.filters[w][j])[place[j:len(stream) + j]] for j in range(w))
-                np.maximum.at(pooled[w], docs, np.maximum.reduceat(total, starts))
-
-        stream, owner = [], []
+            used, at = np.unique(np.concatenate([*stream, gap]), return_inverse=True)
+            vectors, n = self.table[_rows_of(used)].sum(axis=1), len(at) - len(gap)
+            total = (vectors @ ahead[0]).take(at[:n], axis=0)
+            for j in range(1, widest):
+                total[:, -ahead[j].shape[1]:] += (vectors @ ahead[j]).take(at[j:n + j], axis=0)
+            for d, a, b in owner:
+                np.maximum(pooled[d], total[a:b].max(axis=0), out=pooled[d])
+
+        stream, owner, held = [], [], 0
         for d, text in enumerate(texts):
-            ids = self.ids(text) + gap
+            ids = np.concatenate([self._words.of(text), gap])
             for at in range(0, len(ids), _CHUNK):
                 # A long text comes in parts that overlap by the widest filter.
-                part = ids[at:at + _CHUNK + widest - 1]
-                owner.append((len(stream), d))
-                stream += part + gap
-                if len(stream) >= _CHUNK:
+                part = ids[at:at + _CHUNK + len(gap)]
+                owner.append((d, held, held + len(part)))
+                stream += [part, gap]
+                held += len(part) + len(gap)
+                if held >= _CHUNK:
                     flush(stream, owner)
-                    stream, owner = [], []
+                    stream, owner, held = [], [], 0
         if owner:
             flush(stream, owner)
-        logit = np.full(len(texts), self.intercept, dtype=np.float64)
-        for w in WIDTHS:
-            logit += np.maximum(pooled[w] + self.bias[w], 0) @ self.out[w]
+        bias, out = (np.concatenate([of[w] for w in sorted(WIDTHS)]) for of in (self.bias, self.out))
+        logit = self.intercept + (np.maximum(pooled + bias, 0) @ out).astype(np.float64)
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def _word_buckets(text: str) -> set[int]:
-    return {h for w in set(re.findall(r"[^\W\d_]+", text.lower())) for h in _buckets(w) if h}
+class _Hashes(dict):
+    """Both hash buckets of the words met so far, in one number."""
+
+    def __missing__(self, word: str) -> int:
+        own, beginning = _buckets(word)
+        self[word] = both = own | beginning << 32
+        return both
+
+    def of(self, text: str) -> np.ndarray:
+        """The distinct buckets of a text."""
+        if len(self) > _WORDS:
+            self.clear()
+        found = set(_split(text))
+        both = np.unique(np.fromiter(map(self.__getitem__, found), dtype="<u8", count=len(found)).view("<u4"))
+        return both[both > 0]
 
 
 def _drawn(rows: dict[int, int], dimension: int = 8, filters: int = 8, seed: int = _SEED) -> dict[str, np.ndarray]:
@@ -121,27 +149,24 @@ def _model(rows: dict[int, int], params: dict[str, np.ndarray]) -> TextCNN:
 
 def fit(texts: list[str], y: np.ndarray, epochs: int = _EPOCHS, steps: int = _STEPS) -> TextCNN:
     """The network trained on ``texts`` in one place, for ``epochs``, on few texts for ``steps`` batches."""
-    seen = Counter(h for text in texts for h in _word_buckets(text))
-    rows = {h: i + 1 for i, h in enumerate(h for h, n in seen.most_common(FIT_BUCKETS) if n >= 3)}
-    return _model(rows, _trained(_drawn(rows), rows, texts, y, _rounds(len(texts), epochs, steps)))
+    hashes = _Hashes()
+    seen, n = np.unique(np.concatenate([np.empty(0, dtype=np.uint32), *map(hashes.of, texts)]), return_counts=True)
+    common = [h for h in np.lexsort((seen, -n))[:FIT_BUCKETS] if n[h] >= 3]
+    rows = {h: i + 1 for i, h in enumerate(seen[common].tolist())}
+    words = _Words(rows)
+    return _model(rows, _trained(_drawn(rows), [words.of(text) for text in texts], y, _rounds(len(texts), epochs, steps)))
 
 
 def _rounds(n: int, epochs: int = _EPOCHS, steps: int = _STEPS) -> int:
     return max(epochs, -(-steps * _BATCH // n)) if n else 0
 
 
-def _trained(start: dict[str, np.ndarray], rows: dict[int, int], texts: list[str], y: np.ndarray, epochs: int, batch: int = _BATCH, rate: float = 0.01,
+def _trained(start: dict[str, np.ndarray], docs: list[np.ndarray], y: np.ndarray, epochs: int, batch: int = _BATCH, rate: float = 0.01,
              decay: float = 1e-4, seed: int | tuple[int, ...] = _SEED) -> dict[str, np.ndarray]:
-    """``start`` after ``epochs`` of Adam on the log loss over ``texts``. The
+    """``start`` after ``epochs`` of Adam on the log loss over texts given as :class:`_Words` has them. The
     gradient of a maximum reaches the words at its place only."""
     draw = np.random.default_rng(seed)
-    number: dict[str, int] = {}
-    # Each text as word numbers; the words themselves are not kept.
-    docs = [np.asarray([number.setdefault(w, len(number)) for w in re.findall(r"[^\W\d_]+", text.lower())], dtype=np.int32) for text in texts]
-    feats = np.asarray([[rows.get(h, 0) if h else 0 for h in _buckets(w)] for w in number] + [[0, 0]], dtype=np.int32)
-    pad = len(number)
-    docs = [np.append(d, np.full(max(WIDTHS) - 1, pad, dtype=np.int32)) for d in docs]
-    del number
+    gap = np.zeros(max(WIDTHS) - 1, dtype=np.int64)
     params = dict(start)
     m = {k: np.zeros_like(v) for k, v in params.items()}
     s = {k: np.zeros_like(v) for k, v in params.items()}
@@ -150,16 +175,18 @@ def _trained(start: dict[str, np.ndarray], rows: dict[int, int], texts: list[str
         order = draw.permutation(len(docs))
         for at in range(0, len(order), batch):
             own = order[at:at + batch]
-            stream = np.concatenate([docs[i] for i in own] + [np.full(max(WIDTHS), pad)])
-            ends = np.cumsum([len(docs[i]) for i in own])
-            starts = np.concatenate([[0], ends[:-1]])
-            n = int(ends[-1])
+            # Two gaps, so that no filter that begins in a text or its gap reaches the next text.
+            stream = np.concatenate([x for i in own for x in (docs[i], gap, gap)])
+            sizes = np.asarray([len(docs[i]) + len(gap) for i in own])
+            ends = np.cumsum(sizes + len(gap)) - len(gap)
+            starts, n = ends - sizes, int(ends[-1])
             used, place = np.unique(stream, return_inverse=True)
-            vectors = params["table"][feats[used]].sum(axis=1)
+            feats = _rows_of(used)
+            vectors = params["table"][feats].sum(axis=1)
             logit, kept = np.full(len(own), params["c"][0]), {}
             for w in WIDTHS:
                 f = params[f"f{w}"]
-                total = sum((vectors @ f[j])[place[j:n + j]] for j in range(w))
+                total = sum((vectors @ f[j]).take(place[j:n + j], axis=0) for j in range(w))
                 where = np.stack([a + total[a:b].argmax(axis=0) for a, b in zip(starts, ends)])
                 value = np.take_along_axis(total, where, axis=0) + params[f"b{w}"]
                 kept[w] = (where, value)
@@ -182,7 +209,7 @@ def _trained(start: dict[str, np.ndarray], rows: dict[int, int], texts: list[str
             hit = np.flatnonzero(np.abs(by_word).sum(axis=1))
             step = np.zeros_like(params["table"])
             for k in range(feats.shape[1]):
-                np.add.at(step, feats[used[hit], k], by_word[hit])
+                np.add.at(step, feats[hit, k], by_word[hit])
             step[0] = 0
             grad["table"] = step
             turn += 1
@@ -197,35 +224,65 @@ def _vocabulary(sample: DataFrame) -> dict[int, int]:
     """Embedding rows of the hash buckets that at least three texts of ``sample`` have, counted over all of them; of more
     than ``FIT_BUCKETS`` the commonest."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, found, held = _Hashes(), [], 0
         for b in batches:
-            seen = Counter(h for texts in in_slices(b.column("text")) for t in texts for h in _word_buckets(t))
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], ["h", "n"])
+            for texts in in_slices(b.column("text")):
+                found += map(hashes.of, texts)
+                held += sum(map(len, found[-len(texts):]))
+                if held > _HELD:
+                    yield tally(found)
+                    found, held = [], 0
+        if found:
+            yield tally(found)
+
+    def tally(found: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in np.unique(np.concatenate(found), return_counts=True)], ["h", "n"])
 
     common = (sample.select("text").mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
               .filter("n >= 3").orderBy(F.desc("n"), "h").limit(FIT_BUCKETS))
     return {r["h"]: i + 1 for i, r in enumerate(common.collect())}
 
 
-def _averaged(sample: DataFrame, rows: dict[int, int], params: dict[str, np.ndarray], n: int, epochs: int, turn: int) -> dict[str, np.ndarray]:
-    """The mean, weighted by the ``n`` texts, of what every part of ``sample`` makes of ``params`` in ``epochs`` over its own texts."""
+def _numbered(sample: DataFrame, rows: dict[int, int]) -> DataFrame:
+    """``part``, ``doc_id``, ``y`` and ``words`` (numbers of :class:`_Words` as bytes) of ``sample``, in its order and written once: no
+    average cuts a text into words again."""
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, names = _Words(rows), ["part", "doc_id", "y"]
+        for b in batches:
+            at = 0
+            for texts in in_slices(b.column("text")):
+                words = pa.array([known.of(t).tobytes() for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, len(texts)) for c in names), words], [*names, "words"])
+                at += len(texts)
+
+    return checkpointed(sample.select("part", "doc_id", "y", "text")
+                        .mapInArrow(numbered, f"part int, doc_id {dict(sample.dtypes)['doc_id']}, y int, words binary"))
+
+
+def _averaged(sample: DataFrame, params: dict[str, np.ndarray], n: int, epochs: int, turn: int) -> dict[str, np.ndarray]:
+    """The mean, weighted by the ``n`` texts, of what every part of ``sample`` (:func:`_numbered`) makes of ``params`` in
+    ``epochs`` over its own texts."""
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, texts, y, own = None, [], [], None
+        total, docs, y, own = None, [], [], None
 
         def finished() -> None:
             nonlocal total
-            if texts:
-                got = _trained(params, rows, texts, np.asarray(y, dtype=np.float64), epochs, seed=(_SEED, turn, own))
-                part = {k: v.astype(np.float64) * len(texts) for k, v in got.items()}
+            if docs:
+                got = _trained(params, docs, np.asarray(y, dtype=np.float64), epochs, seed=(_SEED, turn, own))
+                part = {k: v.astype(np.float64) * len(docs) for k, v in got.items()}
                 total = part if total is None else {k: total[k] + v for k, v in part.items()}
 
         # Rows come part by part, one part is held at a time.
         for b in batches:
-            for part, text, mark in zip(*(b.column(c).to_pylist() for c in ("part", "text", "y"))):
-                if part != own:
-                    finished()
-                    texts, y, own = [], [], part
-                texts.append(text)
-                y.append(mark)
+            at = 0
+            for words in in_slices(b.column("words")):
+                for part, mark, own_words in zip(*(b.column(c).slice(at, len(words)).to_pylist() for c in ("part", "y")), words):
+                    if part != own:
+                        finished()
+                        docs, y, own = [], [], part
+                    docs.append(np.frombuffer(own_words, dtype=np.int64))
+                    y.append(mark)
+                at += len(words)
         finished()
         for name, values in (total or {}).items():
             flat = values.ravel().astype(np.float32)
@@ -237,7 +294,7 @@ def _averaged(sample: DataFrame, rows: dict[int, int], params: dict[str, np.ndar
         return rows[:1].assign(sums=[sums.astype(np.float32).tobytes()])
 
     schema = "name string, piece int, sums binary"
-    means = sample.select("part", "text", "y").mapInArrow(learnt, schema).groupBy("name", "piece").applyInPandas(added, schema)
+    means = sample.select("part", "words", "y").mapInArrow(learnt, schema).groupBy("name", "piece").applyInPandas(added, schema)
     found: dict[str, list[bytes]] = {k: [] for k in params}
     for r in sorted(means.collect()):
         found[r["name"]].append(r["sums"])
@@ -308,8 +365,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_toxic: int | None = None,
     if sizes["parts"]:
         rounds = _rounds(sizes["n"] // sizes["parts"])
         each = rounds if sizes["parts"] == 1 else -(-rounds // _TURNS)
+        words = _numbered(fitted, rows)
         for turn, done in enumerate(range(0, rounds, each)):
-            params = _averaged(fitted, rows, params, sizes["n"], min(each, rounds - done), turn)
+            params = _averaged(words, params, sizes["n"], min(each, rounds - done), turn)
     model = _model(rows, params)
     reached = sum((F.col("score") >= float(c)).cast("int") for c in _THRESHOLDS)
     held = score_texts(sample.filter("back").select("text", "y", "lang"), model)

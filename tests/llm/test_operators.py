@@ -506,3 +506,27 @@ def test_all_labelled_texts_are_fitted_on_and_calibrate(spark, monkeypatch):
     assert seen[0].select("part").distinct().count() > 1
     assert {r.doc_id for r in seen[0].collect()} == inside - back and sum(r["n"] for r in tallied) == len(back)
     assert np.mean([r.predicted == truth[r.doc_id] for r in got]) > 0.95
+
+
+def test_scores_do_not_depend_on_the_texts_beside():
+    """A filter that begins in the gap after a text must not reach the words of the next."""
+    rows, marks = labelled(120)
+    model = toxicity.fit([r[1] for r in rows], np.asarray([m[2] for m in marks], dtype=float), epochs=2, steps=20)
+    texts = [r[1] for r in rows] + ["", "vile"]
+    assert np.allclose(model.scores(texts), [float(model.scores([t])[0]) for t in texts], atol=1e-6)
+
+
+def test_averages_read_numbers_of_words_and_no_texts(spark, monkeypatch):
+    """Texts are cut into words once, not again in every average."""
+    rows, marks = labelled(400)
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    averaged, seen = toxicity._averaged, []
+    monkeypatch.setattr(toxicity, "PART_ROWS", 100)
+    monkeypatch.setattr(toxicity, "_averaged", lambda sample, *rest: seen.append(sample) or averaged(sample, *rest))
+    model, _ = toxicity.train(docs, labels)
+    assert len(seen) > 1 and all("text" not in s.columns for s in seen)
+    texts = {r[0]: r[1] for r in rows}
+    for r in seen[0].collect():
+        found = re.findall(r"[^\W\d_]+", texts[r.doc_id].lower())
+        want = [[model.rows.get(h, 0) for h in toxicity._buckets(w)] for w in found]
+        assert toxicity._rows_of(np.frombuffer(r.words, dtype=np.int64)).tolist() == want
