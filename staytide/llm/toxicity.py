@@ -375,17 +375,20 @@ def train(docs: DataFrame, labels: DataFrame, fit_toxic: int | None = None,
 
 
 def score_texts(rows: DataFrame, model: TextCNN, text: str = "text") -> DataFrame:
-    """``rows`` with a column ``score``; null texts count as empty. The texts are looked at in small batches."""
-    names = rows.columns
+    """``rows`` with a column ``score``; null texts count as empty. The texts, a column of their own or a field of one
+    (``doc.text``), are looked at and returned in small batches. A column of texts is not returned, one with other fields is."""
+    own, _, inside = text.partition(".")
+    names = [n for n in rows.columns if inside or n != own]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [model.scores([t or "" for t in texts]) for texts in in_slices(b.column(text))]
-            scores = np.concatenate(parts) if parts else np.empty(0)
-            columns = [b.column(c) for c in names if c != text]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], [*(c for c in names if c != text), "score"])
+            column, at = b.column(own), 0
+            for texts in in_slices(column.field(inside) if inside else column):
+                scores = pa.array(model.scores([t or "" for t in texts]))
+                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(at, len(texts)) for n in names), scores], [*names, "score"])
+                at += len(texts)
 
-    kinds = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes if n != text)
+    kinds = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes if n in names)
     return rows.mapInArrow(scored, f"{kinds}, score double")
 
 
@@ -421,6 +424,10 @@ def keep_civil(docs: DataFrame, labels: DataFrame, fit_toxic: int | None = None,
     rows have the common threshold."""
     model, thresholds = train(docs, labels, fit_toxic, fit_clean)
     lang = F.col("doc.lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = kept_rows(docs).select("doc", F.col("doc.text").cast("string").alias("text"))
-    return (score_texts(rows, model).filter(F.col("score") < _threshold(thresholds, lang))
+    rows = kept_rows(docs)
+    # A whole text goes to Python once, inside its row, unless it is not yet a string.
+    plain = dict(docs.dtypes).get("text") == "string"
+    scored = (score_texts(rows, model, "doc.text") if plain else
+              score_texts(rows.withColumn("text", F.col("doc.text").cast("string")), model))
+    return (scored.filter(F.col("score") < _threshold(thresholds, lang))
             .select("doc.*"))

@@ -530,3 +530,19 @@ def test_averages_read_numbers_of_words_and_no_texts(spark, monkeypatch):
         found = re.findall(r"[^\W\d_]+", texts[r.doc_id].lower())
         want = [[model.rows.get(h, 0) for h in toxicity._buckets(w)] for w in found]
         assert toxicity._rows_of(np.frombuffer(r.words, dtype=np.int64)).tolist() == want
+
+
+def test_whole_rows_are_scored_with_their_texts_sent_once(spark, monkeypatch):
+    """The pipeline's rows hold their texts; a second copy beside would double what tasks hold."""
+    rows, marks = labelled(80)
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit([r[1] for r in rows], np.asarray([m[2] for m in marks], dtype=float), epochs=2, steps=20)
+    monkeypatch.setattr(toxicity, "train", lambda *_: (model, {None: 0.5}))
+    scored, sent = toxicity.score_texts, []
+    monkeypatch.setattr(toxicity, "score_texts", lambda frame, *rest: sent.append(frame) or scored(frame, *rest))
+    got = {tuple(r) for r in toxicity.keep_civil(docs, labels).collect()}
+    assert sent[0].columns == ["doc"]
+    want = {tuple(r) for r in docs.collect() if model.scores([r.text or ""])[0] < 0.5}
+    assert got == want and 0 < len(got) < len(rows)
+    other = {r.doc_id for r in toxicity.keep_civil(docs.withColumn("text", F.col("text").cast("binary")), labels).collect()}
+    assert other == {r[0] for r in got}
