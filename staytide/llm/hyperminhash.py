@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -149,7 +150,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (``a``, ``b``) whose full sets have a similarity of at least ``percent`` %."""
+    """The ``pairs`` (``a``, ``b``) whose full sets have a similarity of at least ``percent`` %. Other sets stay where they are."""
+    pairs = checkpointed(pairs)
+    ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct())
+    sets = sets.join(lookup(ends), F.col("s") == F.col("end"), "left_semi")
     a = sets.select(F.col("s").alias("a"), F.col("shingles").alias("of_a"))
     b = sets.select(F.col("s").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -196,11 +200,23 @@ def _others(rows: dict, percent: int) -> Iterator[tuple[int, np.ndarray]]:
         yield i, j[part[j] != part[i]] if mixed else j
 
 
+def _bands(sketch: np.ndarray) -> np.ndarray:
+    return folded(sketch).reshape(len(sketch), -1, BAND_REGISTERS)
+
+
+def _band_of(key: np.int64, bands: np.ndarray) -> int:
+    """The band of a member's ``bands`` whose bucket is ``key``."""
+    return next(b for b in np.flatnonzero(bands.any(axis=1))
+                if np.uint64(xxhash.xxh64_intdigest(bands[b].tobytes(), int(b))).view(np.int64) == key)
+
+
 def likeliest_within(rows: dict, percent: int) -> Iterator[dict[str, np.ndarray]]:
-    """Of each set of one bucket the likeliest pair near the threshold with a set of another component.
-    ``rows``: ``s``, ``n``, ``c`` (component), ``part``, ``sketch``, ordered by ``n``."""
+    """Of each set of one bucket the likeliest pair near the threshold with a set of another component, and the sets with
+    such a pair that has no earlier band in common: only these need to meet here again (``a`` = ``b``, with ``key`` and ``n``).
+    ``rows``: ``key``, ``s``, ``n``, ``c`` (component), ``part``, ``sketch``, ordered by ``n``."""
     s, n, c, sketch = (rows[k] for k in ("s", "n", "c", "sketch"))
     top, partner = np.full(len(s), -1.0), np.zeros(len(s), dtype=np.int64)
+    bands, here = None, np.zeros(len(s), dtype=bool)
     for i, j in _others(rows, percent):
         j = j[c[j] != c[i]]
         if not len(j):
@@ -213,30 +229,41 @@ def likeliest_within(rows: dict, percent: int) -> Iterator[dict[str, np.ndarray]
             top[i], partner[i] = e[k], j[at[k]]
         better = e > top[j[at]]
         top[j[at[better]]], partner[j[at[better]]] = e[better], i
+        if bands is None:
+            bands = _bands(sketch)
+            own = _band_of(rows["key"][0], bands[0])
+        first = j[at[_first_common(bands, i, j[at]) == own]]
+        here[first] = True
+        here[i] |= len(first) > 0
     found = np.flatnonzero(top >= 0)
     if len(found):
-        one, two = s[found], s[partner[found]]
-        yield {"a": np.minimum(one, two), "b": np.maximum(one, two), "e": top[found]}
+        one, two, none = s[found], s[partner[found]], np.zeros(len(found), dtype=np.int64)
+        yield {"a": np.minimum(one, two), "b": np.maximum(one, two), "key": none, "n": none, "e": top[found]}
+    if here.any():
+        yield {"a": s[here], "b": s[here], "key": rows["key"][here], "n": n[here], "e": np.zeros(here.sum())}
+
+
+def _first_common(bands: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """The first band that the sets ``j`` each share with the set ``i``."""
+    return ((bands[j] == bands[i]).all(axis=2) & bands[i].any(axis=1)).argmax(axis=1)
 
 
 def links_within(rows: dict, percent: int, numbers: int = 1 << 20) -> Iterator[dict[str, np.ndarray]]:
     """Links that join the components of one bucket's sets: pairs near the threshold are compared in full where they
     stand, at most ``numbers`` hashes at a time, so no pair leaves a task unless it joins two components. A pair of
     several common buckets is compared in the first of its bands only. ``rows`` as in :func:`likeliest_within`, and
-    ``key`` and ``shingles``."""
+    ``shingles``."""
     s, n, sketch, sets = (rows[k] for k in ("s", "n", "sketch", "shingles"))
     c = rows["c"].copy()
-    bands = folded(sketch).reshape(len(s), -1, BAND_REGISTERS)
-    own = next(b for b in np.flatnonzero(bands[0].any(axis=1))
-               if np.uint64(xxhash.xxh64_intdigest(bands[0, b].tobytes(), int(b))).view(np.int64) == rows["key"][0])
+    bands = _bands(sketch)
+    own = _band_of(rows["key"][0], bands[0])
     a, b = [], []
     for i, j in _others(rows, percent):
         j = j[c[j] != c[i]]
         if not len(j):
             continue
         j = j[estimate(sketch[i], sketch[j], np.full(len(j), n[i]), n[j], percent)[0]]
-        same = (bands[j] == bands[i]).all(axis=2) & bands[i].any(axis=1)
-        j = j[same.argmax(axis=1) == own]
+        j = j[_first_common(bands, i, j) == own]
         step = max(1, numbers // int(n[j].max())) if len(j) else 1
         for some in (j[at:at + step] for at in range(0, len(j), step)):
             some = some[c[some] != c[i]]
@@ -252,25 +279,35 @@ def links_within(rows: dict, percent: int, numbers: int = 1 << 20) -> Iterator[d
                     a.append(min(s[i], s[k]))
                     b.append(max(s[i], s[k]))
     if a:
-        yield {"a": np.asarray(a), "b": np.asarray(b), "e": np.ones(len(a))}
+        none = np.zeros(len(a), dtype=np.int64)
+        yield {"a": np.asarray(a), "b": np.asarray(b), "key": none, "n": none, "e": np.ones(len(a))}
+
+
+class Members(NamedTuple):
+    """Members of buckets (``key``, ``s``, ``n``, ``c``) and, one row per set, what is compared (``s``, ``sketch`` and maybe ``shingles``)."""
+
+    buckets: DataFrame
+    sets: DataFrame
 
 
-def bucket_pairs(members: DataFrame, percent: int, chunk: int = 2048, numbers: int = 1 << 21) -> DataFrame:
-    """Pairs ``a``, ``b`` between sets of different components that share a bucket. ``members``: ``key``, ``s``, ``n``,
-    ``c``, ``sketch``, and ``shingles`` to have links (see :func:`links_within`); without them each set's likeliest pair
-    with its estimate ``e``. Buckets whose members are one component go nowhere; one of more than ``chunk`` members or
-    ``numbers`` hashes is split by hash, and every two of its parts meet in a task of their own."""
-    full = "shingles" in members.columns
+def bucket_pairs(members: Members, percent: int, chunk: int = 2048, numbers: int = 1 << 21) -> DataFrame:
+    """Pairs ``a``, ``b`` between sets of different components that share a bucket: links (see :func:`links_within`) if the
+    members have ``shingles``; without them each set's likeliest pair with its estimate ``e``, and rows with ``a`` = ``b`` for the
+    sets that need to meet again in bucket ``key`` (see :func:`likeliest_within`). Buckets whose members are one component go
+    nowhere; one of more than ``chunk`` members or ``numbers`` hashes is split by hash, and every two of its parts meet
+    in a task of their own. Sketches and shingles join the members once their tasks are known, and travel to these only."""
+    full = "shingles" in members.sets.columns
     weight = F.greatest(F.count("*") / chunk, F.sum("n") / numbers if full else F.lit(0.0))
-    sizes = (members.groupBy(F.col("key").alias("k")).agg(weight.alias("w"), F.min("c").alias("low"), F.max("c").alias("high"))
+    sizes = (members.buckets.groupBy(F.col("key").alias("k")).agg(weight.alias("w"), F.min("c").alias("low"), F.max("c").alias("high"))
              .filter("low < high").select("k", F.ceil("w").cast("int").alias("parts")))
-    mixed = members.join(sizes, F.col("key") == F.col("k")).withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
+    mixed = (members.buckets.join(sizes, F.col("key") == F.col("k"))
+             .withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int")))
     names = ["key", "p", "q", "s", "n", "c", "part"]
     tasks = mixed.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
-        "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "s", "n", "c", "part", "sketch",
-        *(["shingles"] if full else []))
+        "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "s", "n", "c", "part")
+    tasks = tasks.join(members.sets.withColumnRenamed("s", "of"), F.col("s") == F.col("of")).drop("of")
     tasks = tasks.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    look = links_within if full else likeliest_within
+    look, found_names = links_within if full else likeliest_within, ("a", "b", "key", "n", "e")
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[dict]:
@@ -296,12 +333,13 @@ def bucket_pairs(members: DataFrame, percent: int, chunk: int = 2048, numbers: i
                 ready.append(found)
                 held += len(found["a"])
             if held > 50_000:
-                yield pa.RecordBatch.from_pydict({c: np.concatenate([x[c] for x in ready]) for c in ("a", "b", "e")})
+                yield pa.RecordBatch.from_pydict({c: np.concatenate([x[c] for x in ready]) for c in found_names})
                 ready, held = [], 0
         if ready:
-            yield pa.RecordBatch.from_pydict({c: np.concatenate([x[c] for x in ready]) for c in ("a", "b", "e")})
+            yield pa.RecordBatch.from_pydict({c: np.concatenate([x[c] for x in ready]) for c in found_names})
 
-    return tasks.mapInArrow(met, "a long, b long, e double").groupBy("a", "b").agg(F.max("e").alias("e"))
+    found = tasks.mapInArrow(met, "a long, b long, key long, n long, e double")
+    return found.groupBy("a", "b", "key", "n").agg(F.max("e").alias("e"))
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -320,15 +358,15 @@ def set_classes(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> Da
     buckets, the likeliest of these is verified, and components are formed.
     Then only pairs of different components are estimated, and again each set's
     likeliest is verified first. Sets with such a pair are compared in full with
-    the other components of their buckets, inside the tasks: only links that
+    the other components, inside the tasks of the buckets that are the first a pair shares: only links that
     join components leave these, so near copies just under the threshold cost no
     rows. Pairs far below the threshold by estimate are not looked at. Later links
     join the components there are; earlier links are not contracted again.
     """
-    banded = rows.filter("s is not null").select("s", F.explode("keys").alias("key"))
+    banded = rows.filter("s is not null").select("s", "n", F.explode("keys").alias("key"))
     hubs = checkpointed(banded.groupBy(F.col("key").alias("k")).agg(F.min("s").alias("hub"), F.max("s").alias("high"))
                         .filter("hub < high").select("k", "hub"))
-    met = checkpointed(banded.join(lookup(hubs), F.col("key") == F.col("k")).select("key", "s", "hub").distinct())
+    met = checkpointed(banded.join(lookup(hubs), F.col("key") == F.col("k")).select("key", "s", "n", "hub").distinct())
     ends = checkpointed(met.select(F.col("s").alias("end")).distinct())
     known = checkpointed(rows.join(lookup(ends), F.col("s") == F.col("end"), "left_semi")
                          .groupBy("s").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("digest").alias("d")))
@@ -337,18 +375,20 @@ def set_classes(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> Da
     first = checkpointed(likely_pairs(pairs, known, percent))
     classes = checkpointed(connected_components(verified(_best(first), sets, percent)))
 
-    def apart(sets: DataFrame) -> DataFrame:
+    def apart(buckets: DataFrame) -> DataFrame:
         """Members of the buckets, named by the component that the links so far give them."""
-        named = sets.join(classes, F.col("s") == F.col("node"), "left").withColumn("c", F.coalesce("component", "s"))
-        return met.select(F.col("s").alias("t"), "key").join(named.drop("node", "component"), F.col("s") == F.col("t"))
+        return (buckets.join(classes, F.col("s") == F.col("node"), "left")
+                .select("key", "s", "n", F.coalesce("component", "s").alias("c")))
 
-    rest = checkpointed(bucket_pairs(apart(known), percent))
+    rest = checkpointed(bucket_pairs(Members(apart(met), known.select("s", "sketch")), percent))
     if rest.isEmpty():
         return classes
-    classes = joined_components(classes, checkpointed(verified(_best(rest), sets, percent)))
-    near = rest.select(F.explode(F.array("a", "b")).alias("near")).distinct()
-    whole = known.join(near, F.col("s") == F.col("near"), "left_semi").join(sets, "s")
-    return joined_components(classes, checkpointed(bucket_pairs(apart(whole), percent).select("a", "b")))
+    classes = joined_components(classes, checkpointed(verified(_best(rest.filter("a < b")), sets, percent)))
+    again = rest.filter("a = b").select("key", F.col("a").alias("s"), "n")
+    near = checkpointed(again.select(F.col("s").alias("near")).distinct())
+    some = F.col("s") == F.col("near")
+    whole = known.select("s", "sketch").join(lookup(near), some, "left_semi").join(sets.join(lookup(near), some, "left_semi"), "s")
+    return joined_components(classes, checkpointed(bucket_pairs(Members(apart(again), whole), percent).select("a", "b")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

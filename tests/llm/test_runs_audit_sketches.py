@@ -254,3 +254,20 @@ def test_set_names_are_hashes_of_the_whole_set(table):
     grams = sorted(xxhash.xxh64_intdigest(g.encode(), 42) for g in ("a b c d e", "b c d e f"))
     name = xxhash.xxh64_intdigest(np.asarray(grams, dtype=np.uint64).tobytes(), 42)
     assert one.s == two.s == (name - (1 << 64) if name >> 63 else name) and one.n == 2
+
+
+def test_whole_sets_meet_only_in_the_first_bucket_that_a_pair_shares(spark, monkeypatch):
+    """Sketches and sets join the members of buckets whose components differ; near copies share many buckets and meet in few."""
+    called, whole = [], hyperminhash.bucket_pairs
+    monkeypatch.setattr(hyperminhash, "bucket_pairs", lambda members, percent: called.append(members) or whole(members, percent))
+    texts = [edited(seed, 200, edits) for seed in range(12) for edits in (0, 3, 6, 9, 12)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    _, pairs, root = jaccard_classes(texts, 4)
+    got = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(frame, size=4).collect()}
+    assert pairs and got == {i: root.get(i, i) for i in range(len(texts))}
+    first, second = called
+    assert all("sketch" not in m.buckets.columns and "shingles" not in m.buckets.columns for m in called)
+    again = second.buckets.select("s", "key").distinct().collect()
+    near = {r.s for r in again}
+    before = [r for r in first.buckets.select("s", "key").distinct().collect() if r.s in near]
+    assert near and 2 * len(again) < len(before)
