@@ -233,3 +233,47 @@ def test_visits_take_the_same_memory_however_many_blocks():
         tracemalloc.stop()
         assert (seen == rows).all()
     assert max(peaks) < 20_000_000
+
+
+def _vectors(spark, rows):
+    from pyspark.ml.linalg import Vectors
+    return spark.createDataFrame([(float(y), Vectors.dense(x)) for y, x in rows], ["label", "features"])
+
+
+def test_every_row_counts_once_in_a_network(spark):
+    """The row in the short last block of a part weighs as much as those in full blocks of 128."""
+    df = _vectors(spark, [(i == 128, [0.0]) for i in range(129)]).coalesce(1)
+    model = Z.learner(1, "features", hidden=(2,), classes=2, max_iter=100, label="label").fit(df)
+    assert model.transform(df).first()["probability"][1] == pytest.approx(1 / 129, abs=1e-4)
+
+
+def test_network_equals_sparks_own_on_one_block_however_rows_are_dealt(spark):
+    rng = np.random.default_rng(0)
+    df = _vectors(spark, [(i % 3, rng.normal(i % 3, 1, 5).tolist()) for i in range(120)]).coalesce(1)
+    settings = {"layers": [5, 8, 8, 3], "maxIter": 40, "seed": 3}
+    own, theirs = Z.Perceptron(**settings).fit(df), Z.MultilayerPerceptronClassifier(**settings).fit(df)
+    assert np.allclose(own.weights.toArray(), theirs.weights.toArray(), atol=1e-5)
+    assert (own.getMaxIter(), own.hasSummary, own.isDefined("initialWeights")) == (40, False, False)
+    assert np.allclose(Z.Perceptron(**settings).fit(df.repartition(4)).weights.toArray(), own.weights.toArray(), atol=1e-5)
+    again = Z.Perceptron(**settings | {"maxIter": 0, "initialWeights": own.weights}).fit(df)
+    assert np.array_equal(again.weights.toArray(), own.weights.toArray())
+
+
+def test_network_loss_is_the_mean_over_any_number_of_parts(spark, monkeypatch):
+    from staytide.operators import network
+    rng, sizes = np.random.default_rng(1), [3, 4, 2]
+    x, y, weights = rng.normal(size=(600, 3)), rng.integers(0, 2, 600), rng.normal(size=26)
+    hidden = 1 / (1 + np.exp(-(x @ weights[:12].reshape(3, 4) + weights[12:16])))
+    z = hidden @ weights[16:24].reshape(4, 2) + weights[24:]
+    loss = np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(600), y])
+    df = _vectors(spark, [(int(b), a.tolist()) for a, b in zip(x, y)])
+    for sums, parts in ((32, 1), (3, 11)):
+        monkeypatch.setattr(network, "_SUMS", sums)
+        f = network.mean_loss(network.packed_rows(df.repartition(parts), "features", "label", 2), sizes)
+        value, gradient = f(weights)
+        assert value == pytest.approx(loss)
+    for i in (0, 13, 20, 25):
+        step = np.eye(26)[i] * 1e-5
+        assert (f(weights + step)[0] - f(weights - step)[0]) / 2e-5 == pytest.approx(gradient[i], abs=1e-7)
+    with pytest.raises(Exception, match="label outside"):
+        network.packed_rows(_vectors(spark, [(2, [0.0] * 3)]), "features", "label", 2).collect()
