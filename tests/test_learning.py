@@ -277,3 +277,12 @@ def test_network_loss_is_the_mean_over_any_number_of_parts(spark, monkeypatch):
         assert (f(weights + step)[0] - f(weights - step)[0]) / 2e-5 == pytest.approx(gradient[i], abs=1e-7)
     with pytest.raises(Exception, match="label outside"):
         network.packed_rows(_vectors(spark, [(2, [0.0] * 3)]), "features", "label", 2).collect()
+
+
+def test_network_predicts_in_batches_what_the_model_says_row_by_row(stays):
+    model = Z.train(stays, **SMALL)
+    guesses = Z.predict(model, stays)
+    alone = model.transform(stays).selectExpr("icustay_id", "aki", "aki_stage_7day", "cast(prediction as int) as predicted")
+    assert guesses.schema == alone.schema and guesses.exceptAll(alone).count() == 0 and guesses.count() == 240
+    assert "MapInArrow" in guesses._jdf.queryExecution().executedPlan().toString()
+    assert Z.predict(model, stays.where("icustay_id < 0")).count() == 0
